@@ -1,3 +1,232 @@
-"""Registered queries (q_ops)."""
+"""Registered queries: charts, triage, anomalies, similar cases."""
 
-from casebook.plans.catalog import register, with_cases  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from casebook.operators import anomaly, charts, similar, triage
+from casebook.plans.catalog import register, with_cases
+from casebook.sources.tables import case_view, read_table
+
+# ---------------------------------------------------------------- charts
+
+_BAR_SQL = """
+SELECT Condition, CAST(count(*) FILTER (WHERE Readmission = 'Yes') * 100.0 / count(*) AS double) AS value
+FROM cases WHERE Condition IS NOT NULL GROUP BY Condition
+ORDER BY value DESC NULLS LAST, Condition LIMIT 15"""
+
+
+@register("chart_bar", with_cases(_BAR_SQL))
+def chart_bar(spark, sf_dir):
+    return charts.chart_data(case_view(spark, sf_dir), "bar", "readmission_rate", "medical_condition")
+
+
+@register("chart_bar_billing", with_cases("""
+SELECT Procedure, CAST(sum(Cost) AS double) AS value FROM cases WHERE Procedure IS NOT NULL
+GROUP BY Procedure ORDER BY value DESC NULLS LAST, Procedure LIMIT 15"""))
+def chart_bar_billing(spark, sf_dir):
+    return charts.chart_data(case_view(spark, sf_dir), "bar", "billing", "procedure")
+
+
+@register("chart_line", with_cases("""
+SELECT Gender, CAST(avg(Cost) AS double) AS value FROM cases WHERE Gender IS NOT NULL
+GROUP BY Gender ORDER BY Gender"""))
+def chart_line(spark, sf_dir):
+    return charts.chart_data(case_view(spark, sf_dir), "line", "cost", "gender")
+
+
+@register("chart_pie", with_cases("""
+WITH k AS (SELECT Procedure, CAST(count(*) AS double) AS value FROM cases WHERE Procedure IS NOT NULL
+  GROUP BY Procedure ORDER BY value DESC, Procedure LIMIT 8)
+SELECT Procedure, value, value * 100.0 / sum(value) OVER () AS share_pct FROM k"""))
+def chart_pie(spark, sf_dir):
+    return charts.chart_data(case_view(spark, sf_dir), "pie", "admissions", "admission_type")
+
+
+def _hist_sql(source: str, col: str) -> str:
+    return f"""
+WITH d AS (SELECT CAST({col} AS double) AS x FROM {source} WHERE {col} IS NOT NULL),
+s0 AS (SELECT min(x) AS mn, max(x) AS mx, avg(x) AS mean, quantile_cont(x, 0.5) AS median FROM d),
+s AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+             CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi, mean, median FROM s0 WHERE mn IS NOT NULL),
+b0 AS (SELECT x, lo, hi, (hi - lo) / 20.0 AS step,
+        least(CAST(floor((x - lo) * (20.0 / (hi - lo))) AS int), 19) AS i FROM d CROSS JOIN s),
+b1 AS (SELECT x, lo, hi, step,
+        CASE WHEN x < (CASE WHEN i >= 20 THEN hi ELSE lo + i * step END) THEN i - 1 ELSE i END AS i FROM b0),
+b2 AS (SELECT CASE WHEN x >= (CASE WHEN i + 1 >= 20 THEN hi ELSE lo + (i + 1) * step END) AND i <> 19
+        THEN i + 1 ELSE i END AS i FROM b1),
+c AS (SELECT i AS bin, count(*) AS cnt FROM b2 GROUP BY i),
+dom AS (SELECT CAST(range AS int) AS bin FROM range(20))
+SELECT dom.bin,
+  CASE WHEN dom.bin >= 20 THEN hi ELSE lo + dom.bin * ((hi - lo) / 20.0) END AS bin_start,
+  CASE WHEN dom.bin + 1 >= 20 THEN hi ELSE lo + (dom.bin + 1) * ((hi - lo) / 20.0) END AS bin_end,
+  coalesce(c.cnt, 0) AS "count", mean, CAST(median AS double) AS median
+FROM dom CROSS JOIN s LEFT JOIN c ON c.bin = dom.bin"""
+
+
+@register("chart_histogram", with_cases(_hist_sql("cases", "Length_of_Stay")))
+def chart_histogram(spark, sf_dir):
+    return charts.chart_data(case_view(spark, sf_dir), "histogram", "los")
+
+
+@register("chart_histogram_cost", with_cases(_hist_sql("cases", "Cost")))
+def chart_histogram_cost(spark, sf_dir):
+    return charts.histogram_data(case_view(spark, sf_dir), "Cost")
+
+
+@register("events_histogram", _hist_sql("events", "value"))
+def events_histogram(spark, sf_dir):
+    # The same operator over a second table: event values.
+    return charts.histogram_data(read_table(spark, sf_dir, "events"), "value")
+
+
+def _box_sql(source: str, g: str, v: str) -> str:
+    return f"""
+WITH grp AS (SELECT DISTINCT {g} FROM {source} WHERE {g} IS NOT NULL ORDER BY {g} LIMIT 10),
+d AS (SELECT s.{g}, CAST(s.{v} AS double) AS v FROM {source} s JOIN grp ON s.{g} = grp.{g}
+      WHERE s.{v} IS NOT NULL),
+q AS (SELECT {g}, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+      quantile_cont(v, 0.75) AS q3 FROM d GROUP BY {g}),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q)
+SELECT f.{g}, any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+  min(v) FILTER (WHERE v >= lo_f AND v <= hi_f) AS whisker_low,
+  max(v) FILTER (WHERE v >= lo_f AND v <= hi_f) AS whisker_high,
+  count(*) FILTER (WHERE NOT (v >= lo_f AND v <= hi_f)) AS outliers
+FROM d JOIN f ON d.{g} = f.{g} GROUP BY f.{g}"""
+
+
+@register("chart_boxplot", with_cases(_box_sql("cases", "Condition", "Length_of_Stay")))
+def chart_boxplot(spark, sf_dir):
+    return charts.chart_data(case_view(spark, sf_dir), "boxplot", "length_of_stay", "condition")
+
+
+@register("events_boxplot", _box_sql("events", "event_type", "value"))
+def events_boxplot(spark, sf_dir):
+    return charts.boxplot_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "mean"))
+
+
+@register("events_chart_bar", """
+SELECT event_type, CAST(sum(value) AS double) AS value FROM events WHERE event_type IS NOT NULL
+GROUP BY event_type ORDER BY value DESC NULLS LAST, event_type LIMIT 15""")
+def events_chart_bar(spark, sf_dir):
+    return charts.bar_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "sum"))
+
+
+# ---------------------------------------------------------------- triage
+
+# The default rules with thresholds suited to the case view
+# (the defaults of 7 days / 25,000 flag nearly every row there).
+TRIAGE_RULES = [dict(r) for r in triage.DEFAULT_RULES]
+TRIAGE_RULES[0].update(value=45, description="Extended stay (>45 days)")
+TRIAGE_RULES[1].update(value=450000)
+
+
+def _rule_sql(rule) -> str:
+    f, op, v = rule["field"], rule["operator"], rule["value"]
+    lit = f"'{v}'" if isinstance(v, str) else str(v)
+    sqlop = {"==": "=", "!=": "<>"}.get(op, op)
+    return f"coalesce({f} {sqlop} {lit}, false)"
+
+
+def _triage_sql(limit: int | None) -> str:
+    score = " + ".join(f"CASE WHEN {_rule_sql(r)} THEN {float(r['score'])} ELSE 0.0 END"
+                       for r in TRIAGE_RULES)
+    reasons = ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{r['description']}' END" for r in TRIAGE_RULES)
+    body = f"""
+WITH s AS (SELECT *, {score} AS raw_score, concat_ws('; ', {reasons}) AS reasons FROM cases)
+SELECT Patient_ID, round_even(raw_score, 2) AS score, reasons, Age, Gender, Condition, Procedure,
+  Length_of_Stay, Cost, Satisfaction, Outcome, Readmission
+FROM s WHERE raw_score > 0"""
+    if limit:
+        body += f"\nORDER BY score DESC, Patient_ID LIMIT {limit}"
+    return body
+
+
+def _joined(df):
+    return df.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@register("triage_queue", with_cases(_triage_sql(20)))
+def triage_queue(spark, sf_dir):
+    return _joined(triage.triage_queue(case_view(spark, sf_dir), TRIAGE_RULES, limit=20))
+
+
+@register("triage_flagged", with_cases(_triage_sql(None)))
+def triage_flagged(spark, sf_dir):
+    return _joined(triage.triage_flagged(case_view(spark, sf_dir), TRIAGE_RULES))
+
+
+@register("triage_default_rules", with_cases("""
+WITH s AS (SELECT *,
+  CASE WHEN coalesce(Length_of_Stay > 7, false) THEN 2.0 ELSE 0.0 END
+  + CASE WHEN coalesce(Cost > 25000, false) THEN 1.5 ELSE 0.0 END
+  + CASE WHEN coalesce(Satisfaction <= 2, false) THEN 2.5 ELSE 0.0 END
+  + CASE WHEN coalesce(Readmission = 'Yes', false) THEN 3.0 ELSE 0.0 END
+  + CASE WHEN coalesce(Outcome = 'Stable', false) THEN 1.0 ELSE 0.0 END AS raw_score FROM cases)
+SELECT count(*) AS total_flagged, least(count(*), 20) AS returned, 5 AS rules_applied
+FROM s WHERE raw_score > 0"""))
+def triage_default_rules(spark, sf_dir):
+    return triage.triage_totals(case_view(spark, sf_dir), None, limit=20)
+
+
+# ---------------------------------------------------------------- anomalies
+
+def _z_sql(source: str, key: str, cols) -> str:
+    stats = ", ".join(f"avg(CAST({c} AS double)) AS m_{c}, stddev_pop(CAST({c} AS double)) AS s_{c}"
+                      for c in cols)
+    parts = [f"""SELECT {key}, '{c}' AS "column", CAST({c} AS double) AS value,
+  'Outlier (Z-score > 3.0)' AS reason FROM {source} CROSS JOIN st
+WHERE s_{c} <> 0 AND abs((CAST({c} AS double) - m_{c}) / s_{c}) > 3.0""" for c in cols]
+    return f"WITH st AS (SELECT {stats} FROM {source})\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("zscore_outliers", with_cases(_z_sql("cases", "Patient_ID", anomaly.NUMERIC_DEFAULT)))
+def zscore_outliers(spark, sf_dir):
+    return anomaly.zscore_outliers(case_view(spark, sf_dir))
+
+
+@register("events_zscore", _z_sql("events", "event_id", ["value"]))
+def events_zscore(spark, sf_dir):
+    return anomaly.zscore_outliers(read_table(spark, sf_dir, "events"), ["value"], key="event_id")
+
+
+@register("rare_combinations", with_cases("""
+WITH d AS (SELECT * FROM cases WHERE Condition IS NOT NULL AND Procedure IS NOT NULL AND Outcome IS NOT NULL),
+f AS (SELECT Condition, Procedure, Outcome, count(*) / (SELECT count(*) FROM d) AS frequency
+      FROM d GROUP BY Condition, Procedure, Outcome)
+SELECT d.Patient_ID, d.Condition, d.Procedure, d.Outcome, round_even(f.frequency, 4) AS frequency,
+  'Very low frequency combination (< 0.50%)' AS reason
+FROM d JOIN f ON d.Condition = f.Condition AND d.Procedure = f.Procedure AND d.Outcome = f.Outcome
+WHERE f.frequency < 0.005"""))
+def rare_combinations(spark, sf_dir):
+    return anomaly.rare_combinations(case_view(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- similar cases
+
+@register("similar_cases", with_cases(f"""
+WITH q AS ({_triage_sql(20).strip()}),
+pop AS (SELECT * FROM cases WHERE Age IS NOT NULL AND Gender IS NOT NULL AND Condition IS NOT NULL
+        AND Procedure IS NOT NULL),
+st AS (SELECT CAST(count(*) AS double) AS n, avg(CAST(Age AS double)) AS m,
+       var_pop(CAST(Age AS double)) AS v FROM pop),
+t AS (SELECT q.Patient_ID AS target_id, q.Age AS t_Age, q.Gender AS t_Gender, q.Condition AS t_Condition,
+        q.Procedure AS t_Procedure,
+        (n * v + n / (n + 1) * (CAST(q.Age AS double) - m) ^ 2) / (n + 1) AS var_t
+      FROM q CROSS JOIN st
+      WHERE q.Age IS NOT NULL AND q.Gender IS NOT NULL AND q.Condition IS NOT NULL AND q.Procedure IS NOT NULL),
+t2 AS (SELECT *, CASE WHEN sqrt(var_t) > 0 THEN sqrt(var_t) ELSE 1.0 END AS sigma FROM t),
+pr AS (SELECT t2.target_id, pop.*,
+        ((CAST(pop.Age AS double) - CAST(t_Age AS double)) / sigma) ^ 2
+        + 2.0 * ((pop.Gender <> t_Gender)::int + (pop.Condition <> t_Condition)::int
+                 + (pop.Procedure <> t_Procedure)::int) AS d2
+      FROM t2 CROSS JOIN pop),
+rk AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d2, Patient_ID) AS rank FROM pr)
+SELECT target_id, CAST(rank AS int) AS rank, round_even(sqrt(d2), 6) AS distance,
+  Patient_ID, Age, Gender, Condition, Procedure, Cost, Length_of_Stay, Readmission, Outcome, Satisfaction
+FROM rk WHERE rank <= 5"""))
+def similar_cases(spark, sf_dir):
+    cases = case_view(spark, sf_dir)
+    targets = triage.triage_queue(cases, TRIAGE_RULES, limit=20).select(
+        F.col("Patient_ID").alias("target_id"), "Age", "Gender", "Condition", "Procedure")
+    return similar.similar_cases(cases, targets, n=5)
