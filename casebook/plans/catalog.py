@@ -39,6 +39,7 @@ def with_cases(body: str) -> str:
 from casebook.plans import q_cohort  # noqa: E402,F401
 from casebook.plans import q_ops  # noqa: E402,F401
 from casebook.plans import q_text  # noqa: E402,F401
+from casebook.plans import q_writes  # noqa: E402,F401
 from casebook.plans import q_models  # noqa: E402,F401
 
 __all__ = ["QUERIES", "ORACLE", "register", "with_cases", "case_view", "F"]
