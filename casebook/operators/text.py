@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.indexing import dense_index
+from casebook.functions.partitioning import spread
 from casebook.functions.text import normalise
 
 CONTEXT_ROLES = ("user", "assistant")
@@ -82,33 +83,86 @@ SHORT_LEN = 5
 NGRAM = 3
 
 
-def with_grams(df: DataFrame, text_col: str, n: int = NGRAM, out: str = "gram") -> DataFrame:
-    """Explode the overlapping character n-grams of whole texts (no prefix cut).
-
-    The text is split into code points once (one regex pass), materialised as
-    its own column, and grams are read by array position, so a text of length
-    L costs O(L) -- ``substring`` at each position would rescan the UTF-8
-    string and cost O(L^2).
+BITS = 21  # code points fit in 21 bits; three of them fit one signed long
+
+
+def gram_keys(texts, n: int = NGRAM):
+    """All overlapping n-grams of each text as int64 keys (code points packed
+    21 bits apart), counted per text.  Returns (text position, key, count)
+    arrays.  Vectorised with numpy: one pass per text, no per-gram objects."""
+    import numpy as np
+    assert n * BITS < 64
+    idx, keys = [], []
+    for i, t in enumerate(texts):
+        if t is None or len(t) < n:
+            continue
+        a = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        k = np.zeros(len(a) - n + 1, dtype=np.int64)
+        for j in range(n):
+            k = (k << BITS) | a[j:len(a) - n + 1 + j]
+        idx.append(np.full(len(k), i, dtype=np.int64))
+        keys.append(k)
+    if not keys:
+        e = np.zeros(0, dtype=np.int64)
+        return e, e, e
+    idx, keys = np.concatenate(idx), np.concatenate(keys)
+    order = np.lexsort((keys, idx))
+    idx, keys = idx[order], keys[order]
+    start = np.ones(len(keys), dtype=bool)
+    start[1:] = (idx[1:] != idx[:-1]) | (keys[1:] != keys[:-1])
+    pos = np.flatnonzero(start)
+    counts = np.diff(np.append(pos, len(keys)))
+    return idx[pos], keys[pos], counts.astype(np.int64)
+
+
+def _count_grams(df: DataFrame, keys, text: str, n: int, short_len: int | None) -> DataFrame:
+    """Per-row n-gram counts from an Arrow-batched Python task.
+
+    Output: keys..., ``gram`` (long), ``ng`` (count in that row's whole text),
+    and ``_short`` -- the cleaned text when it is shorter than ``short_len``
+    (such rows carry no grams).  Spark partitions and shuffles the work; each
+    task only normalises and counts the texts of its own batch.
     """
-    chars = df.withColumn("_ch", F.regexp_extract_all(F.col(text_col), F.lit("(?s)."), 0))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_ch") - (n - 1)),
-                        lambda i: F.concat(*[F.element_at(F.col("_ch"), i + k) for k in range(n)]))
-    keep = [c for c in df.columns if c != text_col]
-    return (chars.where(F.size("_ch") >= n)
-            .select(*keep, F.explode(grams).alias(out)))
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from casebook.functions.text import normalise_py
+    keys = list(keys)
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("gram", T.LongType()), T.StructField("ng", T.LongType()),
+                           T.StructField("_short", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            clean = [normalise_py(t) if t is not None else None for t in pdf[text]]
+            is_short = [c is not None and short_len is not None and len(c) < short_len for c in clean]
+            longs = [None if s else c for c, s in zip(clean, is_short)]
+            ti, gk, cnt = gram_keys(longs, n)
+            out = pdf[keys].iloc[ti].reset_index(drop=True)
+            out["gram"], out["ng"], out["_short"] = gk, cnt, None
+            sh = [i for i, s in enumerate(is_short) if s]
+            if sh:
+                so = pdf[keys].iloc[sh].reset_index(drop=True)
+                so["gram"], so["ng"] = None, None
+                so["_short"] = [clean[i] for i in sh]
+                out = pd.concat([out, so], ignore_index=True)
+            yield out
+
+    return spread(df.select(*keys, text)).mapInPandas(run, schema)
 
 
 def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
                       n: int = NGRAM) -> DataFrame:
-    """M13 training: character n-gram counts per language from labelled texts,
-    as (gram, lang, log(count + 1)) plus per-language totals.
+    """M13 training: character n-gram counts per language from labelled whole
+    texts, as (lang, gram, cnt) with grams packed into longs.
 
-    ``groupBy(lang, gram)`` aggregates partially on the map side, so a frequent
-    gram or a dominant language costs one partial row per task.
+    Each task counts its batch's grams per text; ``groupBy(lang, gram)`` then
+    aggregates partially on the map side, so a frequent gram or a dominant
+    language costs one partial row per task.
     """
-    t = docs.where(F.col(lang).isNotNull()).select(lang, normalise(F.col(text)).alias("_t"))
-    g = with_grams(t, "_t", n)
-    return g.groupBy(lang, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    d = docs.where(F.col(lang).isNotNull()).select(F.monotonically_increasing_id().alias("_r"), lang, text)
+    g = _count_grams(d, ["_r", lang], text, n, None)
+    return g.groupBy(lang, "gram").agg(F.sum("ng").alias("cnt"))
 
 
 def detect_language(msgs: DataFrame, profiles: DataFrame, keys, text: str = "text",
@@ -122,14 +176,12 @@ def detect_language(msgs: DataFrame, profiles: DataFrame, keys, text: str = "tex
     text's grams with the profile table; ties go to the smaller language code.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    m = msgs.select(*keys, normalise(F.col(text)).alias("_t"))
+    g = _count_grams(msgs, keys, text, n, SHORT_LEN)
     short_map = F.create_map(*[F.lit(x) for kv in SHORT_MAP.items() for x in kv])
-    short = (m.where(F.length("_t") < SHORT_LEN)
-             .select(*keys, F.coalesce(F.try_element_at(short_map, F.col("_t")), F.lit(DEFAULT_LANG))
+    short = (g.where(F.col("_short").isNotNull())
+             .select(*keys, F.coalesce(F.try_element_at(short_map, F.col("_short")), F.lit(DEFAULT_LANG))
                      .alias(lang)))
-    longm = m.where(F.length("_t") >= SHORT_LEN)
-    grams = with_grams(longm, "_t", n)
-    per_text = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("ng"))
+    per_text = g.where(F.col("gram").isNotNull()).select(*keys, "gram", "ng")
     totals = per_text.groupBy(*keys).agg(F.sum("ng").alias("N"))
     langs = profiles.groupBy(lang).agg(F.sum("cnt").alias("T"))
     vocab = profiles.agg(F.countDistinct("gram").alias("V"))
