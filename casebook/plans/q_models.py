@@ -1,3 +1,162 @@
-"""Registered queries (q_models)."""
+"""Registered queries: models, scoring, attributions, counterfactuals.
 
-from casebook.plans.catalog import register, with_cases  # noqa: F401
+Model results cannot be restated in SQL, so most of these have no oracle and
+are checked by row counts here and by property tests in ``tests/``; the
+candidate generation, split and code tables do have SQL oracles.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from casebook.ml import intent, models, scoring
+from casebook.ml.features import RISK_FEATURES
+from casebook.operators import triage
+from casebook.plans.catalog import register, with_cases
+from casebook.plans.q_ops import TRIAGE_RULES
+from casebook.session import checkpoint_dir
+from casebook.sources.tables import case_view, read_table
+
+_CACHE: dict = {}
+
+
+def bundle(spark, sf_dir: str, kind: str) -> models.ModelBundle:
+    """Train once per session and data folder (training reads the whole table)."""
+    k = (id(spark), sf_dir, kind)
+    if k not in _CACHE:
+        cases = case_view(spark, sf_dir)
+        b = models.train_risk_model(cases) if kind == "risk" else models.train_los_model(cases)
+        _CACHE[k] = models.fill_training_meta(b, cases)
+    return _CACHE[k]
+
+
+def _queue(spark, sf_dir):
+    return triage.triage_queue(case_view(spark, sf_dir), TRIAGE_RULES, limit=20)
+
+
+@register("risk_scores")
+def risk_scores(spark, sf_dir):
+    return scoring.risk_scores(bundle(spark, sf_dir, "risk"), case_view(spark, sf_dir))
+
+
+@register("risk_report")
+def risk_report(spark, sf_dir):
+    return models.classifier_report(bundle(spark, sf_dir, "risk"), case_view(spark, sf_dir))
+
+
+@register("los_scores")
+def los_scores(spark, sf_dir):
+    b = bundle(spark, sf_dir, "los")
+    return scoring.los_scores(b, case_view(spark, sf_dir), ["Patient_ID"], b.meta.get("target_mean"))
+
+
+@register("los_report")
+def los_report(spark, sf_dir):
+    return models.regression_report(bundle(spark, sf_dir, "los"), case_view(spark, sf_dir))
+
+
+@register("risk_attribution")
+def risk_attribution(spark, sf_dir):
+    # Explanations for the cases on the triage queue (the queue's top-k is the feature).
+    return scoring.attribution_report(bundle(spark, sf_dir, "risk"), _queue(spark, sf_dir), ["Patient_ID"])
+
+
+@register("los_attribution")
+def los_attribution(spark, sf_dir):
+    return scoring.attribution_report(bundle(spark, sf_dir, "los"), _queue(spark, sf_dir), ["Patient_ID"])
+
+
+@register("triage_with_risk")
+def triage_with_risk(spark, sf_dir):
+    flagged = triage.triage_flagged(case_view(spark, sf_dir), TRIAGE_RULES)
+    t = scoring.triage_with_risk(bundle(spark, sf_dir, "risk"), flagged, limit=20)
+    return t.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def _requests(spark, sf_dir):
+    return case_view(spark, sf_dir).select(F.col("Patient_ID").alias("request_id"), *RISK_FEATURES)
+
+
+@register("counterfactual")
+def counterfactual(spark, sf_dir):
+    # Every complete case is a request (target 20%).
+    return scoring.counterfactuals(bundle(spark, sf_dir, "risk"), case_view(spark, sf_dir),
+                                   _requests(spark, sf_dir), 0.20)
+
+
+_OPTS_SQL = """opts AS (
+  SELECT lower(Condition) AS condition_key, Procedure,
+    row_number() OVER (PARTITION BY lower(Condition)
+      ORDER BY count(*) FILTER (WHERE Readmission = 'Yes') / count(*), Procedure) AS rnk
+  FROM cases WHERE Condition IS NOT NULL AND Procedure IS NOT NULL
+  GROUP BY lower(Condition), Procedure HAVING count(Patient_ID) >= 5)"""
+
+
+@register("counterfactual_candidates", with_cases(f"""
+WITH {_OPTS_SQL},
+req AS (SELECT Patient_ID AS request_id, Age, Gender, Condition, Procedure, Length_of_Stay FROM cases),
+d(delta, pos) AS (VALUES (-3, 1), (-2, 2), (-1, 3), (1, 4), (2, 5), (3, 6)),
+l AS (SELECT req.*, Length_of_Stay + delta AS new_los, pos,
+        row_number() OVER (PARTITION BY request_id ORDER BY pos) AS lrank
+      FROM req CROSS JOIN d WHERE Length_of_Stay + delta BETWEEN 1 AND 30),
+alt AS (SELECT req.*, opts.Procedure AS alt_proc, opts.rnk FROM req JOIN opts
+        ON lower(req.Condition) = opts.condition_key WHERE opts.Procedure <> req.Procedure),
+best AS (SELECT request_id, arg_min(alt_proc, rnk) AS best_proc FROM alt GROUP BY request_id)
+SELECT request_id, 'length_of_stay' AS change_type, Age, Gender, Condition, Procedure,
+  new_los AS Length_of_Stay, CAST(pos AS int) AS option_order FROM l
+UNION ALL
+SELECT request_id, 'procedure', Age, Gender, Condition, alt_proc, Length_of_Stay, CAST(rnk + 100 AS int) FROM alt
+UNION ALL
+SELECT l.request_id, 'combined', Age, Gender, Condition, best.best_proc, new_los, CAST(pos + 200 AS int)
+FROM l JOIN best ON l.request_id = best.request_id WHERE lrank <= 3"""))
+def counterfactual_candidates(spark, sf_dir):
+    return scoring.counterfactual_candidates(case_view(spark, sf_dir), _requests(spark, sf_dir))
+
+
+@register("train_split_counts")
+def train_split_counts(spark, sf_dir):
+    b = bundle(spark, sf_dir, "risk")
+    d = models.labelled(b, case_view(spark, sf_dir))
+    return d.groupBy(F.when(F.col("_train"), "train").otherwise("test").alias("split"), "Readmission").count()
+
+
+def _codes_sql() -> str:
+    clean = " AND ".join(f"{c} IS NOT NULL" for c in [*RISK_FEATURES, "Readmission"])
+    parts = [f"""SELECT '{c}' AS "column", {c} AS value,
+  CAST(row_number() OVER (ORDER BY {c}) - 1 AS int) AS code
+FROM (SELECT DISTINCT {c} FROM cases WHERE {clean})""" for c in ("Gender", "Condition", "Procedure")]
+    return with_cases("\nUNION ALL\n".join(parts))
+
+
+@register("label_codes", _codes_sql())
+def label_codes(spark, sf_dir):
+    from casebook.ml.features import label_codes as codes
+    return codes(bundle(spark, sf_dir, "risk").encoder, spark)
+
+
+@register("feature_importances")
+def feature_importances(spark, sf_dir):
+    return models.feature_importances(bundle(spark, sf_dir, "risk"), spark)
+
+
+@register("model_info")
+def model_info(spark, sf_dir):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-models/{uuid.uuid4().hex}"
+    b = bundle(spark, sf_dir, "los")
+    models.save_bundle(b, path, spark)
+    loaded = models.load_bundle(path, spark)
+    assert loaded.kind == "los"
+    return models.model_info(path, spark)
+
+
+@register("intent_classify")
+def intent_classify(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    train, test = intent.split(emb, "vec_id")
+    model = intent.train_vector_classifier(train)
+    from pyspark.ml.functions import vector_to_array
+    return intent.classify_vectors(model, test).select(
+        "vec_id", "label", F.col("prediction").cast("int").alias("predicted_label"),
+        F.bround(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
