@@ -43,7 +43,7 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     nodes = (spark.read.parquet(f"{path}/data")
              .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
                      "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-                     F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("thr"),
+                     F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("thr"),
                      "nodeData.split.numCategories")
              .orderBy("treeID", "id").toPandas())
     is_clf = hasattr(forest_model, "numClasses")

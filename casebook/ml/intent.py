@@ -30,7 +30,7 @@ def classify_vectors(model: PipelineModel, df: DataFrame, vec: str = "embedding"
     return model.transform(d).drop("features", "rawPrediction")
 
 
-def text_intent_pipeline(text: str = "text", label: str = "intent", num_features: int = 1 << 18,
+def text_intent_pipeline(text: str = "text", label: str = "intent", num_features: int = 1 << 14,
                          max_iter: int = 300) -> Pipeline:
     """M11 on raw text: lower-cased word tokens plus character trigrams of the
     whole text, hashed; label strings indexed, predictions mapped back."""

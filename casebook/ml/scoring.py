@@ -116,14 +116,15 @@ def counterfactual_candidates(cases: DataFrame, requests: DataFrame, key: str =
                        F.col("_pos").cast("int").alias("option_order"))
     # Procedure options per condition: a grouped aggregate, joined on the
     # lower-cased condition (one row per condition x procedure).
-    opts = procedure_options(cases)
-    alt = (req.join(opts, F.lower(req["Condition"]) == opts["condition_key"])
-           .where(opts["Procedure"] != req["Procedure"]))
-    proc_c = alt.select(key, F.lit("procedure").alias("change_type"), "Age", "Gender", req["Condition"],
-                        opts["Procedure"].alias("Procedure"), "Length_of_Stay",
-                        (F.col("rank") + 100).cast("int").alias("option_order"))
-    best = (alt.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("rank")))
-            .where("_r = 1").select(key, opts["Procedure"].alias("_best")))
+    opts = procedure_options(cases).select(
+        "condition_key", F.col("Procedure").alias("_alt"), F.col("rank").alias("_rank"))
+    alt = (req.join(opts, F.lower(F.col("Condition")) == F.col("condition_key"))
+           .where(F.col("_alt") != F.col("Procedure")))
+    proc_c = alt.select(key, F.lit("procedure").alias("change_type"), "Age", "Gender", "Condition",
+                        F.col("_alt").alias("Procedure"), "Length_of_Stay",
+                        (F.col("_rank") + 100).cast("int").alias("option_order"))
+    best = (alt.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_rank")))
+            .where("_r = 1").select(key, F.col("_alt").alias("_best")))
     comb = (los.where(F.col("_los_rank") <= combined_los).join(best, key)
             .select(key, F.lit("combined").alias("change_type"), "Age", "Gender", "Condition",
                     F.col("_best").alias("Procedure"), F.col("_new_los").alias("Length_of_Stay"),
