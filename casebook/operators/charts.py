@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.filters import apply_where
+from casebook.functions.quantiles import global_quantile_row
 from casebook.functions.stats import quantile
 from casebook.schema import check_present, is_numeric
 
@@ -122,8 +123,9 @@ def histogram_data(df: DataFrame, column: str, bins: int = 20, exact: bool = Tru
         raise ValueError(f"Histogram needs a numeric column; '{column}' is not.")
     x = F.col(column).cast("double")
     d = df.where(x.isNotNull()).select(x.alias("x"))
+    med = global_quantile_row(d, "x", [0.5], exact, "_med")
     stats = d.agg(F.min("x").alias("_mn"), F.max("x").alias("_mx"),
-                  F.avg("x").alias("mean"), quantile("x", 0.5, exact).alias("median"))
+                  F.avg("x").alias("mean")).crossJoin(med).withColumn("median", F.col("_med")[0])
     stats = stats.select(
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"),

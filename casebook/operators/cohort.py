@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.filters import apply_where, ci_equals, pattern_match
+from casebook.functions.quantiles import global_quantile_row
 from casebook.functions.stats import direction, quantile, r, rate_pct, rq, safe_corr
 from casebook.schema import (AGE, CONDITION, COST, GROUPABLE, KEY, LOS, OUTCOME, PROCEDURE,
                              READMISSION, SATISFACTION, check_groupable)
@@ -22,9 +23,13 @@ CUT_POINTS = (0.25, 0.50, 0.75, 0.90)
 
 
 def percentile_cuts(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row of p25/p50/p75/p90 for Cost and Length_of_Stay (nulls skipped)."""
+    """One row of p25/p50/p75/p90 for Cost and Length_of_Stay (nulls skipped).
+
+    Global quantiles use the distributed exact method (no task gathers all
+    distinct values); ``exact=False`` uses a fixed-size sketch."""
     q = list(CUT_POINTS)
-    agg = df.agg(quantile(COST, q, exact).alias("_c"), quantile(LOS, q, exact).alias("_l"))
+    agg = (global_quantile_row(df, COST, q, exact, "_c")
+           .crossJoin(global_quantile_row(df, LOS, q, exact, "_l")))
     cols = []
     for name, arr in (("cost", "_c"), ("los", "_l")):
         for i, p in enumerate(q):
@@ -74,6 +79,9 @@ def kpi_overview(df: DataFrame, where: dict | None = None, by=None, exact: bool
     """
     d = apply_where(df, where)
     cost, los, sat = F.col(COST), F.col(LOS), F.col(SATISFACTION)
+    names = ["n", "avg_cost", "median_cost", "min_cost", "max_cost", "avg_length_of_stay",
+             "median_length_of_stay", "readmission_rate", "recovery_rate", "avg_satisfaction",
+             "low_satisfaction_count"]
     aggs = [
         F.count(F.lit(1)).alias("n"),
         r(F.avg(cost)).alias("avg_cost"),
@@ -91,7 +99,14 @@ def kpi_overview(df: DataFrame, where: dict | None = None, by=None, exact: bool
         keys = check_groupable(by)
         return (d.where(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False))
                 .groupBy(*keys).agg(*aggs))
-    return d.agg(*aggs).where("n > 0")
+    # Ungrouped: medians come from the distributed exact quantile rows.
+    plain = [a for a, nm in zip(aggs, names) if nm not in ("median_cost", "median_length_of_stay")]
+    med = (global_quantile_row(d, COST, [0.5], exact, "_mc")
+           .crossJoin(global_quantile_row(d, LOS, [0.5], exact, "_ml")))
+    out = d.agg(*plain).crossJoin(F.broadcast(med))
+    out = out.withColumn("median_cost", rq(F.col("_mc")[0])).withColumn(
+        "median_length_of_stay", r(F.col("_ml")[0]))
+    return out.select(*names).where("n > 0")
 
 
 def los_benchmark(df: DataFrame, group_by: str = CONDITION, where: dict | None = None,
@@ -104,7 +119,8 @@ def los_benchmark(df: DataFrame, group_by: str = CONDITION, where: dict | None =
     """
     (g,) = check_groupable([group_by])
     d = apply_where(df, where)
-    gp90 = F.broadcast(d.agg(quantile(LOS, 0.9, exact).cast("double").alias("_gp90")))
+    gp90 = F.broadcast(global_quantile_row(d, LOS, [0.9], exact, "_g").select(
+        F.col("_g")[0].alias("_gp90")))
     los = F.col(LOS)
     # One pass over the filtered rows: the one-row threshold rides along as a
     # broadcast column, so long_stay_count comes out of the same aggregate.
@@ -200,13 +216,14 @@ def satisfaction_overall(df: DataFrame, where: dict | None = None, exact: bool =
     """Mean, median, sample std and low-score share of Satisfaction."""
     d = apply_where(df, where)
     sat = F.col(SATISFACTION)
+    med = F.broadcast(global_quantile_row(d, SATISFACTION, [0.5], exact, "_m"))
     return d.agg(
         F.count(F.lit(1)).alias("n"),
         r(F.avg(sat)).alias("mean"),
-        r(quantile(sat, 0.5, exact).cast("double")).alias("median"),
         r(F.stddev_samp(sat)).alias("std"),
         r(rate_pct(sat <= 2, F.count(sat))).alias("low_satisfaction_pct"),
-    ).where("n > 0").drop("n")
+    ).crossJoin(med).select("n", "mean", r(F.col("_m")[0]).alias("median"), "std",
+                            "low_satisfaction_pct").where("n > 0").drop("n")
 
 
 def satisfaction_drivers(df: DataFrame, group_by=None, min_n: int = 20,
@@ -280,12 +297,14 @@ def combination_frequency(df: DataFrame, cols=COMBINATION) -> DataFrame:
 def target_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     """LOS target statistics and readmission label counts, one row."""
     los = F.col(LOS)
+    med = F.broadcast(global_quantile_row(df, LOS, [0.5], exact, "_m"))
     return df.agg(
         r(F.avg(los), 4).alias("los_mean"), r(F.stddev_samp(los), 4).alias("los_std"),
         F.min(los).alias("los_min"), F.max(los).alias("los_max"),
-        r(quantile(los, 0.5, exact).cast("double"), 4).alias("los_median"),
         F.count_if(F.col(READMISSION) == "Yes").alias("readmission_yes"),
-        F.count_if(F.col(READMISSION) == "No").alias("readmission_no"))
+        F.count_if(F.col(READMISSION) == "No").alias("readmission_no")).crossJoin(med).select(
+        "los_mean", "los_std", "los_min", "los_max", r(F.col("_m")[0], 4).alias("los_median"),
+        "readmission_yes", "readmission_no")
 
 
 __all__ = ["percentile_cuts", "record_summary", "kpi_overview", "los_benchmark",
