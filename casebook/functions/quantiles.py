@@ -70,32 +70,54 @@ def _values_at(d: DataFrame, ranks: list[int], buckets: int, leaf_rows: int, acc
     return out
 
 
+def _interpolate(n: int, qs, vals_at) -> list:
+    out = []
+    for q in qs:
+        p = (n - 1) * q
+        lo, hi = math.floor(p), math.ceil(p)
+        vlo, vhi = vals_at[lo], vals_at[hi]
+        out.append(vlo if lo == hi or vlo == vhi else (hi - p) * vlo + (p - lo) * vhi)
+    return out
+
+
+def multi_quantiles(df: DataFrame, spec: dict, buckets: int = 512, leaf_rows: int = 1_000_000,
+                    accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles for several columns from ONE pass over ``df``:
+    ``spec = {column: [q, ...]}`` -> one row, one ``array<double>`` column per
+    input column (NULLs when a column has no value).
+
+    The columns are stacked into (column, value) pairs and counted together,
+    so the input (often a join) is computed once; the distinct-value table is
+    checkpointed to the shared folder and searched per column."""
+    spark = df.sparkSession
+    cols = list(spec)
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("_s"))
+    d = (stacked.where(F.col("_s.v").isNotNull())
+         .groupBy(F.col("_s.k").alias("k"), F.col("_s.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    checkpoint_dir(spark)
+    d = d.checkpoint(eager=True)
+    totals = {r["k"]: r["n"] for r in d.groupBy("k").agg(F.sum("c").alias("n")).collect()}
+    row = []
+    for i, c in enumerate(cols):
+        qs = [float(q) for q in spec[c]]
+        n = int(totals.get(i, 0))
+        if n == 0:
+            row.append([None] * len(qs))
+            continue
+        pos = [(n - 1) * q for q in qs]
+        ranks = sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos})
+        vals = _values_at(d.where(F.col("k") == i).select("v", "c"), ranks, buckets, leaf_rows, accuracy)
+        row.append(_interpolate(n, qs, vals))
+    schema = ", ".join(f"`{c}` array<double>" for c in cols)
+    return spark.createDataFrame([tuple(row)], schema)
+
+
 def global_quantiles(df: DataFrame, col: str, qs, buckets: int = 512, leaf_rows: int = 1_000_000,
                      accuracy: int = 10_000) -> DataFrame:
     """One row with one column ``q`` = array of exact quantiles (linear
     interpolation at (n-1)*q, as ``percentile``); NULLs when there is no value."""
-    spark = df.sparkSession
-    qs = [float(q) for q in qs]
-    d = (df.where(F.col(col).isNotNull())
-         .groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    # Several small jobs read the distinct-value table: materialise it once in
-    # the shared checkpoint folder (lineage cut, survives executor loss).
-    checkpoint_dir(spark)
-    d = d.checkpoint(eager=True)
-    n = d.agg(F.sum("c")).first()[0] or 0
-    if n == 0:
-        return spark.createDataFrame([([None] * len(qs),)], "q array<double>")
-    pos = [(n - 1) * q for q in qs]
-    ranks = sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos})
-    vals = _values_at(d, ranks, buckets, leaf_rows, accuracy)
-    res = []
-    for p in pos:
-        lo, hi = math.floor(p), math.ceil(p)
-        if lo == hi or vals[lo] == vals[hi]:
-            res.append(vals[lo])
-        else:
-            res.append((hi - p) * vals[lo] + (p - lo) * vals[hi])
-    return spark.createDataFrame([(res,)], "q array<double>")
+    return multi_quantiles(df, {col: qs}, buckets, leaf_rows, accuracy).withColumnRenamed(col, "q")
 
 
 def global_quantile_row(df: DataFrame, col: str, qs, exact: bool = True, name: str = "q",
@@ -105,3 +127,12 @@ def global_quantile_row(df: DataFrame, col: str, qs, exact: bool = True, name: s
         return global_quantiles(df, col, qs).withColumnRenamed("q", name)
     return df.agg(F.percentile_approx(F.col(col).cast("double"), [float(q) for q in qs], accuracy)
                   .cast("array<double>").alias(name))
+
+
+def quantile_rows(df: DataFrame, spec: dict, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+    """``multi_quantiles`` (exact) or one sketch aggregate (approx); columns are
+    named after the input columns."""
+    if exact:
+        return multi_quantiles(df, spec)
+    return df.agg(*[F.percentile_approx(F.col(c).cast("double"), [float(q) for q in qs], accuracy)
+                    .cast("array<double>").alias(c) for c, qs in spec.items()])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.filters import apply_where, ci_equals, pattern_match
-from casebook.functions.quantiles import global_quantile_row
+from casebook.functions.quantiles import global_quantile_row, quantile_rows
 from casebook.functions.stats import direction, quantile, r, rate_pct, rq, safe_corr
 from casebook.schema import (AGE, CONDITION, COST, GROUPABLE, KEY, LOS, OUTCOME, PROCEDURE,
                              READMISSION, SATISFACTION, check_groupable)
@@ -28,8 +28,8 @@ def percentile_cuts(df: DataFrame, exact: bool = True) -> DataFrame:
     Global quantiles use the distributed exact method (no task gathers all
     distinct values); ``exact=False`` uses a fixed-size sketch."""
     q = list(CUT_POINTS)
-    agg = (global_quantile_row(df, COST, q, exact, "_c")
-           .crossJoin(global_quantile_row(df, LOS, q, exact, "_l")))
+    agg = quantile_rows(df.select(COST, LOS), {COST: q, LOS: q}, exact).select(
+        F.col(COST).alias("_c"), F.col(LOS).alias("_l"))
     cols = []
     for name, arr in (("cost", "_c"), ("los", "_l")):
         for i, p in enumerate(q):
@@ -101,8 +101,8 @@ def kpi_overview(df: DataFrame, where: dict | None = None, by=None, exact: bool
                 .groupBy(*keys).agg(*aggs))
     # Ungrouped: medians come from the distributed exact quantile rows.
     plain = [a for a, nm in zip(aggs, names) if nm not in ("median_cost", "median_length_of_stay")]
-    med = (global_quantile_row(d, COST, [0.5], exact, "_mc")
-           .crossJoin(global_quantile_row(d, LOS, [0.5], exact, "_ml")))
+    med = quantile_rows(d.select(COST, LOS), {COST: [0.5], LOS: [0.5]}, exact).select(
+        F.col(COST).alias("_mc"), F.col(LOS).alias("_ml"))
     out = d.agg(*plain).crossJoin(F.broadcast(med))
     out = out.withColumn("median_cost", rq(F.col("_mc")[0])).withColumn(
         "median_length_of_stay", r(F.col("_ml")[0]))
