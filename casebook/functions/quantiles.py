@@ -29,11 +29,12 @@ from casebook.session import checkpoint_dir
 
 
 def _values_at(d: DataFrame, ranks: list[int], buckets: int, leaf_rows: int, accuracy: int,
-               depth: int = 0) -> dict[int, float]:
-    """Values at 0-based row ranks within the distinct-value table ``d(v, c)``."""
+               depth: int = 0, m: int | None = None) -> dict[int, float]:
+    """Values at 0-based row ranks within the distinct-value table ``d(v, c)``
+    (``m`` = its row count when already known)."""
     if not ranks:
         return {}
-    m = d.count()
+    m = d.count() if m is None else m
     if m <= leaf_rows or depth >= 6:
         # Bounded: at most ``leaf_rows`` distinct values in this slice.
         w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -55,17 +56,17 @@ def _values_at(d: DataFrame, ranks: list[int], buckets: int, leaf_rows: int, acc
     bz = Bucketizer(splits=splits, inputCol="v", outputCol="_b", handleInvalid="keep")
     # The bucket rule is "lower <= v < upper"; the last bucket also takes +inf.
     bd = bz.transform(d)
-    counts = sorted((int(r["_b"]), int(r["n"])) for r in
-                    bd.groupBy("_b").agg(F.sum("c").alias("n")).collect())
+    counts = sorted((int(r["_b"]), int(r["n"]), int(r["m"])) for r in
+                    bd.groupBy("_b").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m")).collect())
     out, start, by_bucket = {}, 0, {}
-    for b, n in counts:
+    for b, n, mb in counts:
         for r in ranks:
             if start <= r < start + n:
-                by_bucket.setdefault(b, (start, []))[1].append(r)
+                by_bucket.setdefault(b, (start, [], mb))[1].append(r)
         start += n
-    for b, (off, rs) in by_bucket.items():
+    for b, (off, rs, mb) in by_bucket.items():
         sub = bd.where(F.col("_b") == float(b)).select("v", "c")
-        got = _values_at(sub, [r - off for r in rs], buckets, leaf_rows, accuracy, depth + 1)
+        got = _values_at(sub, [r - off for r in rs], buckets, leaf_rows, accuracy, depth + 1, mb)
         out.update({r: got[r - off] for r in rs if (r - off) in got})
     return out
 
@@ -97,17 +98,19 @@ def multi_quantiles(df: DataFrame, spec: dict, buckets: int = 512, leaf_rows: in
          .groupBy(F.col("_s.k").alias("k"), F.col("_s.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     checkpoint_dir(spark)
     d = d.checkpoint(eager=True)
-    totals = {r["k"]: r["n"] for r in d.groupBy("k").agg(F.sum("c").alias("n")).collect()}
+    stats = {r["k"]: (r["n"], r["m"]) for r in
+             d.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m")).collect()}
     row = []
     for i, c in enumerate(cols):
         qs = [float(q) for q in spec[c]]
-        n = int(totals.get(i, 0))
+        n, m = (int(x) for x in stats.get(i, (0, 0)))
         if n == 0:
             row.append([None] * len(qs))
             continue
         pos = [(n - 1) * q for q in qs]
         ranks = sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos})
-        vals = _values_at(d.where(F.col("k") == i).select("v", "c"), ranks, buckets, leaf_rows, accuracy)
+        vals = _values_at(d.where(F.col("k") == i).select("v", "c"), ranks, buckets, leaf_rows, accuracy,
+                          m=m)
         row.append(_interpolate(n, qs, vals))
     schema = ", ".join(f"`{c}` array<double>" for c in cols)
     return spark.createDataFrame([tuple(row)], schema)
