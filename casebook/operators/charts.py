@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.filters import apply_where
-from casebook.functions.quantiles import global_quantile_row
-from casebook.functions.stats import quantile
+from casebook.functions.quantiles import global_quantile_row, grouped_quantile_frame
 from casebook.schema import check_present, is_numeric
 
 # Metric name -> (column, aggregation, display name).
@@ -164,9 +163,10 @@ def boxplot_data(df: DataFrame, group: str, metric, max_groups: int = 10,
     col, _, _ = resolve_metric(metric)
     g = resolve_group(df, group)
     check_present(df, [col])
-    d = _box_groups(df, g, col, max_groups).select(g, F.col(col).cast("double").alias("v"))
-    q = d.groupBy(g).agg(quantile("v", [0.25, 0.5, 0.75], exact).alias("_q"),
-                         F.count(F.lit(1)).alias("n"))
+    d = _box_groups(df, g, col, max_groups).select(g, F.col(col).alias("v"))
+    qf = grouped_quantile_frame(d, [g], "v", [0.25, 0.5, 0.75], exact, "_q")
+    d = d.withColumn("v", F.col("v").cast("double"))
+    q = d.groupBy(g).agg(F.count(F.lit(1)).alias("n")).join(qf, g)
     q = q.select(g, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.filters import apply_where, ci_equals, pattern_match
-from casebook.functions.quantiles import global_quantile_row, quantile_rows
+from casebook.functions.quantiles import global_quantile_row, grouped_quantile_frame, quantile_rows
 from casebook.functions.stats import direction, quantile, r, rate_pct, rq, safe_corr
 from casebook.schema import (AGE, CONDITION, COST, GROUPABLE, KEY, LOS, OUTCOME, PROCEDURE,
                              READMISSION, SATISFACTION, check_groupable)
@@ -97,8 +97,13 @@ def kpi_overview(df: DataFrame, where: dict | None = None, by=None, exact: bool
     ]
     if by:
         keys = check_groupable(by)
-        return (d.where(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False))
-                .groupBy(*keys).agg(*aggs))
+        dk = d.where(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False))
+        # Cost is continuous: its per-cohort median comes from the exact
+        # bucketed method (a hot cohort is spread over its buckets).
+        plain = [a for a, nm in zip(aggs, names) if nm != "median_cost"]
+        med = grouped_quantile_frame(dk, keys, COST, [0.5], exact, "_mc")
+        g = dk.groupBy(*keys).agg(*plain).join(med, keys, "left")
+        return g.withColumn("median_cost", rq(F.col("_mc")[0])).select(*keys, *names)
     # Ungrouped: medians come from the distributed exact quantile rows.
     plain = [a for a, nm in zip(aggs, names) if nm not in ("median_cost", "median_length_of_stay")]
     med = quantile_rows(d.select(COST, LOS), {COST: [0.5], LOS: [0.5]}, exact).select(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from casebook.functions.indexing import dense_index
 from casebook.functions.partitioning import spread
-from casebook.functions.text import normalise
 
 CONTEXT_ROLES = ("user", "assistant")
 

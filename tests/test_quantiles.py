@@ -21,3 +21,16 @@ def test_empty_and_single(spark):
     assert global_quantiles(e, "x", [0.5]).first()["q"] == [None]
     one = spark.createDataFrame([(3.5,), (None,)], "x double")
     assert global_quantiles(one, "x", [0.1, 0.9]).first()["q"] == [3.5, 3.5]
+
+
+def test_grouped_bucketed_is_exact(spark):
+    from casebook.functions.quantiles import grouped_quantiles
+    rng = np.random.default_rng(1)
+    rows = [("hot", float(x)) for x in rng.normal(0, 1, 3000).round(3)] + [("hot", 7.0)] * 1500 + \
+           [(f"g{i}", float(x)) for i in range(15) for x in rng.exponential(3, 25).round(2)] + [("one", 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    qs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r["g"]: r["q"] for r in grouped_quantiles(df, ["g"], "x", qs, buckets=16, accuracy=100).collect()}
+    ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(
+        F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
+    assert got == ref
