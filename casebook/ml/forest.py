@@ -40,45 +40,48 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     """Read the persisted trees back as flat arrays (driver side, model-sized)."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-forest/{uuid.uuid4().hex}"
     forest_model.write().overwrite().save(path)
+    is_clf = hasattr(forest_model, "numClasses")
+    stats = F.col("nodeData.impurityStats")
+    if is_clf:
+        cover = F.aggregate(stats, F.lit(0.0), lambda acc, x: acc + x)
+        value = F.when(cover > 0, F.get(stats, positive_class) / cover).otherwise(F.lit(0.0))
+    else:
+        cover = F.get(stats, 0)
+        value = F.col("nodeData.prediction")
     nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
-                     "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+             .select("treeID", F.col("nodeData.id").alias("id"), value.alias("value"), cover.alias("cover"),
+                     F.col("nodeData.leftChild").alias("leftChild"),
+                     F.col("nodeData.rightChild").alias("rightChild"),
+                     F.col("nodeData.split.featureIndex").alias("featureIndex"),
                      F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("thr"),
-                     "nodeData.split.numCategories")
+                     F.col("nodeData.split.numCategories").alias("numCategories"))
              .orderBy("treeID", "id").toPandas())
-    is_clf = hasattr(forest_model, "numClasses")
-    nodes = nodes.reset_index(drop=True)
-    gidx = {(t, i): k for k, (t, i) in enumerate(zip(nodes.treeID, nodes.id))}
+    # Node ids are dense preorder indexes within each tree, so a node's global
+    # index is its tree's offset plus its id.
+    tree = nodes.treeID.to_numpy()
+    ids = nodes.id.to_numpy().astype(np.int64)
     n = len(nodes)
-    feature = np.full(n, -1, dtype=np.int32)
-    thr = np.zeros(n)
-    left = np.arange(n, dtype=np.int64)
-    right = np.arange(n, dtype=np.int64)
-    value = np.zeros(n)
-    cover = np.zeros(n)
-    for k, row in enumerate(nodes.itertuples(index=False)):
-        stats = np.asarray(row.impurityStats, dtype=float)
-        if is_clf:
-            tot = stats.sum()
-            cover[k] = tot
-            value[k] = stats[positive_class] / tot if tot > 0 else 0.0
-        else:
-            cover[k] = stats[0]
-            value[k] = row.prediction
-        if row.leftChild >= 0:
-            if row.numCategories != -1:
-                raise ValueError("categorical splits are not supported by the leaf table")
-            feature[k] = row.featureIndex
-            thr[k] = row.thr
-            left[k] = gidx[(row.treeID, row.leftChild)]
-            right[k] = gidx[(row.treeID, row.rightChild)]
-    roots = np.array([gidx[(t, 0)] for t in sorted(set(nodes.treeID))], dtype=np.int64)
-    depth = 0
-    frontier = list(roots)
-    while frontier:
-        nxt = [c for k in frontier if feature[k] >= 0 for c in (left[k], right[k])]
-        depth += 1 if nxt else 0
-        frontier = nxt
+    trees, first = np.unique(tree, return_index=True)
+    offset = np.zeros(int(trees.max()) + 1, dtype=np.int64)
+    offset[trees] = first
+    if not np.array_equal(ids, np.arange(n) - offset[tree]):
+        raise ValueError("unexpected node numbering in the persisted forest")
+    internal = nodes.leftChild.to_numpy() >= 0
+    if (nodes.numCategories.to_numpy()[internal] != -1).any():
+        raise ValueError("categorical splits are not supported by the leaf table")
+    base = offset[tree]
+    feature = np.where(internal, nodes.featureIndex.fillna(-1).to_numpy(), -1).astype(np.int32)
+    thr = np.where(internal, nodes.thr.fillna(0.0).to_numpy(float), 0.0)
+    left = np.where(internal, base + nodes.leftChild.to_numpy(), np.arange(n)).astype(np.int64)
+    right = np.where(internal, base + nodes.rightChild.to_numpy(), np.arange(n)).astype(np.int64)
+    value = nodes.value.to_numpy(float)
+    cover = nodes.cover.fillna(0.0).to_numpy(float)
+    roots = first.astype(np.int64)
+    depth, frontier = 0, roots
+    while len(frontier):
+        inner = frontier[feature[frontier] >= 0]
+        frontier = np.concatenate([left[inner], right[inner]])
+        depth += 1 if len(frontier) else 0
     return FlatForest(feature, thr, left, right, value, cover, roots, depth,
                       int(forest_model.numFeatures))
 
@@ -107,29 +110,38 @@ class LeafTable:
 
 def leaf_table(ff: FlatForest) -> LeafTable:
     """Per leaf: its value and, per feature, the accepted interval and the cover
-    ratio product along its path (depth-first over every tree, driver side)."""
+    ratio product along its path (level by level over every tree at once)."""
     M, T_ = ff.n_features, len(ff.roots)
+    node = ff.roots.copy()
+    k = len(node)
+    lo, hi, rat = np.full((k, M), -np.inf), np.full((k, M), np.inf), np.ones((k, M))
     vals, los, his, rats = [], [], [], []
-    base = 0.0
-    for r in ff.roots:
-        stack = [(r, np.full(M, -np.inf), np.full(M, np.inf), np.ones(M))]
-        while stack:
-            k, lo, hi, rat = stack.pop()
-            f = ff.feature[k]
-            if f < 0:
-                vals.append(ff.value[k] / T_)
-                los.append(lo), his.append(hi), rats.append(rat)
-                base += ff.value[k] / T_ * rat.prod()
-                continue
-            for child, is_left in ((ff.left[k], True), (ff.right[k], False)):
-                lo2, hi2, rat2 = lo.copy(), hi.copy(), rat.copy()
-                if is_left:
-                    hi2[f] = min(hi2[f], ff.threshold[k])
-                else:
-                    lo2[f] = max(lo2[f], ff.threshold[k])
-                rat2[f] *= ff.cover[child] / ff.cover[k] if ff.cover[k] > 0 else 0.0
-                stack.append((child, lo2, hi2, rat2))
-    return LeafTable(np.array(vals), np.array(los), np.array(his), np.array(rats), base)
+    while len(node):
+        f = ff.feature[node]
+        leaf = f < 0
+        vals.append(ff.value[node[leaf]] / T_)
+        los.append(lo[leaf]), his.append(hi[leaf]), rats.append(rat[leaf])
+        inner = ~leaf
+        nd, fi = node[inner], f[inner]
+        rows = np.arange(len(nd))
+        parent_cover = ff.cover[nd]
+        kids, klo, khi, krat = [], [], [], []
+        for child, is_left in ((ff.left[nd], True), (ff.right[nd], False)):
+            l2, h2, r2 = lo[inner].copy(), hi[inner].copy(), rat[inner].copy()
+            t = ff.threshold[nd]
+            if is_left:
+                h2[rows, fi] = np.minimum(h2[rows, fi], t)
+            else:
+                l2[rows, fi] = np.maximum(l2[rows, fi], t)
+            ratio = np.divide(ff.cover[child], parent_cover, out=np.zeros(len(nd)), where=parent_cover > 0)
+            r2[rows, fi] *= ratio
+            kids.append(child), klo.append(l2), khi.append(h2), krat.append(r2)
+        node = np.concatenate(kids)
+        lo, hi, rat = np.concatenate(klo), np.concatenate(khi), np.concatenate(krat)
+    value = np.concatenate(vals)
+    ratio = np.concatenate(rats)
+    return LeafTable(value, np.concatenate(los), np.concatenate(his), ratio,
+                     float((value * ratio.prod(axis=1)).sum()))
 
 
 def shapley(lt: LeafTable, X: np.ndarray, chunk: int = 8) -> np.ndarray:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from casebook.ml.features import (CATEGORICAL, LOS_FEATURES, RISK_FEATURES, code_col,
                                   fit_label_encoder, split_flag, unseen_to_zero)
 from casebook.schema import KEY, LOS, READMISSION
+from casebook.session import checkpoint_dir
 
 
 @dataclass
@@ -41,9 +42,16 @@ class ModelBundle:
         return [code_col(c) if c in CATEGORICAL else c for c in self.features]
 
 
+# Tree training knobs that change only how nodes are batched per pass over the
+# data, not the splits: more nodes per pass, node ids cached (and checkpointed
+# to the shared checkpoint folder) instead of re-walking the trees.
+TRAIN_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+
+
 def _pipeline(rows: DataFrame, train: DataFrame, features, forest) -> PipelineModel:
     # Codes come from every cleaned row (as the reference encodes before the
     # split); the forest sees only the training split.
+    checkpoint_dir(rows.sparkSession)
     enc = fit_label_encoder(rows)
     fix = unseen_to_zero(enc)
     cols = [code_col(c) if c in CATEGORICAL else c for c in features]
@@ -72,7 +80,7 @@ def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10
     train = d.where("_train")
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
-                                seed=seed, maxBins=64)
+                                seed=seed, maxBins=64, **TRAIN_OPTS)
     pipe = _pipeline(d, train, feats, rf)
     return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
                                              "num_trees": num_trees, "max_depth": max_depth})
@@ -88,7 +96,7 @@ def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
     d = d.withColumn("_train", split_flag(key, seed))
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
-                               seed=seed, maxBins=64)
+                               seed=seed, maxBins=64, **TRAIN_OPTS)
     pipe = _pipeline(d, d.where("_train"), feats, rf)
     return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
                                             "num_trees": num_trees, "max_depth": max_depth})
