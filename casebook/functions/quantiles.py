@@ -144,6 +144,16 @@ def quantile_rows(df: DataFrame, spec: dict, exact: bool = True, accuracy: int =
 FRACTIONAL = ("double", "float")
 
 
+def _count_le(arr, v, lo: int, hi: int):
+    """Number of elements <= v in the sorted array slice [lo, hi): a binary
+    search unrolled into nested CASE expressions (codegen'd, log2 depth), so
+    bucketing costs ~log2(buckets) comparisons per value."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.get(arr, mid) <= v, _count_le(arr, v, mid + 1, hi)).otherwise(_count_le(arr, v, lo, mid))
+
+
 def grouped_quantiles(df: DataFrame, keys, col: str, qs, buckets: int = 256,
                       accuracy: int = 10_000, out: str = "q") -> DataFrame:
     """Exact per-group quantiles (``keys..., out array<double>``), lazily and
@@ -162,15 +172,16 @@ def grouped_quantiles(df: DataFrame, keys, col: str, qs, buckets: int = 256,
     bounds = d.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("_b"),
                                   F.sum("c").alias("_N"))
     db = (d.join(bounds.select(*keys, "_b"), keys)
-          .withColumn("_bk", F.size(F.filter("_b", lambda x: x <= F.col("v")))).drop("_b"))
+          .withColumn("_bk", _count_le(F.col("_b"), F.col("v"), 0, buckets - 1)).drop("_b"))
     bc = db.groupBy(*keys, "_bk").agg(F.sum("c").alias("_n"))
     # One window partition per group over at most ``buckets`` rows.
     wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bc = bc.withColumn("_end", F.sum("_n").over(wb)).withColumn("_start", F.col("_end") - F.col("_n"))
-    t = (bounds.select(*keys, "_N", F.posexplode(F.array(*[F.lit(q) for q in qs])).alias("_qi", "_q"))
-         .withColumn("_p", (F.col("_N") - 1).cast("double") * F.col("_q"))
-         .withColumn("_lo", F.floor("_p").cast("long")).withColumn("_hi", F.ceil("_p").cast("long")))
-    ranks = t.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    def pos(q):
+        return (F.col("_N") - 1).cast("double") * F.lit(q)
+
+    ranks = bounds.select(*keys, F.explode(F.array_distinct(F.array(
+        *[e for q in qs for e in (F.floor(pos(q)).cast("long"), F.ceil(pos(q)).cast("long"))]))).alias("_r"))
     rb = (ranks.join(bc, keys).where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
           .select(*keys, "_r", "_bk", (F.col("_r") - F.col("_start")).alias("_off")))
     cand = db.join(rb.select(*keys, "_bk").distinct(), [*keys, "_bk"], "left_semi")
@@ -179,15 +190,15 @@ def grouped_quantiles(df: DataFrame, keys, col: str, qs, buckets: int = 256,
     cand = cand.withColumn("_ce", F.sum("c").over(wv)).withColumn("_cs", F.col("_ce") - F.col("c"))
     vals = (cand.join(rb, [*keys, "_bk"])
             .where((F.col("_cs") <= F.col("_off")) & (F.col("_off") < F.col("_ce")))
-            .select(*keys, "_r", "v"))
-    lo = vals.select(*keys, F.col("_r").alias("_lo"), F.col("v").alias("_vlo"))
-    hi = vals.select(*keys, F.col("_r").alias("_hi"), F.col("v").alias("_vhi"))
-    t2 = t.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-    qv = (F.when((F.col("_lo") == F.col("_hi")) | (F.col("_vlo") == F.col("_vhi")), F.col("_vlo"))
-          .otherwise((F.col("_hi").cast("double") - F.col("_p")) * F.col("_vlo")
-                     + (F.col("_p") - F.col("_lo").cast("double")) * F.col("_vhi")))
-    agg = t2.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_qi", qv.alias("x")))).alias("_a"))
-    return agg.select(*keys, F.transform("_a", lambda e: e["x"]).alias(out))
+            .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "v"))).alias("_m")))
+    # At most two ranks per quantile per group: a small map, then one projection.
+    res = []
+    for q in qs:
+        p, lo, hi = pos(q), F.floor(pos(q)), F.ceil(pos(q))
+        vlo, vhi = F.col("_m")[lo.cast("long")], F.col("_m")[hi.cast("long")]
+        res.append(F.when((lo == hi) | (vlo == vhi), vlo)
+                   .otherwise((hi.cast("double") - p) * vlo + (p - lo.cast("double")) * vhi))
+    return bounds.select(*keys, "_N").join(vals, keys).select(*keys, F.array(*res).alias(out))
 
 
 def grouped_quantile_frame(df: DataFrame, keys, col: str, qs, exact: bool = True,
