@@ -11,7 +11,7 @@ from casebook.operators import writes
 from casebook.plans.catalog import register, with_cases
 from casebook.schema import VALUE_COLUMNS
 from casebook.session import checkpoint_dir
-from casebook.sources.records import read_records_csv
+from casebook.sources.records import append_records, read_records_csv, scan_records
 from casebook.sources.tables import case_view, read_table
 
 _V = ", ".join(VALUE_COLUMNS)
@@ -111,3 +111,21 @@ SELECT Patient_ID, n_updates FROM f WHERE Patient_ID NOT IN (SELECT Patient_ID F
 def update_unmatched(spark, sf_dir):
     _, unmatched = writes.apply_updates(case_view(spark, sf_dir), update_requests(spark, sf_dir))
     return unmatched
+
+
+@register("insert_store", with_cases(f"""
+WITH b AS (SELECT Patient_ID AS seq, {_V} FROM cases)
+SELECT * FROM cases
+UNION ALL
+SELECT (SELECT max(Patient_ID) FROM cases) + row_number() OVER (ORDER BY seq) AS Patient_ID, {_V}
+FROM b WHERE {_ALL_SET}"""))
+def insert_store(spark, sf_dir):
+    """S1 + S3 + S4: the store is written to the shared folder, the accepted
+    batch is appended to it, and the store is scanned back with the schema."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-store/{uuid.uuid4().hex}"
+    store = case_view(spark, sf_dir)
+    append_records(store, path)
+    batch = _imported(spark, sf_dir).drop("_corrupt_record")
+    _, accepted, _ = writes.insert_records(scan_records(spark, path), batch, ["seq"])
+    append_records(accepted.select(*store.columns), path)
+    return scan_records(spark, path)

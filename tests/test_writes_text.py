@@ -96,3 +96,28 @@ def test_context_window_methods_agree(spark):
     pb = sorted(map(tuple, b.select("conv_id", "turn", key.alias("k")).collect()))
     assert pa == pb
     assert all(len(x[2]) <= 10 for x in pa)
+
+
+def test_csv_import_keeps_bad_rows(spark, tmp_path):
+    from casebook.sources.records import read_intents, read_records_csv
+    p = tmp_path / "in.csv"
+    p.write_text("Age,Gender,Condition,Procedure,Cost,Length_of_Stay,Readmission,Outcome,Satisfaction\n"
+                 "45,Male,Diabetes,Insulin Therapy,8500,4,No,Recovered,4\n"
+                 "old,Male,Diabetes,Insulin Therapy,8500,4,No,Recovered,4\n"
+                 "50,Female,Asthma,Inhaler,,3,Yes,Stable,2\n")
+    rows = read_records_csv(spark, str(p)).collect()
+    assert len(rows) == 3
+    assert rows[0]["_corrupt_record"] is None and rows[0]["Cost"] == 8500.0
+    assert rows[1]["Age"] is None and rows[1]["_corrupt_record"].startswith("old,")
+    assert rows[2]["Cost"] is None and rows[2]["_corrupt_record"] is None
+    j = tmp_path / "intents.jsonl"
+    j.write_text('{"text": "hello", "intent": "greeting"}\n{"text": "avg cost", "intent": "hospital"}\n')
+    assert [r["intent"] for r in read_intents(spark, str(j)).collect()] == ["greeting", "hospital"]
+
+
+def test_append_and_scan(spark, tiny_cases, tmp_path):
+    from casebook.sources.records import append_records, scan_records
+    path = str(tmp_path / "store")
+    append_records(tiny_cases, path)
+    append_records(tiny_cases.limit(2), path)
+    assert scan_records(spark, path).count() == 14
