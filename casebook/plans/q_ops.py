@@ -8,6 +8,25 @@ from casebook.operators import anomaly, charts, similar, triage
 from casebook.plans.catalog import register, with_cases
 from casebook.sources.tables import case_view, read_table
 
+# Doubles from order-dependent arithmetic (sums, means, interpolation) are
+# rounded to 6 places in both engines before comparison.
+R6 = 6
+
+
+def _r6(df, cols, k: int = R6):
+    return df.select(*[F.bround(c, k).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _r6_sql(sql: str, keep, cols, k: int = R6) -> str:
+    sel = ", ".join([f'"{c}"' for c in keep] + [f'round_even("{c}", {k}) AS "{c}"' for c in cols])
+    return f"SELECT {sel} FROM ({sql}) AS q"
+
+
+# Sums of cent amounts: the exact sum has two decimals, so rounding to 2 removes
+# summation-order noise without ever meeting a tie.
+R2 = 2
+
+
 # ---------------------------------------------------------------- charts
 
 _BAR_SQL = """
@@ -16,31 +35,31 @@ FROM cases WHERE Condition IS NOT NULL GROUP BY Condition
 ORDER BY value DESC NULLS LAST, Condition LIMIT 15"""
 
 
-@register("chart_bar", with_cases(_BAR_SQL))
+@register("chart_bar", _r6_sql(with_cases(_BAR_SQL), ['Condition'], ['value']))
 def chart_bar(spark, sf_dir):
-    return charts.chart_data(case_view(spark, sf_dir), "bar", "readmission_rate", "medical_condition")
+    return _r6(charts.chart_data(case_view(spark, sf_dir), "bar", "readmission_rate", "medical_condition"), ['value'])
 
 
-@register("chart_bar_billing", with_cases("""
+@register("chart_bar_billing", _r6_sql(with_cases("""
 SELECT Procedure, CAST(sum(Cost) AS double) AS value FROM cases WHERE Procedure IS NOT NULL
-GROUP BY Procedure ORDER BY value DESC NULLS LAST, Procedure LIMIT 15"""))
+GROUP BY Procedure ORDER BY value DESC NULLS LAST, Procedure LIMIT 15"""), ['Procedure'], ['value'], R2))
 def chart_bar_billing(spark, sf_dir):
-    return charts.chart_data(case_view(spark, sf_dir), "bar", "billing", "procedure")
+    return _r6(charts.chart_data(case_view(spark, sf_dir), "bar", "billing", "procedure"), ['value'], R2)
 
 
-@register("chart_line", with_cases("""
+@register("chart_line", _r6_sql(with_cases("""
 SELECT Gender, CAST(avg(Cost) AS double) AS value FROM cases WHERE Gender IS NOT NULL
-GROUP BY Gender ORDER BY Gender"""))
+GROUP BY Gender ORDER BY Gender"""), ['Gender'], ['value']))
 def chart_line(spark, sf_dir):
-    return charts.chart_data(case_view(spark, sf_dir), "line", "cost", "gender")
+    return _r6(charts.chart_data(case_view(spark, sf_dir), "line", "cost", "gender"), ['value'])
 
 
-@register("chart_pie", with_cases("""
+@register("chart_pie", _r6_sql(with_cases("""
 WITH k AS (SELECT Procedure, CAST(count(*) AS double) AS value FROM cases WHERE Procedure IS NOT NULL
   GROUP BY Procedure ORDER BY value DESC, Procedure LIMIT 8)
-SELECT Procedure, value, value * 100.0 / sum(value) OVER () AS share_pct FROM k"""))
+SELECT Procedure, value, value * 100.0 / sum(value) OVER () AS share_pct FROM k"""), ['Procedure'], ['value', 'share_pct']))
 def chart_pie(spark, sf_dir):
-    return charts.chart_data(case_view(spark, sf_dir), "pie", "admissions", "admission_type")
+    return _r6(charts.chart_data(case_view(spark, sf_dir), "pie", "admissions", "admission_type"), ['value', 'share_pct'])
 
 
 def _hist_sql(source: str, col: str) -> str:
@@ -64,20 +83,20 @@ SELECT dom.bin,
 FROM dom CROSS JOIN s LEFT JOIN c ON c.bin = dom.bin"""
 
 
-@register("chart_histogram", with_cases(_hist_sql("cases", "Length_of_Stay")))
+@register("chart_histogram", _r6_sql(with_cases(_hist_sql("cases", "Length_of_Stay")), ['bin', 'count'], ['bin_start', 'bin_end', 'mean', 'median']))
 def chart_histogram(spark, sf_dir):
-    return charts.chart_data(case_view(spark, sf_dir), "histogram", "los")
+    return _r6(charts.chart_data(case_view(spark, sf_dir), "histogram", "los"), ['bin_start', 'bin_end', 'mean', 'median'])
 
 
-@register("chart_histogram_cost", with_cases(_hist_sql("cases", "Cost")))
+@register("chart_histogram_cost", _r6_sql(with_cases(_hist_sql("cases", "Cost")), ['bin', 'count'], ['bin_start', 'bin_end', 'mean', 'median']))
 def chart_histogram_cost(spark, sf_dir):
-    return charts.histogram_data(case_view(spark, sf_dir), "Cost")
+    return _r6(charts.histogram_data(case_view(spark, sf_dir), "Cost"), ['bin_start', 'bin_end', 'mean', 'median'])
 
 
-@register("events_histogram", _hist_sql("events", "value"))
+@register("events_histogram", _r6_sql(_hist_sql("events", "value"), ['bin', 'count'], ['bin_start', 'bin_end', 'mean', 'median']))
 def events_histogram(spark, sf_dir):
     # The same operator over a second table: event values.
-    return charts.histogram_data(read_table(spark, sf_dir, "events"), "value")
+    return _r6(charts.histogram_data(read_table(spark, sf_dir, "events"), "value"), ['bin_start', 'bin_end', 'mean', 'median'])
 
 
 def _box_sql(source: str, g: str, v: str) -> str:
@@ -95,21 +114,21 @@ SELECT f.{g}, any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS media
 FROM d JOIN f ON d.{g} = f.{g} GROUP BY f.{g}"""
 
 
-@register("chart_boxplot", with_cases(_box_sql("cases", "Condition", "Length_of_Stay")))
+@register("chart_boxplot", _r6_sql(with_cases(_box_sql("cases", "Condition", "Length_of_Stay")), ['Condition', 'n', 'outliers'], ['q1', 'median', 'q3', 'whisker_low', 'whisker_high']))
 def chart_boxplot(spark, sf_dir):
-    return charts.chart_data(case_view(spark, sf_dir), "boxplot", "length_of_stay", "condition")
+    return _r6(charts.chart_data(case_view(spark, sf_dir), "boxplot", "length_of_stay", "condition"), ['q1', 'median', 'q3', 'whisker_low', 'whisker_high'])
 
 
-@register("events_boxplot", _box_sql("events", "event_type", "value"))
+@register("events_boxplot", _r6_sql(_box_sql("events", "event_type", "value"), ['event_type', 'n', 'outliers'], ['q1', 'median', 'q3', 'whisker_low', 'whisker_high']))
 def events_boxplot(spark, sf_dir):
-    return charts.boxplot_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "mean"))
+    return _r6(charts.boxplot_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "mean")), ['q1', 'median', 'q3', 'whisker_low', 'whisker_high'])
 
 
-@register("events_chart_bar", """
+@register("events_chart_bar", _r6_sql("""
 SELECT event_type, CAST(sum(value) AS double) AS value FROM events WHERE event_type IS NOT NULL
-GROUP BY event_type ORDER BY value DESC NULLS LAST, event_type LIMIT 15""")
+GROUP BY event_type ORDER BY value DESC NULLS LAST, event_type LIMIT 15""", ['event_type'], ['value'], R2))
 def events_chart_bar(spark, sf_dir):
-    return charts.bar_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "sum"))
+    return _r6(charts.bar_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "sum")), ['value'], R2)
 
 
 # ---------------------------------------------------------------- triage
@@ -129,7 +148,7 @@ def _rule_sql(rule) -> str:
 
 
 def _triage_sql(limit: int | None) -> str:
-    score = " + ".join(f"CASE WHEN {_rule_sql(r)} THEN {float(r['score'])} ELSE 0.0 END"
+    score = " + ".join(f"CASE WHEN {_rule_sql(r)} THEN CAST({float(r['score'])} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
                        for r in TRIAGE_RULES)
     reasons = ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{r['description']}' END" for r in TRIAGE_RULES)
     body = f"""
