@@ -34,9 +34,15 @@ def similar_cases(pop: DataFrame, targets: DataFrame, n: int = 5,
     if missing:
         raise ValueError(f"Target lacks feature(s) {missing}")
     popc = pop.na.drop(subset=feats)
-    stats = F.broadcast(popc.agg(F.count(F.lit(1)).cast("double").alias("_n"),
-                                 F.avg(F.col(NUMERIC_FEATURE).cast("double")).alias("_m"),
-                                 F.var_pop(F.col(NUMERIC_FEATURE).cast("double")).alias("_v")))
+    profiles = popc.groupBy(*feats).agg(F.count(F.lit(1)).alias("_cnt"))
+    # Population mean and variance of age from the (small) profile table:
+    # two passes over profiles (mean, then squared deviations), no extra pass
+    # over the records.
+    a = F.col(NUMERIC_FEATURE).cast("double")
+    m = profiles.agg(F.sum("_cnt").cast("double").alias("_n"),
+                     (F.sum(a * F.col("_cnt")) / F.sum("_cnt")).alias("_m"))
+    stats = F.broadcast(profiles.crossJoin(F.broadcast(m)).groupBy("_n", "_m").agg(
+        (F.sum(F.col("_cnt") * (a - F.col("_m")) ** 2) / F.first("_n")).alias("_v")))
     t = targets.select(target_key, *[F.col(c).alias(f"t_{c}") for c in feats]).na.drop()
     ta = F.col(f"t_{NUMERIC_FEATURE}").cast("double")
     var_t = ((F.col("_n") * F.col("_v") + F.col("_n") / (F.col("_n") + 1) * (ta - F.col("_m")) ** 2)
@@ -44,7 +50,6 @@ def similar_cases(pop: DataFrame, targets: DataFrame, n: int = 5,
     t = t.crossJoin(stats).select(
         "*", F.when(F.sqrt(var_t) > 0, F.sqrt(var_t)).otherwise(F.lit(1.0)).alias("_sigma"))
 
-    profiles = popc.groupBy(*feats).agg(F.count(F.lit(1)).alias("_cnt"))
     mism = sum((F.col(c) != F.col(f"t_{c}")).cast("int") for c in CATEGORICAL_FEATURES)
     d2 = ((F.col(NUMERIC_FEATURE).cast("double") - ta) / F.col("_sigma")) ** 2 + F.lit(2.0) * mism
     # Targets x profiles: both sides are small derived tables (request rows, and
