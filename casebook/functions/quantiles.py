@@ -142,6 +142,10 @@ def quantile_rows(df: DataFrame, spec: dict, exact: bool = True, accuracy: int =
 
 
 FRACTIONAL = ("double", "float")
+# Largest per-group distinct count for which Spark's exact ``percentile`` (a
+# value->count map per group in one task) is allowed; beyond it the bucketed
+# method runs.  The check uses a 5% sketch, so the bound keeps a margin.
+MAX_PERCENTILE_VALUES = 2_000_000
 
 
 def _count_le(arr, v, lo: int, hi: int):
@@ -205,15 +209,24 @@ def grouped_quantile_frame(df: DataFrame, keys, col: str, qs, exact: bool = True
                            out: str = "q", accuracy: int = 100_000, method: str = "auto") -> DataFrame:
     """Per-group quantiles as ``keys..., out``.
 
-    exact + fractional column (or ``method="distributed"``): ``grouped_quantiles``;
-    exact + integral column: Spark's ``percentile`` (state bounded by the
-    distinct values per group: days, ages, scores); not exact: a sketch."""
+    exact + fractional column: Spark's ``percentile`` when a size check shows
+    every group has at most ``MAX_PERCENTILE_VALUES`` distinct values, else
+    ``grouped_quantiles`` (forced with ``method="distributed"``);
+    exact + integral column: ``percentile`` (state bounded by the distinct
+    values per group: days, ages, scores); not exact: a sketch."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     arr = F.array(*[F.lit(float(q)) for q in qs])
     if not exact:
         return df.groupBy(*keys).agg(F.percentile_approx(F.col(col).cast("double"), arr, accuracy)
                                      .cast("array<double>").alias(out))
     frac = df.schema[col].dataType.simpleString() in FRACTIONAL
-    if method == "distributed" or (method == "auto" and frac):
+    if method == "auto" and frac:
+        # Size check before choosing: ``percentile`` keeps every distinct value
+        # of a group in one task, so it is used only when the largest group's
+        # distinct count (a bounded sketch per group) is under the limit.
+        widest = (df.groupBy(*keys).agg(F.approx_count_distinct(col, 0.05).alias("_d"))
+                  .agg(F.max("_d")).first()[0] or 0)
+        method = "percentile" if widest <= MAX_PERCENTILE_VALUES else "distributed"
+    if method == "distributed":
         return grouped_quantiles(df, keys, col, qs, out=out)
     return df.groupBy(*keys).agg(F.percentile(F.col(col), arr).cast("array<double>").alias(out))

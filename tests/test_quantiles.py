@@ -34,3 +34,13 @@ def test_grouped_bucketed_is_exact(spark):
     ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(
         F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
     assert got == ref
+
+
+def test_grouped_frame_chooses_by_size(spark, monkeypatch):
+    from casebook.functions import quantiles as Q
+    rows = [("a", float(i % 97) + 0.5) for i in range(500)] + [("b", 1.25), ("b", 2.5)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    small = {r["g"]: r["q"] for r in Q.grouped_quantile_frame(df, ["g"], "x", [0.5, 0.9]).collect()}
+    monkeypatch.setattr(Q, "MAX_PERCENTILE_VALUES", 10)   # force the bucketed path
+    big = {r["g"]: r["q"] for r in Q.grouped_quantile_frame(df, ["g"], "x", [0.5, 0.9]).collect()}
+    assert small == big
