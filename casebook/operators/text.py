@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.indexing import dense_index
 from casebook.functions.partitioning import spread
+from casebook.session import checkpoint_dir
 
 CONTEXT_ROLES = ("user", "assistant")
 
@@ -159,9 +160,24 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
     aggregates partially on the map side, so a frequent gram or a dominant
     language costs one partial row per task.
     """
-    d = docs.where(F.col(lang).isNotNull()).select(F.monotonically_increasing_id().alias("_r"), lang, text)
-    g = _count_grams(d, ["_r", lang], text, n, None)
-    return g.groupBy(lang, "gram").agg(F.sum("ng").alias("cnt"))
+    from pyspark.sql import types as T
+
+    from casebook.functions.text import normalise_py
+    d = docs.where(F.col(lang).isNotNull()).select(lang, text)
+    schema = T.StructType([d.schema[lang], T.StructField("gram", T.LongType()),
+                           T.StructField("cnt", T.LongType())])
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            clean = [normalise_py(t) if t is not None else None for t in pdf[text]]
+            ti, gk, cnt = gram_keys(clean, n)
+            out = pd.DataFrame({lang: pdf[lang].to_numpy()[ti], "gram": gk, "cnt": cnt})
+            # Map-side combine inside the batch: one row per (language, gram).
+            yield out.groupby([lang, "gram"], as_index=False, sort=False)["cnt"].sum()
+
+    g = spread(d).mapInPandas(run, schema)
+    return g.groupBy(lang, "gram").agg(F.sum("cnt").alias("cnt"))
 
 
 def detect_language(msgs: DataFrame, profiles: DataFrame, keys, text: str = "text",
@@ -175,7 +191,13 @@ def detect_language(msgs: DataFrame, profiles: DataFrame, keys, text: str = "tex
     text's grams with the profile table; ties go to the smaller language code.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    g = _count_grams(msgs, keys, text, n, SHORT_LEN)
+    # The profile table and the per-text gram counts each feed several
+    # branches (totals, vocabulary, scoring); their Python stages run once and
+    # are kept in the shared checkpoint folder (lineage cut) instead of being
+    # recomputed per branch.
+    checkpoint_dir(msgs.sparkSession)
+    profiles = profiles.checkpoint(eager=True)
+    g = _count_grams(msgs, keys, text, n, SHORT_LEN).checkpoint(eager=True)
     short_map = F.create_map(*[F.lit(x) for kv in SHORT_MAP.items() for x in kv])
     short = (g.where(F.col("_short").isNotNull())
              .select(*keys, F.coalesce(F.try_element_at(short_map, F.col("_short")), F.lit(DEFAULT_LANG))
