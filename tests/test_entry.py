@@ -44,3 +44,12 @@ def test_scans_are_pruned(spark):
     p = plan(case_view(spark, SF_SMALL))
     li = [line for line in p.splitlines() if "lineitem" in line and "ReadSchema" in line]
     assert li and all("l_shipdate" not in line and "l_extendedprice" not in line for line in li)
+
+
+def test_checkpoint_dir_comes_from_session(spark):
+    from casebook.session import checkpoint_dir
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    if configured:
+        assert configured.rstrip("/") in d
+    assert spark.sparkContext.getCheckpointDir()
