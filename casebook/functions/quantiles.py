@@ -100,18 +100,35 @@ def multi_quantiles(df: DataFrame, spec: dict, buckets: int = 512, leaf_rows: in
     d = d.checkpoint(eager=True)
     stats = {r["k"]: (r["n"], r["m"]) for r in
              d.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m")).collect()}
+    want = {}
+    for i, c in enumerate(cols):
+        n, m = (int(x) for x in stats.get(i, (0, 0)))
+        if n:
+            pos = [(n - 1) * float(q) for q in spec[c]]
+            want[i] = (n, m, sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos}))
+    found = {}
+    small = {i for i, (_, m, _) in want.items() if m <= leaf_rows}
+    if small:
+        # Every small column at once: one window partition per column, each
+        # bounded by ``leaf_rows`` distinct values.
+        w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = (d.where(F.col("k").isin(sorted(small)))
+               .withColumn("_hi", F.sum("c").over(w)).withColumn("_lo", F.col("_hi") - F.col("c")))
+        conds = F.lit(False)
+        for i in small:
+            for r in want[i][2]:
+                conds = conds | ((F.col("k") == i) & (F.col("_lo") <= r) & (F.lit(r) < F.col("_hi")))
+        for row_ in cum.where(conds).select("k", "v", "_lo", "_hi").collect():
+            for r in want[row_["k"]][2]:
+                if row_["_lo"] <= r < row_["_hi"]:
+                    found.setdefault(row_["k"], {})[r] = row_["v"]
+    for i in set(want) - small:
+        found[i] = _values_at(d.where(F.col("k") == i).select("v", "c"), want[i][2], buckets, leaf_rows,
+                              accuracy, m=want[i][1])
     row = []
     for i, c in enumerate(cols):
         qs = [float(q) for q in spec[c]]
-        n, m = (int(x) for x in stats.get(i, (0, 0)))
-        if n == 0:
-            row.append([None] * len(qs))
-            continue
-        pos = [(n - 1) * q for q in qs]
-        ranks = sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos})
-        vals = _values_at(d.where(F.col("k") == i).select("v", "c"), ranks, buckets, leaf_rows, accuracy,
-                          m=m)
-        row.append(_interpolate(n, qs, vals))
+        row.append(_interpolate(want[i][0], qs, found[i]) if i in want else [None] * len(qs))
     schema = ", ".join(f"`{c}` array<double>" for c in cols)
     return spark.createDataFrame([tuple(row)], schema)
 
