@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import lm, packing, quality, token_counts, url_filter
+from casebook.llm import ann, jaccard, line_dedup, lm, mixing, packing, quality, sharding, token_counts, url_filter
 from casebook.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,12 +32,25 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_projected_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 @register("op2_harmonic_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path(), capacity=2048, with_ids=False)
 
 
+@register("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, threshold=2, min_chars=20)
+    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines")
+
+
 @register("op4_lm_scoring")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +63,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, ratio).select("doc_id", *quality.ADDED)
 
 
+@register("op6_histogram_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, shards=24).select("doc_id", *sharding.OUT)
+
+
+@register("op7_temperature_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, repeat_limit=1.5).select("doc_id", "source", *mixing.ADDED)
+
+
+@register("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
 # The rule list of the url contract.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
