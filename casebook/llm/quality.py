@@ -115,7 +115,8 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(raw.size + 1, bool)
     inside[:n] = True
     for i in range(1, GRAM):  # grams that would cross into the next text
-        inside[np.maximum(off[1:] - i, 0)] = False
+        last = off[1:] - i
+        inside[last[last >= off[:-1]]] = False
     short = np.minimum(off[1:] - off[:-1], GRAM - 1)
     per_text = (off[1:] - off[:-1]) - short
     return bucket[inside[:n]], per_text

@@ -210,6 +210,9 @@ def test_quality_odd_rows(spark):
     # grams do not cross from one text to the next
     bucket, per_text = quality.gram_buckets(pa.array(["abcde", "ab", None, "abcd"]))
     assert per_text.tolist() == [2, 0, 0, 1] and bucket[0] == bucket[2]
+    for texts in ([None, "abcdef"], ["", "", "abcd", "x", "abcde"], ["a", "b"]):
+        bucket, per_text = quality.gram_buckets(pa.array(texts))
+        assert len(bucket) == per_text.sum() == sum(max(0, len(t or "") - 3) for t in texts)
 
 
 # ---- 8 Jaccard
