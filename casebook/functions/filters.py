@@ -44,6 +44,13 @@ def _compatible(df: DataFrame, col: str, v) -> bool:
     return ck == "num" and vk == "bool"
 
 
+def _literal(df: DataFrame, col: str, v) -> Column:
+    """The literal as the column compares it: a boolean against a number is 0 or 1."""
+    if isinstance(v, bool) and _kind(df.schema[col].dataType) == "num":
+        v = int(v)
+    return F.lit(v)
+
+
 def _all(preds) -> Column:
     preds = list(preds)
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
@@ -61,7 +68,7 @@ def equality_predicate(df: DataFrame, criteria: dict | None, strict: bool = Fals
     for c, v in (criteria or {}).items():
         if c not in df.columns:
             if strict:
-                raise ValueError(f"Invalid query field '{c}'")
+                raise ValueError(f"no such column: {c!r}")
             continue
         if v is None:
             preds.append(F.col(c).isNull() if strict else F.lit(False))
@@ -71,7 +78,7 @@ def equality_predicate(df: DataFrame, criteria: dict | None, strict: bool = Fals
                 raise ValueError(f"Value {v!r} does not match the type of '{c}'")
             preds.append(F.lit(False))
             continue
-        preds.append(F.col(c) == F.lit(v))
+        preds.append(F.col(c) == _literal(df, c, v))
     return _all(preds)
 
 
@@ -85,7 +92,7 @@ def apply_where(df: DataFrame, where: dict | None) -> DataFrame:
 def lookup(df: DataFrame, patient_id=None, criteria: dict | None = None, key: str = KEY) -> DataFrame:
     """a key (or list/DataFrame of keys) beats criteria; id 0 counts as not given."""
     if isinstance(patient_id, DataFrame):
-        ids = patient_id.select(F.col(patient_id.columns[0]).alias(key)).distinct()
+        ids = patient_id.select(F.col(patient_id.columns[0]).alias(key))
         # The id list is a request table; a semi join never duplicates rows and
         # lets AQE broadcast it when it is small.
         return df.join(ids, key, "left_semi")
@@ -98,7 +105,7 @@ def lookup(df: DataFrame, patient_id=None, criteria: dict | None = None, key: st
         return df.where(F.col(key) == F.lit(int(patient_id)))
     if criteria:
         return df.where(equality_predicate(df, criteria, strict=True))
-    raise ValueError("Either patient_id or query_criteria must be provided.")
+    raise ValueError("give a record id, a table of ids, or criteria")
 
 
 def pattern_match(c, pattern: str, literal: bool = False) -> Column:
@@ -141,7 +148,7 @@ def rule_predicate(df: DataFrame, field: str, op: str, value) -> Column:
                 return F.lit(False)
             return notnull & (F.instr(F.lit(value), col) > 0)
         if isinstance(value, (list, tuple, set)):
-            items = [v for v in value if v is not None and _compatible(df, field, v)]
+            items = [_literal(df, field, v) for v in value if v is not None and _compatible(df, field, v)]
             if not items:
                 return F.lit(False)
             return F.coalesce(col.isin(items), F.lit(False))
@@ -149,7 +156,7 @@ def rule_predicate(df: DataFrame, field: str, op: str, value) -> Column:
     if value is None or not _compatible(df, field, value):
         # Unequal types: ``!=`` is true, ``==`` false, ordering comparisons fail.
         return notnull if op == "!=" else F.lit(False)
-    v = F.lit(value)
+    v = _literal(df, field, value)
     cmp = {">": col > v, ">=": col >= v, "<": col < v, "<=": col <= v,
            "==": col == v, "!=": col != v}[op]
     return F.coalesce(cmp, F.lit(False))

@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Round-robin the rows over ``parts`` partitions (default: the cluster's
-    parallelism) when the input has fewer partitions than that.
+    """Round-robin the rows over ``parts`` partitions (default: the larger of the
+    shuffle partitions and the cluster's parallelism).
 
-    Used before CPU-heavy per-row work (Python tasks) on inputs that arrive in
-    few splits, e.g. one large parquet row group.  Large inputs already split
-    into many partitions are returned unchanged: no extra shuffle.
+    Used before CPU-heavy per-row work (Python tasks), whose rows are small beside
+    the work on them, and which may arrive in few splits, e.g. one parquet file.
     """
-    sc = df.sparkSession.sparkContext
-    target = parts or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    spark = df.sparkSession
+    default = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts or default)

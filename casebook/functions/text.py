@@ -3,8 +3,6 @@ JVM (java.util.regex) and RE2 read them the same way."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,20 +42,3 @@ def strip_attachments(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """Remove punctuation outside the kept classes, strip, lower-case."""
     return F.lower(py_strip(F.regexp_replace(c, PUNCT_RE, "")))
-
-
-def _python_pattern(p: str) -> str:
-    """The same pattern for Python's ``regex`` module (``\\x{..}`` -> ``\\U........``)."""
-    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: "\\U%08x" % int(m.group(1), 16), p)
-
-
-_PY = {}
-
-
-def normalise_py(s: str) -> str:
-    """X3 for use inside Arrow-batched Python tasks; same patterns as ``normalise``."""
-    if not _PY:
-        import regex
-        _PY["punct"] = regex.compile(_python_pattern(PUNCT_RE))
-        _PY["strip"] = regex.compile(_python_pattern(STRIP_RE))
-    return _PY["strip"].sub("", _PY["punct"].sub("", s)).lower()

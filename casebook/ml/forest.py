@@ -13,6 +13,7 @@ import itertools
 import math
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook.functions.partitioning import spread
-from casebook.session import checkpoint_dir
+from casebook.session import checkpoint_dir, ship_package
 
 
 @dataclass
@@ -144,49 +145,78 @@ def leaf_table(ff: FlatForest) -> LeafTable:
                      float((value * ratio.prod(axis=1)).sum()))
 
 
-def shapley(lt: LeafTable, X: np.ndarray, chunk: int = 8) -> np.ndarray:
-    """Exact path-dependent Shapley values, shape (rows, M).
+@lru_cache(maxsize=8)
+def _weights(n: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Shapley weight by coalition size, and all coalitions as 0/1 tuples."""
+    w = np.array([math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n) for s in range(n)])
+    return w, list(itertools.product((0, 1), repeat=n))
+
+
+def pattern_values(value: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """(leaves, 2^M, M): a leaf's contribution to each feature's Shapley value for
+    every pattern of features that accept the row (bit j: feature j does).
 
-    E[f | x_S] = sum_leaf v * prod_{j in S} 1[x_j in interval] * prod_{j not in S} ratio_j,
-    and phi_j = sum_{S not containing j} |S|!(M-|S|-1)!/M! * (E[S+j] - E[S]).
-    Cost per row: 2^M * M * leaves -- meant for request-sized tables.
+    A leaf pays v * prod(accepted in S) * prod(ratio outside S) to coalition S, so
+    its contribution depends on the row through the pattern alone.
     """
-    n, M = X.shape
-    out = np.zeros((n, M))
-    subsets = list(itertools.product((0, 1), repeat=M))
-    wts = [math.factorial(s) * math.factorial(M - s - 1) / math.factorial(M) for s in range(M)]
-    index = {s: i for i, s in enumerate(subsets)}
-    for a in range(0, n, chunk):
-        x = X[a:a + chunk]
-        acc = ((x[:, None, :] > lt.lo[None]) & (x[:, None, :] <= lt.hi[None])).astype(float)
-        E = np.empty((len(x), len(subsets)))
-        for i, s in enumerate(subsets):
-            p = np.ones((len(x), len(lt.value)))
-            for j in range(M):
-                p *= acc[:, :, j] if s[j] else lt.ratio[None, :, j]
-            E[:, i] = p @ lt.value
-        for j in range(M):
-            for s in subsets:
+    n = ratio.shape[1]
+    weight, coalitions = _weights(n)
+    out = np.zeros((len(value), 1 << n, n))
+    for pattern in range(1 << n):
+        accepts = [(pattern >> j) & 1 for j in range(n)]
+        pay = {}
+        for s in coalitions:
+            if any(s[j] and not accepts[j] for j in range(n)):
+                continue
+            free = [j for j in range(n) if not s[j]]
+            pay[s] = value * ratio[:, free].prod(axis=1)
+        for s in coalitions:
+            for j in range(n):
                 if s[j]:
                     continue
-                with_j = tuple(1 if k == j else s[k] for k in range(M))
-                out[a:a + chunk, j] += wts[sum(s)] * (E[:, index[with_j]] - E[:, index[s]])
+                joined = s[:j] + (1,) + s[j + 1:]
+                gain = pay.get(joined, 0.0) - pay.get(s, 0.0)
+                out[:, pattern, j] += weight[sum(s)] * gain
     return out
 
 
-def _numeric_inputs(bundle, df: DataFrame) -> DataFrame:
-    """Rows with the model's numeric inputs (codes for categoricals)."""
-    enc, fix = bundle.pipeline.stages[0], bundle.pipeline.stages[1]
-    return fix.transform(enc.transform(df))
+def shapley(lt: LeafTable, X: np.ndarray, leaves: int = 4096, rows: int = 512) -> np.ndarray:
+    """Exact path-dependent Shapley values, shape (rows, M).
+
+    E[f | x_S] = sum_leaf v * prod_{j in S} 1[x_j in interval] * prod_{j not in S} ratio_j.
+    Rows that no threshold tells apart are computed once; the work is done in pieces
+    of ``leaves`` x ``rows``, so memory does not follow the forest's size.
+    """
+    n, M = X.shape
+    if not n:
+        return np.zeros((0, M))
+    cells = np.stack([np.searchsorted(np.unique(lt.hi[np.isfinite(lt.hi[:, j]), j]), X[:, j], side="left")
+                      for j in range(M)], axis=1)
+    _, first, which = np.unique(cells, axis=0, return_index=True, return_inverse=True)
+    U = X[first]
+    out = np.zeros((len(U), M))
+    for a in range(0, len(lt.value), leaves):
+        lo, hi = lt.lo[a:a + leaves], lt.hi[a:a + leaves]
+        table = pattern_values(lt.value[a:a + leaves], lt.ratio[a:a + leaves]).reshape(-1, M)
+        base = np.arange(len(lo)) << M
+        for r in range(0, len(U), rows):
+            x = U[r:r + rows]
+            pattern = np.zeros((len(x), len(lo)), np.int64)
+            for j in range(M):
+                pattern |= ((x[:, j, None] > lo[None, :, j]) & (x[:, j, None] <= hi[None, :, j])).astype(np.int64) << j
+            for j in range(M):
+                out[r:r + rows, j] += table[:, j][base + pattern].sum(axis=1)
+    return out[which.ravel()]
 
 
 def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
     """M7 core: forest mean and population std over the trees, per row."""
-    ff = flatten_forest(bundle.forest, spark)
+    ship_package(spark)
+    ff = bundle.flat(spark)
     b = spark.sparkContext.broadcast(ff)
     cols = bundle.model_columns()
     keys = list(keys)
-    x = _numeric_inputs(bundle, df).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    x = bundle.numeric_inputs(df).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     schema = T.StructType([x.schema[k] for k in keys] + [T.StructField("forest_mean", T.DoubleType()),
                                                          T.StructField("tree_std", T.DoubleType())])
 
@@ -205,14 +235,18 @@ def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
 def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
     """M8: per row and feature, the Shapley value toward the prediction, long
     form (keys, feature, value, shap_value), plus the base value."""
-    ff = flatten_forest(bundle.forest, spark)
+    ship_package(spark)
+    ff = bundle.flat(spark)
     lt = spark.sparkContext.broadcast(leaf_table(ff))
     cols = bundle.model_columns()
     keys = list(keys)
     feats = list(bundle.features)
-    x = _numeric_inputs(bundle, df).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    shown = [F.col(f"_own.{c}").cast("string").alias(f"_v_{c}") if "_own" in df.columns
+             else F.col(c).cast("string").alias(f"_v_{c}") for c in feats]
+    x = bundle.numeric_inputs(df).select(*keys, *shown, *[F.col(c).cast("double").alias(c) for c in cols])
     schema = T.StructType([x.schema[k] for k in keys] + [
-        T.StructField("feature", T.StringType()), T.StructField("shap_value", T.DoubleType()),
+        T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()),
+        T.StructField("shap_value", T.DoubleType()),
         T.StructField("base_value", T.DoubleType()), T.StructField("prediction", T.DoubleType())])
 
     def run(batches):
@@ -226,6 +260,7 @@ def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
             for j, name in enumerate(feats):
                 o = pdf[keys].copy()
                 o["feature"] = name
+                o["value"] = pdf[f"_v_{name}"]
                 o["shap_value"] = phi[:, j]
                 o["base_value"] = t.base
                 o["prediction"] = pred

@@ -80,6 +80,6 @@ def route_messages(model: PipelineModel, messages: DataFrame, text: str = "text"
     return c.withColumn("route", r).withColumn("reply", reply)
 
 
-def split(df: DataFrame, key: str, seed: int = 42):
-    f = split_flag(key, seed)
+def split(df: DataFrame, key: str):
+    f = split_flag(key)
     return df.where(f), df.where(~f)

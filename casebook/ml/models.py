@@ -13,12 +13,15 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.ml import forest
 from casebook.ml.features import (CATEGORICAL, LOS_FEATURES, RISK_FEATURES, code_col,
-                                  fit_label_encoder, split_flag, unseen_to_zero)
+                                  HASH_RANGE, fit_label_encoder, key_hash, split_flag,
+                                  stratified_split, unseen_to_zero)
 from casebook.schema import KEY, LOS, READMISSION
 from casebook.session import checkpoint_dir
 
@@ -29,6 +32,7 @@ class ModelBundle:
     pipeline: PipelineModel
     features: list                 # raw feature names, in model order
     meta: dict = field(default_factory=dict)
+    _flat: forest.FlatForest | None = None
 
     @property
     def forest(self):
@@ -41,6 +45,21 @@ class ModelBundle:
     def model_columns(self) -> list[str]:
         return [code_col(c) if c in CATEGORICAL else c for c in self.features]
 
+    def numeric_inputs(self, df: DataFrame) -> DataFrame:
+        """``df`` with the code columns of its categorical features."""
+        return self.pipeline.stages[1].transform(self.encoder.transform(df))
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_prediction`` and, for a classifier, ``_p`` = P(Yes)."""
+        out = self.pipeline.transform(df).withColumnRenamed("prediction", "_prediction")
+        return out.withColumn("_p", vector_to_array("probability")[1]) if self.kind == "risk" else out
+
+    def flat(self, spark: SparkSession) -> forest.FlatForest:
+        """The trees as flat arrays, read back from the model once."""
+        if self._flat is None:
+            self._flat = forest.flatten_forest(self.forest, spark)
+        return self._flat
+
 
 # Tree training knobs that change only how nodes are batched per pass over the
 # data, not the splits: more nodes per pass, node ids cached (and checkpointed
@@ -48,7 +67,7 @@ class ModelBundle:
 TRAIN_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
-def _pipeline(rows: DataFrame, train: DataFrame, features, forest) -> PipelineModel:
+def _pipeline(rows: DataFrame, train: DataFrame, features, trainer) -> PipelineModel:
     # Codes come from every cleaned row (as the reference encodes before the
     # split); the forest sees only the training split.
     checkpoint_dir(rows.sparkSession)
@@ -57,7 +76,7 @@ def _pipeline(rows: DataFrame, train: DataFrame, features, forest) -> PipelineMo
     cols = [code_col(c) if c in CATEGORICAL else c for c in features]
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     prepared = asm.transform(fix.transform(enc.transform(train)))
-    model = forest.fit(prepared)
+    model = trainer.fit(prepared)
     return PipelineModel(stages=[enc, fix, asm, model])
 
 
@@ -70,34 +89,45 @@ def _cast_features(df: DataFrame, features) -> DataFrame:
 
 
 def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10,
-                     seed: int = 42, key: str = KEY) -> ModelBundle:
+                     seed: int = 42, key: str = KEY, max_bins: int = 256) -> ModelBundle:
     """M3: random forest for P(Readmission = Yes) on Age, Gender, Condition,
-    Procedure, Length_of_Stay; rows with a NULL feature or label are dropped."""
+    Procedure, Length_of_Stay; rows with a NULL feature or label are dropped.
+    ``max_bins`` bounds the split candidates of a feature: label codes are kept
+    apart up to that many labels."""
     feats = list(RISK_FEATURES)
     d = _cast_features(cases.na.drop(subset=feats + [READMISSION]), feats).withColumn(
         "label", F.when(F.col(READMISSION) == "Yes", 1.0).otherwise(0.0))
-    d = d.withColumn("_train", split_flag(key, seed))
-    train = d.where("_train")
+    train = stratified_split(d, "label", key).where("_train")
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
-                                seed=seed, maxBins=64, **TRAIN_OPTS)
+                                seed=seed, maxBins=max_bins, **TRAIN_OPTS)
     pipe = _pipeline(d, train, feats, rf)
     return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
                                              "num_trees": num_trees, "max_depth": max_depth})
 
 
 def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
-                    seed: int = 42, key: str = KEY) -> ModelBundle:
+                    seed: int = 42, key: str = KEY, max_bins: int = 256,
+                    max_rows: int | None = 200_000) -> ModelBundle:
     """M6: random forest regressor for Length_of_Stay on Age, Gender, Condition,
-    Procedure, Cost."""
+    Procedure, Cost.
+
+    The fit uses at most about ``max_rows`` of the training rows (None: all), those
+    with the smallest key hash; encoding, scoring and every metric cover all rows.
+    """
     feats = list(LOS_FEATURES)
     d = _cast_features(cases.na.drop(subset=feats + [LOS]), feats).withColumn(
         "label", F.col(LOS).cast("double"))
-    d = d.withColumn("_train", split_flag(key, seed))
+    d = d.withColumn("_train", split_flag(key))
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
-                               seed=seed, maxBins=64, **TRAIN_OPTS)
-    pipe = _pipeline(d, d.where("_train"), feats, rf)
+                               seed=seed, maxBins=max_bins, **TRAIN_OPTS)
+    train = d.where("_train")
+    if max_rows is not None:
+        # The hash is uniform: a share of its range is that share of the rows.
+        share = min(1.0, max_rows / max(1, train.count()))
+        train = train.where(key_hash(key, salt="fit") < F.lit(int(share * HASH_RANGE)))
+    pipe = _pipeline(d, train, feats, rf)
     return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
                                             "num_trees": num_trees, "max_depth": max_depth})
 
@@ -109,13 +139,14 @@ def labelled(bundle: ModelBundle, cases: DataFrame, key: str = KEY) -> DataFrame
     d = _cast_features(cases.na.drop(subset=feats + [target]), feats)
     lab = (F.when(F.col(READMISSION) == "Yes", 1.0).otherwise(0.0) if bundle.kind == "risk"
            else F.col(LOS).cast("double"))
-    return d.withColumn("label", lab).withColumn("_train", split_flag(key, bundle.meta.get("seed", 42)))
+    d = d.withColumn("label", lab)
+    return stratified_split(d, "label", key) if bundle.kind == "risk" else d.withColumn("_train", split_flag(key))
 
 
 def classifier_report(bundle: ModelBundle, cases: DataFrame) -> DataFrame:
     """M4: per split and class: support, precision, recall, F1, plus accuracy,
     from confusion counts (one aggregate over the scored rows)."""
-    p = bundle.pipeline.transform(labelled(bundle, cases))
+    p = bundle.scored(labelled(bundle, cases)).withColumnRenamed("_prediction", "prediction")
     split = F.when(F.col("_train"), "train").otherwise("test")
     conf = p.groupBy(split.alias("split")).agg(
         *[F.count_if((F.col("label") == a) & (F.col("prediction") == b)).alias(f"c{int(a)}{int(b)}")
@@ -130,21 +161,20 @@ def classifier_report(bundle: ModelBundle, cases: DataFrame) -> DataFrame:
             "split", F.lit(name).alias("class"), (F.col(tp) + F.col(fn)).alias("support"),
             F.bround(prec, 4).alias("precision"), F.bround(rec, 4).alias("recall"),
             F.bround(F.try_divide(2 * prec * rec, prec + rec), 4).alias("f1"),
-            F.bround((F.col("c00") + F.col("c11")) / (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")),
-                     4).alias("accuracy")))
+            ((F.col("c00") + F.col("c11")) / (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")))
+            .alias("accuracy")))
     return rows[0].unionByName(rows[1])
 
 
 def regression_report(bundle: ModelBundle, cases: DataFrame) -> DataFrame:
     """M6 metrics per split: MAE, RMSE, R^2 as aggregates."""
-    p = bundle.pipeline.transform(labelled(bundle, cases))
+    p = bundle.scored(labelled(bundle, cases)).withColumnRenamed("_prediction", "prediction")
     split = F.when(F.col("_train"), "train").otherwise("test")
     err = F.col("prediction") - F.col("label")
     g = p.groupBy(split.alias("split")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sum(err * err).alias("_sse"), (F.var_pop("label") * F.count(F.lit(1))).alias("_sst"))
-    return g.select("split", "n", F.bround("mae", 4).alias("mae"), F.bround("rmse", 4).alias("rmse"),
-                    F.bround(1 - F.try_divide(F.col("_sse"), F.col("_sst")), 4).alias("r2"))
+    return g.select("split", "n", "mae", "rmse", (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"))
 
 
 def feature_importances(bundle: ModelBundle, spark: SparkSession) -> DataFrame:

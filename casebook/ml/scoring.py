@@ -1,103 +1,163 @@
 """Batch scoring: readmission risk (M5), stay with range (M7), attributions
 (M8 reports), risk-adjusted triage (T3), counterfactuals (M9 M10).
 
-Every function scores a table in one ``transform`` (or one Arrow-batched
-task): no model call per row.
+Every function scores a table in one pass (or one Arrow-batched task): no model call
+per row.  A request that lacks an attribute cannot be scored; it is not lost but
+listed by ``rejected_requests``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.ml import forest
-from casebook.ml.models import ModelBundle
+from casebook.ml.features import CATEGORICAL
 from casebook.operators.cohort import procedure_options
 from casebook.schema import KEY
 
 
-def _features_cast(bundle: ModelBundle, df: DataFrame) -> DataFrame:
-    missing = [c for c in bundle.features if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required patient attributes: {missing}")
-    out = df
-    for c in bundle.features:
-        if c not in ("Gender", "Condition", "Procedure"):
-            out = out.withColumn(c, F.col(c).cast("double"))
-    return out.na.drop(subset=bundle.features)
-
-
-def risk_scores(bundle: ModelBundle, requests: DataFrame) -> DataFrame:
-    """M5: P(readmission) per request row (rounded to 4), predicted class, and
-    the percentage text.  Rows lacking an attribute are dropped (the reference
-    returns an error for such a request)."""
-    p = bundle.pipeline.transform(_features_cast(bundle, requests))
-    prob = vector_to_array("probability")[1]
-    keep = [c for c in requests.columns]
-    return p.select(*keep,
-                    F.when(F.col("prediction") == 1.0, "Yes").otherwise("No").alias("predicted_readmission"),
-                    F.bround(prob, 4).alias("probability_of_readmission"),
-                    F.concat(F.format_number(F.bround(prob * 100, 1), 1), F.lit("%"))
+def _missing(bundle, df: DataFrame) -> Column:
+    """The model's attributes that a row lacks."""
+    return F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in bundle.features]), lambda x: x.isNotNull())
+
+
+def _check_columns(bundle, df: DataFrame) -> None:
+    absent = [c for c in bundle.features if c not in df.columns]
+    if absent:
+        raise ValueError(f"the requests have no column for {absent}")
+
+
+def _inputs(bundle, df: DataFrame) -> DataFrame:
+    """The model's inputs beside the untouched request: ``_own`` holds the request's
+    columns, ``_complete`` tells whether it has every attribute; a missing attribute
+    becomes 0 or the empty string, whose score is not to be used."""
+    _check_columns(bundle, df)
+    feats = [(F.coalesce(F.col(c), F.lit("")) if c in CATEGORICAL
+              else F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in bundle.features]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"),
+                     (F.size(_missing(bundle, df)) == 0).alias("_complete"), *feats)
+
+
+def _own(df: DataFrame) -> list[Column]:
+    return [F.col(f"_own.`{f.name}`").alias(f.name) for f in df.schema["_own"].dataType.fields]
+
+
+def rejected_requests(bundle, requests: DataFrame) -> DataFrame:
+    """The requests that cannot be scored, with ``missing``: the attributes they lack."""
+    _check_columns(bundle, requests)
+    missing = _missing(bundle, requests)
+    return requests.withColumn("missing", missing).where(F.size("missing") > 0)
+
+
+def risk_scores(bundle, requests: DataFrame) -> DataFrame:
+    """M5: P(readmission) per complete request (rounded to 4), predicted class, and
+    the percentage text, beside the request's own columns; for the others see
+    ``rejected_requests``."""
+    p = bundle.scored(_inputs(bundle, requests).where("_complete"))
+    return p.select(*_own(p),
+                    F.when(F.col("_prediction") == 1.0, "Yes").otherwise("No").alias("predicted_readmission"),
+                    F.bround("_p", 4).alias("probability_of_readmission"),
+                    F.concat(F.format_number(F.bround(F.col("_p") * 100, 1), 1), F.lit("%"))
                     .alias("probability_of_readmission_pct"))
 
 
-def los_scores(bundle: ModelBundle, requests: DataFrame, keys, population_mean: float | None = None,
-               z: float = 1.645) -> DataFrame:
-    """M7: predicted stay (1 dec), a 90% range from the spread of the trees
-    (lower bounded by 1), and above/below the population mean."""
+def los_scores(bundle, requests: DataFrame, keys, population_mean: float | None = None,
+               population_std: float | None = None, z: float = 1.645) -> DataFrame:
+    """M7: predicted stay (1 dec), a 90% range from the spread of the trees (lower
+    bounded by 1), above/below the population mean, and the model's version, training
+    size and test error.  ``keys`` are columns of the requests."""
     spark = requests.sparkSession
     keys = [keys] if isinstance(keys, str) else list(keys)
-    r = _features_cast(bundle, requests)
+    r = _inputs(bundle, requests).where("_complete")
+    r = r.select("*", *[F.col(f"_own.`{k}`").alias(k) for k in keys if k not in bundle.features])
     st = forest.per_tree_stats(bundle, r, keys, spark)
-    mean = population_mean if population_mean is not None else bundle.meta.get("target_mean", 0.0)
+    meta = bundle.meta
+    mean = population_mean if population_mean is not None else meta.get("target_mean", 0.0)
+    std = population_std if population_std is not None else meta.get("target_std", 0.0)
     p, s = F.col("forest_mean"), F.col("tree_std")
     return st.select(*keys,
                      F.bround(p, 1).alias("predicted_length_of_stay_days"),
                      F.bround(F.greatest(F.lit(1.0), p - z * s), 1).alias("lower_bound_days"),
                      F.bround(p + z * s, 1).alias("upper_bound_days"),
                      F.bround(F.lit(float(mean)), 1).alias("population_mean_days"),
-                     F.when(p > F.lit(float(mean)), "above_average").otherwise("below_average")
-                     .alias("vs_population"))
+                     F.bround(F.lit(float(std or 0.0)), 1).alias("population_std_days"),
+                     F.when(p > F.lit(float(mean)), "above_average").otherwise("below_average").alias("vs_population"),
+                     F.lit(meta.get("model_version")).alias("model_version"),
+                     F.lit(meta.get("trained_on_n")).cast("long").alias("trained_on_n"),
+                     F.bround(F.lit(meta.get("test_mae")).cast("double"), 2).alias("test_mae"))
 
 
-def attribution_report(bundle: ModelBundle, requests: DataFrame, keys, top: int = 5) -> DataFrame:
-    """M8 report: per request the ``top`` features by |Shapley value|, with
-    direction, rounded to 4, and the base value."""
+def attribution_report(bundle, requests: DataFrame, keys, top: int = 5) -> DataFrame:
+    """M8 report: per complete request the ``top`` features by |Shapley value|, with
+    the input value, direction, rounded to 4, and the base value."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    spark = requests.sparkSession
-    a = forest.attributions(bundle, _features_cast(bundle, requests), keys, spark)
+    r = _inputs(bundle, requests).where("_complete")
+    r = r.select("*", *[F.col(f"_own.`{k}`").alias(k) for k in keys if k not in bundle.features])
+    a = forest.attributions(bundle, r, keys, requests.sparkSession)
     up, down = (("increases_risk", "decreases_risk") if bundle.kind == "risk"
                 else ("increases_los", "decreases_los"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature")
+    # Rounded before ranking: the last digits depend on the order of summation.
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.bround("shap_value", 9))), "feature")
     return (a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-            .select(*keys, "rank", "feature", F.bround("shap_value", 4).alias("shap_value"),
-                    F.when(F.col("shap_value") > 0, up).otherwise(down).alias("direction"),
+            .select(*keys, "rank", "feature", "value", F.bround("shap_value", 4).alias("shap_value"),
+                    F.when(F.bround("shap_value", 9) > 0, up).otherwise(down).alias("direction"),
                     F.bround(F.abs("shap_value"), 4).alias("abs_importance"),
                     F.bround("base_value", 4).alias("base_value")))
 
 
-def triage_with_risk(bundle: ModelBundle, flagged: DataFrame, limit: int = 20,
-                     key: str = KEY) -> DataFrame:
+def triage_with_risk(bundle, flagged: DataFrame, limit: int = 20, key: str = KEY) -> DataFrame:
     """Score every flagged row once; a probability above 0.5 adds 2.0 and a
-    reason; then the top ``limit`` by score (ties by key)."""
-    s = risk_scores(bundle, flagged)
-    prob = F.col("probability_of_readmission")
-    high = prob > 0.5
-    reason = F.concat(F.lit("High readmission risk ("), F.bround(prob * 100, 0).cast("int").cast("string"),
-                      F.lit("%)"))
-    out = (s.withColumn("score", F.when(high, F.col("score") + 2.0).otherwise(F.col("score")))
-           .withColumn("reasons", F.when(high, F.concat("reasons", F.array(reason))).otherwise(F.col("reasons")))
-           .withColumnRenamed("probability_of_readmission", "readmission_probability")
-           .drop("predicted_readmission", "probability_of_readmission_pct"))
-    # Rows the model cannot score keep their rule score (failures are ignored).
-    unscored = flagged.join(out.select(key), key, "left_anti").withColumn(
-        "readmission_probability", F.lit(None).cast("double"))
-    allrows = out.unionByName(unscored)
-    return allrows.orderBy(F.desc("score"), F.asc(key)).limit(limit)
+    reason; then the top ``limit`` by score (ties by key).  A row the model cannot
+    score keeps its rule score, with a NULL probability."""
+    p = bundle.scored(_inputs(bundle, flagged))
+    prob = F.when(F.col("_complete"), F.bround("_p", 4))
+    s = p.select(*_own(p), prob.alias("readmission_probability"))
+    high = F.coalesce(F.col("readmission_probability") > 0.5, F.lit(False))
+    reason = F.concat(F.lit("High readmission risk ("),
+                      F.bround(F.col("readmission_probability") * 100, 0).cast("int").cast("string"), F.lit("%)"))
+    return (s.withColumn("score", F.when(high, F.col("score") + 2.0).otherwise(F.col("score")))
+            .withColumn("reasons", F.when(high, F.concat("reasons", F.array(reason))).otherwise(F.col("reasons")))
+            .orderBy(F.desc("score"), F.asc(key)).limit(limit))
 
 
 LOS_DELTAS = (-3, -2, -1, 1, 2, 3)
+# Order of the kinds of change among equal reductions.
+CHANGE_TYPES = ("length_of_stay", "procedure", "combined")
+REQUEST = ("Age", "Gender", "Condition", "Procedure", "Length_of_Stay")
+
+
+def _with_candidates(cases: DataFrame, requests: DataFrame, key: str, los_min: int, los_max: int,
+                     combined_los: int, with_current: bool) -> DataFrame:
+    """Requests with ``_c``, an array of (type_order, option_order, Procedure,
+    Length_of_Stay); type 0 is the request itself.
+
+    The procedure options of a condition are one array (its procedures that were seen
+    often enough), joined once.
+    """
+    options = (procedure_options(cases)
+               .groupBy(F.col("condition_key").alias("_condition"))
+               .agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"), F.col("Procedure").alias("p")))).alias("_options")))
+    req = requests.select(key, *REQUEST).join(options, F.lower(F.col("Condition")) == F.col("_condition"), "left")
+
+    def change(kind: int, order: Column, procedure: Column, stay: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type_order"), order.cast("int").alias("option_order"),
+                        procedure.alias("Procedure"), stay.cast("int").alias("Length_of_Stay"))
+
+    own, stay = F.col("Procedure"), F.col("Length_of_Stay")
+    stays = F.filter(F.array(*[F.struct(F.lit(i + 1).alias("o"), (stay + d).alias("s")) for i, d in enumerate(LOS_DELTAS)]),
+                     lambda x: F.coalesce((x["s"] >= los_min) & (x["s"] <= los_max), F.lit(False)))
+    others = F.filter(F.coalesce("_options", F.array().cast("array<struct<r:int,p:string>>")),
+                      lambda x: F.coalesce(x["p"] != own, F.lit(False)))
+    req = req.withColumn("_stays", stays).withColumn("_others", others)
+    best = F.get("_others", 0)["p"]
+    parts = [F.transform("_stays", lambda x: change(1, x["o"], own, x["s"])),
+             F.transform("_others", lambda x: change(2, x["r"], x["p"], stay)),
+             F.when(best.isNull(), F.array()).otherwise(
+                 F.transform(F.slice("_stays", 1, combined_los), lambda x: change(3, x["o"], best, x["s"])))]
+    if with_current:
+        parts.insert(0, F.array(change(0, F.lit(0), own, stay)))
+    return req.select(key, *REQUEST, F.concat(*parts).alias("_c"))
 
 
 def counterfactual_candidates(cases: DataFrame, requests: DataFrame, key: str = "request_id",
@@ -105,61 +165,71 @@ def counterfactual_candidates(cases: DataFrame, requests: DataFrame, key: str =
     """M9: candidate changes per request: stay +-1..3 within bounds, each other
     procedure used for the condition (seen >= 5 times, by readmission rate), and
     the best other procedure with the first three stay candidates."""
-    req = requests.select(key, "Age", "Gender", "Condition", "Procedure", "Length_of_Stay")
-    d = F.explode(F.array(*[F.lit(x) for x in LOS_DELTAS])).alias("_d")
-    los = (req.select("*", d).withColumn("_new_los", F.col("Length_of_Stay") + F.col("_d"))
-           .where((F.col("_new_los") >= los_min) & (F.col("_new_los") <= los_max)))
-    los = los.withColumn("_pos", F.array_position(F.array(*[F.lit(x) for x in LOS_DELTAS]), F.col("_d")))
-    los = los.withColumn("_los_rank", F.row_number().over(Window.partitionBy(key).orderBy("_pos")))
-    los_c = los.select(key, F.lit("length_of_stay").alias("change_type"), "Age", "Gender", "Condition",
-                       "Procedure", F.col("_new_los").alias("Length_of_Stay"),
-                       F.col("_pos").cast("int").alias("option_order"))
-    # Procedure options per condition: a grouped aggregate, joined on the
-    # lower-cased condition (one row per condition x procedure).
-    opts = procedure_options(cases).select(
-        "condition_key", F.col("Procedure").alias("_alt"), F.col("rank").alias("_rank"))
-    alt = (req.join(opts, F.lower(F.col("Condition")) == F.col("condition_key"))
-           .where(F.col("_alt") != F.col("Procedure")))
-    proc_c = alt.select(key, F.lit("procedure").alias("change_type"), "Age", "Gender", "Condition",
-                        F.col("_alt").alias("Procedure"), "Length_of_Stay",
-                        (F.col("_rank") + 100).cast("int").alias("option_order"))
-    best = (alt.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_rank")))
-            .where("_r = 1").select(key, F.col("_alt").alias("_best")))
-    comb = (los.where(F.col("_los_rank") <= combined_los).join(best, key)
-            .select(key, F.lit("combined").alias("change_type"), "Age", "Gender", "Condition",
-                    F.col("_best").alias("Procedure"), F.col("_new_los").alias("Length_of_Stay"),
-                    (F.col("_pos") + 200).cast("int").alias("option_order")))
-    return los_c.unionByName(proc_c).unionByName(comb)
-
-
-def counterfactuals(bundle: ModelBundle, cases: DataFrame, requests: DataFrame,
+    c = _with_candidates(cases, requests, key, los_min, los_max, combined_los, False)
+    c = c.select(key, "Age", "Gender", "Condition", F.explode("_c").alias("_c"))
+    kind = F.get(F.array(*[F.lit(t) for t in CHANGE_TYPES]), F.col("_c.type_order") - 1)
+    return c.select(key, kind.alias("change_type"), "Age", "Gender", "Condition",
+                    F.col("_c.Procedure").alias("Procedure"), F.col("_c.Length_of_Stay").alias("Length_of_Stay"),
+                    F.col("_c.type_order").alias("type_order"), F.col("_c.option_order").alias("option_order"))
+
+
+def _scored_changes(bundle, cases: DataFrame, requests: DataFrame, target: float, key: str) -> DataFrame:
+    """Every request with its candidates scored in one pass: the request itself
+    (type 0) and its changes, with ``current`` and ``kept`` (the change helps)."""
+    if not 0 < target < 1:
+        raise ValueError("the target must lie between 0 and 1")
+    c = _with_candidates(cases, requests, key, 1, 30, 3, True)
+    c = c.select(key, "Age", "Gender", "Condition", F.col("Procedure").alias("from_procedure"),
+                 F.col("Length_of_Stay").alias("from_stay"), F.explode("_c").alias("_c"))
+    c = c.select("*", F.col("_c.Procedure").alias("Procedure"), F.col("_c.Length_of_Stay").alias("Length_of_Stay"),
+                 F.col("_c.type_order").alias("type_order"), F.col("_c.option_order").alias("option_order")).drop("_c")
+    p = bundle.scored(_inputs(bundle, c))
+    s = p.select(*_own(p), F.when(F.col("_complete"), F.bround("_p", 4)).alias("new"))
+    mine = Window.partitionBy(key)
+    s = s.withColumn("current", F.max(F.when(F.col("type_order") == 0, F.col("new"))).over(mine))
+    helps = F.when(F.col("type_order") == 3, F.col("new") < F.col("current") * 0.9).otherwise(F.col("new") < F.col("current"))
+    kept = (F.col("type_order") > 0) & (F.col("current") > target) & helps
+    return s.withColumn("kept", F.coalesce(kept, F.lit(False)))
+
+
+def _ranked(s: DataFrame, key: str) -> DataFrame:
+    best = Window.partitionBy(key).orderBy(F.desc("kept"), F.desc(F.bround(F.col("current") - F.col("new"), 4)),
+                                           "type_order", "option_order")
+    return s.withColumn("rank", F.when(F.col("kept"), F.row_number().over(best)))
+
+
+def counterfactuals(bundle, cases: DataFrame, requests: DataFrame,
                     target_probability: float = 0.20, key: str = "request_id", top: int = 10) -> DataFrame:
-    """For each request above the target, the candidate changes that lower
-    the predicted risk (combined changes: by at least 10%), best first, top 10,
-    with ``meets_target``, ``target_achievable`` (over the kept ten) and the
-    number of options kept before the cut.  Current and candidate rows are
-    scored in two ``transform`` passes over the whole batch."""
-    if not 0 < target_probability < 1:
-        raise ValueError("target_probability must be between 0 and 1")
-    cur = (risk_scores(bundle, requests.select(key, "Age", "Gender", "Condition", "Procedure",
-                                               "Length_of_Stay"))
-           .select(key, F.col("probability_of_readmission").alias("current_probability")))
-    above = cur.where(F.col("current_probability") > target_probability)
-    cand = counterfactual_candidates(cases, requests.join(above.select(key), key, "left_semi"), key)
-    scored = risk_scores(bundle, cand).join(cur, key)
-    newp = F.col("probability_of_readmission")
-    keep = F.when(F.col("change_type") == "combined", newp < F.col("current_probability") * 0.9) \
-        .otherwise(newp < F.col("current_probability"))
-    kept = scored.where(keep).withColumn(
-        "probability_reduction", F.bround(F.col("current_probability") - newp, 4))
-    w = Window.partitionBy(key).orderBy(F.desc("probability_reduction"), "option_order")
-    wk = Window.partitionBy(key)
-    ranked = (kept.withColumn("rank", F.row_number().over(w))
-              .withColumn("total_options_explored", F.count(F.lit(1)).over(wk)))
-    top_rows = ranked.where(F.col("rank") <= top).withColumn(
-        "meets_target", newp <= target_probability)
-    return top_rows.select(
-        key, "rank", "change_type", "Procedure", "Length_of_Stay", "current_probability",
-        newp.alias("estimated_probability"), "probability_reduction", "meets_target",
-        F.max(F.col("meets_target").cast("int")).over(wk).cast("boolean").alias("target_achievable"),
-        "total_options_explored")
+    """For each request above the target, the changes that lower the predicted
+    risk (combined changes: by at least 10%), best first, top 10, with what changes
+    from and to.  Requests without such a change: see ``counterfactual_summary``."""
+    s = _ranked(_scored_changes(bundle, cases, requests, target_probability, key), key)
+    up = F.col("Length_of_Stay") - F.col("from_stay")
+    text = (F.when(F.col("type_order") == 1, F.concat(F.when(up > 0, "longer").otherwise("shorter"), F.lit(" stay by "),
+                                                      F.abs(up).cast("string"), F.lit(" days")))
+            .when(F.col("type_order") == 2, F.concat(F.lit("procedure "), F.col("Procedure")))
+            .otherwise(F.concat(F.lit("stay of "), F.col("Length_of_Stay").cast("string"), F.lit(" days, procedure "),
+                                F.col("Procedure"))))
+    kind = F.get(F.array(*[F.lit(t) for t in CHANGE_TYPES]), F.col("type_order") - 1)
+    return s.where(F.col("rank") <= top).select(
+        key, "rank", kind.alias("change_type"), "from_procedure", "Procedure", F.col("from_stay").alias("from_length_of_stay"),
+        "Length_of_Stay", text.alias("description"), F.col("current").alias("current_probability"),
+        F.col("new").alias("estimated_probability"), F.bround(F.col("current") - F.col("new"), 4).alias("probability_reduction"),
+        (F.col("new") <= target_probability).alias("meets_target"))
+
+
+def counterfactual_summary(bundle, cases: DataFrame, requests: DataFrame, target_probability: float = 0.20,
+                           key: str = "request_id", top: int = 10) -> DataFrame:
+    """One answer per request: its current probability (NULL and ``scored``
+    false if it lacks an attribute), whether it is at the target already, the number
+    of options that help, of suggestions kept, and whether a suggestion meets the
+    target."""
+    s = _ranked(_scored_changes(bundle, cases, requests, target_probability, key), key)
+    shown = F.coalesce(F.col("rank") <= top, F.lit(False))
+    return s.groupBy(key).agg(
+        F.max("current").alias("current_probability"),
+        F.max(F.col("current").isNotNull()).alias("scored"),
+        F.max(F.coalesce(F.col("current") <= target_probability, F.lit(False))).alias("already_at_target"),
+        F.sum(F.col("kept").cast("long")).alias("total_options_explored"),
+        F.sum(shown.cast("long")).alias("suggestions"),
+        F.max(shown & F.coalesce(F.col("new") <= target_probability, F.lit(False))).alias("target_achievable"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from casebook.functions.indexing import dense_index
 from casebook.functions.partitioning import spread
-from casebook.session import checkpoint_dir
+from casebook.functions.text import normalise
+from casebook.session import checkpoint_dir, ship_package
 
 CONTEXT_ROLES = ("user", "assistant")
 
@@ -126,7 +127,7 @@ def _count_grams(df: DataFrame, keys, text: str, n: int, short_len: int | None)
     import pandas as pd
     from pyspark.sql import types as T
 
-    from casebook.functions.text import normalise_py
+    ship_package(df.sparkSession)
     keys = list(keys)
     fields = [df.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("gram", T.LongType()), T.StructField("ng", T.LongType()),
@@ -134,8 +135,8 @@ def _count_grams(df: DataFrame, keys, text: str, n: int, short_len: int | None)
 
     def run(batches):
         for pdf in batches:
-            clean = [normalise_py(t) if t is not None else None for t in pdf[text]]
-            is_short = [c is not None and short_len is not None and len(c) < short_len for c in clean]
+            clean = pdf[text].tolist()
+            is_short = [short_len is not None and len(c) < short_len for c in clean]
             longs = [None if s else c for c, s in zip(clean, is_short)]
             ti, gk, cnt = gram_keys(longs, n)
             out = pdf[keys].iloc[ti].reset_index(drop=True)
@@ -148,7 +149,9 @@ def _count_grams(df: DataFrame, keys, text: str, n: int, short_len: int | None)
                 out = pd.concat([out, so], ignore_index=True)
             yield out
 
-    return spread(df.select(*keys, text)).mapInPandas(run, schema)
+    # A null text is an empty one: short, and so in the default language.
+    cleaned = F.coalesce(normalise(F.col(text)), F.lit("")).alias(text)
+    return spread(df.select(*keys, cleaned)).mapInPandas(run, schema)
 
 
 def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
@@ -162,15 +165,15 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
     """
     from pyspark.sql import types as T
 
-    from casebook.functions.text import normalise_py
-    d = docs.where(F.col(lang).isNotNull()).select(lang, text)
+    ship_package(docs.sparkSession)
+    d = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, normalise(F.col(text)).alias(text))
     schema = T.StructType([d.schema[lang], T.StructField("gram", T.LongType()),
                            T.StructField("cnt", T.LongType())])
 
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            clean = [normalise_py(t) if t is not None else None for t in pdf[text]]
+            clean = pdf[text].tolist()
             ti, gk, cnt = gram_keys(clean, n)
             out = pd.DataFrame({lang: pdf[lang].to_numpy()[ti], "gram": gk, "cnt": cnt})
             # Map-side combine inside the batch: one row per (language, gram).

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from casebook.functions.indexing import dense_index
 from casebook.schema import CASE_COLUMNS, KEY, VALUE_COLUMNS
+from casebook.sources.records import CORRUPT
 
 
 def validate_inserts(batch: DataFrame, required=VALUE_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """S4 check: a row is accepted when none of the required fields is NULL
-    (an absent field in a table is NULL).  Rejected rows carry the list of the
-    fields that are missing."""
+    (an absent field in a table is NULL) and, for an imported batch, the line
+    parsed (``_corrupt_record`` is NULL).  Rejected rows carry ``missing``, the
+    fields that are missing, and an imported batch keeps the text of a bad line."""
     req = list(required)
     absent = [c for c in req if c not in batch.columns]
     b = batch
@@ -25,8 +27,11 @@ def validate_inserts(batch: DataFrame, required=VALUE_COLUMNS) -> tuple[DataFram
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in req]),
                        lambda x: x.isNotNull())
     m = b.withColumn("missing", missing)
-    accepted = m.where(F.size("missing") == 0).drop("missing")
-    rejected = m.where(F.size("missing") > 0)
+    good = F.size("missing") == 0
+    if CORRUPT in batch.columns:
+        good = good & F.col(CORRUPT).isNull()
+    accepted = m.where(good).drop("missing", CORRUPT)
+    rejected = m.where(~good)
     return accepted, rejected
 
 
@@ -70,6 +75,15 @@ def fold_updates(updates: DataFrame, fields=VALUE_COLUMNS, key: str = KEY,
     return updates.groupBy(key).agg(*aggs)
 
 
+def rejected_updates(updates: DataFrame, fields=VALUE_COLUMNS, key: str = KEY, seq: str = "seq",
+                     set_col: str = "set_fields") -> DataFrame:
+    """Updates that name a field the table does not have: key, seq and the
+    unknown names.  Their known fields are still applied."""
+    known = F.array(*[F.lit(f) for f in fields])
+    unknown = F.array_except(F.col(set_col), known)
+    return updates.where(F.size(unknown) > 0).select(key, seq, unknown.alias("unknown"))
+
+
 def apply_updates(base: DataFrame, updates: DataFrame, fields=VALUE_COLUMNS, key: str = KEY,
                   seq: str = "seq", set_col: str = "set_fields") -> tuple[DataFrame, DataFrame]:
     """(updated table, unmatched update keys).
@@ -93,4 +107,5 @@ def apply_updates(base: DataFrame, updates: DataFrame, fields=VALUE_COLUMNS, key
 
 
 __all__ = ["validate_inserts", "assign_ids", "insert_records", "fold_updates", "apply_updates",
+           "rejected_updates",
            "CASE_COLUMNS"]

@@ -147,7 +147,7 @@ def _rule_sql(rule) -> str:
     return f"coalesce({f} {sqlop} {lit}, false)"
 
 
-def _triage_sql(limit: int | None) -> str:
+def triage_sql(limit: int | None) -> str:
     score = " + ".join(f"CASE WHEN {_rule_sql(r)} THEN CAST({float(r['score'])} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
                        for r in TRIAGE_RULES)
     reasons = ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{r['description']}' END" for r in TRIAGE_RULES)
@@ -165,12 +165,12 @@ def _joined(df):
     return df.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@register("triage_queue", with_cases(_triage_sql(20)))
+@register("triage_queue", with_cases(triage_sql(20)))
 def triage_queue(spark, sf_dir):
     return _joined(triage.triage_queue(case_view(spark, sf_dir), TRIAGE_RULES, limit=20))
 
 
-@register("triage_flagged", with_cases(_triage_sql(None)))
+@register("triage_flagged", with_cases(triage_sql(None)))
 def triage_flagged(spark, sf_dir):
     return _joined(triage.triage_flagged(case_view(spark, sf_dir), TRIAGE_RULES))
 
@@ -224,7 +224,7 @@ def rare_combinations(spark, sf_dir):
 # ---------------------------------------------------------------- similar cases
 
 @register("similar_cases", with_cases(f"""
-WITH q AS ({_triage_sql(20).strip()}),
+WITH q AS ({triage_sql(20).strip()}),
 pop AS (SELECT * FROM cases WHERE Age IS NOT NULL AND Gender IS NOT NULL AND Condition IS NOT NULL
         AND Procedure IS NOT NULL),
 st AS (SELECT CAST(count(*) AS double) AS n, avg(CAST(Age AS double)) AS m,

@@ -24,6 +24,20 @@ def _imported(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-csv/{uuid.uuid4().hex}"
     src = case_view(spark, sf_dir).select(F.col("Patient_ID").alias("seq"), *VALUE_COLUMNS)
     src.write.mode("overwrite").option("header", True).csv(path)
+    return _read_back(spark, path)
+
+
+def _imported_with_bad_lines(spark, sf_dir):
+    """The import plus, for every 100th case, a line with a surplus field."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-csv/{uuid.uuid4().hex}"
+    src = case_view(spark, sf_dir).select(F.col("Patient_ID").alias("seq"), *VALUE_COLUMNS)
+    src.write.option("header", True).csv(path)
+    bad = src.where("seq % 100 = 0").select((-1 - F.col("seq")).alias("seq"), *VALUE_COLUMNS, F.lit("surplus").alias("more"))
+    bad.write.mode("append").option("header", True).csv(path)
+    return _read_back(spark, path)
+
+
+def _read_back(spark, path):
     return read_records_csv(spark, path, [T.StructField("seq", T.LongType(), True)])
 
 
@@ -42,34 +56,39 @@ SELECT (SELECT max(Patient_ID) FROM cases) + row_number() OVER (ORDER BY seq) AS
 FROM b WHERE {_ALL_SET}"""))
 def insert_accepted(spark, sf_dir):
     store = case_view(spark, sf_dir)
-    batch = _imported(spark, sf_dir).drop("_corrupt_record")
+    batch = _imported_with_bad_lines(spark, sf_dir)
     _, accepted, _ = writes.insert_records(store, batch, ["seq"])
     return accepted.select("Patient_ID", "seq", *VALUE_COLUMNS)
 
 
 @register("insert_rejected", with_cases(f"""
-SELECT Patient_ID AS seq, concat_ws(',', {", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in VALUE_COLUMNS)}) AS missing
-FROM cases WHERE {_ANY_NULL}"""))
+SELECT Patient_ID AS seq, concat_ws(',', {", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in VALUE_COLUMNS)}) AS missing,
+  false AS bad_line
+FROM cases WHERE {_ANY_NULL}
+UNION ALL
+SELECT -1 - Patient_ID, concat_ws(',', {", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in VALUE_COLUMNS)}), true
+FROM cases WHERE Patient_ID % 100 = 0"""))
 def insert_rejected(spark, sf_dir):
-    batch = _imported(spark, sf_dir).drop("_corrupt_record")
-    _, rejected = writes.validate_inserts(batch)
-    return rejected.select("seq", F.array_join("missing", ",").alias("missing"))
+    _, rejected = writes.validate_inserts(_imported_with_bad_lines(spark, sf_dir))
+    return rejected.select("seq", F.array_join("missing", ",").alias("missing"),
+                           F.col("_corrupt_record").isNotNull().alias("bad_line"))
 
 
 def update_requests(spark, sf_dir):
     """A keyed update batch derived from ``events``: each event updates the case
-    whose key equals the event's user id, in event-id order.  The event type
-    picks the field; ``error`` events set Outcome to NULL explicitly."""
+    whose key is 120 times the event's user id, in event-id order (some keys are
+    beyond the table).  The event type picks the field; ``error`` events set Outcome
+    to NULL explicitly; ``signup`` events also name a field that does not exist."""
     e = read_table(spark, sf_dir, "events")
     et, v = F.col("event_type"), F.col("value")
     none = F.lit(None)
     return e.select(
-        F.col("user_id").alias("Patient_ID"), F.col("event_id").alias("seq"),
+        (F.col("user_id") * 120).alias("Patient_ID"), F.col("event_id").alias("seq"),
         F.when(et == "view", F.array(F.lit("Satisfaction")))
          .when(et == "purchase", F.array(F.lit("Cost")))
          .when(et == "click", F.array(F.lit("Length_of_Stay")))
          .when(et == "error", F.array(F.lit("Outcome")))
-         .when(et == "signup", F.array(F.lit("Readmission")))
+         .when(et == "signup", F.array(F.lit("Readmission"), F.lit("Ward")))
          .otherwise(F.array().cast("array<string>")).alias("set_fields"),
         none.cast("int").alias("Age"), none.cast("string").alias("Gender"),
         none.cast("string").alias("Condition"), none.cast("string").alias("Procedure"),
@@ -81,7 +100,7 @@ def update_requests(spark, sf_dir):
     )
 
 
-_UPD_CTE = """u AS (SELECT user_id AS Patient_ID, event_id AS seq, event_type, value FROM events),
+_UPD_CTE = """u AS (SELECT user_id * 120 AS Patient_ID, event_id AS seq, event_type, value FROM events),
 f AS (SELECT Patient_ID, count(*) AS n_updates,
   arg_max({'v': CAST(CAST(floor(value) AS int) % 5 + 1 AS int)}, seq) FILTER (WHERE event_type = 'view') AS s_sat,
   arg_max({'v': value}, seq) FILTER (WHERE event_type = 'purchase') AS s_cost,
@@ -113,6 +132,13 @@ def update_unmatched(spark, sf_dir):
     return unmatched
 
 
+@register("update_rejected", """
+SELECT user_id * 120 AS Patient_ID, event_id AS seq, 'Ward' AS unknown FROM events WHERE event_type = 'signup'""")
+def update_rejected(spark, sf_dir):
+    bad = writes.rejected_updates(update_requests(spark, sf_dir))
+    return bad.withColumn("unknown", F.array_join("unknown", ","))
+
+
 @register("insert_store", with_cases(f"""
 WITH b AS (SELECT Patient_ID AS seq, {_V} FROM cases)
 SELECT * FROM cases
@@ -125,7 +151,7 @@ def insert_store(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-store/{uuid.uuid4().hex}"
     store = case_view(spark, sf_dir)
     append_records(store, path)
-    batch = _imported(spark, sf_dir).drop("_corrupt_record")
+    batch = _imported(spark, sf_dir)
     _, accepted, _ = writes.insert_records(scan_records(spark, path), batch, ["seq"])
     append_records(accepted.select(*store.columns), path)
     return scan_records(spark, path)

@@ -10,9 +10,20 @@ from casebook.schema import CASE_SCHEMA, VALUE_COLUMNS
 CORRUPT = "_corrupt_record"
 
 
-def scan_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The record table with the explicit case schema (no inference)."""
-    return spark.read.format(fmt).schema(CASE_SCHEMA).load(path)
+def scan_records(spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+    """The record table with the explicit case schema (no inference).
+
+    ``options`` go to the reader.  A JDBC table (``fmt="jdbc"``, no path) brings its
+    own schema; pass ``url``, ``dbtable`` and, to read it in parallel,
+    ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``.
+    """
+    reader = spark.read.format(fmt).options(**options)
+    if fmt == "jdbc":
+        split = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+        if split & set(options) and not split <= set(options):
+            raise ValueError(f"a partitioned read needs all of {sorted(split)}")
+        return reader.load().select(*[f.name for f in CASE_SCHEMA.fields])
+    return reader.schema(CASE_SCHEMA).load(path)
 
 
 def csv_schema(extra: list[T.StructField] | None = None) -> T.StructType:

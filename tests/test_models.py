@@ -20,7 +20,7 @@ def los(small_cases):
 
 
 def _inputs(bundle, df):
-    x = forest._numeric_inputs(bundle, df.na.drop(subset=bundle.features))
+    x = bundle.numeric_inputs(df.na.drop(subset=bundle.features))
     cols = bundle.model_columns()
     return x, cols
 
@@ -34,7 +34,7 @@ def test_label_codes_alphabetical_unseen_zero(spark, risk):
     req = spark.createDataFrame([(1, 30.0, "Q", "NEWCOND", "NEWPROC", 5.0)],
                                 "id long, Age double, Gender string, Condition string, Procedure string, "
                                 "Length_of_Stay double")
-    x = forest._numeric_inputs(risk, req).first()
+    x = risk.numeric_inputs(req).first()
     assert x["Gender_code"] == 0.0 and x["Condition_code"] == 0.0
 
 
@@ -124,8 +124,14 @@ def test_counterfactuals(spark, risk, small_cases):
     for _, g in c.groupby("request_id"):
         g = g.sort_values("rank")
         assert len(g) <= 10 and list(g.probability_reduction) == sorted(g.probability_reduction, reverse=True)
-        assert g.target_achievable.iloc[0] == g.meets_target.any()
-        assert g.total_options_explored.iloc[0] >= len(g)
+    s = scoring.counterfactual_summary(risk, small_cases, req, 0.2).toPandas().set_index("request_id")
+    assert len(s) == req.count()
+    for k, g in c.groupby("request_id"):
+        assert s.suggestions[k] == len(g) <= s.total_options_explored[k]
+        assert s.target_achievable[k] == g.meets_target.any()
+    silent = s.drop(index=c.request_id.unique())
+    assert (silent.suggestions == 0).all() and not silent.target_achievable.any()
+    assert scoring.rejected_requests(risk, req).count() == (~s.scored).sum() > 0
     comb = c[c.change_type == "combined"]
     assert (comb.estimated_probability < comb.current_probability * 0.9).all()
     with pytest.raises(ValueError):
