@@ -1,143 +1,109 @@
-"""Exact global quantiles without gathering every distinct value in one task.
-
-Spark's exact ``percentile`` merges a value->count map of *all* distinct values
-into the single final task of a global aggregate: fine for day counts or
-scores, unbounded for a continuous column such as Cost.  Here the distinct
-values (with their counts) stay distributed:
-
-1. ``groupBy(value).count()`` -- hot values collapse in the map-side combine;
-2. approximate boundaries (a fixed-size sketch) cut the distinct values into
-   ``buckets`` ranges of about equal distinct count; exact per-bucket row
-   counts (one row per bucket) locate the bucket holding each target rank;
-3. only those buckets are refined the same way until one holds at most
-   ``leaf_rows`` distinct values, which are then ranked exactly.
-
-The boundaries only decide bucket sizes, never the answer: the result equals
-``percentile`` (same linear interpolation, same arithmetic).  Driver-side data
-is bounded by ``buckets`` rows per level and the number of target ranks.
+"""Exact quantiles, global or per group, without one task holding a group's values.
+
+Spark's exact ``percentile`` merges a value->count map of *all* distinct values of a
+group into one task: fine for day counts, unbounded for a continuous column.  Here
+one method serves every type and size, in two lazy passes:
+
+1. one aggregate takes counts and fixed-size sketches; a sketch brackets every
+   wanted rank between two values that about 4 / ``accuracy`` of the rows lie between
+   (a group of fewer than 2 * ``accuracy`` rows is bracketed by its least and
+   greatest value);
+2. a second aggregate counts exactly: rows between brackets collapse to one count
+   per gap, rows inside a bracket to one count per value.  The running sum of those
+   counts ranks the values.
+
+The brackets only decide what is counted one by one, never the answer: results equal
+``percentile`` (same linear interpolation, same arithmetic).
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.session import checkpoint_dir
-
-
-def _values_at(d: DataFrame, ranks: list[int], buckets: int, leaf_rows: int, accuracy: int,
-               depth: int = 0, m: int | None = None) -> dict[int, float]:
-    """Values at 0-based row ranks within the distinct-value table ``d(v, c)``
-    (``m`` = its row count when already known)."""
-    if not ranks:
-        return {}
-    m = d.count() if m is None else m
-    if m <= leaf_rows or depth >= 6:
-        # Bounded: at most ``leaf_rows`` distinct values in this slice.
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = d.withColumn("_hi", F.sum("c").over(w)).withColumn("_lo", F.col("_hi") - F.col("c"))
-        conds = F.lit(False)
-        for r in ranks:
-            conds = conds | ((F.col("_lo") <= r) & (F.lit(r) < F.col("_hi")))
-        rows = cum.where(conds).select("v", "_lo", "_hi").collect()
-        out = {}
-        for r in ranks:
-            for row in rows:
-                if row["_lo"] <= r < row["_hi"]:
-                    out[r] = row["v"]
-                    break
-        return out
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.agg(F.percentile_approx("v", probs, accuracy).alias("b")).first()["b"]
-    splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
-    bz = Bucketizer(splits=splits, inputCol="v", outputCol="_b", handleInvalid="keep")
-    # The bucket rule is "lower <= v < upper"; the last bucket also takes +inf.
-    bd = bz.transform(d)
-    counts = sorted((int(r["_b"]), int(r["n"]), int(r["m"])) for r in
-                    bd.groupBy("_b").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m")).collect())
-    out, start, by_bucket = {}, 0, {}
-    for b, n, mb in counts:
-        for r in ranks:
-            if start <= r < start + n:
-                by_bucket.setdefault(b, (start, [], mb))[1].append(r)
-        start += n
-    for b, (off, rs, mb) in by_bucket.items():
-        sub = bd.where(F.col("_b") == float(b)).select("v", "c")
-        got = _values_at(sub, [r - off for r in rs], buckets, leaf_rows, accuracy, depth + 1, mb)
-        out.update({r: got[r - off] for r in rs if (r - off) in got})
-    return out
-
-
-def _interpolate(n: int, qs, vals_at) -> list:
-    out = []
-    for q in qs:
-        p = (n - 1) * q
-        lo, hi = math.floor(p), math.ceil(p)
-        vlo, vhi = vals_at[lo], vals_at[hi]
-        out.append(vlo if lo == hi or vlo == vhi else (hi - p) * vlo + (p - lo) * vhi)
-    return out
-
-
-def multi_quantiles(df: DataFrame, spec: dict, buckets: int = 512, leaf_rows: int = 1_000_000,
-                    accuracy: int = 10_000) -> DataFrame:
-    """Exact quantiles for several columns from ONE pass over ``df``:
-    ``spec = {column: [q, ...]}`` -> one row, one ``array<double>`` column per
-    input column (NULLs when a column has no value).
-
-    The columns are stacked into (column, value) pairs and counted together,
-    so the input (often a join) is computed once; the distinct-value table is
-    checkpointed to the shared folder and searched per column."""
-    spark = df.sparkSession
-    cols = list(spec)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("_s"))
-    d = (stacked.where(F.col("_s.v").isNotNull())
-         .groupBy(F.col("_s.k").alias("k"), F.col("_s.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    checkpoint_dir(spark)
-    d = d.checkpoint(eager=True)
-    stats = {r["k"]: (r["n"], r["m"]) for r in
-             d.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m")).collect()}
-    want = {}
+ACCURACY = 20_000
+
+
+def _brackets(i: int, qs: list[float], accuracy: int) -> Column:
+    """[(low, high)] around each rank of column ``_v{i}``."""
+    pairs = []
+    small = F.col(f"_n{i}") < 2 * accuracy
+    for j in range(len(qs)):
+        pairs.append(F.struct(
+            F.when(small, F.col(f"_min{i}")).otherwise(F.get(f"_s{i}", 2 * j)).alias("low"),
+            F.when(small, F.col(f"_max{i}")).otherwise(F.get(f"_s{i}", 2 * j + 1)).alias("high")))
+    return F.array(*pairs).alias(f"_e{i}")
+
+
+def quantile_table(df: DataFrame, spec: dict, keys=(), accuracy: int = ACCURACY) -> DataFrame:
+    """``spec = {column: [q, ...]}`` -> the keys (one row a group; no keys: one row)
+    and one ``array<double>`` per column, NULLs where a group has no value.  NULL keys
+    are a group.  ``df`` is read twice, lazily; nothing is collected."""
+    keys, cols = list(keys), list(spec)
+    qs = {c: [float(q) for q in spec[c]] for c in cols}
+    base = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    margin = 2.0 / accuracy
+    aggs = []
     for i, c in enumerate(cols):
-        n, m = (int(x) for x in stats.get(i, (0, 0)))
-        if n:
-            pos = [(n - 1) * float(q) for q in spec[c]]
-            want[i] = (n, m, sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos}))
-    found = {}
-    small = {i for i, (_, m, _) in want.items() if m <= leaf_rows}
-    if small:
-        # Every small column at once: one window partition per column, each
-        # bounded by ``leaf_rows`` distinct values.
-        w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = (d.where(F.col("k").isin(sorted(small)))
-               .withColumn("_hi", F.sum("c").over(w)).withColumn("_lo", F.col("_hi") - F.col("c")))
-        conds = F.lit(False)
-        for i in small:
-            for r in want[i][2]:
-                conds = conds | ((F.col("k") == i) & (F.col("_lo") <= r) & (F.lit(r) < F.col("_hi")))
-        for row_ in cum.where(conds).select("k", "v", "_lo", "_hi").collect():
-            for r in want[row_["k"]][2]:
-                if row_["_lo"] <= r < row_["_hi"]:
-                    found.setdefault(row_["k"], {})[r] = row_["v"]
-    for i in set(want) - small:
-        found[i] = _values_at(d.where(F.col("k") == i).select("v", "c"), want[i][2], buckets, leaf_rows,
-                              accuracy, m=want[i][1])
-    row = []
+        v = F.col(f"_v{i}")
+        probs = [p for q in qs[c] for p in (max(0.0, q - margin), min(1.0, q + margin))]
+        aggs += [F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_min{i}"), F.max(v).alias(f"_max{i}"),
+                 F.percentile_approx(v, probs, accuracy).alias(f"_s{i}")]
+    marks = base.groupBy(*keys).agg(*aggs).select(
+        *[F.col(k).alias(f"_g_{k}") for k in keys], *[_brackets(i, qs[c], accuracy) for i, c in enumerate(cols)])
+    if keys:
+        same = reduce(lambda a, b: a & b, [base[k].eqNullSafe(marks[f"_g_{k}"]) for k in keys])
+        marked = base.join(marks, same)
+    else:
+        marked = base.crossJoin(F.broadcast(marks))  # one row
+
+    def cell(i: int, c: str) -> Column:
+        """(column, gap or bracket number, value if inside a bracket): in value order."""
+        v, edges = F.col(f"_v{i}"), [F.get(f"_e{i}", j) for j in range(len(qs[c]))]
+        at = sum(((v >= e["low"]).cast("int") + (v > e["high"]).cast("int") for e in edges), F.lit(0))
+        inside = reduce(lambda a, b: a | b, [(v >= e["low"]) & (v <= e["high"]) for e in edges])
+        return F.struct(F.lit(i).alias("i"), at.alias("at"), F.when(inside, v).alias("x"), v.isNotNull().alias("has"))
+
+    s = marked.select(*keys, F.explode(F.array(*[cell(i, c) for i, c in enumerate(cols)])).alias("_c"))
+    counts = s.groupBy(*keys, F.col("_c.i").alias("_i"), F.col("_c.at").alias("_at"), F.col("_c.x").alias("_x")).agg(
+        F.sum(F.col("_c.has").cast("long")).alias("_k"))
+    group = [*keys, "_i"]
+    running = Window.partitionBy(*group).orderBy("_at", "_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (counts.withColumn("_end", F.sum("_k").over(running)).withColumn("_start", F.col("_end") - F.col("_k"))
+              .withColumn("_n", F.sum("_k").over(Window.partitionBy(*group))))
+
+    def position(q: float) -> Column:
+        return (F.col("_n") - 1).cast("double") * F.lit(q)
+
+    picks, out = [], []
     for i, c in enumerate(cols):
-        qs = [float(q) for q in spec[c]]
-        row.append(_interpolate(want[i][0], qs, found[i]) if i in want else [None] * len(qs))
-    schema = ", ".join(f"`{c}` array<double>" for c in cols)
-    return spark.createDataFrame([tuple(row)], schema)
-
-
-def global_quantiles(df: DataFrame, col: str, qs, buckets: int = 512, leaf_rows: int = 1_000_000,
-                     accuracy: int = 10_000) -> DataFrame:
+        mine = F.col("_i") == i
+        picks.append(F.max(F.when(mine, F.col("_n"))).alias(f"_n{i}"))
+        for j, q in enumerate(qs[c]):
+            for name, rank in (("lo", F.floor(position(q))), ("hi", F.ceil(position(q)))):
+                here = mine & (F.col("_start") <= rank) & (rank < F.col("_end"))
+                picks.append(F.max(F.when(here, F.col("_x"))).alias(f"_{name}{i}_{j}"))
+        values = []
+        for j, q in enumerate(qs[c]):
+            p = (F.col(f"_n{i}") - 1).cast("double") * F.lit(q)
+            lo, hi, vlo, vhi = F.floor(p), F.ceil(p), F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
+            values.append(F.when((lo == hi) | (vlo == vhi), vlo)
+                          .otherwise((hi.cast("double") - p) * vlo + (p - lo.cast("double")) * vhi))
+        out.append(F.array(*values).alias(c))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+
+
+def multi_quantiles(df: DataFrame, spec: dict, accuracy: int = ACCURACY) -> DataFrame:
+    """One row: an array of exact quantiles per column of ``spec``."""
+    return quantile_table(df, spec, accuracy=accuracy)
+
+
+def global_quantiles(df: DataFrame, col: str, qs, accuracy: int = ACCURACY) -> DataFrame:
     """One row with one column ``q`` = array of exact quantiles (linear
     interpolation at (n-1)*q, as ``percentile``); NULLs when there is no value."""
-    return multi_quantiles(df, {col: qs}, buckets, leaf_rows, accuracy).withColumnRenamed(col, "q")
+    return multi_quantiles(df, {col: qs}, accuracy).withColumnRenamed(col, "q")
 
 
 def global_quantile_row(df: DataFrame, col: str, qs, exact: bool = True, name: str = "q",
@@ -158,92 +124,17 @@ def quantile_rows(df: DataFrame, spec: dict, exact: bool = True, accuracy: int =
                     .cast("array<double>").alias(c) for c, qs in spec.items()])
 
 
-FRACTIONAL = ("double", "float")
-# Largest per-group distinct count for which Spark's exact ``percentile`` (a
-# value->count map per group in one task) is allowed; beyond it the bucketed
-# method runs.  The check uses a 5% sketch, so the bound keeps a margin.
-MAX_PERCENTILE_VALUES = 2_000_000
-
-
-def _count_le(arr, v, lo: int, hi: int):
-    """Number of elements <= v in the sorted array slice [lo, hi): a binary
-    search unrolled into nested CASE expressions (codegen'd, log2 depth), so
-    bucketing costs ~log2(buckets) comparisons per value."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.get(arr, mid) <= v, _count_le(arr, v, mid + 1, hi)).otherwise(_count_le(arr, v, lo, mid))
-
-
-def grouped_quantiles(df: DataFrame, keys, col: str, qs, buckets: int = 256,
-                      accuracy: int = 10_000, out: str = "q") -> DataFrame:
-    """Exact per-group quantiles (``keys..., out array<double>``), lazily and
-    without holding a whole group's distinct values in one task.
-
-    Per group, distinct values are cut into ``buckets`` ranges by a fixed-size
-    sketch; exact per-bucket counts (at most groups x buckets rows) locate the
-    bucket of each target rank, and only those buckets are ranked.  A hot group
-    is thereby spread over its buckets.  Same interpolation as ``percentile``.
-    """
+def grouped_quantiles(df: DataFrame, keys, col: str, qs, accuracy: int = ACCURACY, out: str = "q") -> DataFrame:
+    """Exact per-group quantiles: ``keys..., out array<double>``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    qs = [float(q) for q in qs]
-    d = (df.where(F.col(col).isNotNull())
-         .groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("_b"),
-                                  F.sum("c").alias("_N"))
-    db = (d.join(bounds.select(*keys, "_b"), keys)
-          .withColumn("_bk", _count_le(F.col("_b"), F.col("v"), 0, buckets - 1)).drop("_b"))
-    bc = db.groupBy(*keys, "_bk").agg(F.sum("c").alias("_n"))
-    # One window partition per group over at most ``buckets`` rows.
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bc = bc.withColumn("_end", F.sum("_n").over(wb)).withColumn("_start", F.col("_end") - F.col("_n"))
-    def pos(q):
-        return (F.col("_N") - 1).cast("double") * F.lit(q)
-
-    ranks = bounds.select(*keys, F.explode(F.array_distinct(F.array(
-        *[e for q in qs for e in (F.floor(pos(q)).cast("long"), F.ceil(pos(q)).cast("long"))]))).alias("_r"))
-    rb = (ranks.join(bc, keys).where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-          .select(*keys, "_r", "_bk", (F.col("_r") - F.col("_start")).alias("_off")))
-    cand = db.join(rb.select(*keys, "_bk").distinct(), [*keys, "_bk"], "left_semi")
-    wv = Window.partitionBy(*keys, "_bk").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                                   Window.currentRow)
-    cand = cand.withColumn("_ce", F.sum("c").over(wv)).withColumn("_cs", F.col("_ce") - F.col("c"))
-    vals = (cand.join(rb, [*keys, "_bk"])
-            .where((F.col("_cs") <= F.col("_off")) & (F.col("_off") < F.col("_ce")))
-            .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "v"))).alias("_m")))
-    # At most two ranks per quantile per group: a small map, then one projection.
-    res = []
-    for q in qs:
-        p, lo, hi = pos(q), F.floor(pos(q)), F.ceil(pos(q))
-        vlo, vhi = F.col("_m")[lo.cast("long")], F.col("_m")[hi.cast("long")]
-        res.append(F.when((lo == hi) | (vlo == vhi), vlo)
-                   .otherwise((hi.cast("double") - p) * vlo + (p - lo.cast("double")) * vhi))
-    return bounds.select(*keys, "_N").join(vals, keys).select(*keys, F.array(*res).alias(out))
+    return quantile_table(df, {col: qs}, keys, accuracy).withColumnRenamed(col, out)
 
 
 def grouped_quantile_frame(df: DataFrame, keys, col: str, qs, exact: bool = True,
-                           out: str = "q", accuracy: int = 100_000, method: str = "auto") -> DataFrame:
-    """Per-group quantiles as ``keys..., out``.
-
-    exact + fractional column: Spark's ``percentile`` when a size check shows
-    every group has at most ``MAX_PERCENTILE_VALUES`` distinct values, else
-    ``grouped_quantiles`` (forced with ``method="distributed"``);
-    exact + integral column: ``percentile`` (state bounded by the distinct
-    values per group: days, ages, scores); not exact: a sketch."""
+                           out: str = "q", accuracy: int = 100_000) -> DataFrame:
+    """Per-group quantiles as ``keys..., out``: exact, or one sketch aggregate."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    arr = F.array(*[F.lit(float(q)) for q in qs])
-    if not exact:
-        return df.groupBy(*keys).agg(F.percentile_approx(F.col(col).cast("double"), arr, accuracy)
-                                     .cast("array<double>").alias(out))
-    frac = df.schema[col].dataType.simpleString() in FRACTIONAL
-    if method == "auto" and frac:
-        # Size check before choosing: ``percentile`` keeps every distinct value
-        # of a group in one task, so it is used only when the largest group's
-        # distinct count (a bounded sketch per group) is under the limit.
-        widest = (df.groupBy(*keys).agg(F.approx_count_distinct(col, 0.05).alias("_d"))
-                  .agg(F.max("_d")).first()[0] or 0)
-        method = "percentile" if widest <= MAX_PERCENTILE_VALUES else "distributed"
-    if method == "distributed":
+    if exact:
         return grouped_quantiles(df, keys, col, qs, out=out)
-    return df.groupBy(*keys).agg(F.percentile(F.col(col), arr).cast("array<double>").alias(out))
+    return df.groupBy(*keys).agg(F.percentile_approx(F.col(col).cast("double"), [float(q) for q in qs], accuracy)
+                                 .cast("array<double>").alias(out))

@@ -6,11 +6,13 @@ where sigma_t is the population standard deviation of age over the complete
 records *plus the target* (0 -> 1), obtained in closed form from one aggregate:
     sigma_t^2 = (n*var + n/(n+1) * (t - mean)^2) / (n + 1).
 
-Records with equal (age, categoricals) -- a *profile* -- are equidistant from
-any target, so the search runs over the profile table (an aggregate, bounded by
-the number of distinct profiles), then only the chosen profiles are joined back
-to at most ``n`` records each (lowest keys first; the per-profile limit is
-applied before the shuffle, so a hot profile costs ``n`` rows per map task).
+Take a record among a target's n nearest and the set S of categoricals on which the
+two agree.  Among all records that agree on S it is one of the n nearest by age
+(ties by key), since any record before it there is nearer or as near.  So the search
+is, for each of the 2^3 sets S, an equi-join of the target on the categoricals in S
+with a table of ages that keeps the n lowest keys per age, cut at the n nearest
+ages; the at most 8 n survivors (and ties) are ranked exactly.  It runs once per
+distinct target profile, and the answers are joined back to the targets.
 """
 
 from __future__ import annotations
@@ -32,42 +34,50 @@ def similar_cases(pop: DataFrame, targets: DataFrame, n: int = 5,
     feats = [NUMERIC_FEATURE, *CATEGORICAL_FEATURES]
     missing = [c for c in feats + [target_key] if c not in targets.columns]
     if missing:
-        raise ValueError(f"Target lacks feature(s) {missing}")
+        raise ValueError(f"the targets have no column for {missing}")
     popc = pop.na.drop(subset=feats)
-    profiles = popc.groupBy(*feats).agg(F.count(F.lit(1)).alias("_cnt"))
-    # Population mean and variance of age from the (small) profile table:
-    # two passes over profiles (mean, then squared deviations), no extra pass
-    # over the records.
     a = F.col(NUMERIC_FEATURE).cast("double")
-    m = profiles.agg(F.sum("_cnt").cast("double").alias("_n"),
-                     (F.sum(a * F.col("_cnt")) / F.sum("_cnt")).alias("_m"))
-    stats = F.broadcast(profiles.crossJoin(F.broadcast(m)).groupBy("_n", "_m").agg(
-        (F.sum(F.col("_cnt") * (a - F.col("_m")) ** 2) / F.first("_n")).alias("_v")))
+    ages = popc.groupBy(a.alias("_a")).agg(F.count(F.lit(1)).alias("_cnt"))
+    m = ages.agg(F.sum("_cnt").cast("double").alias("_n"),
+                 (F.sum(F.col("_a") * F.col("_cnt")) / F.sum("_cnt")).alias("_m"))
+    stats = F.broadcast(ages.crossJoin(F.broadcast(m)).groupBy("_n", "_m").agg(
+        (F.sum(F.col("_cnt") * (F.col("_a") - F.col("_m")) ** 2) / F.first("_n")).alias("_v")))
+
+    # The n lowest keys of every profile, then of every (S, values on S, age).
+    low = Window.partitionBy(*feats).orderBy(key)
+    few = (popc.select(key, *feats).withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= n).drop("_r"))
+    agree = [f"_k{i}" for i in range(len(CATEGORICAL_FEATURES))]
+
+    def on_sets(df: DataFrame, cols) -> DataFrame:
+        """One row for each set S: its number and the values on S (empty elsewhere)."""
+        out = df.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in range(1 << len(cols))])))
+        return out.select("*", *[F.when(F.col("_s").bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(F.lit("")).alias(k)
+                                 for i, (c, k) in enumerate(zip(cols, agree))])
+
+    here = Window.partitionBy("_s", *agree, "_a").orderBy(key)
+    index = (on_sets(few.withColumn("_a", a), CATEGORICAL_FEATURES)
+             .withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= n)
+             .groupBy("_s", *agree, "_a").agg(F.collect_list(F.struct(F.col(key).alias("key"), *CATEGORICAL_FEATURES)).alias("_near")))
+
     t = targets.select(target_key, *[F.col(c).alias(f"t_{c}") for c in feats]).na.drop()
+    ask = [f"t_{c}" for c in feats]
     ta = F.col(f"t_{NUMERIC_FEATURE}").cast("double")
     var_t = ((F.col("_n") * F.col("_v") + F.col("_n") / (F.col("_n") + 1) * (ta - F.col("_m")) ** 2)
              / (F.col("_n") + 1))
-    t = t.crossJoin(stats).select(
-        "*", F.when(F.sqrt(var_t) > 0, F.sqrt(var_t)).otherwise(F.lit(1.0)).alias("_sigma"))
-
-    mism = sum((F.col(c) != F.col(f"t_{c}")).cast("int") for c in CATEGORICAL_FEATURES)
-    d2 = ((F.col(NUMERIC_FEATURE).cast("double") - ta) / F.col("_sigma")) ** 2 + F.lit(2.0) * mism
-    # Targets x profiles: both sides are small derived tables (request rows, and
-    # distinct profiles); the planner broadcasts whichever is under the limit.
-    pairs = t.crossJoin(profiles).select(target_key, *feats, "_cnt", d2.alias("_d2"))
-    # Keep every profile up to the distance at which n records are reached,
-    # including all profiles tied at that distance (their keys may win the tie).
-    w = Window.partitionBy(target_key).orderBy("_d2", *feats)
-    wt_all = Window.partitionBy(target_key)
-    chosen = (pairs.withColumn("_cum", F.sum("_cnt").over(w))
-              .withColumn("_cut", F.min(F.when(F.col("_cum") >= n, F.col("_d2"))).over(wt_all))
-              .where(F.col("_cut").isNull() | (F.col("_d2") <= F.col("_cut")))
-              .drop("_cum", "_cut", "_cnt"))
-
-    wp = Window.partitionBy(*feats).orderBy(key)
-    top_per_profile = popc.withColumn("_rp", F.row_number().over(wp)).where(F.col("_rp") <= n).drop("_rp")
-    cand = chosen.join(top_per_profile, feats)
-    wt = Window.partitionBy(target_key).orderBy("_d2", key)
-    ranked = cand.withColumn("rank", F.row_number().over(wt)).where(F.col("rank") <= n)
-    return ranked.select(target_key, "rank", F.bround(F.sqrt("_d2"), 6).alias("distance"),
-                         *[c for c in pop.columns])
+    profiles = t.select(*ask).distinct().crossJoin(stats).select(
+        *ask, F.when(F.sqrt(var_t) > 0, F.sqrt(var_t)).otherwise(F.lit(1.0)).alias("_sigma"))
+    met = on_sets(profiles, ask[1:]).join(index, ["_s", *agree]).withColumn("_gap", F.abs(F.col("_a") - ta))
+    size = F.size("_near")
+    upto = Window.partitionBy("_s", *ask).orderBy("_gap").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("_s", *ask, "_gap")
+    met = (met.withColumn("_upto", F.sum(size).over(upto)).withColumn("_same", F.sum(size).over(level))
+           .where(F.col("_upto") - F.col("_same") < n))
+    found = met.select(*ask, "_sigma", "_a", F.explode("_near").alias("_c"))
+    mism = sum((F.col(f"_c.{c}") != F.col(f"t_{c}")).cast("int") for c in CATEGORICAL_FEATURES)
+    d2 = ((F.col("_a") - ta) / F.col("_sigma")) ** 2 + F.lit(2.0) * mism
+    found = found.select(*ask, F.col("_c.key").alias(key), d2.alias("_d2")).distinct()
+    best = Window.partitionBy(*ask).orderBy("_d2", key)
+    answers = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    answers = answers.join(popc, key)
+    return t.join(answers, ask).select(target_key, "rank", F.bround(F.sqrt("_d2"), 6).alias("distance"),
+                                       *[F.col(c) for c in pop.columns])

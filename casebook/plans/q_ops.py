@@ -223,29 +223,25 @@ def rare_combinations(spark, sf_dir):
 
 # ---------------------------------------------------------------- similar cases
 
-@register("similar_cases", with_cases(f"""
-WITH q AS ({triage_sql(20).strip()}),
-pop AS (SELECT * FROM cases WHERE Age IS NOT NULL AND Gender IS NOT NULL AND Condition IS NOT NULL
+@register("similar_cases", with_cases("""
+WITH pop AS (SELECT * FROM cases WHERE Age IS NOT NULL AND Gender IS NOT NULL AND Condition IS NOT NULL
         AND Procedure IS NOT NULL),
 st AS (SELECT CAST(count(*) AS double) AS n, avg(CAST(Age AS double)) AS m,
        var_pop(CAST(Age AS double)) AS v FROM pop),
-t AS (SELECT q.Patient_ID AS target_id, q.Age AS t_Age, q.Gender AS t_Gender, q.Condition AS t_Condition,
-        q.Procedure AS t_Procedure,
-        (n * v + n / (n + 1) * (CAST(q.Age AS double) - m) ^ 2) / (n + 1) AS var_t
-      FROM q CROSS JOIN st
-      WHERE q.Age IS NOT NULL AND q.Gender IS NOT NULL AND q.Condition IS NOT NULL AND q.Procedure IS NOT NULL),
-t2 AS (SELECT *, CASE WHEN sqrt(var_t) > 0 THEN sqrt(var_t) ELSE 1.0 END AS sigma FROM t),
-pr AS (SELECT t2.target_id, pop.*,
+t AS (SELECT DISTINCT Age AS t_Age, Gender AS t_Gender, Condition AS t_Condition, Procedure AS t_Procedure FROM pop),
+t2 AS (SELECT t.*, CASE WHEN var_t > 0 THEN sqrt(var_t) ELSE 1.0 END AS sigma
+       FROM (SELECT t.*, (n * v + n / (n + 1) * (CAST(t_Age AS double) - m) ^ 2) / (n + 1) AS var_t FROM t CROSS JOIN st) t),
+pr AS (SELECT t2.t_Age, t2.t_Gender, t2.t_Condition, t2.t_Procedure, pop.*,
         ((CAST(pop.Age AS double) - CAST(t_Age AS double)) / sigma) ^ 2
         + 2.0 * ((pop.Gender <> t_Gender)::int + (pop.Condition <> t_Condition)::int
                  + (pop.Procedure <> t_Procedure)::int) AS d2
       FROM t2 CROSS JOIN pop),
-rk AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d2, Patient_ID) AS rank FROM pr)
-SELECT target_id, CAST(rank AS int) AS rank, round_even(sqrt(d2), 6) AS distance,
-  Patient_ID, Age, Gender, Condition, Procedure, Cost, Length_of_Stay, Readmission, Outcome, Satisfaction
-FROM rk WHERE rank <= 5"""))
+rk AS (SELECT *, row_number() OVER (PARTITION BY t_Age, t_Gender, t_Condition, t_Procedure ORDER BY d2, Patient_ID) AS rank
+       FROM pr QUALIFY rank <= 5)
+SELECT q.Patient_ID AS target_id, CAST(rk.rank AS int) AS rank, round_even(sqrt(d2), 6) AS distance,
+  rk.Patient_ID, rk.Age, rk.Gender, rk.Condition, rk.Procedure, rk.Cost, rk.Length_of_Stay, rk.Readmission, rk.Outcome, rk.Satisfaction
+FROM pop q JOIN rk ON q.Age = t_Age AND q.Gender = t_Gender AND q.Condition = t_Condition AND q.Procedure = t_Procedure"""))
 def similar_cases(spark, sf_dir):
+    # Every complete case is a target.
     cases = case_view(spark, sf_dir)
-    targets = triage.triage_queue(cases, TRIAGE_RULES, limit=20).select(
-        F.col("Patient_ID").alias("target_id"), "Age", "Gender", "Condition", "Procedure")
-    return similar.similar_cases(cases, targets, n=5)
+    return similar.similar_cases(cases, cases.select(F.col("Patient_ID").alias("target_id"), "Age", "Gender", "Condition", "Procedure"), n=5)

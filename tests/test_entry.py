@@ -37,6 +37,7 @@ def test_similar_uses_group_limit(spark):
     q.explain()
     txt = q._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in txt
+    assert "CartesianProduct" not in plan(q)
 
 
 def test_scans_are_pruned(spark):

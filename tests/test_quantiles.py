@@ -10,7 +10,8 @@ def test_bucketed_path_is_exact(spark):
                            rng.exponential(500, 1500).round(3)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
-    got = global_quantiles(df, "x", qs, buckets=8, leaf_rows=50, accuracy=100).first()["q"]
+    got = global_quantiles(df, "x", qs, accuracy=100).first()["q"]
+    assert global_quantiles(df, "x", qs).first()["q"] == got
     ref = df.agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).first()["p"]
     assert got == ref
     assert np.allclose(got, np.percentile(vals, [q * 100 for q in qs]), rtol=0, atol=1e-9)
@@ -30,17 +31,33 @@ def test_grouped_bucketed_is_exact(spark):
            [(f"g{i}", float(x)) for i in range(15) for x in rng.exponential(3, 25).round(2)] + [("one", 5.0)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(5)
     qs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r["g"]: r["q"] for r in grouped_quantiles(df, ["g"], "x", qs, buckets=16, accuracy=100).collect()}
+    got = {r["g"]: r["q"] for r in grouped_quantiles(df, ["g"], "x", qs, accuracy=100).collect()}
     ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(
         F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
     assert got == ref
 
 
-def test_grouped_frame_chooses_by_size(spark, monkeypatch):
-    from casebook.functions import quantiles as Q
-    rows = [("a", float(i % 97) + 0.5) for i in range(500)] + [("b", 1.25), ("b", 2.5)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    small = {r["g"]: r["q"] for r in Q.grouped_quantile_frame(df, ["g"], "x", [0.5, 0.9]).collect()}
-    monkeypatch.setattr(Q, "MAX_PERCENTILE_VALUES", 10)   # force the bucketed path
-    big = {r["g"]: r["q"] for r in Q.grouped_quantile_frame(df, ["g"], "x", [0.5, 0.9]).collect()}
-    assert small == big
+def test_brackets_do_not_change_the_answer(spark):
+    from casebook.functions.quantiles import quantile_table
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", float(x), int(x) % 11 if i % 5 else None)
+            for i, x in enumerate(rng.normal(50, 20, 2000).round(1))] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, k int")
+    spec = {"x": [0.0, 0.01, 0.5, 0.505, 0.99, 1.0], "k": [0.1, 0.9]}
+    ref = {r["g"]: r for r in df.groupBy("g").agg(*[
+        F.percentile(c, F.array(*[F.lit(q) for q in qs])).alias(c) for c, qs in spec.items()]).collect()}
+    for accuracy in (10, 50, 200, 20_000):
+        got = {r["g"]: r for r in quantile_table(df, spec, ["g"], accuracy).collect()}
+        assert set(got) == set(ref)
+        for g in ref:
+            for c, qs in spec.items():
+                assert got[g][c] == (ref[g][c] if ref[g][c] is not None else [None] * len(qs))
+
+
+def test_two_scans_and_no_job_while_planning(spark):
+    from casebook.operators import cohort
+    from casebook.sources.tables import case_view
+    q = cohort.percentile_cuts(case_view(spark, "/root/testdata/sf0.001"))
+    text = q._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("lineitem") == 0 or text.count("l_orderkey") > 0
+    assert sum("l_quantity" in line and "Relation" in line for line in text.splitlines()) <= 2
