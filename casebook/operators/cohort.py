@@ -242,30 +242,47 @@ def satisfaction_drivers(df: DataFrame, group_by=None, min_n: int = 20,
     }
 
 
+def satisfaction_report(df: DataFrame, group_by=None, min_n: int = 20, where: dict | None = None) -> DataFrame:
+    """A7 as one long table: part, item, metric, value."""
+    parts = satisfaction_drivers(df, group_by, min_n, where)
+    keys = check_groupable(group_by or [CONDITION, PROCEDURE])
+
+    def long(part: str, frame: DataFrame, item, metrics) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return frame.select(F.lit(part).alias("part"), item.alias("item"), F.explode(cells).alias("_m")).select(
+            "part", "item", F.col("_m.metric").alias("metric"), F.col("_m.value").alias("value"))
+
+    return (long("cohort", parts["bottom_cohorts"], F.concat_ws(" / ", *keys), ["avg_satisfaction", "n"])
+            .unionByName(long("correlation", parts["correlations"], F.col("variable"), ["correlation", "support"]))
+            .unionByName(long("contrast", parts["contrasts"], F.col("factor"), ["level_a_avg", "level_b_avg"]))
+            .unionByName(long("overall", parts["overall"], F.lit(SATISFACTION),
+                              ["mean", "median", "std", "low_satisfaction_pct"])))
+
+
 def compare_treatments(df: DataFrame, condition: str, procedures) -> DataFrame:
     """Per procedure pattern (case-insensitive regex) within a condition pattern:
     total cases, recovered %, mean LOS, mean cost.  Patterns with no rows are kept
     with ``no_data = true``.  Duplicate patterns collapse.
 
-    The pattern list is an argument (bounded by the request), so it is the
-    broadcast side of a non-equi join; rows are filtered by condition first.
+    The pattern list is an argument (bounded by the request): every pattern is a
+    literal condition, compiled once, and all are counted in one aggregate.
     """
     pats = list(dict.fromkeys(procedures or []))
     if not pats:
-        raise ValueError("No valid procedures provided.")
-    spark = df.sparkSession
-    pt = spark.createDataFrame([(i, p) for i, p in enumerate(pats)], "pattern_pos int, pattern string")
-    rows = df.where(pattern_match(CONDITION, condition)).select(PROCEDURE, OUTCOME, LOS, COST)
-    matched = rows.join(F.broadcast(pt), F.expr("`Procedure` rlike concat('(?i)', pattern)"))
-    agg = (matched.groupBy("pattern")
-           .agg(F.count(F.lit(1)).alias("total_cases"),
-                r(F.count_if(F.col(OUTCOME) == "Recovered") * 100.0 / F.count(F.lit(1))).alias("success_rate"),
-                r(F.avg(LOS)).alias("average_length_of_stay_days"),
-                r(F.avg(COST)).alias("average_cost")))
-    out = F.broadcast(pt).join(agg, "pattern", "left")
-    return out.select("pattern", F.coalesce("total_cases", F.lit(0)).alias("total_cases"),
-                      "success_rate", "average_length_of_stay_days", "average_cost",
-                      F.col("total_cases").isNull().alias("no_data"))
+        raise ValueError("give at least one procedure pattern")
+    aggs = []
+    for i, p in enumerate(pats):
+        hit = F.col(PROCEDURE).rlike("(?i)" + p)
+        n = F.count_if(hit)
+        aggs.append(F.struct(
+            F.lit(i).alias("pos"), F.lit(p).alias("pattern"), n.alias("total_cases"),
+            r(F.try_divide(F.count_if(hit & (F.col(OUTCOME) == "Recovered")) * 100.0, n)).alias("success_rate"),
+            r(F.avg(F.when(hit, F.col(LOS)))).alias("average_length_of_stay_days"),
+            r(F.avg(F.when(hit, F.col(COST)))).alias("average_cost")).alias(f"p{i}"))
+    wide = df.where(pattern_match(CONDITION, condition)).agg(*aggs)
+    out = wide.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pats))])).alias("x")).select("x.*")
+    return out.select("pattern", "total_cases", "success_rate", "average_length_of_stay_days", "average_cost",
+                      (F.col("total_cases") == 0).alias("no_data"))
 
 
 def procedure_options(df: DataFrame, condition: str | None = None, min_count: int = 5) -> DataFrame:
@@ -294,8 +311,8 @@ def combination_frequency(df: DataFrame, cols=COMBINATION) -> DataFrame:
     columns are excluded from numerator and denominator."""
     cols = list(cols)
     d = df.na.drop(subset=cols)
-    total = F.broadcast(d.agg(F.count(F.lit(1)).alias("_total")))
     g = d.groupBy(*cols).agg(F.count(F.lit(1)).alias("count"))
+    total = F.broadcast(g.agg(F.sum("count").alias("_total")))
     return g.crossJoin(total).select(*cols, "count", (F.col("count") / F.col("_total")).alias("frequency"))
 
 

@@ -18,35 +18,36 @@ CONTEXT_ROLES = ("user", "assistant")
 
 
 def context_window(msgs: DataFrame, size: int = 10, conv: str = "conv_id", turn: str = "turn",
-                   method: str = "index") -> DataFrame:
+                   method: str = "index", block: int = 4096) -> DataFrame:
     """For each message, the ``size`` messages before it in its conversation
     (the slice is taken first, then only user/assistant turns are kept), as an
     ordered ``array<struct<turn, role, text>>``.
 
     ``method="index"`` (default, skew-proof): rows get a dense global index in
     (conv, turn) order -- range-partitioned, so one huge conversation is spread
-    over many tasks -- and each message is joined to the predecessors at index
-    ``i-1 .. i-size`` of the same conversation.  The join key (conv, index) is
-    unique, so no key is hot; every message is copied ``size`` times.
+    over many tasks -- and are cut into blocks of ``block`` rows.  The last ``size``
+    rows of a block are copied into the next one, and a sliding window runs per
+    (block, conversation): a bounded group, each text shipped about once.
     ``method="window"`` uses a sliding window per conversation (one shuffle,
     but a whole conversation lands in one task).
     """
     base = msgs.select(conv, turn, "role", "text")
+    item = F.struct(F.col(turn).alias("turn"), "role", "text")
+
+    def kept(ctx):
+        return F.filter(ctx, lambda e: e["role"].isin(*CONTEXT_ROLES)).alias("context")
+
     if method == "window":
         w = Window.partitionBy(conv).orderBy(turn).rowsBetween(-size, -1)
-        ctx = F.collect_list(F.struct(F.col(turn).alias("turn"), "role", "text")).over(w)
-        return base.select(conv, turn, F.filter(ctx, lambda e: e["role"].isin(*CONTEXT_ROLES)).alias("context"))
+        return base.select(conv, turn, kept(F.collect_list(item).over(w)))
+    block = max(block, size)
     idx = dense_index(base, [conv, turn], "_i")
-    prev = (idx.select(F.col(conv).alias("_c"), F.col("_i").alias("_pi"),
-                       F.struct(F.col(turn).alias("turn"), "role", "text").alias("_m"))
-            .withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(size))))
-            .select("_c", (F.col("_pi") + F.col("_d")).alias("_ti"), "_pi", "_m"))
-    j = idx.join(prev, (idx[conv] == prev["_c"]) & (idx["_i"] == prev["_ti"]), "left")
-    agg = (j.groupBy(conv, turn, "_i")
-           .agg(F.collect_list(F.when(F.col("_m.role").isin(*CONTEXT_ROLES),
-                                      F.struct("_pi", "_m"))).alias("_ctx")))
-    ordered = F.transform(F.array_sort("_ctx"), lambda e: e["_m"])
-    return agg.select(conv, turn, ordered.alias("context"))
+    home = F.call_function("div", F.col("_i"), F.lit(block))
+    both = F.when(F.col("_i") % block >= block - size, F.array(home, home + 1)).otherwise(F.array(home))
+    placed = idx.withColumn("_home", home).withColumn("_b", F.explode(both))
+    w = Window.partitionBy("_b", conv).orderBy("_i").rowsBetween(-size, -1)
+    out = placed.withColumn("context", kept(F.collect_list(item).over(w)))
+    return out.where(F.col("_b") == F.col("_home")).select(conv, turn, "context")
 
 
 # Greetings looked up for texts shorter than 5 characters, in the

@@ -150,18 +150,21 @@ def los_benchmark_procedure(spark, sf_dir):
     return cohort.los_benchmark(case_view(spark, sf_dir), "Procedure")
 
 
-@register("satisfaction_cohorts", with_cases("""
+_COHORTS_SQL = """
 SELECT Condition, Procedure, round_even(avg(Satisfaction), 2) AS avg_satisfaction,
   count(Patient_ID) AS n, round_even(stddev_samp(Satisfaction), 2) AS std,
   count(Satisfaction) AS satisfaction_count
 FROM cases WHERE Condition IS NOT NULL AND Procedure IS NOT NULL
 GROUP BY Condition, Procedure HAVING count(Patient_ID) >= 20
-ORDER BY avg(Satisfaction) ASC NULLS LAST, Condition, Procedure LIMIT 10"""))
+ORDER BY avg(Satisfaction) ASC NULLS LAST, Condition, Procedure LIMIT 10"""
+
+
+@register("satisfaction_cohorts", with_cases(_COHORTS_SQL))
 def satisfaction_cohorts(spark, sf_dir):
     return cohort.satisfaction_cohorts(case_view(spark, sf_dir), ["Condition", "Procedure"], 20)
 
 
-def _corr_sql() -> str:
+def _corr_body() -> str:
     parts = []
     for v in cohort.CORRELATED:
         parts.append(f"""SELECT '{v}' AS variable,
@@ -176,15 +179,15 @@ FROM p HAVING count(x_{v}) > 10""")
         f"CASE WHEN {v} IS NOT NULL AND Satisfaction IS NOT NULL THEN CAST({v} AS double) END AS x_{v}, "
         f"CASE WHEN {v} IS NOT NULL AND Satisfaction IS NOT NULL THEN CAST(Satisfaction AS double) END AS y_{v}"
         for v in cohort.CORRELATED)
-    return with_cases(f"WITH p AS (SELECT {cols} FROM cases)\n" + "\nUNION ALL\n".join(parts))
+    return f"WITH p AS (SELECT {cols} FROM cases)\n" + "\nUNION ALL\n".join(parts)
 
 
-@register("satisfaction_correlations", _corr_sql())
+@register("satisfaction_correlations", with_cases(_corr_body()))
 def satisfaction_correlations(spark, sf_dir):
     return cohort.satisfaction_correlations(case_view(spark, sf_dir))
 
 
-@register("satisfaction_contrasts", with_cases("""
+_CONTRASTS_SQL = """
 WITH w AS (SELECT
   avg(Satisfaction) FILTER (WHERE Outcome = 'Recovered') AS rec,
   avg(Satisfaction) FILTER (WHERE Outcome = 'Stable') AS stb,
@@ -201,21 +204,44 @@ SELECT 'Outcome' AS factor, round_even(rec, 2) AS level_a_avg, round_even(stb, 2
 UNION ALL
 SELECT 'Readmission', round_even(yes, 2), round_even(no, 2),
   CASE WHEN coalesce(yes < no, false) THEN 'readmission associated with lower satisfaction'
-       ELSE 'no clear pattern' END FROM w WHERE has_yes AND has_no"""))
+       ELSE 'no clear pattern' END FROM w WHERE has_yes AND has_no"""
+
+
+@register("satisfaction_contrasts", with_cases(_CONTRASTS_SQL))
 def satisfaction_contrasts(spark, sf_dir):
     return cohort.satisfaction_contrasts(case_view(spark, sf_dir))
 
 
-@register("satisfaction_overall", with_cases("""
+_OVERALL_SQL = """
 SELECT round_even(avg(Satisfaction), 2) AS mean,
   round_even(quantile_cont(Satisfaction, 0.5), 2) AS median,
   round_even(stddev_samp(Satisfaction), 2) AS std,
   round_even(100.0 * count(*) FILTER (WHERE Satisfaction <= 2) / nullif(count(Satisfaction), 0), 2) AS low_satisfaction_pct
-FROM cases HAVING count(*) > 0"""))
+FROM cases HAVING count(*) > 0"""
+
+
+@register("satisfaction_overall", with_cases(_OVERALL_SQL))
 def satisfaction_overall(spark, sf_dir):
     return cohort.satisfaction_overall(case_view(spark, sf_dir))
 
 
+def _report_sql() -> str:
+    def long(part, item, metrics, source):
+        return "\nUNION ALL\n".join(
+            f"SELECT '{part}' AS part, {item} AS item, '{m}' AS metric, CAST({m} AS double) AS value FROM ({source})" for m in metrics)
+
+    return with_cases("\nUNION ALL\n".join([
+        long("cohort", "Condition || ' / ' || Procedure", ["avg_satisfaction", "n"], _COHORTS_SQL),
+        long("correlation", "variable", ["correlation", "support"], _corr_body()),
+        long("contrast", "factor", ["level_a_avg", "level_b_avg"], _CONTRASTS_SQL),
+        long("overall", "'Satisfaction'", ["mean", "median", "std", "low_satisfaction_pct"], _OVERALL_SQL)]))
+
+
+@register("satisfaction_report", _report_sql())
+def satisfaction_report(spark, sf_dir):
+    return cohort.satisfaction_report(case_view(spark, sf_dir), ["Condition", "Procedure"], 20)
+
+
 # The treatment-comparison request used by the registered query.
 TREATMENT_CONDITION = "build"
 TREATMENT_PATTERNS = ["prom", "econ", "nosuch", "STAN", "prom"]

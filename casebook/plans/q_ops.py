@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casebook.operators import anomaly, charts, similar, triage
+from casebook.operators import anomaly, charts, cohort, similar, triage
 from casebook.plans.catalog import register, with_cases
 from casebook.sources.tables import case_view, read_table
 
@@ -124,6 +124,18 @@ def events_boxplot(spark, sf_dir):
     return _r6(charts.boxplot_data(read_table(spark, sf_dir, "events"), "event_type", ("value", "mean")), ['q1', 'median', 'q3', 'whisker_low', 'whisker_high'])
 
 
+def _box_outlier_sql(source: str, key: str, g: str, v: str) -> str:
+    stats = _box_sql(source, g, v)
+    return f"""SELECT s.{key}, s.{g}, CAST(s.{v} AS double) AS value
+FROM {source} s JOIN ({stats}) q ON s.{g} = q.{g}
+WHERE s.{v} < q.q1 - 1.5 * (q.q3 - q.q1) OR s.{v} > q.q3 + 1.5 * (q.q3 - q.q1)"""
+
+
+@register("chart_boxplot_outliers", with_cases(_box_outlier_sql("cases", "Patient_ID", "Condition", "Length_of_Stay")))
+def chart_boxplot_outliers(spark, sf_dir):
+    return charts.boxplot_outliers(case_view(spark, sf_dir), "condition", "length_of_stay")
+
+
 @register("events_chart_bar", _r6_sql("""
 SELECT event_type, CAST(sum(value) AS double) AS value FROM events WHERE event_type IS NOT NULL
 GROUP BY event_type ORDER BY value DESC NULLS LAST, event_type LIMIT 15""", ['event_type'], ['value'], R2))
@@ -188,6 +200,31 @@ def triage_default_rules(spark, sf_dir):
     return triage.triage_totals(case_view(spark, sf_dir), None, limit=20)
 
 
+# One rule for each operator, and one whose literal is a boolean.
+ALL_OPERATORS = [
+    {"field": "Length_of_Stay", "operator": ">", "value": 40, "score": 1.0, "description": "a"},
+    {"field": "Age", "operator": ">=", "value": 30, "score": 2.0, "description": "b"},
+    {"field": "Cost", "operator": "<", "value": 100000, "score": 4.0, "description": "c"},
+    {"field": "Satisfaction", "operator": "<=", "value": 2, "score": 8.0, "description": "d"},
+    {"field": "Readmission", "operator": "==", "value": "Yes", "score": 16.0, "description": "e"},
+    {"field": "Outcome", "operator": "!=", "value": "Stable", "score": 32.0, "description": "f"},
+    {"field": "Procedure", "operator": "in", "value": ["PROMO", "LARGE"], "score": 64.0, "description": "g"},
+    {"field": "Satisfaction", "operator": "==", "value": True, "score": 128.0, "description": "h"},
+]
+
+
+@register("triage_all_operators", with_cases("""
+WITH s AS (SELECT *, [(coalesce(Length_of_Stay > 40, false)), (coalesce(Age >= 30, false)), (coalesce(Cost < 100000, false)),
+    (coalesce(Satisfaction <= 2, false)), (coalesce(Readmission = 'Yes', false)), (coalesce(Outcome <> 'Stable', false)),
+    (coalesce(Procedure IN ('PROMO', 'LARGE'), false)), (coalesce(Satisfaction = 1, false))] AS hits FROM cases)
+SELECT Patient_ID, CAST(list_sum([CASE WHEN hits[i] THEN 2 ** (i - 1) ELSE 0 END FOR i IN range(1, 9)]) AS double) AS score,
+  array_to_string([chr(CAST(96 + i AS int)) FOR i IN range(1, 9) IF hits[i]], '; ') AS reasons
+FROM s WHERE list_bool_or(hits)"""))
+def triage_all_operators(spark, sf_dir):
+    flagged = triage.triage_flagged(case_view(spark, sf_dir), ALL_OPERATORS)
+    return _joined(flagged).select("Patient_ID", "score", "reasons")
+
+
 # ---------------------------------------------------------------- anomalies
 
 def _z_sql(source: str, key: str, cols) -> str:
@@ -209,18 +246,34 @@ def events_zscore(spark, sf_dir):
     return anomaly.zscore_outliers(read_table(spark, sf_dir, "events"), ["value"], key="event_id")
 
 
-@register("rare_combinations", with_cases("""
+_RARE_SQL = """
 WITH d AS (SELECT * FROM cases WHERE Condition IS NOT NULL AND Procedure IS NOT NULL AND Outcome IS NOT NULL),
 f AS (SELECT Condition, Procedure, Outcome, count(*) / (SELECT count(*) FROM d) AS frequency
       FROM d GROUP BY Condition, Procedure, Outcome)
 SELECT d.Patient_ID, d.Condition, d.Procedure, d.Outcome, round_even(f.frequency, 4) AS frequency,
   'Very low frequency combination (< 0.50%)' AS reason
 FROM d JOIN f ON d.Condition = f.Condition AND d.Procedure = f.Procedure AND d.Outcome = f.Outcome
-WHERE f.frequency < 0.005"""))
+WHERE f.frequency < 0.005"""
+
+
+@register("rare_combinations", with_cases(_RARE_SQL))
 def rare_combinations(spark, sf_dir):
     return anomaly.rare_combinations(case_view(spark, sf_dir))
 
 
+@register("anomaly_report", with_cases(f"""
+SELECT 'numerical' AS kind, Patient_ID, "column" AS what, value, reason FROM ({_z_sql("cases", "Patient_ID", anomaly.NUMERIC_DEFAULT)})
+UNION ALL
+SELECT 'combination', Patient_ID, concat_ws(' / ', Condition, Procedure, Outcome), frequency, reason FROM ({_RARE_SQL})"""))
+def anomaly_report(spark, sf_dir):
+    parts = anomaly.anomaly_report(case_view(spark, sf_dir))
+    single = parts["numerical_outliers"].select(F.lit("numerical").alias("kind"), "Patient_ID", F.col("column").alias("what"), "value", "reason")
+    rare = parts["low_frequency_combinations"].select(
+        F.lit("combination").alias("kind"), "Patient_ID", F.concat_ws(" / ", *cohort.COMBINATION).alias("what"),
+        F.col("frequency").alias("value"), "reason")
+    return single.unionByName(rare)
+
+
 # ---------------------------------------------------------------- similar cases
 
 @register("similar_cases", with_cases("""

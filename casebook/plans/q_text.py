@@ -16,17 +16,18 @@ def _norm_sql(col: str) -> str:
 
 
 @register("context_window", """
-WITH b AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations),
-j AS (SELECT a.conv_id, a.turn, p.turn AS pturn, p.role AS prole FROM b a
+WITH b AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations),
+j AS (SELECT a.conv_id, a.turn, p.turn AS pturn, p.role AS prole, p.text AS ptext FROM b a
       LEFT JOIN b p ON p.conv_id = a.conv_id AND p.i BETWEEN a.i - 10 AND a.i - 1
                     AND p.role IN ('user', 'assistant'))
 SELECT conv_id, turn, CAST(count(pturn) AS int) AS n_context,
-  coalesce(string_agg(CAST(pturn AS varchar) || ':' || prole, ',' ORDER BY pturn), '') AS context_key
+  coalesce(string_agg(CAST(pturn AS varchar) || ':' || prole || ':' || md5(coalesce(ptext, '')), ',' ORDER BY pturn), '') AS context_key
 FROM j GROUP BY conv_id, turn""")
 def context_window(spark, sf_dir):
     c = ops.context_window(read_table(spark, sf_dir, "conversations"))
     key = F.array_join(F.transform("context", lambda e: F.concat(e["turn"].cast("string"), F.lit(":"),
-                                                                 e["role"])), ",")
+                                                                 e["role"], F.lit(":"),
+                                                                 F.md5(F.coalesce(e["text"], F.lit("")).cast("binary")))), ",")
     return c.select("conv_id", "turn", F.size("context").alias("n_context"), key.alias("context_key"))
 
 
