@@ -75,7 +75,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, repeat_limit=1.5).select("doc_id", "source", *mixing.ADDED)
 
 
-@register("op8_jaccard_join")
+@register("op8_jaccard_join", r"""
+WITH RECURSIVE
+w AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh FROM w),
+t AS (SELECT r, unnest(sh) AS g FROM s),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM t a JOIN t b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN s a ON a.r = x JOIN s b ON b.r = y WHERE 100 * n >= 85 * (len(a.sh) + len(b.sh) - n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(r, v) AS (SELECT r, r FROM s UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.v)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach ON reach.r = s.r JOIN s o ON o.r = reach.v GROUP BY s.r, s.doc_id, s.sh
+""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
