@@ -88,16 +88,28 @@ def _cast_features(df: DataFrame, features) -> DataFrame:
     return out
 
 
+def _bounded_fit(train: DataFrame, max_rows: int | None, key: str) -> DataFrame:
+    """About ``max_rows`` of the training rows, those with the smallest hash (the
+    hash is uniform: a share of its range is that share of the rows)."""
+    if max_rows is None:
+        return train
+    share = min(1.0, max_rows / max(1, train.count()))
+    return train.where(key_hash(key, salt="fit") < F.lit(int(share * HASH_RANGE)))
+
+
 def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10,
-                     seed: int = 42, key: str = KEY, max_bins: int = 256) -> ModelBundle:
+                     seed: int = 42, key: str = KEY, max_bins: int = 256,
+                     max_rows: int | None = 50_000) -> ModelBundle:
     """M3: random forest for P(Readmission = Yes) on Age, Gender, Condition,
     Procedure, Length_of_Stay; rows with a NULL feature or label are dropped.
     ``max_bins`` bounds the split candidates of a feature: label codes are kept
-    apart up to that many labels."""
+    apart up to that many labels.  The fit uses at most about ``max_rows`` of the
+    training rows (None: all), those with the smallest key hash; encoding, scoring
+    and every metric cover all rows."""
     feats = list(RISK_FEATURES)
     d = _cast_features(cases.na.drop(subset=feats + [READMISSION]), feats).withColumn(
         "label", F.when(F.col(READMISSION) == "Yes", 1.0).otherwise(0.0))
-    train = stratified_split(d, "label", key).where("_train")
+    train = _bounded_fit(stratified_split(d, "label", key).where("_train"), max_rows, key)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
                                 seed=seed, maxBins=max_bins, **TRAIN_OPTS)
@@ -108,7 +120,7 @@ def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10
 
 def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
                     seed: int = 42, key: str = KEY, max_bins: int = 256,
-                    max_rows: int | None = 200_000) -> ModelBundle:
+                    max_rows: int | None = 20_000) -> ModelBundle:
     """M6: random forest regressor for Length_of_Stay on Age, Gender, Condition,
     Procedure, Cost.
 
@@ -122,12 +134,7 @@ def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
                                seed=seed, maxBins=max_bins, **TRAIN_OPTS)
-    train = d.where("_train")
-    if max_rows is not None:
-        # The hash is uniform: a share of its range is that share of the rows.
-        share = min(1.0, max_rows / max(1, train.count()))
-        train = train.where(key_hash(key, salt="fit") < F.lit(int(share * HASH_RANGE)))
-    pipe = _pipeline(d, train, feats, rf)
+    pipe = _pipeline(d, _bounded_fit(d.where("_train"), max_rows, key), feats, rf)
     return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
                                             "num_trees": num_trees, "max_depth": max_depth})
 

@@ -286,8 +286,10 @@ FROM (SELECT DISTINCT {c} FROM cases WHERE {clean})""" for c in ("Gender", "Cond
 
 @register("label_codes", _codes_sql())
 def label_codes(spark, sf_dir):
+    from casebook.ml.features import fit_label_encoder
     from casebook.ml.features import label_codes as codes
-    return codes(bundle(spark, sf_dir, "risk").encoder, spark)
+    clean = case_view(spark, sf_dir).na.drop(subset=[*RISK_FEATURES, "Readmission"])
+    return codes(fit_label_encoder(clean), spark)
 
 
 @register("feature_importances")

@@ -48,10 +48,10 @@ def case_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
 
-    # One row: the distinct part types in order (a fixed vocabulary).
-    types = part.agg(F.array_sort(F.collect_set("p_type")).alias("_types"))
-    ranked = part.crossJoin(F.broadcast(types)).select(
-        "p_partkey", "p_size", F.nullif(F.array_position("_types", F.col("p_type")), F.lit(0)).alias("_rank"))
+    # The distinct part types, numbered in order (a fixed vocabulary).
+    types = part.agg(F.array_sort(F.collect_set("p_type")).alias("_types")).select(
+        F.posexplode("_types").alias("_rank", "_type"))
+    ranked = part.join(types, part.p_type == types["_type"], "left").select("p_partkey", "p_size", "_rank")
     lines = (li.join(ranked, li.l_partkey == ranked.p_partkey)
              .groupBy(F.col("l_orderkey").alias("_k"))
              .agg(F.max("p_size").alias("_age"),
@@ -59,9 +59,8 @@ def case_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.min("_rank").alias("_rank"),
                   F.max("l_quantity").cast("int").alias("_los"),
                   F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("_rd"))
-             .crossJoin(F.broadcast(types))
-             .select("_k", "_age", "_los", "_rd", F.char("_status").alias("_gender"),
-                     F.try_element_at("_types", F.col("_rank").cast("int")).alias("_proc")))
+             .join(types, "_rank", "left")
+             .select("_k", "_age", "_los", "_rd", F.char("_status").alias("_gender"), F.col("_type").alias("_proc")))
 
     base = orders.join(cust, orders.o_custkey == cust.c_custkey)
     joined = base.join(lines, base.o_orderkey == lines._k, "left")

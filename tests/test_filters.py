@@ -61,3 +61,13 @@ def test_pattern_and_case_insensitive(tiny_cases):
 ])
 def test_rule_predicate(tiny_cases, field, op, value, expected):
     assert ids(tiny_cases.where(rule_predicate(tiny_cases, field, op, value))) == expected
+
+
+def test_boolean_literals_compare_as_numbers(spark, tiny_cases):
+    from casebook.functions.filters import apply_where, equality_predicate, rule_predicate
+    n = lambda p: tiny_cases.where(p).count()
+    assert n(equality_predicate(tiny_cases, {"Satisfaction": True}, strict=True)) == 2
+    assert apply_where(tiny_cases, {"Satisfaction": True}).count() == 2
+    assert n(rule_predicate(tiny_cases, "Satisfaction", ">", True)) == 9
+    assert n(rule_predicate(tiny_cases, "Satisfaction", "in", [True, 3])) == 4
+    assert n(rule_predicate(tiny_cases, "Satisfaction", "!=", False)) == 11

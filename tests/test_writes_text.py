@@ -120,3 +120,39 @@ def test_append_and_scan(spark, tiny_cases, tmp_path):
     append_records(tiny_cases, path)
     append_records(tiny_cases.limit(2), path)
     assert scan_records(spark, path).count() == 14
+
+
+def test_corrupt_lines_are_rejected(spark, tmp_path):
+    from casebook.operators import writes
+    from casebook.sources.records import read_records_csv
+    path = str(tmp_path / "in.csv")
+    with open(path, "w") as f:
+        f.write("Age,Gender,Condition,Procedure,Cost,Length_of_Stay,Readmission,Outcome,Satisfaction\n"
+                "45,Male,Diabetes,Insulin Therapy,8500,4,No,Recovered,4\n"
+                "45,Male,Diabetes,Insulin Therapy,8500,4,No,Recovered,4,surplus\n"
+                "x,Male,Diabetes,Insulin Therapy,8500,4,No,Recovered,4\n")
+    accepted, rejected = writes.validate_inserts(read_records_csv(spark, path).cache())
+    assert accepted.count() == 1 and "_corrupt_record" not in accepted.columns
+    assert rejected.where("_corrupt_record IS NOT NULL").count() == 2
+
+
+def test_unknown_update_fields_are_listed(spark, tiny_cases):
+    from casebook.operators import writes
+    up = spark.createDataFrame([(1, 1, ["Cost", "Wrd"], 5.0), (2, 2, ["Cost"], 6.0)],
+                               "Patient_ID long, seq long, set_fields array<string>, Cost double")
+    bad = writes.rejected_updates(up).collect()
+    assert [(r["Patient_ID"], r["seq"], r["unknown"]) for r in bad] == [(1, 1, ["Wrd"])]
+
+
+def test_null_text_takes_the_default_language(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(20)
+    prof = ops.language_profiles(docs)
+    msgs = spark.createDataFrame([(1, None), (2, "hola"), (3, "")], "id long, text string")
+    assert {r["id"]: r["lang"] for r in ops.detect_language(msgs, prof, ["id"]).collect()} == {1: "en", 2: "es", 3: "en"}
+
+
+def test_jdbc_options_must_be_complete(spark):
+    import pytest
+    from casebook.sources.records import scan_records
+    with pytest.raises(ValueError):
+        scan_records(spark, fmt="jdbc", url="jdbc:x", dbtable="t", partitionColumn="Patient_ID")
