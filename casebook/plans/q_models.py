@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from casebook.functions.filters import lookup
 from casebook.ml import intent, models, scoring
 from casebook.ml.features import LOS_FEATURES, RISK_FEATURES, split_flag, stratified_split
 from casebook.ml.fixed import FixedForest
@@ -168,11 +169,14 @@ def _complete(features) -> str:
     return " AND ".join(f"{c} IS NOT NULL" for c in features)
 
 
-@register("fixed_risk_scores", with_cases(f"""
+_RISK_SQL = f"""
 WITH x AS (SELECT *, {_CODED} FROM cases WHERE {_complete(RISK_FEATURES)}), s AS (SELECT *, {_RISK_P} AS p FROM x)
 SELECT * EXCLUDE (gc, cc, pc, p), CASE WHEN p > 0.5 THEN 'Yes' ELSE 'No' END AS predicted_readmission,
   round_even(p, 4) AS probability_of_readmission, format('{{:.1f}}', round_even(p * 100, 1)) || '%' AS probability_of_readmission_pct
-FROM s"""))
+FROM s"""
+
+
+@register("fixed_risk_scores", with_cases(_RISK_SQL))
 def fixed_risk_scores(spark, sf_dir):
     return scoring.risk_scores(RISK_FOREST, case_view(spark, sf_dir))
 
@@ -181,7 +185,7 @@ _T1 = "CASE WHEN Cost <= 200000 THEN CASE WHEN Age <= 25 THEN 30.0 ELSE 35.0 END
 _T2 = "CASE WHEN pc <= 2.5 THEN CASE WHEN cc <= 1.5 THEN 33.0 ELSE 37.0 END ELSE CASE WHEN cc <= 2.5 THEN 39.0 ELSE 44.0 END END::DOUBLE"
 
 
-@register("fixed_los_scores", with_cases(f"""
+_LOS_SQL = f"""
 WITH x AS (SELECT *, {_CODED} FROM cases WHERE {_complete(LOS_FEATURES)}),
 t AS (SELECT Patient_ID, {_T1} AS a, {_T2} AS b FROM x),
 s AS (SELECT Patient_ID, (a + b) / 2 AS p, sqrt(((a - (a + b) / 2) ^ 2 + (b - (a + b) / 2) ^ 2) / 2) AS s FROM t)
@@ -189,7 +193,10 @@ SELECT Patient_ID, round_even(p, 1) AS predicted_length_of_stay_days, round_even
   round_even(p + 1.645::DOUBLE * s, 1) AS upper_bound_days, 36.0::DOUBLE AS population_mean_days, 12.0::DOUBLE AS population_std_days,
   CASE WHEN p > 36 THEN 'above_average' ELSE 'below_average' END AS vs_population, 'fixed' AS model_version,
   100::BIGINT AS trained_on_n, 1.25::DOUBLE AS test_mae
-FROM s"""))
+FROM s"""
+
+
+@register("fixed_los_scores", with_cases(_LOS_SQL))
 def fixed_los_scores(spark, sf_dir):
     return scoring.los_scores(LOS_FOREST, case_view(spark, sf_dir), ["Patient_ID"])
 
@@ -265,17 +272,39 @@ def fixed_counterfactual(spark, sf_dir):
     return scoring.counterfactuals(RISK_FOREST, case_view(spark, sf_dir), _requests(spark, sf_dir), 0.20).drop("description")
 
 
-@register("counterfactual_summary", with_cases(f"""{_CHANGES_SQL}
+_SUMMARY_SQL = f"""{_CHANGES_SQL}
 SELECT r.Patient_ID AS request_id, own.current AS current_probability, own.current IS NOT NULL AS scored,
   coalesce(own.current <= 0.2, false) AS already_at_target, count(k.rank) AS total_options_explored,
   count(k.rank) FILTER (WHERE k.rank <= 10) AS suggestions,
   coalesce(bool_or(k.rank <= 10 AND k.new <= 0.2), false) AS target_achievable
 FROM cases r LEFT JOIN own ON own.request_id = r.Patient_ID LEFT JOIN k ON k.request_id = r.Patient_ID
-GROUP BY ALL"""))
+GROUP BY ALL"""
+
+
+@register("counterfactual_summary", with_cases(_SUMMARY_SQL))
 def counterfactual_summary(spark, sf_dir):
     return scoring.counterfactual_summary(RISK_FOREST, case_view(spark, sf_dir), _requests(spark, sf_dir), 0.20)
 
 
+@register("lookup_models", with_cases(f"""
+SELECT c.Patient_ID, r.probability_of_readmission, l.predicted_length_of_stay_days, s.total_options_explored, s.target_achievable
+FROM cases c LEFT JOIN ({_RISK_SQL}) r USING (Patient_ID) LEFT JOIN ({_LOS_SQL}) l USING (Patient_ID)
+JOIN ({_SUMMARY_SQL}) s ON s.request_id = c.Patient_ID
+WHERE c.Patient_ID IN (SELECT user_id FROM events)"""))
+def lookup_models(spark, sf_dir):
+    """Record ids -> their records -> risk, stay and counterfactual answers."""
+    cases = case_view(spark, sf_dir)
+    ids = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("Patient_ID"))
+    found = lookup(cases, patient_id=ids)
+    risk = scoring.risk_scores(RISK_FOREST, found).select("Patient_ID", "probability_of_readmission")
+    stay = scoring.los_scores(LOS_FOREST, found, ["Patient_ID"]).select("Patient_ID", "predicted_length_of_stay_days")
+    asked = found.select(F.col("Patient_ID").alias("request_id"), *RISK_FEATURES)
+    answer = scoring.counterfactual_summary(RISK_FOREST, cases, asked, 0.20).select(
+        F.col("request_id").alias("Patient_ID"), "total_options_explored", "target_achievable")
+    return answer.join(risk, "Patient_ID", "left").join(stay, "Patient_ID", "left").select(
+        "Patient_ID", "probability_of_readmission", "predicted_length_of_stay_days", "total_options_explored", "target_achievable")
+
+
 def _codes_sql() -> str:
     clean = " AND ".join(f"{c} IS NOT NULL" for c in [*RISK_FEATURES, "Readmission"])
     parts = [f"""SELECT '{c}' AS "column", {c} AS value,
