@@ -162,3 +162,54 @@ def test_vector_intents(spark):
     m = intent.train_vector_classifier(train, max_iter=50)
     out = intent.classify_vectors(m, test)
     assert out.count() == test.count()
+
+
+def test_stratified_split_keeps_every_label_at_80_percent(spark, small_cases):
+    from casebook.ml.features import stratified_split
+    d = small_cases.na.drop(subset=["Readmission"])
+    a = stratified_split(d, "Readmission")
+    counts = {(r["Readmission"], r["_train"]): r["count"] for r in a.groupBy("Readmission", "_train").count().collect()}
+    for label in ("Yes", "No"):
+        n = counts[label, True] + counts[label, False]
+        assert abs(counts[label, True] - round(0.8 * n)) <= 1
+    b = stratified_split(d.repartition(7), "Readmission")
+    assert sorted(a.select("Patient_ID", "_train").collect()) == sorted(b.select("Patient_ID", "_train").collect())
+    tiny = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "Patient_ID long, label string")
+    assert stratified_split(tiny, "label").count() == 3
+
+
+def test_shapley_equals_the_definition():
+    import itertools
+    import math
+
+    from casebook.ml.fixed import flat_forest
+    trees = [(0, 1.0, (1, 2.0, (1.0, 3), (5.0, 2)), (0, 3.0, (2.0, 4), (9.0, 1))), (2, 0.5, (4.0, 5), (1, 1.0, (7.0, 2), (3.0, 3)))]
+    ff = flat_forest(trees, 3)
+    X = np.random.default_rng(0).uniform(0, 4, (40, 3))
+
+    def expect(tree, x, known):
+        if len(tree) == 2:
+            return tree[0]
+        f, t, a, b = tree
+        if f in known:
+            return expect(a if x[f] <= t else b, x, known)
+        cover = lambda n: n[1] if len(n) == 2 else cover(n[2]) + cover(n[3])
+        return (expect(a, x, known) * cover(a) + expect(b, x, known) * cover(b)) / (cover(a) + cover(b))
+
+    want = np.zeros((40, 3))
+    for i, x in enumerate(X):
+        value = {s: sum(expect(t, x, s) for t in trees) / 2 for r in range(4) for s in map(frozenset, itertools.combinations(range(3), r))}
+        for j in range(3):
+            for s, v in value.items():
+                if j not in s:
+                    w = math.factorial(len(s)) * math.factorial(2 - len(s)) / 6
+                    want[i, j] += w * (value[s | {j}] - v)
+    for leaves, rows in ((4096, 512), (2, 7)):
+        assert np.allclose(forest.shapley(forest.leaf_table(ff), X, leaves, rows), want)
+
+
+def test_requests_keep_their_own_columns(spark, risk, tiny_cases):
+    s = scoring.risk_scores(risk, tiny_cases)
+    assert [f.dataType for f in s.schema.fields][:len(tiny_cases.columns)] == [f.dataType for f in tiny_cases.schema.fields]
+    bad = scoring.rejected_requests(risk, tiny_cases)
+    assert s.count() + bad.count() == tiny_cases.count() and bad.count() > 0
