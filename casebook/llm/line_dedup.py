@@ -5,8 +5,10 @@ segments, at least one segment unchanged.  So every line is indexed under its
 segments (with length and segment number), and probes, for each shorter or equal
 length the threshold allows, only those of its substrings that can face a segment:
 the starts that leave at most the allowed edits on the left and on the right.
-Signature keys held by one line only are dropped before any pair is formed.  Pairs
-are verified by a banded bit-parallel edit distance.
+Signature keys held by one line only are dropped before any pair is formed.  The join
+of index and probes also compares two 64-bit parity masks (characters, pairs of
+characters), of which an edit can flip only a few bits, so lines that merely share a
+segment make no pair.  Pairs are verified by a banded bit-parallel edit distance.
 
 A line occurrence goes if an equal line, or a line within the threshold, stands
 earlier in (doc_id, line) order.  The first of each kind stays.  Lines shorter than
@@ -15,6 +17,8 @@ earlier in (doc_id, line) order.  The first of each kind stays.  Lines shorter t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,41 +28,68 @@ SMALL = 1_000_000  # rows of one or two longs that may be broadcast
 WIDE = 200_000     # rows with the first place of a line
 
 
-def segments(length: Column, pieces: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of each segment: even sizes, the longer ones last."""
-    short = F.floor(length / pieces).cast("int")
-    longer = (length - short * pieces).cast("int")
-    out = []
-    for i in range(pieces):
-        before = F.greatest(F.lit(0), F.lit(i) - (F.lit(pieces) - longer))
-        size = short + F.when(F.lit(i) >= F.lit(pieces) - longer, 1).otherwise(0)
-        out.append((short * i + before, size))
-    return out
+def signature_kinds(threshold: int) -> list[tuple[int, int, int, bool]]:
+    """(segment, shorter, shift, probe) of every signature a line has: its own
+    segments, and the substrings that can face segment ``segment`` of a line that is
+    ``shorter`` characters shorter, ``shift`` places from where it stands there.
+
+    ``segment`` segments stand to the left: at most as many edits there, and at most
+    threshold - segment on the right, where the lengths differ by ``shorter``.
+    """
+    own = [(i, 0, 0, False) for i in range(threshold + 1)]
+    probes = [(i, d, shift, True) for d in range(threshold + 1) for i in range(threshold + 1)
+              for shift in range(max(-i, d - (threshold - i)), min(i, d + (threshold - i)) + 1)]
+    # A line's own segments are also its probes for lines of its length, unshifted.
+    return own + [k for k in probes if k[1:3] != (0, 0)]
 
 
-def signatures(line: Column, threshold: int) -> Column:
-    """Array of (key, probe) of a line: its own segments, and its probes."""
-    n, pieces = F.length(line), threshold + 1
-    out = []
-    for i, (start, size) in enumerate(segments(n, pieces)):
-        out.append(_signature(line, n, i, start, size, False))
-    for shorter in range(threshold + 1):
-        other = n - shorter
-        for i, (start, size) in enumerate(segments(other, pieces)):
-            # i segments stand to the left: at most i edits there, and at most
-            # threshold - i on the right, where the lengths differ by ``shorter``.
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                out.append(_signature(line, other, i, start + shift, size, True))
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+def signatures(lines: DataFrame, threshold: int) -> DataFrame:
+    """(_h, key, probe) for lines (_h, _line, _n characters).
+
+    Segments have even sizes, the longer ones last.  The kinds are exploded first and
+    one small expression makes the key of each, which compiles to a short loop.
+    """
+    kinds = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(d).alias("d"), F.lit(x).alias("shift"), F.lit(p).alias("probe"))
+                      for i, d, x, p in signature_kinds(threshold)])
+    pieces = threshold + 1
+    seg, length = F.col("s.seg"), F.col("_n") - F.col("s.d")
+    short = F.call_function("div", length, F.lit(pieces)).cast("int")
+    even = F.lit(pieces) - (length - short * pieces)  # segments without an extra character
+    start = short * seg + F.greatest(F.lit(0), seg - even) + F.col("s.shift")
+    size = short + F.when(seg >= even, 1).otherwise(0)
+    rows = lines.select("_h", "_line", "_n", F.explode(kinds).alias("s"))
+    rows = rows.where((start >= 0) & (size > 0) & (start + size <= F.col("_n")))
+    return rows.select("_h", F.xxhash64(length, seg, F.substring("_line", start + 1, size)).alias("key"),
+                       F.col("s.probe").alias("probe"))
+
+
+def masks(line: Column) -> Column:
+    """Parity masks of a line: bit c mod 64 for each character with code c, and the
+    same for each pair of neighbours.  One edit flips at most 2 and 4 bits."""
+    codes = F.transform(F.split(line, ""), lambda c: F.ascii(c))
+
+    def parity(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))))
+
+    def both(c: Column) -> Column:
+        pairs = F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.size(c)), lambda x, y: x * 31 + y)
+        return F.struct(parity(c).alias("one"), parity(pairs).alias("two"))
+
+    return let(codes, both)
 
 
-def _signature(line: Column, length: Column, segment: int, start: Column, size: Column, probe: bool) -> Column:
-    inside = (start >= 0) & (size > 0) & (start + size <= F.length(line))
-    return F.when(inside, F.struct(F.xxhash64(length, F.lit(segment), F.substring(line, start + 1, size)).alias("key"),
-                                   F.lit(probe).alias("probe")))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the edit distance of two character arrays is at most ``threshold``."""
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda v: _within(v["a"], v["b"], threshold))
+
+
+def _within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two character arrays is at most ``threshold``.
 
     Bit d + threshold of word e says: the first i characters of ``a`` and the first
@@ -84,10 +115,41 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             mask = bit if mask is None else mask + bit
         return mask
 
-    end = F.aggregate(F.transform(a, match), start, lambda state, mask: _rows(state, mask, names, full))
+    end = F.aggregate(F.transform(a, match), start, lambda state, mask: _rows(state, mask, names, full), lambda state: state[names[-1]])
     last = F.size(b) - F.size(a)
-    reached = F.call_function("shiftright", end[names[-1]], last + threshold).bitwiseAND(F.lit(1)) == 1
-    return F.when(F.abs(last) > threshold, F.lit(False)).when(F.size(a) == 0, F.lit(True)).otherwise(reached)
+    reached = F.call_function("shiftright", end, last + threshold).bitwiseAND(F.lit(1)) == 1
+    return (F.when(F.abs(last) > threshold, F.lit(False)).when(F.size(a) == 0, F.lit(True))
+            .when((F.size(a) <= threshold) & (F.size(b) <= threshold), F.lit(True)).otherwise(reached))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings, by halving steps: at each step the
+    next ``s`` characters are skipped if they are equal in both."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(most, F.lit(1)).cast("double"))).cast("int")),
+                        lambda i: F.call_function("shiftleft", F.lit(1), i))
+    return F.aggregate(F.reverse(steps), F.lit(0), lambda at, s: F.when(
+        (at + s <= most) & (F.substring(a, at + 1, s) == F.substring(b, at + 1, s)), at + s).otherwise(at))
+
+
+def lines_within(x: Column, y: Column, threshold: int) -> Column:
+    """Whether two lines are within ``threshold`` edits.
+
+    What both begin and end with cannot matter and is cut off first; the distance is
+    computed on what lies between.
+    """
+    def both(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("x"), b.alias("y"))
+
+    def characters(c: Column) -> Column:
+        return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
+
+    def without_prefix(body: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda v: let(common_prefix(v["x"], v["y"]), lambda p: let(
+            both(F.substring(v["x"], p + 1, F.length(v["x"])), F.substring(v["y"], p + 1, F.length(v["y"]))), body))
+
+    middle = without_prefix(lambda v: within(characters(v["x"]), characters(v["y"]), threshold))
+    return let(both(x, y), without_prefix(lambda v: let(both(F.reverse(v["x"]), F.reverse(v["y"])), middle)))
 
 
 def _rows(state: Column, match: Column, names: list[str], full: int) -> Column:
@@ -117,30 +179,34 @@ def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key:
     body = F.col(f"`{text}`").cast("string")
     base = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("_row"),
                        F.posexplode(F.split(body, "\n")).alias("_no", "_line"))
-    lines = base.where(F.length("_line") >= F.lit(max(min_chars, threshold + 1))).select(
-        "_id", "_row", "_no", "_line", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(7), F.col("_line")).alias("_g"))
+    # The length is counted once, as a column: the signatures refer to it many times.
+    lines = base.withColumn("_n", F.length("_line")).where(F.col("_n") >= F.lit(max(min_chars, threshold + 1))).select(
+        "_id", "_row", "_no", "_line", "_n", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(7), F.col("_line")).alias("_g"))
 
     # Every distinct line with its first place and its number of places.
     known = stored(lines.groupBy("_h", "_g").agg(F.min(F.struct("_id", "_row", "_no")).alias("first"),
                                                  F.count(F.lit(1)).alias("n")), "lines")
     # Signature keys that at least two different lines hold.
-    signed = lines.select("_h", F.explode(signatures(F.col("_line"), threshold)).alias("s")).select(
-        "_h", F.col("s.key").alias("key"), F.col("s.probe").alias("probe"))
-    shared = stored(signed.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"),
-                                              F.max("probe").alias("p"), F.min("probe").alias("q"))
-                    .where("lo < hi AND p AND NOT q").select("key"), "line-keys")
+    signed = signatures(lines, threshold)
+    shared = stored(signed.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"), F.min("probe").alias("probes_only"))
+                    .where("lo < hi AND NOT probes_only").select("key"), "line-keys")
     held = stored(signed.join(_bounded(shared), "key", "left_semi").groupBy("key", "probe", "_h").agg(F.lit(1).alias("x"))
                   .drop("x"), "line-signatures")
-    index = held.where("NOT probe").select("key", F.col("_h").alias("i"))
-    probes = held.where("probe").select("key", F.col("_h").alias("j"))
-    pairs = stored(index.join(probes, "key").where("i <> j")
+    wanted = stored(held.select("_h").distinct(), "line-wanted")
+    texts = stored(lines.join(_bounded(wanted), "_h", "left_semi").groupBy("_h").agg(F.first("_line").alias("line"))
+                   .withColumn("m", masks(F.col("line"))), "line-texts")
+    held = stored(held.join(texts.select("_h", "m"), "_h"), "line-masks")
+    index = held.where("NOT probe").select("key", F.col("_h").alias("i"), F.col("m").alias("mi"))
+    probes = held.select(F.col("key").alias("k"), F.col("_h").alias("j"), F.col("m").alias("mj"))
+    flips = lambda f: F.bit_count(F.col(f"mi.{f}").bitwiseXOR(F.col(f"mj.{f}")))
+    meet = ((F.col("key") == F.col("k")) & (F.col("i") != F.col("j"))
+            & (flips("one") <= 2 * threshold) & (flips("two") <= 4 * threshold))
+    pairs = stored(index.join(probes, meet)
                    .groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.lit(1).alias("x")).drop("x"),
                    "line-pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct(), "line-wanted")
-    texts = stored(lines.join(_bounded(wanted), "_h", "left_semi").groupBy("_h").agg(F.first("_line").alias("line")), "line-texts")
-    near = stored(pairs.join(texts.select(F.col("_h").alias("a"), F.col("line").alias("x")), "a")
-                  .join(texts.select(F.col("_h").alias("b"), F.col("line").alias("y")), "b")
-                  .where(within(F.split("x", ""), F.split("y", ""), threshold)).select("a", "b"), "line-near")
+    candidates = (pairs.join(texts.select(F.col("_h").alias("a"), F.col("line").alias("x")), "a")
+                  .join(texts.select(F.col("_h").alias("b"), F.col("line").alias("y")), "b"))
+    near = stored(candidates.where(lines_within(F.col("x"), F.col("y"), threshold)).select("a", "b"), "line-near")
     # Of two near lines the one whose first place is later goes everywhere.
     first = known.select("_h", "first")
     places = (_bounded(near).join(first.select(F.col("_h").alias("a"), F.col("first").alias("fa")), "a")

@@ -74,7 +74,7 @@ def line_rows():
 
     rows = [(i, "\n".join(edited(random.choice(base)) for _ in range(random.randint(1, 5)))) for i in range(40)]
     rows += [(50, None), (51, ""), (52, "\n\n"), (None, base[0] + "\n" + base[0]), (53, "short"), (54, base[1] + "\n"),
-             (55, base[2] * 3000), (56, base[2] * 3000 + "q"), (2, "the same row twice"), (2, "the same row twice"), (2, "other text")]
+             (55, base[2] * 20), (56, base[2] * 20 + "q"), (2, "the same row twice"), (2, "the same row twice"), (2, "other text")]
     return rows
 
 
@@ -102,6 +102,14 @@ def test_within_equals_edit_distance(spark):
         assert all(r.w == (edit_distance(r.a, r.b) <= t) for r in got)
 
 
+def test_long_lines_are_compared_whole(spark):
+    long = "abcdefghij" * 4000
+    docs = spark.createDataFrame([(1, long), (2, long[:30000] + "X" + long[30001:]), (3, long[:20000] + "XYZ" + long[20003:])],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: [], 2: [0], 3: []}
+
+
 def test_line_dedup_is_native_and_takes_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert no_python(line_dedup.dedup_lines(docs))
