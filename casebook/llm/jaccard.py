@@ -231,11 +231,14 @@ def candidate_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataF
                     .agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "jac-matrix")
     a = matrix.select("token", F.col("gid").alias("ga"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
     b = matrix.select("token", F.col("gid").alias("gb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    met = (a.join(b, "token").where("ga < gb").groupBy("ga", "gb")
-           .agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(x) for f, x in ((F.min, "alo"), (F.max, "ahi"), (F.min, "blo"), (F.max, "bhi"))]))
     p = F.lit(percent)
-    met = met.where((F.col("c") >= F.least(least_column(F.col("alo"), percent), least_column(F.col("blo"), percent)))
-                    & (F.col("ahi") * 100 >= F.col("blo") * p) & (F.col("bhi") * 100 >= F.col("alo") * p))
+    # Sets that link have sizes within the threshold of each other, so this holds on
+    # every token that they share.
+    fit = (F.col("ahi") * 100 >= F.col("blo") * p) & (F.col("bhi") * 100 >= F.col("alo") * p)
+    b = b.withColumnRenamed("token", "_token")
+    met = (a.join(b, (F.col("token") == F.col("_token")) & (F.col("ga") < F.col("gb")) & fit).groupBy("ga", "gb")
+           .agg(F.count(F.lit(1)).alias("c"), F.min("alo").alias("alo"), F.min("blo").alias("blo")))
+    met = met.where(F.col("c") >= F.least(least_column(F.col("alo"), percent), least_column(F.col("blo"), percent)))
     own = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     return met.select("ga", "gb").union(own)
 
