@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
                     place(pieces)
                 number += 1
             yield flush()
+        encoder.rest()
         for pieces in packer.finish():
             place(pieces)
         if rows:

@@ -47,13 +47,24 @@ class Encoder:
         return cls._of_worker[path]
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
+        self._tokenizer = None
         self._forget()
 
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = True
+        return self._tokenizer
+
+    def rest(self) -> None:
+        """Between tasks only the flat arrays stay in the worker's memory."""
+        self._tokenizer = None
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.bytes = np.zeros(0, np.int32)
