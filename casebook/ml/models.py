@@ -114,18 +114,19 @@ def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
                                 seed=seed, maxBins=max_bins, **TRAIN_OPTS)
     pipe = _pipeline(d, train, feats, rf)
-    return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
+    return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": train.count(),
                                              "num_trees": num_trees, "max_depth": max_depth})
 
 
 def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
                     seed: int = 42, key: str = KEY, max_bins: int = 256,
-                    max_rows: int | None = 20_000) -> ModelBundle:
+                    max_rows: int | None = None) -> ModelBundle:
     """M6: random forest regressor for Length_of_Stay on Age, Gender, Condition,
     Procedure, Cost.
 
-    The fit uses at most about ``max_rows`` of the training rows (None: all), those
-    with the smallest key hash; encoding, scoring and every metric cover all rows.
+    The fit uses every training row.  A caller may bound it to about ``max_rows`` of
+    them, those with the smallest key hash; encoding, scoring and every metric cover
+    all rows in any case.
     """
     feats = list(LOS_FEATURES)
     d = _cast_features(cases.na.drop(subset=feats + [LOS]), feats).withColumn(
@@ -134,8 +135,9 @@ def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
                                seed=seed, maxBins=max_bins, **TRAIN_OPTS)
-    pipe = _pipeline(d, _bounded_fit(d.where("_train"), max_rows, key), feats, rf)
-    return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed,
+    train = _bounded_fit(d.where("_train"), max_rows, key)
+    pipe = _pipeline(d, train, feats, rf)
+    return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": train.count(),
                                             "num_trees": num_trees, "max_depth": max_depth})
 
 
@@ -204,14 +206,16 @@ def load_bundle(path: str, spark: SparkSession) -> ModelBundle:
 
 
 def model_info(path: str, spark: SparkSession) -> DataFrame:
-    """Version, training size, features and rounded metrics from the
-    metadata table (no model evaluation)."""
+    """Version, training size (labelled rows of both splits; rows the forest was
+    fitted on), features and rounded metrics from the metadata table (no model
+    evaluation)."""
     m = spark.read.parquet(f"{path}/meta")
     j = F.col("meta")
     return m.select(
         F.get_json_object(j, "$.kind").alias("kind"),
         F.get_json_object(j, "$.model_version").alias("version"),
         F.get_json_object(j, "$.trained_on_n").cast("long").alias("trained_on_n"),
+        F.get_json_object(j, "$.fitted_on_n").cast("long").alias("fitted_on_n"),
         F.get_json_object(j, "$.features").alias("features"),
         F.get_json_object(j, "$.train_accuracy").cast("double").alias("train_accuracy"),
         F.get_json_object(j, "$.test_accuracy").cast("double").alias("test_accuracy"),
@@ -222,7 +226,8 @@ def model_info(path: str, spark: SparkSession) -> DataFrame:
 
 def fill_training_meta(bundle: ModelBundle, cases: DataFrame) -> ModelBundle:
     """Training-time metadata (sizes, metrics, target statistics); each is a
-    small aggregate, so only a handful of numbers reach the driver."""
+    small aggregate, so only a handful of numbers reach the driver.  ``trained_on_n``
+    counts the labelled rows (as the reference does), ``fitted_on_n`` those of the fit."""
     d = labelled(bundle, cases)
     bundle.meta["trained_on_n"] = d.count()
     if bundle.kind == "risk":

@@ -213,3 +213,21 @@ def test_requests_keep_their_own_columns(spark, risk, tiny_cases):
     assert [f.dataType for f in s.schema.fields][:len(tiny_cases.columns)] == [f.dataType for f in tiny_cases.schema.fields]
     bad = scoring.rejected_requests(risk, tiny_cases)
     assert s.count() + bad.count() == tiny_cases.count() and bad.count() > 0
+
+
+def test_stay_forest_is_fitted_on_every_training_row(spark):
+    n = 30_000
+    cases = spark.range(n).select(
+        F.col("id").alias("Patient_ID"), (F.col("id") % 80).cast("int").alias("Age"), F.lit("F").alias("Gender"),
+        F.lit("Flu").alias("Condition"), F.lit("Rest").alias("Procedure"), (F.col("id") % 977).cast("double").alias("Cost"),
+        (F.col("id") % 9 + 1).cast("int").alias("Length_of_Stay"),
+        F.when(F.col("id") % 3 == 0, "Yes").otherwise("No").alias("Readmission"))
+    b = models.train_los_model(cases, num_trees=1, max_depth=2)
+    want = models.labelled(b, cases).where("_train").count()
+    ff = b.flat(spark)
+    # A tree sees a bootstrap sample: as many rows as the fit has, give or take a few standard deviations.
+    assert want > 20_000 and want == b.meta["fitted_on_n"] and abs(ff.cover[ff.roots[0]] / want - 1) < 0.05
+    bounded = models.train_risk_model(cases, num_trees=1, max_depth=2, max_rows=5_000)
+    ff = bounded.flat(spark)
+    assert bounded.meta["fitted_on_n"] < 6_000 and abs(ff.cover[ff.roots[0]] / bounded.meta["fitted_on_n"] - 1) < 0.1
+    assert models.fill_training_meta(bounded, cases).meta["trained_on_n"] == n
