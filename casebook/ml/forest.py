@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -209,6 +209,79 @@ def shapley(lt: LeafTable, X: np.ndarray, leaves: int = 4096, rows: int = 512) -
     return out[which.ravel()]
 
 
+#: Cells of all coalition tables together (8 bytes each).
+TABLE_CELLS = 1 << 24
+
+
+@dataclass
+class CoalitionTables:
+    """E[f | x_S] for every set S of features (bit j: feature j) and every cell of the
+    grid that the forest's thresholds make: a row's game is 2^M lookups, whatever the
+    forest's size."""
+    thresholds: list    # ascending, per feature
+    tables: list        # per S: E[f | x_S], flat, over the cells of the features of S
+
+    @property
+    def base(self) -> float:
+        return float(self.tables[0][0])
+
+    def shapley(self, X: np.ndarray) -> np.ndarray:
+        n = len(self.thresholds)
+        cells = [np.searchsorted(t, X[:, j], side="left") for j, t in enumerate(self.thresholds)]
+        weight, _ = _weights(n)
+        out = np.zeros(X.shape)
+        for s, table in enumerate(self.tables):
+            at = np.zeros(len(X), np.int64)
+            for j in _members(s, n):
+                at = at * (len(self.thresholds[j]) + 1) + cells[j]
+            paid, size = table[at], s.bit_count()
+            for j in range(n):
+                out[:, j] += paid * (weight[size - 1] if s >> j & 1 else -weight[size])
+        return out
+
+
+def _members(s: int, n: int) -> list[int]:
+    return [j for j in range(n) if s >> j & 1]
+
+
+def coalition_tables(ff: FlatForest, trees: int = 8, cells: int = TABLE_CELLS) -> CoalitionTables | None:
+    """The tables of a forest, ``trees`` trees at a time, or None if they would have
+    more than ``cells`` cells.
+
+    To coalition S a leaf pays v * (product of its cover ratios outside S) on the box
+    of cells it accepts in S.  Boxes are added as differences at their corners, which
+    running sums along each axis then fill.
+    """
+    n = ff.n_features
+    thresholds = [np.unique(ff.threshold[ff.feature == j]) for j in range(n)]
+    sides = [len(t) + 2 for t in thresholds]  # one past the last cell, for the boxes' ends
+    if math.prod(k + 1 for k in sides) > cells:
+        return None
+    sums = [np.zeros(math.prod(sides[j] for j in _members(s, n))) for s in range(1 << n)]
+    for a in range(0, len(ff.roots), trees):
+        part = replace(ff, roots=ff.roots[a:a + trees])
+        lt = leaf_table(part)
+        value = lt.value * (len(part.roots) / len(ff.roots))
+        start = [np.searchsorted(t, lt.lo[:, j], side="right") for j, t in enumerate(thresholds)]
+        end = [np.maximum(start[j], np.searchsorted(t, lt.hi[:, j], side="left") + 1) for j, t in enumerate(thresholds)]
+        for s in range(1 << n):
+            inside = _members(s, n)
+            pay = value * lt.ratio[:, [j for j in range(n) if j not in inside]].prod(axis=1)
+            for corner in itertools.product((0, 1), repeat=len(inside)):
+                at = np.zeros(len(value), np.int64)
+                for j, last in zip(inside, corner):
+                    at = at * sides[j] + (end[j] if last else start[j])
+                np.add.at(sums[s], at, -pay if sum(corner) % 2 else pay)
+    tables = []
+    for s in range(1 << n):
+        inside = _members(s, n)
+        box = sums[s].reshape([sides[j] for j in inside])
+        for axis in range(len(inside)):
+            box = np.cumsum(box, axis=axis)
+        tables.append(box[tuple(slice(0, -1) for _ in inside)].ravel())
+    return CoalitionTables(thresholds, tables)
+
+
 def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
     """M7 core: forest mean and population std over the trees, per row."""
     ship_package(spark)
@@ -234,10 +307,12 @@ def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
 
 def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
     """M8: per row and feature, the Shapley value toward the prediction, long
-    form (keys, feature, value, shap_value), plus the base value."""
+    form (keys, feature, value, shap_value), plus the base value.  Rows look their
+    values up in the coalition tables; a forest whose grid is too large for them is
+    walked leaf by leaf, with the same results."""
     ship_package(spark)
     ff = bundle.flat(spark)
-    lt = spark.sparkContext.broadcast(leaf_table(ff))
+    game = spark.sparkContext.broadcast(coalition_tables(ff) or leaf_table(ff))
     cols = bundle.model_columns()
     keys = list(keys)
     feats = list(bundle.features)
@@ -251,10 +326,10 @@ def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
 
     def run(batches):
         import pandas as pd
-        t = lt.value
+        t = game.value
         for pdf in batches:
             X = pdf[cols].to_numpy(dtype=float)
-            phi = shapley(t, X)
+            phi = t.shapley(X) if isinstance(t, CoalitionTables) else shapley(t, X)
             pred = t.base + phi.sum(axis=1)
             parts = []
             for j, name in enumerate(feats):

@@ -35,10 +35,6 @@ def bundle(spark, sf_dir: str, kind: str) -> models.ModelBundle:
     return _CACHE[k]
 
 
-def _queue(spark, sf_dir):
-    return triage.triage_queue(case_view(spark, sf_dir), TRIAGE_RULES, limit=20)
-
-
 @register("risk_scores")
 def risk_scores(spark, sf_dir):
     return scoring.risk_scores(bundle(spark, sf_dir, "risk"), case_view(spark, sf_dir))
@@ -67,10 +63,7 @@ def risk_attribution(spark, sf_dir):
 
 @register("los_attribution")
 def los_attribution(spark, sf_dir):
-    # Explanations for the cases on the triage queue, whose top 20 is the feature: the
-    # depth-15 forest has about a million leaves.  ``fixed_los_attribution`` explains
-    # every case.
-    return scoring.attribution_report(bundle(spark, sf_dir, "los"), _queue(spark, sf_dir), ["Patient_ID"])
+    return scoring.attribution_report(bundle(spark, sf_dir, "los"), case_view(spark, sf_dir), ["Patient_ID"])
 
 
 @register("triage_with_risk")
