@@ -12,7 +12,9 @@ segment make no pair.  Pairs are verified by a banded bit-parallel edit distance
 
 A line occurrence goes if an equal line, or a line within the threshold, stands
 earlier in (doc_id, line) order.  The first of each kind stays.  Lines shorter than
-``min_chars`` characters are left alone.
+``min_chars`` characters are left alone; those shorter than ``near_chars`` are compared
+for equality only, if they are not blank: two edits make one short line of many
+unrelated ones.
 """
 
 from __future__ import annotations
@@ -171,7 +173,7 @@ def _bounded(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key: str = "doc_id",
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", near_chars: int | None = None) -> DataFrame:
     """(_row, removed): for each row identity the numbers (from 0) of its lines that go.
 
     ``_row`` is the hash of id and text: rows equal in both lose the same lines.
@@ -180,20 +182,23 @@ def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key:
     base = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("_row"),
                        F.posexplode(F.split(body, "\n")).alias("_no", "_line"))
     # The length is counted once, as a column: the signatures refer to it many times.
-    lines = base.withColumn("_n", F.length("_line")).where(F.col("_n") >= F.lit(max(min_chars, threshold + 1))).select(
+    near_from = max(min_chars if near_chars is None else near_chars, threshold + 1)
+    counted = (F.col("_n") >= near_from) | ((F.col("_n") >= min_chars) & F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = base.withColumn("_n", F.length("_line")).where(counted).select(
         "_id", "_row", "_no", "_line", "_n", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(7), F.col("_line")).alias("_g"))
 
     # Every distinct line with its first place and its number of places.
     known = stored(lines.groupBy("_h", "_g").agg(F.min(F.struct("_id", "_row", "_no")).alias("first"),
                                                  F.count(F.lit(1)).alias("n")), "lines")
     # Signature keys that at least two different lines hold.
-    signed = signatures(lines, threshold)
+    long = lines.where(F.col("_n") >= near_from)
+    signed = signatures(long, threshold)
     shared = stored(signed.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"), F.min("probe").alias("probes_only"))
                     .where("lo < hi AND NOT probes_only").select("key"), "line-keys")
     held = stored(signed.join(_bounded(shared), "key", "left_semi").groupBy("key", "probe", "_h").agg(F.lit(1).alias("x"))
                   .drop("x"), "line-signatures")
     wanted = stored(held.select("_h").distinct(), "line-wanted")
-    texts = stored(lines.join(_bounded(wanted), "_h", "left_semi").groupBy("_h").agg(F.first("_line").alias("line"))
+    texts = stored(long.join(_bounded(wanted), "_h", "left_semi").groupBy("_h").agg(F.first("_line").alias("line"))
                    .withColumn("m", masks(F.col("line"))), "line-texts")
     held = stored(held.join(texts.select("_h", "m"), "_h"), "line-masks")
     index = held.where("NOT probe").select("key", F.col("_h").alias("i"), F.col("m").alias("mi"))
@@ -222,17 +227,18 @@ def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key:
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key: str = "doc_id",
-                text: str = "text") -> DataFrame:
+                text: str = "text", near_chars: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, plus n_lines and
     removed_lines (their numbers from 0).
 
-    Whole texts are read; a text without removed lines is returned as it was, and a
+    ``near_chars`` (``min_chars`` if None) is the length from which lines are also
+    compared by edit distance.  Whole texts are read; a text without removed lines is returned as it was, and a
     text whose lines all go becomes empty.  Null text: null, 0 lines.  Rows are kept
     one to one; rows equal in id and text lose the same lines; null ids sort first.
     Columns named n_lines or removed_lines are replaced.  An empty table stays empty.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    gone = removed_lines(docs, threshold, min_chars, key, text)
+    gone = removed_lines(docs, threshold, min_chars, key, text, near_chars)
     body = F.col(f"`{text}`").cast("string")
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{key}`"), body).alias("_row")) \
               .join(gone, "_row", "left")
