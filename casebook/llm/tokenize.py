@@ -4,12 +4,14 @@ A text may be cut wherever the pre-tokenizer cuts it anyway: before a single spa
 that is followed by a non-blank (it goes with what follows), after a line break that
 stands alone between ASCII non-blanks, and between an ASCII letter and ASCII punctuation
 other than the apostrophe.  The pieces then have the ids of the whole.  The distinct
-pieces of a batch are encoded once and looked up.
+pieces of a batch are encoded once and looked up.  The tokenizer's added tokens are
+found first: each is a piece of its own, and text ends and begins anew around it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ class Encoder:
     def __init__(self, path: str):
         self.path = path
         self._tokenizer = None
+        self._added = None
         self._forget()
 
     @property
@@ -58,9 +61,33 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self.path)
-            self._tokenizer.encode_special_tokens = True
         return self._tokenizer
 
+    @property
+    def added(self) -> re.Pattern:
+        """Matches the added tokens' bytes, the longest at a place."""
+        if self._added is None:
+            tokens = list(self.tokenizer.get_added_tokens_decoder().values())
+            if self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+                raise ValueError("texts cannot be cut around added tokens that depend on their neighbours")
+            names = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+            self._added = re.compile(b"|".join(map(re.escape, names)) or rb"(?!)")
+        return self._added
+
+    def _cut_out_added(self, raw: np.ndarray, off: np.ndarray, cut: np.ndarray) -> None:
+        found = [m.span() for m in self.added.finditer(raw)]
+        if not found:
+            return
+        # A match may run across two texts: search again in each text it touches.
+        touched = np.unique(np.searchsorted(off, np.array(found) - [0, 1], side="right") - 1)
+        found = [m.span() for t in touched for m in self.added.finditer(raw, int(off[t]), int(off[t + 1]))]
+        for first, _ in found:
+            cut[max(first - 1, 0)] = False  # like a text's last byte
+        for first, end in found:
+            cut[first:end] = False
+        for first, end in found:
+            cut[[first, end]] = True
+
     def rest(self) -> None:
         """Between tasks only the flat arrays stay in the worker's memory."""
         self._tokenizer = None
@@ -124,6 +151,7 @@ class Encoder:
         cut[1:-1] |= letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
         visible = VISIBLE[raw]
         cut[2:-1] |= visible[:-2] & (raw[1:-1] == 0x0A) & visible[2:]
+        self._cut_out_added(raw, off, cut)
         cut[off] = True
         cuts = np.flatnonzero(cut)
         runs = pa.Array.from_buffers(pa.large_binary(), cuts.size - 1,
