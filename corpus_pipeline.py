@@ -40,14 +40,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8
-    or more) stays: the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard.jaccard_components(docs, size=5, percent=80)
-    gone = stored(found.where("component_id <> doc_id").select("doc_id"), "copies")
-    if gone.count() <= jaccard.SMALL:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more)
+    stays: the one with the smallest id, a null id after all others.  Rows are told
+    apart by a stored number, for ids may be null or repeated."""
+    docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = jaccard.jaccard_components(docs, size=5, percent=80, key="_row")
+    later = found.where("component_id <> _row").select("_row", F.col("component_id").alias("_group"))
+    later = stored(later, "later")
+    members = stored(later.unionByName(later.select(F.col("_group").alias("_row"), "_group").distinct()), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    stays = (docs.select("doc_id", "_row").join(few(members), "_row").groupBy("_group")
+             .agg(F.min(place).getField("_row").alias("_stays")))
+    gone = stored(members.join(few(stored(stays, "stays")), "_group").where("_row <> _stays").select("_row"), "copies")
+    return docs.join(few(gone), "_row", "left_anti").select(*COLUMNS)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A broadcast hint if the stored table is small enough; else as it is."""
+    return F.broadcast(df) if df.count() <= jaccard.SMALL else df
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
