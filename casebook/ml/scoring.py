@@ -97,12 +97,12 @@ def attribution_report(bundle, requests: DataFrame, keys, top: int = 5) -> DataF
     a = forest.attributions(bundle, r, keys, requests.sparkSession)
     up, down = (("increases_risk", "decreases_risk") if bundle.kind == "risk"
                 else ("increases_los", "decreases_los"))
-    # Rounded before ranking: the last digits depend on the order of summation.
+    # Rounded before ranking and before the final rounding of halves: the last digits depend on the order of summation.
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.bround("shap_value", 9))), "feature")
     return (a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-            .select(*keys, "rank", "feature", "value", F.bround("shap_value", 4).alias("shap_value"),
+            .select(*keys, "rank", "feature", "value", F.bround(F.bround("shap_value", 9), 4).alias("shap_value"),
                     F.when(F.bround("shap_value", 9) > 0, up).otherwise(down).alias("direction"),
-                    F.bround(F.abs("shap_value"), 4).alias("abs_importance"),
+                    F.bround(F.abs(F.bround("shap_value", 9)), 4).alias("abs_importance"),
                     F.bround("base_value", 4).alias("base_value")))
 
 
