@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import ann, jaccard, line_dedup, lm, mixing, packing, quality, sharding, token_counts, url_filter
+from casebook.llm import (ann, jaccard, line_dedup, lm, mixing, packing, prefix_trie, quality, sharding, token_counts,
+                          url_filter)
+from casebook.llm.scratch import stored
 from casebook.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +126,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, tokenizer_path()).select("doc_id", *token_counts.ADDED)
+
+
+@register("op13_prefix_trie", r"""
+WITH
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 20 AS base,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+          lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+          4294967295) % 4 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT k.c, 0 AS side, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.pos < k.h
+      UNION ALL SELECT k.c, 1, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.pos >= k.h),
+s AS (SELECT k.c, coalesce(list([r.role, r.text] ORDER BY side, pos) FILTER (WHERE r.c IS NOT NULL), []) AS said
+      FROM k LEFT JOIN r ON r.c = k.c GROUP BY k.c),
+m AS (SELECT c, d, said[1:d] AS prefix, len(said) = d AS ends FROM (SELECT c, said, unnest(range(0, len(said) + 1)) AS d FROM s)),
+n AS (SELECT d, prefix, min(c) AS conv, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends,
+        CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(prefix[d][2], '[^\x20\x09-\x0D]+')) END AS words FROM m GROUP BY d, prefix),
+p AS (SELECT a.conv, a.d, b.conv AS parent, count(*) OVER (PARTITION BY b.conv, b.d) AS children FROM n a JOIN n b ON b.d = a.d - 1 AND b.prefix = a.prefix[1:a.d - 1]),
+kids AS (SELECT parent, d - 1 AS d, any_value(children) AS children FROM p GROUP BY ALL),
+f AS (SELECT n.*, p.parent, coalesce(kids.children, 0) AS children FROM n LEFT JOIN p ON p.conv = n.conv AND p.d = n.d
+      LEFT JOIN kids ON kids.parent = n.conv AND kids.d = n.d)
+SELECT a.conv AS conv_id, a.d AS depth, a.parent AS parent_conv_id, a.n AS n_convs, CAST(a.children AS BIGINT) AS n_children,
+       CAST(sum(CASE WHEN b.children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+       CAST(sum((b.n - 1) * b.words) AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM f a JOIN f b ON b.d >= a.d AND b.prefix[1:a.d] = a.prefix GROUP BY ALL
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.numbered_turns(read_table(spark, sf_dir, "conversations")), "trie-turns")
+    convs, turns = prefix_trie.regrafted(turns, group=20, most=4)
+    return prefix_trie.prefix_trie(convs, turns).select(*prefix_trie.OUT)
