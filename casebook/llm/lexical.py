@@ -21,11 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.indexing import dense_index
-from casebook.llm.scratch import stored
+from casebook.llm.scratch import shared_path, stored
 from casebook.llm.words import slices, split_words
 from casebook.session import ship_package
 
@@ -35,6 +35,7 @@ IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 
 ITEMS_AT_ONCE = 256
 DOCS_AT_ONCE = 1024
+SUMS_AT_ONCE = 8_000_000
 B = 75
 
 
@@ -60,9 +61,9 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
 
 @dataclass
 class Plan:
-    """The sums of one block of items.  Symbols 0 .. classes - 1 are term classes; the
-    later ones are the sum of the two symbols in ``pairs``.  ``parts`` lists, item by
-    item, the symbols to add."""
+    """The sums of one block of items.  The first symbols are term classes, each with the
+    number of times it counts; the later ones are the sum of the two symbols in
+    ``pairs``.  ``parts`` lists, item by item, the symbols to add."""
     items: np.ndarray          # number of each item in the block
     ids: list                  # its id, may be None
     terms: pa.Array            # distinct terms, sorted
@@ -77,7 +78,8 @@ def mine(held: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Greedy common subexpressions of the rows of ``held`` (symbol x item, boolean):
     (pairs, held of all symbols afterwards).  Each item is the sum of its symbols."""
     size = len(held)
-    rows = np.zeros((2 * size + held.size + 1, held.shape[1]), np.float32)
+    # Every new symbol takes at least two memberships away.
+    rows = np.zeros((size + int(held.sum()) // 2 + 1, held.shape[1]), np.float32)
     rows[:size] = held
     pairs: list[tuple[int, int]] = []
     best, mate = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
@@ -110,8 +112,9 @@ def mine(held: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     return pairs, rows[:size] > 0
 
 
-def plan_of(rows: pa.Table) -> Plan:
-    """The plan of one block, from its (item, id, term, n) rows."""
+def plan_of(rows: pa.Table) -> tuple[Plan, list[tuple[int, int]]]:
+    """The plan of one block, from its (item, id, term, n) rows, and its first symbols:
+    (class, how often it counts)."""
     items, first = np.unique(rows["item"].to_numpy(), return_index=True)
     ids = rows["id"].take(pa.array(first)).to_pylist()
     coded = rows["term"].combine_chunks().dictionary_encode()
@@ -125,24 +128,23 @@ def plan_of(rows: pa.Table) -> Plan:
         held = (tuple(item[a:z].tolist()), tuple(n[a:z].tolist()))
         class_of[code[a]] = found.setdefault(held, len(found))
     # A class that an item holds twice enters it twice as a symbol of its own weight.
-    symbols, held, times = {}, [], []
+    symbols, held, times = [], [], []
     for (who, often), c in found.items():
         times.append(dict(zip(who, often)))
         for k in sorted(set(often)):
             row = np.zeros(len(items), bool)
             row[[w for w, o in zip(who, often) if o == k]] = True
-            symbols[(c, k)] = len(held)
+            symbols.append((c, k))
             held.append(row)
     pairs, after = mine(np.array(held) if held else np.zeros((0, len(items)), bool))
     parts = [np.flatnonzero(after[:, j]).tolist() for j in range(len(items))]
-    weights = list(symbols)
-    return Plan(items, ids, terms, class_of, len(found), pairs, parts, times), weights
+    return Plan(items, ids, terms, class_of, len(found), pairs, parts, times), symbols
 
 
 def term_counts(docs: DataFrame, terms: pa.Array) -> DataFrame:
     """(id, n, terms, tf) of every document with a term: its length in terms, and the
     numbers and counts of those in ``terms``."""
-    shared = docs.sparkSession.sparkContext.broadcast(pa.serialize_pandas if False else terms.to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(terms.to_pylist())
 
     def run(batches):
         listed = pa.array(shared.value, pa.binary())
@@ -197,9 +199,10 @@ def ranked(counts: DataFrame, plan: Plan, symbols: list, w: np.ndarray, n: int,
         pairs, parts, class_of, classes, symbols, w = shared.value
         held = np.zeros((0, 3), np.int64)  # item, id, score
         none = np.zeros(0, bool)
+        docs = max(16, min(DOCS_AT_ONCE, SUMS_AT_ONCE // max(classes + len(symbols) + len(pairs), 1)))
         for batch in batches:
-            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
-                b = batch.slice(start, DOCS_AT_ONCE)
+            for start in range(0, batch.num_rows, docs):
+                b = batch.slice(start, docs)
                 known = b.column("id").is_valid().to_numpy(zero_copy_only=False)
                 ids = pc.fill_null(b.column("id"), 0).to_numpy()
                 order = np.lexsort((ids, ~known))
@@ -253,7 +256,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
     ship_package(spark)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     asked = item_terms(items, item, item_text)
-    out = spark.createDataFrame([], "item_id long, number long, id long, score long")
+    folder, done = shared_path(spark, "lex-found"), False
     for block in sorted(r[0] for r in asked.select("block").distinct().collect()):
         plan, symbols = plan_of(asked.where(F.col("block") == block).select("item", "id", "term", "n").toArrow())
         counts = stored(term_counts(docs, plan.terms), "lex-counts")
@@ -262,7 +265,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
             continue
         names = spark.createDataFrame([(int(x), y) for x, y in zip(plan.items, plan.ids)], "item long, item_id long")
         found = ranked(counts, plan, symbols, w, n, length, k).join(F.broadcast(names), "item")
-        out = out.unionByName(found.select("item_id", F.col("item").alias("number"), "id", "score"))
+        found.select("item_id", F.col("item").alias("number"), "id", "score").write.mode("append").parquet(folder)
+        done = True
+    schema = "item_id long, number long, id long, score long"
+    out = spark.read.schema(schema).parquet(folder) if done else spark.createDataFrame([], schema)
     best = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return (out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("item_id", "rank", F.col("id").alias("doc_id"), "score"))

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import (ann, jaccard, line_dedup, lm, mixing, packing, prefix_trie, quality, sharding, token_counts,
-                          url_filter)
+from casebook.llm import (ann, jaccard, lexical, line_dedup, lm, mixing, packing, prefix_trie, quality, sharding,
+                          token_counts, url_filter)
 from casebook.llm.scratch import stored
 from casebook.sources.tables import read_table
 
@@ -128,6 +128,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path()).select("doc_id", *token_counts.ADDED)
 
 
+@register("op12_lexical_search", r"""
+WITH
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+k AS (SELECT q, item_id, t, count(*) AS times FROM i GROUP BY ALL),
+g AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+m AS (SELECT r, doc_id, 25 + (75 * len(ts) * g.n) // g.l AS m FROM d, g WHERE len(ts) > 0),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM k) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * g.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY t, g.n),
+s AS (SELECT k.q, k.item_id, m.doc_id, m.r, CAST(sum(k.times * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM k JOIN f ON f.t = k.t JOIN w ON w.t = k.t JOIN m ON m.r = f.r GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 @register("op13_prefix_trie", r"""
 WITH
 t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,

@@ -122,7 +122,8 @@ def last_bytes(values: pa.Array) -> np.ndarray:
     return last + 256 * np.where(size > 1, raw[np.maximum(off[1:] - 2, 0)], 0)
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, keep: np.ndarray = IS_WORD) -> Words:
+    """The runs of bytes that ``keep`` marks, by default words."""
     raw, off = text_bytes(texts)
     n = len(off) - 1
     if lower:
@@ -130,7 +131,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     if raw.size == 0:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(n, np.int64), none, pa.array([], pa.binary()), none, none, raw, off)
-    word = IS_WORD[raw]
+    word = keep[raw]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
