@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.llm import (ann, jaccard, lexical, line_dedup, lm, mixing, packing, prefix_trie, quality, sharding,
-                          token_counts, url_filter)
+                          simhash, token_counts, url_filter)
 from casebook.llm.scratch import stored
 from casebook.sources.tables import read_table
 
@@ -128,6 +128,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path()).select("doc_id", *token_counts.ADDED)
 
 
+@register("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.simhash_components(docs, size=3, distance=3)
+
+
 @register("op12_lexical_search", r"""
 WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
