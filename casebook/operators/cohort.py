@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.filters import apply_where, ci_equals, pattern_match
-from casebook.functions.quantiles import global_quantile_row, grouped_quantile_frame, quantile_rows
+from casebook.functions import quantiles as vc
+from casebook.functions.quantiles import ValueCounts, kept, quantile_rows
 from casebook.functions.stats import direction, quantile, r, rate_pct, rq, safe_corr
 from casebook.schema import (AGE, CONDITION, COST, GROUPABLE, KEY, LOS, OUTCOME, PROCEDURE,
                              READMISSION, SATISFACTION, check_groupable)
@@ -25,8 +26,8 @@ CUT_POINTS = (0.25, 0.50, 0.75, 0.90)
 def percentile_cuts(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row of p25/p50/p75/p90 for Cost and Length_of_Stay (nulls skipped).
 
-    Global quantiles use the distributed exact method (no task gathers all
-    distinct values); ``exact=False`` uses a fixed-size sketch."""
+    One scan counts the values; no task gathers all distinct ones.  ``exact=False``
+    uses a fixed-size sketch."""
     q = list(CUT_POINTS)
     agg = quantile_rows(df.select(COST, LOS), {COST: q, LOS: q}, exact).select(
         F.col(COST).alias("_c"), F.col(LOS).alias("_l"))
@@ -75,76 +76,70 @@ def record_summary(df: DataFrame, ids=None, exact: bool = True) -> DataFrame:
 def kpi_overview(df: DataFrame, where: dict | None = None, by=None, exact: bool = True) -> DataFrame:
     """A1: cohort KPIs.  Rates use non-null denominators; a metric with no data is NULL.
 
-    Ungrouped, an empty cohort gives no row (``n > 0``).
+    Ungrouped, an empty cohort gives no row (``n > 0``).  Everything follows from one
+    scan that counts the values of five columns per group.
     """
     d = apply_where(df, where)
+    keys = check_groupable(by) if by else []
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
+    if not exact:
+        return _kpi_sketch(d, keys)
+    counts = ValueCounts.of(d, {
+        COST: F.col(COST), LOS: F.col(LOS), SATISFACTION: F.col(SATISFACTION),
+        READMISSION: (F.col(READMISSION) == "Yes").cast("int"), OUTCOME: (F.col(OUTCOME) == "Recovered").cast("int")}, keys)
+    x = F.col("x")
+    one = counts.stats({COST: [0.5], LOS: [0.5]}, {
+        "n": vc.rows(COST), "avg_cost": vc.mean(COST), "min_cost": F.min(vc.of(COST)), "max_cost": F.max(vc.of(COST)),
+        "avg_length_of_stay": vc.mean(LOS), "readmission_rate": vc.percent(READMISSION), "recovery_rate": vc.percent(OUTCOME),
+        "avg_satisfaction": vc.mean(SATISFACTION), "_low": vc.rows(SATISFACTION, x <= 2), "_rated": vc.present(SATISFACTION)})
+    return one.where("n > 0").select(
+        *keys, "n", r("avg_cost").alias("avg_cost"), rq(F.col(COST)[0]).alias("median_cost"), r("min_cost").alias("min_cost"),
+        r("max_cost").alias("max_cost"), r("avg_length_of_stay").alias("avg_length_of_stay"),
+        r(F.col(LOS)[0]).alias("median_length_of_stay"), r("readmission_rate").alias("readmission_rate"),
+        r("recovery_rate").alias("recovery_rate"), r("avg_satisfaction").alias("avg_satisfaction"),
+        F.when(F.col("_rated") > 0, F.col("_low")).alias("low_satisfaction_count"))
+
+
+def _kpi_sketch(d: DataFrame, keys) -> DataFrame:
+    """A1 with approximate medians (a sketch of fixed size), in one aggregate."""
     cost, los, sat = F.col(COST), F.col(LOS), F.col(SATISFACTION)
-    names = ["n", "avg_cost", "median_cost", "min_cost", "max_cost", "avg_length_of_stay",
-             "median_length_of_stay", "readmission_rate", "recovery_rate", "avg_satisfaction",
-             "low_satisfaction_count"]
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        r(F.avg(cost)).alias("avg_cost"),
-        rq(quantile(cost, 0.5, exact)).alias("median_cost"),
-        r(F.min(cost)).alias("min_cost"),
-        r(F.max(cost)).alias("max_cost"),
-        r(F.avg(los)).alias("avg_length_of_stay"),
-        r(quantile(los, 0.5, exact)).alias("median_length_of_stay"),
+    return d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg(cost)).alias("avg_cost"), rq(quantile(cost, 0.5, False)).alias("median_cost"),
+        r(F.min(cost)).alias("min_cost"), r(F.max(cost)).alias("max_cost"), r(F.avg(los)).alias("avg_length_of_stay"),
+        r(quantile(los, 0.5, False)).alias("median_length_of_stay"),
         r(rate_pct(F.col(READMISSION) == "Yes", F.count(READMISSION))).alias("readmission_rate"),
         r(rate_pct(F.col(OUTCOME) == "Recovered", F.count(OUTCOME))).alias("recovery_rate"),
         r(F.avg(sat)).alias("avg_satisfaction"),
-        F.when(F.count(sat) > 0, F.count_if(sat <= 2)).alias("low_satisfaction_count"),
-    ]
-    if by:
-        keys = check_groupable(by)
-        dk = d.where(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False))
-        # Cost is continuous: its per-cohort median comes from the exact
-        # bucketed method (a hot cohort is spread over its buckets).
-        plain = [a for a, nm in zip(aggs, names) if nm != "median_cost"]
-        med = grouped_quantile_frame(dk, keys, COST, [0.5], exact, "_mc")
-        g = dk.groupBy(*keys).agg(*plain).join(med, keys, "left")
-        return g.withColumn("median_cost", rq(F.col("_mc")[0])).select(*keys, *names)
-    # Ungrouped: medians come from the distributed exact quantile rows.
-    plain = [a for a, nm in zip(aggs, names) if nm not in ("median_cost", "median_length_of_stay")]
-    med = quantile_rows(d.select(COST, LOS), {COST: [0.5], LOS: [0.5]}, exact).select(
-        F.col(COST).alias("_mc"), F.col(LOS).alias("_ml"))
-    out = d.agg(*plain).crossJoin(F.broadcast(med))
-    out = out.withColumn("median_cost", rq(F.col("_mc")[0])).withColumn(
-        "median_length_of_stay", r(F.col("_ml")[0]))
-    return out.select(*names).where("n > 0")
-
-
-def los_benchmark(df: DataFrame, group_by: str = CONDITION, where: dict | None = None,
-                  exact: bool = True) -> DataFrame:
+        F.when(F.count(sat) > 0, F.count_if(sat <= 2)).alias("low_satisfaction_count")).where("n > 0")
+
+
+def los_benchmark(df: DataFrame, group_by: str = CONDITION, where: dict | None = None) -> DataFrame:
     """A2: Length_of_Stay statistics per group against the global p90.
 
     n counts rows (NULL stays included); the global p90 is taken after the
-    filter and joined back as a broadcast one-row table.  Sorted by rounded mean
-    descending, ties by group ascending.
+    filter, rows without a group included.  Sorted by rounded mean descending,
+    ties by group ascending.  One scan counts the stays per group; the global
+    threshold and every group's row follow from the counts.
     """
     (g,) = check_groupable([group_by])
     d = apply_where(df, where)
-    gp90 = F.broadcast(global_quantile_row(d, LOS, [0.9], exact, "_g").select(
-        F.col("_g")[0].alias("_gp90")))
-    los = F.col(LOS)
-    # One pass over the filtered rows: the one-row threshold rides along as a
-    # broadcast column, so long_stay_count comes out of the same aggregate.
-    out = (d.where(F.col(g).isNotNull()).crossJoin(gp90)
-           .groupBy(g)
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.avg(los).alias("_mean"),
-                quantile(los, [0.5, 0.75, 0.9], exact).alias("_q"),
-                F.min(los).alias("min"),
-                F.max(los).alias("max"),
-                F.count_if(los > F.col("_gp90")).alias("long_stay_count"),
-                F.first("_gp90").alias("_gp90")))
-    p50 = r(F.col("_q")[0].cast("double"))
+    counts = ValueCounts.of(d, [LOS], [g])
+    top = counts.merged().stats({LOS: [0.9]}).select(F.col(LOS)[0].alias("_gp90"))
+    x, k = F.col("x"), F.col("k")
+    # One row: the threshold rides along with the counts.
+    groups = counts.table.where(F.col(g).isNotNull()).crossJoin(F.broadcast(top))
+    kind = df.schema[LOS].dataType
+    out = ValueCounts.over(groups, [g]).stats({LOS: [0.5, 0.75, 0.9]}, {
+        "n": F.sum(k), "_mean": vc.mean(LOS), "min": F.min(x).cast(kind), "max": F.max(x).cast(kind),
+        "long_stay_count": F.coalesce(F.sum(F.when(x > F.col("_gp90"), k)), F.lit(0).cast("long")), "_gp90": F.first("_gp90")})
+    p50 = r(F.col(LOS)[0])
     return (out.select(
         F.col(g), "n",
         r(F.col("_mean")).alias("mean"),
         p50.alias("p50"),
-        r(F.col("_q")[1].cast("double")).alias("p75"),
-        r(F.col("_q")[2].cast("double")).alias("p90"),
+        r(F.col(LOS)[1]).alias("p75"),
+        r(F.col(LOS)[2]).alias("p90"),
         "min", "max",
         F.coalesce(p50 > F.col("_gp90"), F.lit(False)).alias("exceeds_global_p90"),
         "long_stay_count",
@@ -152,6 +147,64 @@ def los_benchmark(df: DataFrame, group_by: str = CONDITION, where: dict | None =
         .orderBy(F.desc_nulls_last("mean"), F.asc(g)))
 
 
+# Numeric columns correlated with satisfaction.
+CORRELATED = (COST, LOS, AGE)
+# The two-level factors whose mean satisfaction is compared, with the
+# answers if the first level's is higher (Outcome) or lower (Readmission).
+CONTRASTS = ((OUTCOME, "Recovered", "Stable", "recovery associated with higher satisfaction"),
+             (READMISSION, "Yes", "No", "readmission associated with lower satisfaction"))
+NO_PATTERN = "no clear pattern"
+
+
+def _cohort_aggs() -> list:
+    sat = F.col(SATISFACTION)
+    return [F.avg(sat).alias("_avg"), F.count(sat).alias("satisfaction_count"), F.stddev_samp(sat).alias("_std"),
+            F.count(KEY).alias("n")]
+
+
+def _correlation_aggs() -> list:
+    sat = F.col(SATISFACTION)
+    return [a for c in CORRELATED for a in (safe_corr(F.col(c), sat).alias(f"c_{c}"),
+                                            F.count_if(F.col(c).isNotNull() & sat.isNotNull()).alias(f"n_{c}"))]
+
+
+def _contrast_aggs() -> list:
+    sat = F.col(SATISFACTION)
+    return [agg for f, a, b, _ in CONTRASTS for side, level in (("a", a), ("b", b)) for agg in (
+        F.avg(F.when(F.col(f) == level, sat)).alias(f"_{f}_{side}"), (F.count_if(F.col(f) == level) > 0).alias(f"_{f}_has_{side}"))]
+
+
+def _overall_aggs() -> list:
+    sat = F.col(SATISFACTION)
+    return [F.count(F.lit(1)).alias("_rows"), F.avg(sat).alias("_mean"), F.stddev_samp(sat).alias("_spread"),
+            rate_pct(sat <= 2, F.count(sat)).alias("_low")]
+
+
+def _worst_cohorts(groups: DataFrame, keys, min_n: int, top: int) -> DataFrame:
+    return (groups.where(F.col("n") >= min_n).orderBy(F.asc_nulls_last("_avg"), *[F.asc(k) for k in keys]).limit(top)
+            .select(*keys, r(F.col("_avg")).alias("avg_satisfaction"), "n", r(F.col("_std")).alias("std"), "satisfaction_count"))
+
+
+def _correlations(wide: DataFrame, min_support: int) -> DataFrame:
+    stack = "stack({}, {}) AS (variable, _corr, support)".format(
+        len(CORRELATED), ", ".join(f"'{c}', c_{c}, n_{c}" for c in CORRELATED))
+    long = wide.selectExpr(stack).where(F.col("support") > min_support)
+    return long.select("variable", r(F.col("_corr"), 3).alias("correlation"),
+                       direction(F.col("_corr")).alias("interpretation"), "support")
+
+
+def _contrasts(wide: DataFrame) -> DataFrame:
+    cells = []
+    for f, _, _, found in CONTRASTS:
+        a, b = F.col(f"_{f}_a"), F.col(f"_{f}_b")
+        seen = a > b if f == OUTCOME else a < b
+        cells.append(F.struct(F.lit(f).alias("factor"), r(a).alias("level_a_avg"), r(b).alias("level_b_avg"),
+                              F.when(F.coalesce(seen, F.lit(False)), found).otherwise(NO_PATTERN).alias("interpretation"),
+                              (F.col(f"_{f}_has_a") & F.col(f"_{f}_has_b")).alias("_both")))
+    return wide.select(F.explode(F.array(*cells)).alias("_c")).where("_c._both").select(
+        *[F.col(f"_c.{c}").alias(c) for c in ("factor", "level_a_avg", "level_b_avg", "interpretation")])
+
+
 def satisfaction_cohorts(df: DataFrame, group_by=None, min_n: int = 20,
                          where: dict | None = None, top: int = 10) -> DataFrame:
     """A3: the worst cohorts by mean satisfaction among cohorts with n >= min_n."""
@@ -159,86 +212,64 @@ def satisfaction_cohorts(df: DataFrame, group_by=None, min_n: int = 20,
     d = apply_where(df, where)
     for k in keys:
         d = d.where(F.col(k).isNotNull())
-    sat = F.col(SATISFACTION)
-    g = (d.groupBy(*keys)
-         .agg(F.avg(sat).alias("_avg"), F.count(sat).alias("satisfaction_count"),
-              F.stddev_samp(sat).alias("_std"), F.count(KEY).alias("n"))
-         .where(F.col("n") >= min_n))
-    return (g.orderBy(F.asc_nulls_last("_avg"), *[F.asc(k) for k in keys]).limit(top)
-            .select(*keys, r(F.col("_avg")).alias("avg_satisfaction"), "n",
-                    r(F.col("_std")).alias("std"), "satisfaction_count"))
-
-
-# Numeric columns correlated with satisfaction.
-CORRELATED = (COST, LOS, AGE)
+    return _worst_cohorts(d.groupBy(*keys).agg(*_cohort_aggs()), keys, min_n, top)
 
 
 def satisfaction_correlations(df: DataFrame, where: dict | None = None,
                               min_support: int = 10) -> DataFrame:
     """A4: Pearson correlation of Cost, LOS, Age with Satisfaction (pairwise complete,
     only when more than ``min_support`` rows), rounded to 3, with a label."""
-    d = apply_where(df, where)
-    sat = F.col(SATISFACTION)
-    aggs = []
-    for c in CORRELATED:
-        aggs += [safe_corr(F.col(c), sat).alias(f"c_{c}"),
-                 F.count_if(F.col(c).isNotNull() & sat.isNotNull()).alias(f"n_{c}")]
-    wide = d.agg(*aggs)
-    stack = "stack({}, {}) AS (variable, _corr, support)".format(
-        len(CORRELATED), ", ".join(f"'{c}', c_{c}, n_{c}" for c in CORRELATED))
-    long = wide.selectExpr(stack).where(F.col("support") > min_support)
-    return long.select("variable", r(F.col("_corr"), 3).alias("correlation"),
-                       direction(F.col("_corr")).alias("interpretation"), "support")
+    return _correlations(apply_where(df, where).agg(*_correlation_aggs()), min_support)
 
 
 def satisfaction_contrasts(df: DataFrame, where: dict | None = None) -> DataFrame:
     """A5: mean satisfaction for Recovered vs Stable and readmitted vs not, each
     only when both levels occur."""
-    d = apply_where(df, where)
-    sat = F.col(SATISFACTION)
-    o, rd = F.col(OUTCOME), F.col(READMISSION)
-    wide = d.agg(
-        F.avg(F.when(o == "Recovered", sat)).alias("rec"), F.avg(F.when(o == "Stable", sat)).alias("stb"),
-        (F.count_if(o == "Recovered") > 0).alias("has_rec"), (F.count_if(o == "Stable") > 0).alias("has_stb"),
-        F.avg(F.when(rd == "Yes", sat)).alias("yes"), F.avg(F.when(rd == "No", sat)).alias("no"),
-        (F.count_if(rd == "Yes") > 0).alias("has_yes"), (F.count_if(rd == "No") > 0).alias("has_no"))
-    outcome = wide.where("has_rec AND has_stb").select(
-        F.lit(OUTCOME).alias("factor"), r(F.col("rec")).alias("level_a_avg"),
-        r(F.col("stb")).alias("level_b_avg"),
-        F.when(F.coalesce(F.col("rec") > F.col("stb"), F.lit(False)),
-               "recovery associated with higher satisfaction")
-        .otherwise("no clear pattern").alias("interpretation"))
-    readm = wide.where("has_yes AND has_no").select(
-        F.lit(READMISSION).alias("factor"), r(F.col("yes")).alias("level_a_avg"),
-        r(F.col("no")).alias("level_b_avg"),
-        F.when(F.coalesce(F.col("yes") < F.col("no"), F.lit(False)),
-               "readmission associated with lower satisfaction")
-        .otherwise("no clear pattern").alias("interpretation"))
-    return outcome.unionByName(readm)
-
-
-def satisfaction_overall(df: DataFrame, where: dict | None = None, exact: bool = True) -> DataFrame:
-    """Mean, median, sample std and low-score share of Satisfaction."""
-    d = apply_where(df, where)
-    sat = F.col(SATISFACTION)
-    med = F.broadcast(global_quantile_row(d, SATISFACTION, [0.5], exact, "_m"))
-    return d.agg(
-        F.count(F.lit(1)).alias("n"),
-        r(F.avg(sat)).alias("mean"),
-        r(F.stddev_samp(sat)).alias("std"),
-        r(rate_pct(sat <= 2, F.count(sat))).alias("low_satisfaction_pct"),
-    ).crossJoin(med).select("n", "mean", r(F.col("_m")[0]).alias("median"), "std",
-                            "low_satisfaction_pct").where("n > 0").drop("n")
+    return _contrasts(apply_where(df, where).agg(*_contrast_aggs()))
+
+
+def satisfaction_overall(df: DataFrame, where: dict | None = None) -> DataFrame:
+    """Mean, median, sample std and low-score share of Satisfaction, from one scan
+    that counts the scores."""
+    counts = ValueCounts.of(apply_where(df, where), [SATISFACTION])
+    one = counts.stats({SATISFACTION: [0.5]}, {
+        "n": vc.rows(SATISFACTION), "mean": vc.mean(SATISFACTION), "std": vc.stddev(SATISFACTION),
+        "_low": vc.rows(SATISFACTION, F.col("x") <= 2), "_rated": vc.present(SATISFACTION)})
+    return one.where("n > 0").select(
+        r("mean").alias("mean"), r(F.col(SATISFACTION)[0]).alias("median"), r("std").alias("std"),
+        r(F.try_divide(F.col("_low") * 100.0, F.col("_rated").cast("double"))).alias("low_satisfaction_pct"))
 
 
 def satisfaction_drivers(df: DataFrame, group_by=None, min_n: int = 20,
                          where: dict | None = None) -> dict:
-    """The four parts of the drivers report, sharing one filtered input."""
+    """The four parts of the drivers report, from one scan of the filtered input.
+
+    One aggregate over the grouping sets (cohort, score) and () holds the cohorts'
+    counts per score and all totals; it is computed once and the parts are read off it:
+    a cohort's mean, deviation and size, and the overall median, follow from the counts
+    per score (scores are few: their domain is 1 to 5)."""
+    keys = check_groupable(group_by or [CONDITION, PROCEDURE])
+    d = apply_where(df, where)
+    total = [*_correlation_aggs(), *_contrast_aggs(), *_overall_aggs()]
+    # Null keys of the data and the keys of the total are told apart by the grouping id.
+    sets = kept(d.groupingSets([[F.col(k) for k in (*keys, SATISFACTION)], []], *[F.col(k) for k in (*keys, SATISFACTION)])
+                .agg(F.grouping_id().alias("_set"), F.count(KEY).alias("_keyed"), F.count(F.lit(1)).alias("_k"), *total))
+    whole = sets.where("_set > 0")
+    scores = sets.where("_set = 0").select(*keys, F.lit(SATISFACTION).alias("col"), F.col(SATISFACTION).cast("double").alias("x"),
+                                           F.col("_k").alias("k"), "_keyed")
+    cohorts = scores
+    for key in keys:
+        cohorts = cohorts.where(F.col(key).isNotNull())
+    groups = cohorts.groupBy(*keys).agg(vc.mean(SATISFACTION).alias("_avg"), vc.present(SATISFACTION).alias("satisfaction_count"),
+                                        vc.stddev(SATISFACTION).alias("_std"), F.sum("_keyed").alias("n"))
+    median = ValueCounts(scores.groupBy("col", "x").agg(F.sum("k").alias("k"))).stats({SATISFACTION: [0.5]}).select(
+        F.col(SATISFACTION)[0].alias("_median"))
     return {
-        "bottom_cohorts": satisfaction_cohorts(df, group_by, min_n, where),
-        "correlations": satisfaction_correlations(df, where),
-        "contrasts": satisfaction_contrasts(df, where),
-        "overall": satisfaction_overall(df, where),
+        "bottom_cohorts": _worst_cohorts(groups, keys, min_n, 10),
+        "correlations": _correlations(whole, 10),
+        "contrasts": _contrasts(whole),
+        "overall": whole.crossJoin(F.broadcast(median)).where("_rows > 0").select(
+            r("_mean").alias("mean"), r("_median").alias("median"), r("_spread").alias("std"), r("_low").alias("low_satisfaction_pct")),
     }
 
 
@@ -308,25 +339,24 @@ COMBINATION = (CONDITION, PROCEDURE, OUTCOME)
 
 def combination_frequency(df: DataFrame, cols=COMBINATION) -> DataFrame:
     """A10: normalised counts of value combinations; rows with a NULL in any of the
-    columns are excluded from numerator and denominator."""
+    columns are excluded from numerator and denominator.  The counts are computed once;
+    their total is a sum over them."""
     cols = list(cols)
-    d = df.na.drop(subset=cols)
-    g = d.groupBy(*cols).agg(F.count(F.lit(1)).alias("count"))
-    total = F.broadcast(g.agg(F.sum("count").alias("_total")))
+    g = kept(df.na.drop(subset=cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("count")))
+    total = F.broadcast(g.agg(F.sum("count").alias("_total")))  # one row
     return g.crossJoin(total).select(*cols, "count", (F.col("count") / F.col("_total")).alias("frequency"))
 
 
-def target_stats(df: DataFrame, exact: bool = True) -> DataFrame:
-    """LOS target statistics and readmission label counts, one row."""
-    los = F.col(LOS)
-    med = F.broadcast(global_quantile_row(df, LOS, [0.5], exact, "_m"))
-    return df.agg(
-        r(F.avg(los), 4).alias("los_mean"), r(F.stddev_samp(los), 4).alias("los_std"),
-        F.min(los).alias("los_min"), F.max(los).alias("los_max"),
-        F.count_if(F.col(READMISSION) == "Yes").alias("readmission_yes"),
-        F.count_if(F.col(READMISSION) == "No").alias("readmission_no")).crossJoin(med).select(
-        "los_mean", "los_std", "los_min", "los_max", r(F.col("_m")[0], 4).alias("los_median"),
-        "readmission_yes", "readmission_no")
+def target_stats(df: DataFrame) -> DataFrame:
+    """LOS target statistics and readmission label counts, one row, from one scan."""
+    counts = ValueCounts.of(df, {LOS: F.col(LOS), "yes": F.when(F.col(READMISSION) == "Yes", 1), "no": F.when(F.col(READMISSION) == "No", 1)})
+    kind = df.schema[LOS].dataType
+    one = counts.stats({LOS: [0.5]}, {
+        "los_mean": vc.mean(LOS), "los_std": vc.stddev(LOS), "los_min": F.min(vc.of(LOS)), "los_max": F.max(vc.of(LOS)),
+        "readmission_yes": vc.present("yes"), "readmission_no": vc.present("no")})
+    return one.select(r("los_mean", 4).alias("los_mean"), r("los_std", 4).alias("los_std"), F.col("los_min").cast(kind).alias("los_min"),
+                      F.col("los_max").cast(kind).alias("los_max"), r(F.col(LOS)[0], 4).alias("los_median"),
+                      "readmission_yes", "readmission_no")
 
 
 __all__ = ["percentile_cuts", "record_summary", "kpi_overview", "los_benchmark",
