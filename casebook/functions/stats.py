@@ -25,6 +25,12 @@ def rq(c, k: int = 2) -> Column:
     return F.bround(F.bround(col_(c), 9), k)
 
 
+def fixed_text(c, places: int, before: str = "", after: str = "") -> Column:
+    """A number as text with ``places`` decimals, ties to even; NULL stays NULL."""
+    x = F.bround(col_(c).cast("double"), places)
+    return F.when(x.isNotNull(), F.concat(F.lit(before), F.format_string(f"%.{places}f", x), F.lit(after)))
+
+
 def quantile(c, q, exact: bool = True, accuracy: int = 100000) -> Column:
     """Quantile with linear interpolation (exact) or a bounded sketch (approx).
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.filters import (apply_where, ci_equals, drop_incomplete, lookup,
                                         pattern_match)
-from casebook.operators import cohort
+from casebook.operators import cohort, treatments
 from casebook.plans.catalog import register, with_cases
 from casebook.sources.tables import case_view, read_table
 
@@ -262,6 +262,35 @@ def treatment_comparison(spark, sf_dir):
     return cohort.compare_treatments(case_view(spark, sf_dir), TREATMENT_CONDITION, TREATMENT_PATTERNS)
 
 
+def treatment_request_table(spark, sf_dir):
+    """Requests derived from customers and parts: the beginning of the customer's segment
+    (2 to 4 letters) against 3 letters of the part type with the customer's number; every
+    ninth asks for a procedure that no case has."""
+    c, p = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "part")
+    n = F.col("c_custkey") % 3
+    return c.join(p, c.c_custkey == p.p_partkey).select(
+        F.lower(F.substring("c_mktsegment", F.lit(1), (n + 2).cast("int"))).alias("condition"),
+        F.when(F.col("c_custkey") % 9 == 0, F.lit("no such ward"))
+        .otherwise(F.lower(F.substring("p_type", (n + 1).cast("int"), F.lit(3)))).alias("pattern"))
+
+
+@register("treatment_requests", with_cases("""
+WITH req AS (SELECT DISTINCT lower(substring(c_mktsegment, 1, CAST(c_custkey % 3 + 2 AS int))) AS condition,
+    CASE WHEN c_custkey % 9 = 0 THEN 'no such ward' ELSE lower(substring(p_type, CAST(c_custkey % 3 + 1 AS int), 3)) END AS pattern
+  FROM customer JOIN part ON c_custkey = p_partkey),
+a AS (SELECT r.condition, r.pattern, count(*) AS total_cases,
+    round_even(count(*) FILTER (WHERE c.Outcome = 'Recovered') * 100.0 / count(*), 2) AS success_rate,
+    round_even(avg(c.Length_of_Stay), 2) AS average_length_of_stay_days, round_even(avg(c.Cost), 2) AS average_cost
+  FROM req r JOIN cases c ON regexp_matches(c.Condition, r.condition, 'i') AND regexp_matches(c.Procedure, r.pattern, 'i')
+  GROUP BY r.condition, r.pattern)
+SELECT r.condition, r.pattern, coalesce(a.total_cases, 0) AS total_cases, a.success_rate, a.average_length_of_stay_days,
+  a.average_cost, a.total_cases IS NULL AS no_data, printf('%.2f%%', a.success_rate) AS success_rate_text,
+  printf('%.2f', a.average_length_of_stay_days) AS average_length_of_stay_text, '$' || printf('%.2f', a.average_cost) AS average_cost_text
+FROM req r LEFT JOIN a ON a.condition = r.condition AND a.pattern = r.pattern"""))
+def treatment_requests(spark, sf_dir):
+    return treatments.compare_treatment_requests(case_view(spark, sf_dir), treatment_request_table(spark, sf_dir), texts=True)
+
+
 @register("procedure_options", with_cases("""
 SELECT lower(Condition) AS condition_key, Procedure, count(Patient_ID) AS "count",
   round_even(count(*) FILTER (WHERE Readmission = 'Yes') / count(*), 6) AS readmission_rate,
