@@ -48,6 +48,11 @@ def assign_ids(store: DataFrame, accepted: DataFrame, order_cols, key: str = KEY
             .drop("_max", "_i"))
 
 
+def assign_ids_from(highest: int, accepted: DataFrame, order_cols, key: str = KEY) -> DataFrame:
+    """S4 ids when the highest existing one is known, e.g. from a store's manifest."""
+    return dense_index(accepted, order_cols, key, start=highest + 1)
+
+
 def insert_records(store: DataFrame, batch: DataFrame, order_cols,
                    key: str = KEY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (new store = store + accepted rows, accepted with ids, rejected)."""
@@ -92,6 +97,13 @@ def apply_updates(base: DataFrame, updates: DataFrame, fields=VALUE_COLUMNS, key
     batch is small); unmatched keys come from an anti join.
     """
     folded = fold_updates(updates, fields, key, seq, set_col)
+    unmatched = folded.join(base.select(key), key, "left_anti").select(
+        key, F.col("_n_updates").alias("n_updates"))
+    return apply_folded(base, folded, fields, key), unmatched
+
+
+def apply_folded(base: DataFrame, folded: DataFrame, fields, key: str = KEY) -> DataFrame:
+    """``base`` with the folded updates (see ``fold_updates``) set."""
     j = base.join(folded, key, "left")
     out = []
     for c in base.columns:
@@ -100,12 +112,9 @@ def apply_updates(base: DataFrame, updates: DataFrame, fields=VALUE_COLUMNS, key
                        .otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c))
         else:
             out.append(F.col(c))
-    updated = j.select(*out)
-    unmatched = folded.join(base.select(key), key, "left_anti").select(
-        key, F.col("_n_updates").alias("n_updates"))
-    return updated, unmatched
+    return j.select(*out)
 
 
-__all__ = ["validate_inserts", "assign_ids", "insert_records", "fold_updates", "apply_updates",
-           "rejected_updates",
+__all__ = ["validate_inserts", "assign_ids", "assign_ids_from", "insert_records", "fold_updates",
+           "apply_updates", "apply_folded", "rejected_updates",
            "CASE_COLUMNS"]

@@ -12,6 +12,7 @@ from casebook.plans.catalog import register, with_cases
 from casebook.schema import VALUE_COLUMNS
 from casebook.session import checkpoint_dir
 from casebook.sources.records import append_records, read_records_csv, scan_records
+from casebook.sources.store import RecordStore
 from casebook.sources.tables import case_view, read_table
 
 _V = ", ".join(VALUE_COLUMNS)
@@ -155,3 +156,25 @@ def insert_store(spark, sf_dir):
     _, accepted, _ = writes.insert_records(scan_records(spark, path), batch, ["seq"])
     append_records(accepted.select(*store.columns), path)
     return scan_records(spark, path)
+
+
+@register("update_store", with_cases(f"""
+WITH b AS (SELECT Patient_ID AS seq, {_V} FROM cases),
+grown AS (SELECT Patient_ID, {_V} FROM cases UNION ALL
+  SELECT (SELECT max(Patient_ID) FROM cases) + row_number() OVER (ORDER BY seq) AS Patient_ID, {_V} FROM b WHERE {_ALL_SET}),
+{_UPD_CTE}
+SELECT c.Patient_ID, c.Age, c.Gender, c.Condition, c.Procedure,
+  CASE WHEN f.s_cost IS NOT NULL THEN f.s_cost.v ELSE c.Cost END AS Cost,
+  CASE WHEN f.s_los IS NOT NULL THEN f.s_los.v ELSE c.Length_of_Stay END AS Length_of_Stay,
+  CASE WHEN f.s_re IS NOT NULL THEN f.s_re.v ELSE c.Readmission END AS Readmission,
+  CASE WHEN f.s_out IS NOT NULL THEN f.s_out.v ELSE c.Outcome END AS Outcome,
+  CASE WHEN f.s_sat IS NOT NULL THEN f.s_sat.v ELSE c.Satisfaction END AS Satisfaction
+FROM grown c LEFT JOIN f ON c.Patient_ID = f.Patient_ID"""))
+def update_store(spark, sf_dir):
+    """S1 + S3 + S4 + S5 through the versioned store: created, grown by a batch, updated
+    file by file, and read back."""
+    store = RecordStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/casebook-records/{uuid.uuid4().hex}")
+    store.create(case_view(spark, sf_dir))
+    store.insert(_imported(spark, sf_dir), ["seq"])
+    store.update(update_requests(spark, sf_dir))
+    return store.read()
