@@ -156,3 +156,48 @@ def test_jdbc_options_must_be_complete(spark):
     from casebook.sources.records import scan_records
     with pytest.raises(ValueError):
         scan_records(spark, fmt="jdbc", url="jdbc:x", dbtable="t", partitionColumn="Patient_ID")
+
+
+def test_no_text_is_lost_without_profiles(spark):
+    """Empty profiles: every text gets the default, in both ways."""
+    none = spark.createDataFrame([], "lang string, gram long, cnt long")
+    msgs = spark.createDataFrame([(1, "a longer message"), (2, "hi"), (3, None), (3, None), (4, "hola")], "id int, text string")
+    for cells in (ops.PROFILE_CELLS, -1):
+        got = sorted(tuple(r) for r in ops.detect_language(msgs, none, ["id"], max_cells=cells).collect())
+        assert got == [(1, "en"), (2, "en"), (3, "en"), (3, "en"), (4, "es")]
+
+
+def test_lookup_and_join_agree(spark):
+    """The broadcast profile and the salted join give the same languages; short, empty,
+    null and unknown texts included."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    prof = ops.language_profiles(docs)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "你好"), (-4, "zzzzqqqq"), (-5, "12345 67890"), (-6, "the " * 3000)], "doc_id long, text string")
+    msgs = docs.select("doc_id", "text").unionByName(odd)
+    a = {r["doc_id"]: r["lang"] for r in ops.detect_language(msgs, prof, ["doc_id"]).collect()}
+    b = {r["doc_id"]: r["lang"] for r in ops.detect_language(msgs, prof, ["doc_id"], max_cells=0).collect()}
+    assert len(a) == msgs.count() and a == b and a[-3] == "zh-cn"
+
+
+def test_profiles_count_every_gram(spark, monkeypatch):
+    """Against plain counts, with pieces so small that texts and grams are cut."""
+    from collections import Counter
+    rows = [("xx", "abcabc"), ("xx", "ab"), ("yy", "abc😀abc"), (None, "abc"), ("yy", None), ("xx", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    want = Counter()
+    for lang, t in rows:
+        for i in range(len((t or "").replace("😀", "")) - 2 if lang else 0):
+            clean = t.replace("😀", "")
+            want[lang, sum(ord(c) << 21 * (2 - j) for j, c in enumerate(clean[i:i + 3]))] += 1
+    assert {(r["lang"], r["gram"]): r["cnt"] for r in ops.language_profiles(docs).collect()} == dict(want)
+    codes, ends = ops.code_points(["abcabc", "", "ab", "xyz1"])
+    whole = [(int(t), int(k)) for text, keys in ops.grams_at(codes, ends) for t, k in zip(text, keys)]
+    monkeypatch.setattr(ops, "POSITIONS_AT_ONCE", 2)
+    assert [(int(t), int(k)) for text, keys in ops.grams_at(codes, ends) for t, k in zip(text, keys)] == whole and len(whole) == 6
+
+
+def test_phrases_can_be_looked_up(spark):
+    """Every listed phrase is short and survives cleaning."""
+    from casebook.functions.text import normalise
+    rows = spark.createDataFrame([(k,) for k in ops.SHORT_MAP], "k string")
+    assert all(r["c"] == r["k"] and len(r["k"]) < ops.SHORT_LEN for r in rows.select("k", normalise("k").alias("c")).collect())
