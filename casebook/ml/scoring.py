@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.functions.stats import fixed_text
 from casebook.ml import forest
 from casebook.ml.features import CATEGORICAL
 from casebook.operators.cohort import procedure_options
@@ -127,9 +128,9 @@ CHANGE_TYPES = ("length_of_stay", "procedure", "combined")
 REQUEST = ("Age", "Gender", "Condition", "Procedure", "Length_of_Stay")
 
 
-def _with_candidates(cases: DataFrame, requests: DataFrame, key: str, los_min: int, los_max: int,
+def _with_candidates(cases: DataFrame, requests: DataFrame, keys: list, los_min: int, los_max: int,
                      combined_los: int, with_current: bool) -> DataFrame:
-    """Requests with ``_c``, an array of (type_order, option_order, Procedure,
+    """Requests (``keys`` and their attributes) with ``_c``, an array of (type_order, option_order, Procedure,
     Length_of_Stay); type 0 is the request itself.
 
     The procedure options of a condition are one array (its procedures that were seen
@@ -138,7 +139,7 @@ def _with_candidates(cases: DataFrame, requests: DataFrame, key: str, los_min: i
     options = (procedure_options(cases)
                .groupBy(F.col("condition_key").alias("_condition"))
                .agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"), F.col("Procedure").alias("p")))).alias("_options")))
-    req = requests.select(key, *REQUEST).join(options, F.lower(F.col("Condition")) == F.col("_condition"), "left")
+    req = requests.select(*keys, *REQUEST).join(options, F.lower(F.col("Condition")) == F.col("_condition"), "left")
 
     def change(kind: int, order: Column, procedure: Column, stay: Column) -> Column:
         return F.struct(F.lit(kind).alias("type_order"), order.cast("int").alias("option_order"),
@@ -157,7 +158,7 @@ def _with_candidates(cases: DataFrame, requests: DataFrame, key: str, los_min: i
                  F.transform(F.slice("_stays", 1, combined_los), lambda x: change(3, x["o"], best, x["s"])))]
     if with_current:
         parts.insert(0, F.array(change(0, F.lit(0), own, stay)))
-    return req.select(key, *REQUEST, F.concat(*parts).alias("_c"))
+    return req.select(*keys, *REQUEST, F.concat(*parts).alias("_c"))
 
 
 def counterfactual_candidates(cases: DataFrame, requests: DataFrame, key: str = "request_id",
@@ -165,7 +166,7 @@ def counterfactual_candidates(cases: DataFrame, requests: DataFrame, key: str =
     """M9: candidate changes per request: stay +-1..3 within bounds, each other
     procedure used for the condition (seen >= 5 times, by readmission rate), and
     the best other procedure with the first three stay candidates."""
-    c = _with_candidates(cases, requests, key, los_min, los_max, combined_los, False)
+    c = _with_candidates(cases, requests, [key], los_min, los_max, combined_los, False)
     c = c.select(key, "Age", "Gender", "Condition", F.explode("_c").alias("_c"))
     kind = F.get(F.array(*[F.lit(t) for t in CHANGE_TYPES]), F.col("_c.type_order") - 1)
     return c.select(key, kind.alias("change_type"), "Age", "Gender", "Condition",
@@ -173,29 +174,45 @@ def counterfactual_candidates(cases: DataFrame, requests: DataFrame, key: str =
                     F.col("_c.type_order").alias("type_order"), F.col("_c.option_order").alias("option_order"))
 
 
-def _scored_changes(bundle, cases: DataFrame, requests: DataFrame, target: float, key: str) -> DataFrame:
-    """Every request with its candidates scored in one pass: the request itself
-    (type 0) and its changes, with ``current`` and ``kept`` (the change helps)."""
+def scored_once(bundle, df: DataFrame) -> DataFrame:
+    """``df`` with ``_new``: the model's probability for each row, rounded to 4; NULL where
+    an attribute is missing.  Each distinct tuple of attributes is scored once and the
+    answers are joined back, so the forest sees as many rows as there are tuples."""
+    tuples = df.select(*bundle.features).na.drop().distinct()
+    answers = bundle.scored(tuples.select("*", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(bundle.features)])
+                            .withColumns({c: F.col(c).cast("double") for c in bundle.features if c not in CATEGORICAL}))
+    answers = answers.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(bundle.features)], F.bround("_p", 4).alias("_new"))
+    return df.join(answers, list(bundle.features), "left")
+
+
+FROM = [f"_from_{c}" for c in REQUEST]
+
+
+def _ranked_changes(bundle, cases: DataFrame, requests: DataFrame, target: float) -> DataFrame:
+    """Per distinct tuple of request attributes (columns ``FROM``): the request itself
+    (type 0) and its changes with ``new``, ``current``, ``kept`` (the change helps) and,
+    for those, ``rank``.  The answer depends on nothing else of a request."""
     if not 0 < target < 1:
         raise ValueError("the target must lie between 0 and 1")
-    c = _with_candidates(cases, requests, key, 1, 30, 3, True)
-    c = c.select(key, "Age", "Gender", "Condition", F.col("Procedure").alias("from_procedure"),
-                 F.col("Length_of_Stay").alias("from_stay"), F.explode("_c").alias("_c"))
-    c = c.select("*", F.col("_c.Procedure").alias("Procedure"), F.col("_c.Length_of_Stay").alias("Length_of_Stay"),
-                 F.col("_c.type_order").alias("type_order"), F.col("_c.option_order").alias("option_order")).drop("_c")
-    p = bundle.scored(_inputs(bundle, c))
-    s = p.select(*_own(p), F.when(F.col("_complete"), F.bround("_p", 4)).alias("new"))
-    mine = Window.partitionBy(key)
+    c = _with_candidates(cases, requests.select(*REQUEST).distinct(), [], 1, 30, 3, True)
+    c = c.select("Age", "Gender", "Condition", *[F.col(x).alias(f) for x, f in zip(REQUEST, FROM)], F.explode("_c").alias("_c"))
+    c = c.select("Age", "Gender", "Condition", *FROM, F.col("_c.Procedure").alias("Procedure"), F.col("_c.Length_of_Stay").alias("Length_of_Stay"),
+                 F.col("_c.type_order").alias("type_order"), F.col("_c.option_order").alias("option_order"))
+    s = scored_once(bundle, c).withColumnRenamed("_new", "new")
+    mine = Window.partitionBy(*FROM)
     s = s.withColumn("current", F.max(F.when(F.col("type_order") == 0, F.col("new"))).over(mine))
     helps = F.when(F.col("type_order") == 3, F.col("new") < F.col("current") * 0.9).otherwise(F.col("new") < F.col("current"))
     kept = (F.col("type_order") > 0) & (F.col("current") > target) & helps
-    return s.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    best = mine.orderBy(F.desc("kept"), F.desc(F.bround(F.col("current") - F.col("new"), 4)), "type_order", "option_order")
+    return (s.withColumn("kept", F.coalesce(kept, F.lit(False)))
+            .withColumn("rank", F.when(F.col("kept"), F.row_number().over(best))))
 
 
-def _ranked(s: DataFrame, key: str) -> DataFrame:
-    best = Window.partitionBy(key).orderBy(F.desc("kept"), F.desc(F.bround(F.col("current") - F.col("new"), 4)),
-                                           "type_order", "option_order")
-    return s.withColumn("rank", F.when(F.col("kept"), F.row_number().over(best)))
+def _for_requests(requests: DataFrame, key: str, answers: DataFrame) -> DataFrame:
+    """Each request's key with the answers of its attributes (NULLs equal NULLs)."""
+    asked = requests.select(key, *REQUEST)
+    same = [asked[x].eqNullSafe(answers[f]) for x, f in zip(REQUEST, FROM)]
+    return asked.join(answers, same).drop(*REQUEST)
 
 
 def counterfactuals(bundle, cases: DataFrame, requests: DataFrame,
@@ -203,33 +220,40 @@ def counterfactuals(bundle, cases: DataFrame, requests: DataFrame,
     """For each request above the target, the changes that lower the predicted
     risk (combined changes: by at least 10%), best first, top 10, with what changes
     from and to.  Requests without such a change: see ``counterfactual_summary``."""
-    s = _ranked(_scored_changes(bundle, cases, requests, target_probability, key), key)
-    up = F.col("Length_of_Stay") - F.col("from_stay")
+    s = _ranked_changes(bundle, cases, requests, target_probability).where(F.col("rank") <= top)
+    up = F.col("Length_of_Stay") - F.col("_from_Length_of_Stay")
     text = (F.when(F.col("type_order") == 1, F.concat(F.when(up > 0, "longer").otherwise("shorter"), F.lit(" stay by "),
                                                       F.abs(up).cast("string"), F.lit(" days")))
             .when(F.col("type_order") == 2, F.concat(F.lit("procedure "), F.col("Procedure")))
             .otherwise(F.concat(F.lit("stay of "), F.col("Length_of_Stay").cast("string"), F.lit(" days, procedure "),
                                 F.col("Procedure"))))
     kind = F.get(F.array(*[F.lit(t) for t in CHANGE_TYPES]), F.col("type_order") - 1)
-    return s.where(F.col("rank") <= top).select(
-        key, "rank", kind.alias("change_type"), "from_procedure", "Procedure", F.col("from_stay").alias("from_length_of_stay"),
-        "Length_of_Stay", text.alias("description"), F.col("current").alias("current_probability"),
-        F.col("new").alias("estimated_probability"), F.bround(F.col("current") - F.col("new"), 4).alias("probability_reduction"),
-        (F.col("new") <= target_probability).alias("meets_target"))
+    answers = s.select(
+        *FROM, "rank", kind.alias("change_type"), F.col("_from_Procedure").alias("from_procedure"), F.col("Procedure").alias("to_procedure"),
+        F.col("_from_Length_of_Stay").alias("from_length_of_stay"), F.col("Length_of_Stay").alias("to_length_of_stay"), text.alias("description"),
+        F.col("current").alias("current_probability"), F.col("new").alias("estimated_probability"),
+        F.bround(F.col("current") - F.col("new"), 4).alias("probability_reduction"), (F.col("new") <= target_probability).alias("meets_target"))
+    out = _for_requests(requests, key, answers).drop(*FROM)
+    return out.withColumnsRenamed({"to_procedure": "Procedure", "to_length_of_stay": "Length_of_Stay"})
 
 
 def counterfactual_summary(bundle, cases: DataFrame, requests: DataFrame, target_probability: float = 0.20,
-                           key: str = "request_id", top: int = 10) -> DataFrame:
-    """One answer per request: its current probability (NULL and ``scored``
+                           key: str = "request_id", top: int = 10, texts: bool = False) -> DataFrame:
+    """One answer per request (``texts`` adds the probabilities as percentages): its current probability (NULL and ``scored``
     false if it lacks an attribute), whether it is at the target already, the number
     of options that help, of suggestions kept, and whether a suggestion meets the
     target."""
-    s = _ranked(_scored_changes(bundle, cases, requests, target_probability, key), key)
+    s = _ranked_changes(bundle, cases, requests, target_probability)
     shown = F.coalesce(F.col("rank") <= top, F.lit(False))
-    return s.groupBy(key).agg(
+    answers = s.groupBy(*FROM).agg(
         F.max("current").alias("current_probability"),
         F.max(F.col("current").isNotNull()).alias("scored"),
         F.max(F.coalesce(F.col("current") <= target_probability, F.lit(False))).alias("already_at_target"),
         F.sum(F.col("kept").cast("long")).alias("total_options_explored"),
         F.sum(shown.cast("long")).alias("suggestions"),
         F.max(shown & F.coalesce(F.col("new") <= target_probability, F.lit(False))).alias("target_achievable"))
+    if texts:
+        answers = answers.withColumns({
+            "current_probability_pct": fixed_text(F.col("current_probability") * 100, 1, after="%"),
+            "target_probability_pct": fixed_text(F.lit(target_probability * 100), 1, after="%")})
+    return _for_requests(requests, key, answers).drop(*FROM)
