@@ -7,13 +7,16 @@ transformers; the classifier is a multinomial logistic regression.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casebook.functions.quantiles import kept
 from casebook.ml.features import split_flag
 
 
@@ -30,32 +33,71 @@ def classify_vectors(model: PipelineModel, df: DataFrame, vec: str = "embedding"
     return model.transform(d).drop("features", "rawPrediction")
 
 
-def text_intent_pipeline(text: str = "text", label: str = "intent", num_features: int = 1 << 14,
-                         max_iter: int = 300) -> Pipeline:
-    """M11 on raw text: lower-cased word tokens plus character trigrams of the
-    whole text, hashed; label strings indexed, predictions mapped back."""
-    words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+", toLowercase=True)
-    chars = RegexTokenizer(inputCol=text, outputCol="_c", pattern="", gaps=True, toLowercase=True, minTokenLength=1)
-    tri = NGram(n=3, inputCol="_c", outputCol="_c3")
-    hw = HashingTF(inputCol="_w", outputCol="_hw", numFeatures=num_features)
-    hc = HashingTF(inputCol="_c3", outputCol="_hc", numFeatures=num_features)
-    from pyspark.ml.feature import VectorAssembler
-    asm = VectorAssembler(inputCols=["_hw", "_hc"], outputCol="features")
-    idx = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
-    lr = LogisticRegression(maxIter=max_iter, family="multinomial")
-    return Pipeline(stages=[words, chars, tri, hw, hc, asm, idx, lr])
+NGRAMS = (3,)  # lengths of the character n-grams
+
+
+def hashed_ngrams(df: DataFrame, text: str = "text", out: str = "features", num_features: int = 1 << 14, grams=NGRAMS) -> DataFrame:
+    """``df`` with sparse counts of the hashed words and character n-grams of the whole,
+    lower-cased text in ``out`` (NULL: no entries).  Built-in expressions only."""
+    clean = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    words = F.filter(F.split(clean, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+    def pieces(n: int) -> Column:
+        """The n-grams; a leading space tells them from words."""
+        starts = F.sequence(F.lit(1), F.length("_clean") - n + 1)
+        cut = F.transform(starts, lambda i: F.concat(F.lit(" "), F.substring("_clean", i, F.lit(n))))
+        return F.when(F.length("_clean") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    parts = [words, *map(pieces, grams)]
+    return HashingTF(inputCol="_grams", outputCol=out, numFeatures=num_features).transform(
+        df.withColumn("_clean", clean).withColumn("_grams", F.concat(*parts))).drop("_clean", "_grams")
+
+
+def bounded(corpus: DataFrame, text: str, label: str, max_rows: int | None) -> DataFrame:
+    """About ``max_rows`` of the labelled rows (None: all), those with the smallest text hash."""
+    d = corpus.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    if max_rows is None:
+        return d
+    share = min(1.0, max_rows / max(1, d.count()))
+    return d.where(F.pmod(F.xxhash64(text), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
 
 
-def train_text_intents(corpus: DataFrame, text: str = "text", label: str = "intent") -> PipelineModel:
-    model = text_intent_pipeline(text, label).fit(corpus.where(F.col(text).isNotNull() & F.col(label).isNotNull()))
-    labels = model.stages[-2].labels
-    back = IndexToString(inputCol="prediction", outputCol="predicted_intent", labels=labels)
-    return PipelineModel(stages=[*model.stages[:6], model.stages[-1], back])
+@dataclass
+class TextIntents:
+    """M11 on raw text: a multinomial model over hashed n-grams."""
+    model: LogisticRegressionModel
+    labels: list           # in label order
+    num_features: int
 
+    def save(self, path: str, spark) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(self.labels, self.num_features)], "labels array<string>, num_features int").write.mode("overwrite").parquet(f"{path}/meta")
 
-def classify_texts(model: PipelineModel, df: DataFrame) -> DataFrame:
-    out = model.transform(df)
-    return out.drop("_w", "_c", "_c3", "_hw", "_hc", "features", "rawPrediction", "probability", "prediction")
+    @classmethod
+    def load(cls, path: str, spark) -> TextIntents:
+        meta = spark.read.parquet(f"{path}/meta").first()
+        return cls(LogisticRegressionModel.load(f"{path}/model"), list(meta["labels"]), meta["num_features"])
+
+
+def train_text_intents(corpus: DataFrame, text: str = "text", label: str = "intent", num_features: int = 1 << 14,
+                       max_iter: int = 100, max_rows: int | None = 20_000) -> TextIntents:
+    """Labels in alphabetical order.  The fit uses at most about ``max_rows`` of the labelled
+    rows (None: all); classification covers every row."""
+    d = bounded(corpus, text, label, max_rows)
+    labels = [r[0] for r in d.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]
+    if not labels:
+        raise ValueError("the corpus has no labelled text")
+    code = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")) - 1
+    rows = kept(hashed_ngrams(d.select(F.col(text).alias("text"), code.cast("double").alias("label")), "text", num_features=num_features)
+                .select("features", "label"))
+    return TextIntents(LogisticRegression(maxIter=max_iter, family="multinomial", regParam=1e-4).fit(rows), labels, num_features)
+
+
+def classify_texts(model: TextIntents, df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``predicted_intent``, for every row (a NULL text is an empty one)."""
+    scored = model.model.transform(hashed_ngrams(df, text, "features", model.num_features))
+    return scored.withColumn("predicted_intent", F.get(F.array(*[F.lit(x) for x in model.labels]), F.col("prediction").cast("int"))).drop(
+        "features", "rawPrediction", "probability", "prediction")
 
 
 # Canned replies per routed intent.
@@ -70,14 +112,18 @@ def route(intent_col: str = "predicted_intent"):
             .when(i == "greeting", F.lit("welcome")).otherwise(F.lit("not_understood")))
 
 
-def route_messages(model: PipelineModel, messages: DataFrame, text: str = "text") -> DataFrame:
-    """M12 over a message table: user turns only, with the route and the canned
-    reply (English; translation is not built)."""
-    users = messages.where(F.col("role") == "user") if "role" in messages.columns else messages
-    c = classify_texts(model, users)
-    r = route()
+def with_routes(messages: DataFrame, intent: str = "predicted_intent") -> DataFrame:
+    """Messages with an intent get their route and the canned reply (English;
+    translation is not built)."""
+    r = route(intent)
     reply = (F.when(r == "welcome", F.lit(WELCOME)).when(r == "not_understood", F.lit(NOT_UNDERSTOOD)))
-    return c.withColumn("route", r).withColumn("reply", reply)
+    return messages.withColumn("route", r).withColumn("reply", reply)
+
+
+def route_messages(model: TextIntents, messages: DataFrame, text: str = "text") -> DataFrame:
+    """M12 over a message table: user turns only, classified, with route and reply."""
+    users = messages.where(F.col("role") == "user") if "role" in messages.columns else messages
+    return with_routes(classify_texts(model, users, text))
 
 
 def split(df: DataFrame, key: str):

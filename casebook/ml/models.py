@@ -217,6 +217,10 @@ def model_info(path: str, spark: SparkSession) -> DataFrame:
         F.get_json_object(j, "$.trained_on_n").cast("long").alias("trained_on_n"),
         F.get_json_object(j, "$.fitted_on_n").cast("long").alias("fitted_on_n"),
         F.get_json_object(j, "$.features").alias("features"),
+        F.get_json_object(j, "$.target_distribution.Yes").cast("long").alias("readmission_yes"),
+        F.get_json_object(j, "$.target_distribution.No").cast("long").alias("readmission_no"),
+        F.bround(F.get_json_object(j, "$.target_mean").cast("double"), 4).alias("target_mean"),
+        F.bround(F.get_json_object(j, "$.target_std").cast("double"), 4).alias("target_std"),
         F.get_json_object(j, "$.train_accuracy").cast("double").alias("train_accuracy"),
         F.get_json_object(j, "$.test_accuracy").cast("double").alias("test_accuracy"),
         F.bround(F.get_json_object(j, "$.test_mae").cast("double"), 2).alias("test_mae"),

@@ -17,9 +17,11 @@ from casebook.ml import intent, models, scoring
 from casebook.ml.features import LOS_FEATURES, RISK_FEATURES, split_flag, stratified_split
 from casebook.ml.fixed import FixedForest
 from casebook.operators import triage
-from casebook.plans.catalog import register, with_cases
+from casebook.plans.catalog import ORACLE, register, with_cases
 from casebook.plans.q_ops import TRIAGE_RULES, triage_sql
+from casebook.plans.q_text import language_detect
 from casebook.session import checkpoint_dir
+from casebook.sources.records import read_intents, write_intents
 from casebook.sources.tables import case_view, read_table
 
 _CACHE: dict = {}
@@ -29,6 +31,8 @@ def bundle(spark, sf_dir: str, kind: str) -> models.ModelBundle:
     """Train once per session and data folder (training reads the whole table)."""
     k = (spark.sparkContext.applicationId, sf_dir, kind)
     if k not in _CACHE:
+        for old in [x for x in _CACHE if x[:2] != k[:2]]:
+            del _CACHE[old]  # bundles of another session or folder
         cases = case_view(spark, sf_dir)
         b = models.train_risk_model(cases) if kind == "risk" else models.train_los_model(cases)
         _CACHE[k] = models.fill_training_meta(b, cases)
@@ -338,3 +342,101 @@ def intent_classify(spark, sf_dir):
     return intent.classify_vectors(model, emb.withColumn("train", split_flag("vec_id"))).select(
         "vec_id", "label", "train", F.col("prediction").cast("int").alias("predicted_label"),
         F.bround(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
+
+
+_SPLIT_SQL = f"""h AS (SELECT Patient_ID, Readmission, Length_of_Stay, {", ".join(RISK_FEATURES[:4])}, Cost,
+    ('0x' || substr(md5(CAST(Patient_ID AS varchar)), 1, 8))::BIGINT AS hash FROM cases),
+rl AS (SELECT *, row_number() OVER (PARTITION BY Readmission ORDER BY hash) AS rn, count(*) OVER (PARTITION BY Readmission) AS n
+       FROM h WHERE {_RISK_CLEAN}),
+rt AS (SELECT Readmission, max(hash) AS last FROM rl WHERE rn <= greatest(1, round(n * 80 / 100.0)) GROUP BY Readmission),
+risk AS (SELECT rl.*, hash <= last AS train FROM rl JOIN rt USING (Readmission)),
+los AS (SELECT *, hash < 4294967296 * 80 // 100 AS train FROM h WHERE {_complete(LOS_FEATURES)} AND Length_of_Stay IS NOT NULL)"""
+
+
+@register("risk_report_supports", with_cases(f"""
+WITH {_SPLIT_SQL}
+SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS split, CASE WHEN Readmission = 'Yes' THEN 'Yes' ELSE 'No' END AS class, count(*) AS support
+FROM risk GROUP BY ALL"""))
+def risk_report_supports(spark, sf_dir):
+    """M4: what the trained classifier's report says of the rows it is judged on."""
+    return models.classifier_report(bundle(spark, sf_dir, "risk"), case_view(spark, sf_dir)).select("split", "class", "support")
+
+
+@register("model_info_fields", with_cases(f"""
+WITH {_SPLIT_SQL}
+SELECT 'risk' AS kind, 'spark-rf-1' AS version, count(*) AS trained_on_n, '["Age","Gender","Condition","Procedure","Length_of_Stay"]' AS features,
+  count(*) FILTER (WHERE Readmission = 'Yes') AS readmission_yes, count(*) FILTER (WHERE Readmission = 'No') AS readmission_no,
+  CAST(NULL AS double) AS target_mean, CAST(NULL AS double) AS target_std FROM risk
+UNION ALL
+SELECT 'los', 'spark-rf-1', count(*), '["Age","Gender","Condition","Procedure","Cost"]', NULL, NULL,
+  round_even(avg(Length_of_Stay), 4), round_even(stddev_samp(Length_of_Stay), 4) FROM los"""))
+def model_info_fields(spark, sf_dir):
+    """What the saved metadata of both models says of their data."""
+    parts = []
+    for kind in ("risk", "los"):
+        path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-models/{uuid.uuid4().hex}"
+        models.save_bundle(bundle(spark, sf_dir, kind), path, spark)
+        parts.append(models.model_info(path, spark).select(
+            "kind", "version", "trained_on_n", "features", "readmission_yes", "readmission_no", "target_mean", "target_std"))
+    return parts[0].unionByName(parts[1])
+
+
+@register("risk_model_info")
+def risk_model_info(spark, sf_dir):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-models/{uuid.uuid4().hex}"
+    models.save_bundle(bundle(spark, sf_dir, "risk"), path, spark)
+    return models.model_info(path, spark)
+
+
+@register("loaded_model_scores", with_cases(f"""
+SELECT Patient_ID, 0.0::DOUBLE AS difference, true AS same_class FROM cases WHERE {_complete(RISK_FEATURES)}"""))
+def loaded_model_scores(spark, sf_dir):
+    """Every complete case scored by the model and by its saved and loaded copy."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-models/{uuid.uuid4().hex}"
+    b = bundle(spark, sf_dir, "risk")
+    models.save_bundle(b, path, spark)
+    cases = case_view(spark, sf_dir).na.drop(subset=list(RISK_FEATURES)).select("Patient_ID", *RISK_FEATURES)
+    once = b.scored(cases).select("Patient_ID", *RISK_FEATURES, F.col("_p").alias("p"), F.col("_prediction").alias("c"))
+    twice = models.load_bundle(path, spark).scored(once)
+    return twice.select("Patient_ID", F.abs(F.col("_p") - F.col("p")).alias("difference"), (F.col("_prediction") == F.col("c")).alias("same_class"))
+
+
+def _intent_corpus(spark, sf_dir):
+    """The documents as (text, intent) JSON lines, the language as the intent."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-intents/{uuid.uuid4().hex}"
+    write_intents(read_table(spark, sf_dir, "documents").select("text", F.col("lang").alias("intent")), path)
+    return read_intents(spark, path)
+
+
+@register("jsonl_roundtrip", """
+SELECT md5(coalesce(text, '')) AS text_md5, length(text) AS chars, lang AS intent, count(*) AS n FROM documents GROUP BY ALL""")
+def jsonl_roundtrip(spark, sf_dir):
+    return _intent_corpus(spark, sf_dir).groupBy(
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("chars"), "intent").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("text_classify")
+def text_classify(spark, sf_dir):
+    """Hashed n-grams and a multinomial model, trained on the rows of the JSON lines
+    whose text hash is not divisible by 5, applied to every document."""
+    corpus = _intent_corpus(spark, sf_dir)
+    held_out = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(5)) == 0, F.lit(True))
+    model = intent.train_text_intents(corpus.where(~held_out), num_features=1 << 13, max_iter=40)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return intent.classify_texts(model, docs.withColumn("held_out", held_out)).drop("text")
+
+
+@register("message_route", f"""
+WITH l AS ({ORACLE["language_detect"]}),
+r AS (SELECT conv_id, turn, CASE lang WHEN 'en' THEN 'hospital' WHEN 'fr' THEN 'greeting' ELSE 'unrelated' END AS predicted_intent FROM l)
+SELECT conv_id, turn, predicted_intent,
+  CASE predicted_intent WHEN 'hospital' THEN 'analyse' WHEN 'greeting' THEN 'welcome' ELSE 'not_understood' END AS route,
+  CASE predicted_intent WHEN 'hospital' THEN NULL WHEN 'greeting' THEN '{intent.WELCOME}' ELSE '{intent.NOT_UNDERSTOOD.replace("'", "''")}' END AS reply
+FROM r""")
+def message_route(spark, sf_dir):
+    """M12 over every user message.  The tables hold no intent-labelled text, so the intent
+    is taken from the message's language: en asks, fr greets, the others are unrelated."""
+    found = language_detect(spark, sf_dir)
+    asked = found.withColumn("predicted_intent", F.when(F.col("lang") == "en", "hospital").when(F.col("lang") == "fr", "greeting").otherwise("unrelated"))
+    return intent.with_routes(asked).drop("lang")

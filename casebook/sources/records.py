@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook.schema import CASE_SCHEMA, VALUE_COLUMNS
@@ -50,6 +51,11 @@ def append_records(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 INTENT_SCHEMA = "text string, intent string"
 
 
+def write_intents(corpus: DataFrame, path: str) -> None:
+    """(text, intent) rows as JSON lines; a NULL is left out of its line."""
+    corpus.select(F.col("text").cast("string").alias("text"), F.col("intent").cast("string").alias("intent")).write.json(path)
+
+
 def read_intents(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines ``{text, intent}``."""
     return spark.read.schema(INTENT_SCHEMA).json(path)
