@@ -32,3 +32,20 @@ def dense_index(df: DataFrame, order_cols, name: str = "_idx", start: int = 0) -
     return (s.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_off") + local + F.lit(start))
             .drop("_pid", "_mono", "_off"))
+
+
+def running_count(df: DataFrame, order_cols, counted, name: str = "_upto") -> DataFrame:
+    """Rows of ``df`` with ``name``: how many rows up to and including this one, in the
+    order of ``order_cols`` (a unique key), satisfy the Column ``counted``.
+
+    As in ``dense_index``, the frame is range-partitioned and checkpointed, and one count
+    per partition is added up; a window covers one partition."""
+    checkpoint_dir(df.sparkSession)
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    s = (df.withColumn("_hit", counted.cast("long")).repartitionByRange(*order_cols)
+         .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = s.groupBy("_pid").agg(F.sum("_hit").alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    here = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (s.withColumn("_run", F.sum("_hit").over(here)).join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_run")).drop("_pid", "_hit", "_run", "_off"))

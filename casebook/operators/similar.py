@@ -1,18 +1,20 @@
 """Nearest similar cases (K1), exact, without pairing targets with every record.
 
-Distance (as standardised age plus one-hot categoricals, Euclidean):
-    d^2 = ((age - t) / sigma_t)^2 + 2 * (number of categorical mismatches)
-where sigma_t is the population standard deviation of age over the complete
+Distance (as standardised numeric feature plus one-hot categoricals, Euclidean):
+    d^2 = ((x - t) / sigma_t)^2 + 2 * (number of categorical mismatches)
+where sigma_t is the population standard deviation of x over the complete
 records *plus the target* (0 -> 1), obtained in closed form from one aggregate:
     sigma_t^2 = (n*var + n/(n+1) * (t - mean)^2) / (n + 1).
 
 Take a record among a target's n nearest and the set S of categoricals on which the
-two agree.  Among all records that agree on S it is one of the n nearest by age
-(ties by key), since any record before it there is nearer or as near.  So the search
-is, for each of the 2^3 sets S, an equi-join of the target on the categoricals in S
-with a table of ages that keeps the n lowest keys per age, cut at the n nearest
-ages; the at most 8 n survivors (and ties) are ranked exactly.  It runs once per
-distinct target profile, and the answers are joined back to the targets.
+two agree.  Among all records that agree on S it is one of the n nearest by x
+(ties by key), since any record before it there is nearer or as near.  So for each of
+the 2^3 sets S the n nearest values of x on either side suffice, each with its n lowest
+keys.  They are neighbours in the order of (S, values on S, x): the distinct places
+there are numbered by a range exchange, a target's own place is counted in the same
+order, and the n numbers before and after it are an equi-join.  That work does not
+depend on how many distinct values x has, so a continuous feature is as good as a
+discrete one.  The search runs once per distinct target profile and is joined back.
 """
 
 from __future__ import annotations
@@ -20,64 +22,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.functions.indexing import running_count
+from casebook.functions.quantiles import kept
 from casebook.schema import KEY
 
 # The similarity features.
 NUMERIC_FEATURE = "Age"
 CATEGORICAL_FEATURES = ("Gender", "Condition", "Procedure")
 
+AGREE = [f"_k{i}" for i in range(len(CATEGORICAL_FEATURES))]
+PLACE = ["_s", *AGREE, "_x"]
+
+
+def _on_sets(df: DataFrame, cols) -> DataFrame:
+    """One row for each set S: its number and the values on S (empty elsewhere)."""
+    out = df.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in range(1 << len(cols))])))
+    return out.select("*", *[F.when(F.col("_s").bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(F.lit("")).alias(k)
+                             for i, (c, k) in enumerate(zip(cols, AGREE))])
+
 
 def similar_cases(pop: DataFrame, targets: DataFrame, n: int = 5,
-                  target_key: str = "target_id", key: str = KEY) -> DataFrame:
+                  target_key: str = "target_id", key: str = KEY, numeric: str = NUMERIC_FEATURE) -> DataFrame:
     """For each target row (``target_key`` + the four features) the ``n`` nearest
-    complete records, ranked by distance then key."""
-    feats = [NUMERIC_FEATURE, *CATEGORICAL_FEATURES]
+    complete records, ranked by distance then key.  ``numeric`` is the numeric feature,
+    discrete or continuous.  ``pop`` is read twice: for its features, and for the rows
+    of the answers."""
+    feats = [numeric, *CATEGORICAL_FEATURES]
     missing = [c for c in feats + [target_key] if c not in targets.columns]
     if missing:
         raise ValueError(f"the targets have no column for {missing}")
-    popc = pop.na.drop(subset=feats)
-    a = F.col(NUMERIC_FEATURE).cast("double")
-    ages = popc.groupBy(a.alias("_a")).agg(F.count(F.lit(1)).alias("_cnt"))
-    m = ages.agg(F.sum("_cnt").cast("double").alias("_n"),
-                 (F.sum(F.col("_a") * F.col("_cnt")) / F.sum("_cnt")).alias("_m"))
-    stats = F.broadcast(ages.crossJoin(F.broadcast(m)).groupBy("_n", "_m").agg(
-        (F.sum(F.col("_cnt") * (F.col("_a") - F.col("_m")) ** 2) / F.first("_n")).alias("_v")))
+    complete = pop.na.drop(subset=feats)
+    small = kept(complete.select(F.col(key).alias("_key"), F.col(numeric).cast("double").alias("_x"), *CATEGORICAL_FEATURES))
+    stats = F.broadcast(small.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_x").alias("_m"), F.var_pop("_x").alias("_v")))
 
-    # The n lowest keys of every profile, then of every (S, values on S, age).
-    low = Window.partitionBy(*feats).orderBy(key)
-    few = (popc.select(key, *feats).withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= n).drop("_r"))
-    agree = [f"_k{i}" for i in range(len(CATEGORICAL_FEATURES))]
-
-    def on_sets(df: DataFrame, cols) -> DataFrame:
-        """One row for each set S: its number and the values on S (empty elsewhere)."""
-        out = df.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in range(1 << len(cols))])))
-        return out.select("*", *[F.when(F.col("_s").bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(F.lit("")).alias(k)
-                                 for i, (c, k) in enumerate(zip(cols, agree))])
-
-    here = Window.partitionBy("_s", *agree, "_a").orderBy(key)
-    index = (on_sets(few.withColumn("_a", a), CATEGORICAL_FEATURES)
-             .withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= n)
-             .groupBy("_s", *agree, "_a").agg(F.collect_list(F.struct(F.col(key).alias("key"), *CATEGORICAL_FEATURES)).alias("_near")))
+    # The n lowest keys of every profile, then of every place.
+    low = Window.partitionBy("_x", *CATEGORICAL_FEATURES).orderBy("_key")
+    few = small.withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= n).drop("_r")
+    here = Window.partitionBy(*PLACE).orderBy("_key")
+    places = (_on_sets(few, CATEGORICAL_FEATURES).withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= n)
+              .groupBy(*PLACE).agg(F.collect_list(F.struct("_key", *CATEGORICAL_FEATURES)).alias("_near")))
 
     t = targets.select(target_key, *[F.col(c).alias(f"t_{c}") for c in feats]).na.drop()
     ask = [f"t_{c}" for c in feats]
-    ta = F.col(f"t_{NUMERIC_FEATURE}").cast("double")
+    ta = F.col(f"t_{numeric}").cast("double")
     var_t = ((F.col("_n") * F.col("_v") + F.col("_n") / (F.col("_n") + 1) * (ta - F.col("_m")) ** 2)
              / (F.col("_n") + 1))
     profiles = t.select(*ask).distinct().crossJoin(stats).select(
-        *ask, F.when(F.sqrt(var_t) > 0, F.sqrt(var_t)).otherwise(F.lit(1.0)).alias("_sigma"))
-    met = on_sets(profiles, ask[1:]).join(index, ["_s", *agree]).withColumn("_gap", F.abs(F.col("_a") - ta))
-    size = F.size("_near")
-    upto = Window.partitionBy("_s", *ask).orderBy("_gap").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    level = Window.partitionBy("_s", *ask, "_gap")
-    met = (met.withColumn("_upto", F.sum(size).over(upto)).withColumn("_same", F.sum(size).over(level))
-           .where(F.col("_upto") - F.col("_same") < n))
-    found = met.select(*ask, "_sigma", "_a", F.explode("_near").alias("_c"))
+        *ask, ta.alias("_x"), F.when(F.sqrt(var_t) > 0, F.sqrt(var_t)).otherwise(F.lit(1.0)).alias("_sigma"))
+    asked = _on_sets(profiles, ask[1:])
+
+    # Places and questions in one order; a question stands after the place of its own value.
+    line = places.select(*PLACE, F.lit(0).alias("_kind"), "_near").unionByName(
+        asked.select(*PLACE, F.lit(1).alias("_kind"), F.lit(None).cast(places.schema["_near"].dataType).alias("_near")).distinct())
+    line = kept(running_count(line, [*PLACE, "_kind"], F.col("_kind") == 0, "_at"))
+    index = line.where("_kind = 0").select("_at", *[F.col(c).alias(f"i{c}") for c in PLACE], "_near")
+    spots = line.where("_kind = 1").select(*PLACE, F.explode(F.sequence(F.col("_at") - (n - 1), F.col("_at") + n)).alias("_at"))
+    agree = [F.col(c) == F.col(f"i{c}") for c in PLACE[:-1]]
+    met = spots.join(index, "_at").where(agree[0] & agree[1] & agree[2] & agree[3])
+    met = asked.join(met.select(*PLACE, F.col("i_x").alias("_a"), "_near"), PLACE)
     mism = sum((F.col(f"_c.{c}") != F.col(f"t_{c}")).cast("int") for c in CATEGORICAL_FEATURES)
     d2 = ((F.col("_a") - ta) / F.col("_sigma")) ** 2 + F.lit(2.0) * mism
-    found = found.select(*ask, F.col("_c.key").alias(key), d2.alias("_d2")).distinct()
+    found = met.select(*ask, "_sigma", "_a", F.explode("_near").alias("_c")).select(*ask, F.col("_c._key").alias(key), d2.alias("_d2")).distinct()
     best = Window.partitionBy(*ask).orderBy("_d2", key)
     answers = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-    answers = answers.join(popc, key)
+    answers = answers.join(complete, key)
     return t.join(answers, ask).select(target_key, "rank", F.bround(F.sqrt("_d2"), 6).alias("distance"),
                                        *[F.col(c) for c in pop.columns])

@@ -218,7 +218,7 @@ _G2 = _game("proc", "cond", (50, 50), (30, 20, 30, 20), ("33.0::DOUBLE", "37.0::
 _BASE = "((30.0 * 40 + 35.0 * 20 + 40.0 * 25 + 45.0 * 15)::DOUBLE / 100 + (33.0 * 30 + 37.0 * 20 + 39.0 * 30 + 44.0 * 20)::DOUBLE / 100) / 2"
 
 
-@register("fixed_los_attribution", with_cases(f"""
+_ATTRIBUTION_SQL = f"""
 WITH x AS (SELECT Patient_ID, Age AS v_age, Cost AS v_cost, Gender, Condition, Procedure, {_CODED} FROM cases WHERE {_complete(LOS_FEATURES)}),
 g AS (SELECT *, {_G1}, {_G2} FROM x),
 f AS (SELECT Patient_ID, unnest(['Age', 'Gender', 'Condition', 'Procedure', 'Cost']) AS feature,
@@ -227,7 +227,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY Patient_ID ORDER BY abs(round(ph
 SELECT Patient_ID, CAST(rank AS int) AS rank, feature, round_even(phi, 4) + 0.0 AS shap_value,
   CASE WHEN round(phi, 9) > 0 THEN 'increases_los' ELSE 'decreases_los' END AS direction,
   round_even(abs(phi), 4) AS abs_importance, round_even({_BASE}, 4) AS base_value
-FROM r"""))
+FROM r"""
+
+
+@register("lookup_attribution", with_cases(f"SELECT * FROM ({_ATTRIBUTION_SQL}) WHERE Patient_ID IN (SELECT user_id FROM events)"))
+def lookup_attribution(spark, sf_dir):
+    """Record ids -> their records -> what drives each predicted stay."""
+    ids = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("Patient_ID"))
+    found = lookup(case_view(spark, sf_dir), patient_id=ids)
+    a = scoring.attribution_report(LOS_FOREST, found, ["Patient_ID"]).drop("value")
+    return a.withColumn("shap_value", F.col("shap_value") + F.lit(0.0))
+
+
+@register("fixed_los_attribution", with_cases(_ATTRIBUTION_SQL))
 def fixed_los_attribution(spark, sf_dir):
     a = scoring.attribution_report(LOS_FOREST, case_view(spark, sf_dir), ["Patient_ID"]).drop("value")
     return a.withColumn("shap_value", F.col("shap_value") + F.lit(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casebook.functions.filters import lookup
 from casebook.operators import anomaly, charts, cohort, similar, triage
 from casebook.plans.catalog import register, with_cases
 from casebook.sources.tables import case_view, read_table
@@ -276,25 +277,40 @@ def anomaly_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- similar cases
 
-@register("similar_cases", with_cases("""
-WITH pop AS (SELECT * FROM cases WHERE Age IS NOT NULL AND Gender IS NOT NULL AND Condition IS NOT NULL
+def _similar_sql(x: str, asked: str) -> str:
+    """Brute force over all pairs of a distinct target profile and a record."""
+    return with_cases(f"""
+WITH pop AS (SELECT * FROM cases WHERE {x} IS NOT NULL AND Gender IS NOT NULL AND Condition IS NOT NULL
         AND Procedure IS NOT NULL),
-st AS (SELECT CAST(count(*) AS double) AS n, avg(CAST(Age AS double)) AS m,
-       var_pop(CAST(Age AS double)) AS v FROM pop),
-t AS (SELECT DISTINCT Age AS t_Age, Gender AS t_Gender, Condition AS t_Condition, Procedure AS t_Procedure FROM pop),
+st AS (SELECT CAST(count(*) AS double) AS n, avg(CAST({x} AS double)) AS m,
+       var_pop(CAST({x} AS double)) AS v FROM pop),
+asked AS (SELECT * FROM pop{asked}),
+t AS (SELECT DISTINCT {x} AS t_x, Gender AS t_Gender, Condition AS t_Condition, Procedure AS t_Procedure FROM asked),
 t2 AS (SELECT t.*, CASE WHEN var_t > 0 THEN sqrt(var_t) ELSE 1.0 END AS sigma
-       FROM (SELECT t.*, (n * v + n / (n + 1) * (CAST(t_Age AS double) - m) ^ 2) / (n + 1) AS var_t FROM t CROSS JOIN st) t),
-pr AS (SELECT t2.t_Age, t2.t_Gender, t2.t_Condition, t2.t_Procedure, pop.*,
-        ((CAST(pop.Age AS double) - CAST(t_Age AS double)) / sigma) ^ 2
+       FROM (SELECT t.*, (n * v + n / (n + 1) * (CAST(t_x AS double) - m) ^ 2) / (n + 1) AS var_t FROM t CROSS JOIN st) t),
+pr AS (SELECT t2.t_x, t2.t_Gender, t2.t_Condition, t2.t_Procedure, pop.*,
+        ((CAST(pop.{x} AS double) - CAST(t_x AS double)) / sigma) ^ 2
         + 2.0 * ((pop.Gender <> t_Gender)::int + (pop.Condition <> t_Condition)::int
                  + (pop.Procedure <> t_Procedure)::int) AS d2
       FROM t2 CROSS JOIN pop),
-rk AS (SELECT *, row_number() OVER (PARTITION BY t_Age, t_Gender, t_Condition, t_Procedure ORDER BY d2, Patient_ID) AS rank
+rk AS (SELECT *, row_number() OVER (PARTITION BY t_x, t_Gender, t_Condition, t_Procedure ORDER BY d2, Patient_ID) AS rank
        FROM pr QUALIFY rank <= 5)
 SELECT q.Patient_ID AS target_id, CAST(rk.rank AS int) AS rank, round_even(sqrt(d2), 6) AS distance,
   rk.Patient_ID, rk.Age, rk.Gender, rk.Condition, rk.Procedure, rk.Cost, rk.Length_of_Stay, rk.Readmission, rk.Outcome, rk.Satisfaction
-FROM pop q JOIN rk ON q.Age = t_Age AND q.Gender = t_Gender AND q.Condition = t_Condition AND q.Procedure = t_Procedure"""))
+FROM asked q JOIN rk ON q.{x} = t_x AND q.Gender = t_Gender AND q.Condition = t_Condition AND q.Procedure = t_Procedure""")
+
+
+@register("similar_cases", _similar_sql("Age", ""))
 def similar_cases(spark, sf_dir):
     # Every complete case is a target.
     cases = case_view(spark, sf_dir)
     return similar.similar_cases(cases, cases.select(F.col("Patient_ID").alias("target_id"), "Age", "Gender", "Condition", "Procedure"), n=5)
+
+
+@register("lookup_similar", _similar_sql("Cost", " WHERE Patient_ID IN (SELECT user_id FROM events)"))
+def lookup_similar(spark, sf_dir):
+    """Record ids -> their records -> the nearest cases, by cost (a continuous feature)."""
+    cases = case_view(spark, sf_dir)
+    ids = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("Patient_ID"))
+    asked = lookup(cases, patient_id=ids).select(F.col("Patient_ID").alias("target_id"), "Cost", "Gender", "Condition", "Procedure")
+    return similar.similar_cases(cases, asked, n=5, numeric="Cost")
