@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook.llm.tokenize import Encoder
-from casebook.llm.words import slices
+from casebook.llm.words import give_back, slices
 from casebook.session import ship_package
 
 Piece = tuple[int, int, np.ndarray]  # document number in the task, start, ids
@@ -64,6 +64,8 @@ class Packer:
         for n in cut_lengths(len(ids), self.capacity, self.classes, self.slack):
             piece = (doc, at, ids[at:at + n])
             at += n
+            if n < self.capacity < len(ids):  # it waits; its document's other ids need not
+                piece = (doc, piece[1], piece[2].copy())
             j = self.capacity // n
             if j >= self.classes:
                 yield from self._lay(piece)
@@ -106,6 +108,75 @@ class Packer:
 
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
+#: Texts tokenized at once, and ids sent on at once.
+TEXT_BYTES = 2 << 20
+IDS_AT_ONCE = 1 << 19
+
+
+class Rows:
+    """Finished pieces of one task, column by column; the ids lie in one flat array."""
+
+    def __init__(self, names: list[str], with_ids: bool):
+        self.names, self.with_ids = names, with_ids
+        self.columns: list[list] = [[] for _ in range(1 + len(COLUMNS))]
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, row: tuple, ids: np.ndarray) -> None:
+        for column, value in zip(self.columns, row):
+            column.append(value)
+        self.size += len(ids)
+        if self.with_ids:
+            self.ids.append(ids)
+
+    def batch(self, key_type: pa.DataType) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, t in zip(self.columns, [key_type] + [pa.int64()] * len(COLUMNS))]
+        if self.with_ids:
+            ends = np.cumsum([0, *map(len, self.ids)])
+            flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32))))
+        self.__init__(self.names, self.with_ids)
+        return pa.RecordBatch.from_arrays(arrays, names=self.names)
+
+
+def packed(batches, path: str, packer: Packer, sequence: int, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one task; its sequences are numbered from ``sequence``."""
+    encoder, rows = Encoder.of(path), Rows(names, with_ids)
+    open_docs: dict[int, list] = {}  # number: [key, tokens, tokens not yet placed]
+    number, key_type = 0, pa.null()
+
+    def place(pieces: list[Piece]) -> None:
+        nonlocal sequence
+        offset = 0
+        for doc, start, ids in pieces:
+            info = open_docs[doc]
+            rows.add((info[0], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), info[1], sequence, offset), ids)
+            offset += len(ids)
+            info[2] -= len(ids)
+            if not info[2]:
+                del open_docs[doc]
+        sequence += 1
+
+    for b in slices(batches, "_packed_text", TEXT_BYTES):
+        key_type = b.column("_packed_key").type
+        flat, off = encoder.encode(b.column("_packed_text"))
+        for key_value, a, z in zip(b.column("_packed_key").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
+            ids = np.append(flat[a:z], np.uint32(END))
+            open_docs[number] = [key_value, len(ids), len(ids)]
+            for pieces in packer.add(number, ids):
+                place(pieces)
+                if rows.size >= IDS_AT_ONCE:
+                    yield rows.batch(key_type)
+            number += 1
+        del flat
+        yield rows.batch(key_type)
+    encoder.rest()
+    for pieces in packer.finish():
+        place(pieces)
+    if rows.size:
+        yield rows.batch(key_type)
+    give_back()
+
 
 def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048,
          classes: int = 32, slack: float = 0.02, with_ids: bool = True) -> DataFrame:
@@ -116,58 +187,20 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     empty text is the end id alone.  Rows with a null or repeated key are packed
     each on its own.  Other columns of ``docs`` are left behind.  Empty table: no
     rows.  A task's sequence ids begin with its partition number; a task that is
-    run again packs its partition the same way.  Memory: one batch of texts and at
-    most ``classes`` open bins.
+    run again packs its partition the same way.  Memory: one slice of texts (or one
+    longer text), the tokenizer's cache, ``IDS_AT_ONCE`` ids and at most ``classes``
+    open bins.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind)] + [T.StructField(c, T.LongType()) for c in COLUMNS])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    names = schema.names
 
     def run(batches):
-        encoder, packer = Encoder.of(tokenizer_path), Packer(capacity, classes, slack)
-        sequence = TaskContext.get().partitionId() << 33
-        open_docs: dict[int, list] = {}  # number: [key, tokens, tokens not yet placed]
-        rows: list[tuple] = []
-        number = 0
-
-        def place(pieces: list[Piece]):
-            nonlocal sequence
-            offset = 0
-            for doc, start, ids in pieces:
-                info = open_docs[doc]
-                rows.append((info[0], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), info[1], sequence,
-                             offset, *([ids.astype(np.int32)] if with_ids else [])))
-                offset += len(ids)
-                info[2] -= len(ids)
-                if not info[2]:
-                    del open_docs[doc]
-            sequence += 1
-
-        def flush():
-            columns = list(zip(*rows)) or [()] * len(schema)
-            rows.clear()
-            kinds = [out_types[0]] + [pa.int64()] * len(COLUMNS) + [pa.list_(pa.int32())] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                              names=schema.names)
-
-        out_types = [pa.null()]
-        for b in slices(batches, "_packed_text", 8 << 20):
-            out_types = [b.column("_packed_key").type]
-            flat, off = encoder.encode(b.column("_packed_text"))
-            for key_value, a, z in zip(b.column("_packed_key").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
-                ids = np.append(flat[a:z], np.uint32(END))
-                open_docs[number] = [key_value, len(ids), len(ids)]
-                for pieces in packer.add(number, ids):
-                    place(pieces)
-                number += 1
-            yield flush()
-        encoder.rest()
-        for pieces in packer.finish():
-            place(pieces)
-        if rows:
-            yield flush()
+        packer = Packer(capacity, classes, slack)
+        yield from packed(batches, tokenizer_path, packer, TaskContext.get().partitionId() << 33, names, with_ids)
 
     return (docs.select(F.col(f"`{key}`").alias("_packed_key"),
                         F.col(f"`{text}`").cast("string").alias("_packed_text"))

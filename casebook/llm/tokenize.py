@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) !=
 VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = True
 
-#: Distinct pieces whose ids a worker keeps (about 25 bytes each).
-CACHE_ENTRIES = 4_000_000
-ENCODED_AT_ONCE = 20_000
+#: Bytes of pieces and ids that a worker keeps; beyond that it begins anew.
+CACHE_BYTES = 40 << 20
+ENCODED_AT_ONCE = 5_000
 
 
 class Encoder:
@@ -107,7 +108,7 @@ class Encoder:
         return inside, (self.keys[inside] == keys) & (self.bytes[inside] == lengths)
 
     def _learn(self, values: list[bytes], keys: np.ndarray, lengths: np.ndarray) -> None:
-        ids, size = [], []
+        ids, size = array("I"), array("i")
         for i in range(0, len(values), ENCODED_AT_ONCE):
             part = [v.decode("utf-8") for v in values[i:i + ENCODED_AT_ONCE]]
             for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
@@ -118,7 +119,7 @@ class Encoder:
         first = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(self.keys, keys[order])
-        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
         self.bytes = np.insert(self.bytes, at, lengths[order])
         self.first = np.insert(self.first, at, first[order])
         self.size = np.insert(self.size, at, size[order])
@@ -126,7 +127,7 @@ class Encoder:
 
     def pieces(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``self.ids``, number of ids) of each distinct piece."""
-        if len(self.keys) + len(values) > CACHE_ENTRIES:
+        if 24 * (len(self.keys) + len(values)) + 4 * len(self.ids) > CACHE_BYTES:
             self._forget()
         keys = hash_bytes(values)
         lengths = pc.binary_length(values).to_numpy().astype(np.int32)

@@ -7,6 +7,7 @@ whole Arrow column at once, with no Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +20,22 @@ IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each piece hold about ``max_bytes``
-    (one longer text makes a piece of its own)."""
+    (one longer text makes a piece of its own).  Frees memory after the last."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -35,6 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
