@@ -26,8 +26,8 @@ def fit_label_encoder(df: DataFrame, cols=CATEGORICAL) -> StringIndexerModel:
 
 
 def unseen_to_zero(model: StringIndexerModel, cols=CATEGORICAL) -> SQLTransformer:
-    """Map the "unseen" index (n) to code 0, the alphabetically first class, and
-    drop the nominal metadata so trees split codes as ordered numbers."""
+    """Map the "unseen" index (n) to code 0, the alphabetically first class.  The indexer's
+    column metadata ends here; training names the labels again."""
     cols = list(cols)
     parts = []
     for c, labels in zip(cols, model.labelsArray):

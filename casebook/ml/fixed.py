@@ -1,7 +1,8 @@
 """A forest given as constants, with the interface of a trained ``ModelBundle``.
 
 Trees are nested tuples (feature, threshold, left, right) with leaves (value, cover);
-a row goes left when its input is at most the threshold.
+a row goes left when its input is at most the threshold or, if a set of codes stands in
+the threshold's place, one of them.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ def tree_column(tree, inputs: list[str]) -> Column:
     if len(tree) == 2:
         return F.lit(float(tree[0]))
     feature, threshold, left, right = tree
-    return F.when(F.col(inputs[feature]) <= F.lit(float(threshold)), tree_column(left, inputs)).otherwise(tree_column(right, inputs))
+    x = F.col(inputs[feature])
+    goes_left = x.isin([float(c) for c in sorted(threshold)]) if isinstance(threshold, frozenset) else x <= F.lit(float(threshold))
+    return F.when(goes_left, tree_column(left, inputs)).otherwise(tree_column(right, inputs))
 
 
-def flat_forest(trees, n_features: int) -> FlatForest:
+def flat_forest(trees, n_features: int, codes: int = 1) -> FlatForest:
+    """``codes``: at least as many as any categorical input has."""
     rows: list[list] = []
     roots = []
+    sets: dict[int, frozenset] = {}
 
     def add(tree) -> tuple[int, float, int]:
         at = len(rows)
@@ -35,7 +40,9 @@ def flat_forest(trees, n_features: int) -> FlatForest:
             return at, float(tree[1]), 0
         feature, threshold, left, right = tree
         (a, ca, da), (b, cb, db) = add(left), add(right)
-        rows[at] = [feature, float(threshold), a, b, 0.0, ca + cb]
+        if isinstance(threshold, frozenset):
+            sets[at] = threshold
+        rows[at] = [feature, 0.0 if at in sets else float(threshold), a, b, 0.0, ca + cb]
         return at, ca + cb, 1 + max(da, db)
 
     depth = 0
@@ -44,8 +51,12 @@ def flat_forest(trees, n_features: int) -> FlatForest:
         roots.append(root)
         depth = max(depth, d)
     f, t, a, b, v, c = (np.array(x) for x in zip(*rows))
+    set_row, left = np.full(len(rows), -1, np.int32), np.zeros((len(sets), max([codes, *(max(s, default=0) + 1 for s in sets.values())])), bool)
+    for i, (at, members) in enumerate(sets.items()):
+        set_row[at] = i
+        left[i, sorted(members)] = True
     return FlatForest(f.astype(np.int32), t.astype(float), a.astype(np.int64), b.astype(np.int64), v.astype(float),
-                      c.astype(float), np.array(roots, np.int64), depth, n_features)
+                      c.astype(float), np.array(roots, np.int64), depth, n_features, set_row, left)
 
 
 @dataclass
@@ -78,4 +89,4 @@ class FixedForest:
         return x.withColumn("_prediction", mean)
 
     def flat(self, spark: SparkSession) -> FlatForest:
-        return flat_forest(self.trees, len(self.features))
+        return flat_forest(self.trees, len(self.features), max(map(len, self.codes.values())))

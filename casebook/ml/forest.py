@@ -1,10 +1,12 @@
-"""The forest as a leaf table: per-tree predictions (M7) and exact
-path-dependent Shapley values (M8), evaluated in Arrow-batched tasks.
+"""The forest as flat arrays: per-tree predictions (M7) and exact path-dependent
+Shapley values (M8), evaluated in Arrow-batched tasks.
 
 The tree structure is read from Spark ML's own persisted model (one parquet
 row per node), turned into flat numpy arrays on the driver (model-sized:
 at most trees x 2^(depth+1) nodes, independent of the data size) and
 broadcast.  Rows stay distributed; each task walks all trees for a batch.
+
+A split sends a row left by a threshold or, for a categorical feature, by a set of codes.
 """
 
 from __future__ import annotations
@@ -12,8 +14,7 @@ from __future__ import annotations
 import itertools
 import math
 import uuid
-from dataclasses import dataclass, replace
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from casebook.session import checkpoint_dir, ship_package
 @dataclass
 class FlatForest:
     feature: np.ndarray    # int32, -1 for a leaf
-    threshold: np.ndarray  # float64, go left when x <= threshold
+    threshold: np.ndarray  # float64, go left when x <= threshold (no set given)
     left: np.ndarray       # int64 global node index
     right: np.ndarray
     value: np.ndarray      # leaf value (P(class 1) or mean), per node
@@ -35,6 +36,20 @@ class FlatForest:
     roots: np.ndarray      # int64, one per tree
     depth: int
     n_features: int
+    set_row: np.ndarray | None = None  # int32 per node: row of ``sets``, -1 for a threshold
+    sets: np.ndarray | None = None     # bool (set splits, codes): the codes that go left
+
+    def __post_init__(self):
+        if self.set_row is None:
+            self.set_row, self.sets = np.full(len(self.feature), -1, np.int32), np.zeros((0, 1), bool)
+
+    def goes_left(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        left = x <= self.threshold[node]
+        row = self.set_row[node]
+        if not len(self.sets):
+            return left
+        code = np.clip(x, 0, self.sets.shape[1] - 1).astype(np.int64)
+        return np.where(row >= 0, self.sets[np.maximum(row, 0), code], left)
 
 
 def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
@@ -54,7 +69,7 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
                      F.col("nodeData.leftChild").alias("leftChild"),
                      F.col("nodeData.rightChild").alias("rightChild"),
                      F.col("nodeData.split.featureIndex").alias("featureIndex"),
-                     F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("thr"),
+                     F.col("nodeData.split.leftCategoriesOrThreshold").alias("goes_left"),
                      F.col("nodeData.split.numCategories").alias("numCategories"))
              .orderBy("treeID", "id").toPandas())
     # Node ids are dense preorder indexes within each tree, so a node's global
@@ -68,11 +83,16 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     if not np.array_equal(ids, np.arange(n) - offset[tree]):
         raise ValueError("unexpected node numbering in the persisted forest")
     internal = nodes.leftChild.to_numpy() >= 0
-    if (nodes.numCategories.to_numpy()[internal] != -1).any():
-        raise ValueError("categorical splits are not supported by the leaf table")
+    arity = np.where(internal, nodes.numCategories.fillna(-1).to_numpy(), -1).astype(np.int64)
+    by_set = np.flatnonzero(arity >= 0)
+    set_row = np.full(n, -1, np.int32)
+    set_row[by_set] = np.arange(len(by_set))
+    sets = np.zeros((len(by_set), max(1, arity.max(initial=1))), bool)
+    for row, at in enumerate(by_set):
+        sets[row, np.asarray(nodes.goes_left.iat[at], np.int64)] = True
     base = offset[tree]
     feature = np.where(internal, nodes.featureIndex.fillna(-1).to_numpy(), -1).astype(np.int32)
-    thr = np.where(internal, nodes.thr.fillna(0.0).to_numpy(float), 0.0)
+    thr = np.array([g[0] if i and a < 0 else 0.0 for g, i, a in zip(nodes.goes_left, internal, arity)])
     left = np.where(internal, base + nodes.leftChild.to_numpy(), np.arange(n)).astype(np.int64)
     right = np.where(internal, base + nodes.rightChild.to_numpy(), np.arange(n)).astype(np.int64)
     value = nodes.value.to_numpy(float)
@@ -84,7 +104,7 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
         frontier = np.concatenate([left[inner], right[inner]])
         depth += 1 if len(frontier) else 0
     return FlatForest(feature, thr, left, right, value, cover, roots, depth,
-                      int(forest_model.numFeatures))
+                      int(forest_model.numFeatures), set_row, sets)
 
 
 def tree_values(ff: FlatForest, X: np.ndarray) -> np.ndarray:
@@ -95,148 +115,162 @@ def tree_values(ff: FlatForest, X: np.ndarray) -> np.ndarray:
         f = ff.feature[node]
         leaf = f < 0
         xf = X[rows, np.where(leaf, 0, f)]
-        nxt = np.where(xf <= ff.threshold[node], ff.left[node], ff.right[node])
+        nxt = np.where(ff.goes_left(node, xf), ff.left[node], ff.right[node])
         node = np.where(leaf, node, nxt)
     return ff.value[node]
 
 
-@dataclass
-class LeafTable:
-    value: np.ndarray   # (L,) leaf value / number of trees
-    lo: np.ndarray      # (L, M) accepted interval (lo, hi] per feature
-    hi: np.ndarray
-    ratio: np.ndarray   # (L, M) product of child/parent cover on splits of that feature
-    base: float
-
-
-def leaf_table(ff: FlatForest) -> LeafTable:
-    """Per leaf: its value and, per feature, the accepted interval and the cover
-    ratio product along its path (level by level over every tree at once)."""
-    M, T_ = ff.n_features, len(ff.roots)
-    node = ff.roots.copy()
-    k = len(node)
-    lo, hi, rat = np.full((k, M), -np.inf), np.full((k, M), np.inf), np.ones((k, M))
-    vals, los, his, rats = [], [], [], []
-    while len(node):
-        f = ff.feature[node]
-        leaf = f < 0
-        vals.append(ff.value[node[leaf]] / T_)
-        los.append(lo[leaf]), his.append(hi[leaf]), rats.append(rat[leaf])
-        inner = ~leaf
-        nd, fi = node[inner], f[inner]
-        rows = np.arange(len(nd))
-        parent_cover = ff.cover[nd]
-        kids, klo, khi, krat = [], [], [], []
-        for child, is_left in ((ff.left[nd], True), (ff.right[nd], False)):
-            l2, h2, r2 = lo[inner].copy(), hi[inner].copy(), rat[inner].copy()
-            t = ff.threshold[nd]
-            if is_left:
-                h2[rows, fi] = np.minimum(h2[rows, fi], t)
-            else:
-                l2[rows, fi] = np.maximum(l2[rows, fi], t)
-            ratio = np.divide(ff.cover[child], parent_cover, out=np.zeros(len(nd)), where=parent_cover > 0)
-            r2[rows, fi] *= ratio
-            kids.append(child), klo.append(l2), khi.append(h2), krat.append(r2)
-        node = np.concatenate(kids)
-        lo, hi, rat = np.concatenate(klo), np.concatenate(khi), np.concatenate(krat)
-    value = np.concatenate(vals)
-    ratio = np.concatenate(rats)
-    return LeafTable(value, np.concatenate(los), np.concatenate(his), ratio,
-                     float((value * ratio.prod(axis=1)).sum()))
-
-
-@lru_cache(maxsize=8)
-def _weights(n: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """Shapley weight by coalition size, and all coalitions as 0/1 tuples."""
-    w = np.array([math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n) for s in range(n)])
-    return w, list(itertools.product((0, 1), repeat=n))
-
-
-def pattern_values(value: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """(leaves, 2^M, M): a leaf's contribution to each feature's Shapley value for
-    every pattern of features that accept the row (bit j: feature j does).
-
-    A leaf pays v * prod(accepted in S) * prod(ratio outside S) to coalition S, so
-    its contribution depends on the row through the pattern alone.
-    """
-    n = ratio.shape[1]
-    weight, coalitions = _weights(n)
-    out = np.zeros((len(value), 1 << n, n))
-    for pattern in range(1 << n):
-        accepts = [(pattern >> j) & 1 for j in range(n)]
-        pay = {}
-        for s in coalitions:
-            if any(s[j] and not accepts[j] for j in range(n)):
-                continue
-            free = [j for j in range(n) if not s[j]]
-            pay[s] = value * ratio[:, free].prod(axis=1)
-        for s in coalitions:
-            for j in range(n):
-                if s[j]:
-                    continue
-                joined = s[:j] + (1,) + s[j + 1:]
-                gain = pay.get(joined, 0.0) - pay.get(s, 0.0)
-                out[:, pattern, j] += weight[sum(s)] * gain
-    return out
-
-
-def shapley(lt: LeafTable, X: np.ndarray, leaves: int = 4096, rows: int = 512) -> np.ndarray:
-    """Exact path-dependent Shapley values, shape (rows, M).
-
-    E[f | x_S] = sum_leaf v * prod_{j in S} 1[x_j in interval] * prod_{j not in S} ratio_j.
-    Rows that no threshold tells apart are computed once; the work is done in pieces
-    of ``leaves`` x ``rows``, so memory does not follow the forest's size.
-    """
-    n, M = X.shape
-    if not n:
-        return np.zeros((0, M))
-    cells = np.stack([np.searchsorted(np.unique(lt.hi[np.isfinite(lt.hi[:, j]), j]), X[:, j], side="left")
-                      for j in range(M)], axis=1)
-    _, first, which = np.unique(cells, axis=0, return_index=True, return_inverse=True)
-    U = X[first]
-    out = np.zeros((len(U), M))
-    for a in range(0, len(lt.value), leaves):
-        lo, hi = lt.lo[a:a + leaves], lt.hi[a:a + leaves]
-        table = pattern_values(lt.value[a:a + leaves], lt.ratio[a:a + leaves]).reshape(-1, M)
-        base = np.arange(len(lo)) << M
-        for r in range(0, len(U), rows):
-            x = U[r:r + rows]
-            pattern = np.zeros((len(x), len(lo)), np.int64)
-            for j in range(M):
-                pattern |= ((x[:, j, None] > lo[None, :, j]) & (x[:, j, None] <= hi[None, :, j])).astype(np.int64) << j
-            for j in range(M):
-                out[r:r + rows, j] += table[:, j][base + pattern].sum(axis=1)
-    return out[which.ravel()]
-
-
-#: Cells of all coalition tables together (8 bytes each).
+#: Cells of all coalition tables of one block together (8 bytes each).
 TABLE_CELLS = 1 << 24
+TREES_AT_ONCE = 8
 
 
 @dataclass
-class CoalitionTables:
-    """E[f | x_S] for every set S of features (bit j: feature j) and every cell of the
-    grid that the forest's thresholds make: a row's game is 2^M lookups, whatever the
-    forest's size."""
-    thresholds: list    # ascending, per feature
-    tables: list        # per S: E[f | x_S], flat, over the cells of the features of S
+class Game:
+    """Exact path-dependent Shapley values of a forest's predictions.
+
+    The splits cut each feature into cells, the features together into a grid; a row's
+    values depend on its cell alone.  For every coalition S of features (bit j: feature j)
+    a table over the cells of S holds E[f | x_S], so a row costs 2^M lookups, whatever the
+    forest's size.  The grid is dealt into blocks whose tables together have at most
+    ``cells`` cells; a block's tables are built when a row first needs them and the last
+    ones are kept.
+    """
+    forest: FlatForest
+    cells: int = TABLE_CELLS
+    _kept: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        ff, by_set = self.forest, self.forest.set_row >= 0
+        self.by_set = [bool((by_set & (ff.feature == j)).any()) for j in range(ff.n_features)]
+        self.edges = [np.arange(ff.sets.shape[1] - 1) + 0.5 if s else np.unique(ff.threshold[ff.feature == j]) for j, s in enumerate(self.by_set)]
+        self.sizes = [len(e) + 1 for e in self.edges]
+        self.side = list(self.sizes)  # cells of a block along each feature
+        while math.prod(k + 2 for k in self.side) > self.cells and max(self.side) > 1:
+            widest = int(np.argmax(self.side))
+            self.side[widest] = -(-self.side[widest] // 2)
+        self.base = sum(float((v * r.prod(axis=1)).sum()) for v, r, *_ in map(self.leaves, self.parts()))
+
+    def __getstate__(self):
+        return self.__dict__ | {"_kept": {}}
 
     @property
-    def base(self) -> float:
-        return float(self.tables[0][0])
+    def blocks(self) -> int:
+        return math.prod(-(-n // k) for n, k in zip(self.sizes, self.side))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.forest.roots[i:i + TREES_AT_ONCE] for i in range(0, len(self.forest.roots), TREES_AT_ONCE)]
+
+    def cell_of(self, X: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, X[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
+
+    def block_of(self, cell: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cell), np.int64)
+        for j, (n, k) in enumerate(zip(self.sizes, self.side)):
+            out = out * -(-n // k) + cell[:, j] // k
+        return out
+
+    def leaves(self, roots: np.ndarray):
+        """Of the leaves below ``roots``: value / number of trees, the cover ratios by feature,
+        the accepted cells [start, end) by feature, and for features split by sets a mask."""
+        ff, M = self.forest, self.forest.n_features
+        node, ratio = roots.copy(), np.ones((len(roots), M))
+        start, end = np.zeros((len(roots), M), np.int64), np.tile(np.array(self.sizes, np.int64), (len(roots), 1))
+        masks = {j: np.ones((len(roots), self.sizes[j]), bool) for j, s in enumerate(self.by_set) if s}
+        done = []
+        while len(node):
+            f = ff.feature[node]
+            leaf, inner = f < 0, np.flatnonzero(f >= 0)
+            done.append((ff.value[node[leaf]] / len(ff.roots), ratio[leaf], start[leaf], end[leaf], {j: m[leaf] for j, m in masks.items()}))
+            nd, fi, at = node[inner], f[inner], np.arange(len(inner))
+            sides = []
+            for child, is_left in ((ff.left[nd], True), (ff.right[nd], False)):
+                r, s, e = ratio[inner].copy(), start[inner].copy(), end[inner].copy()
+                m = {j: x[inner].copy() for j, x in masks.items()}
+                r[at, fi] *= np.divide(ff.cover[child], ff.cover[nd], out=np.zeros(len(nd)), where=ff.cover[nd] > 0)
+                for j in range(M):
+                    mine = np.flatnonzero(fi == j)
+                    if j in m:
+                        m[j][mine] &= ff.sets[ff.set_row[nd[mine]]] == is_left
+                        continue
+                    cut = np.searchsorted(self.edges[j], ff.threshold[nd[mine]]) + 1
+                    if is_left:
+                        e[mine, j] = np.minimum(e[mine, j], cut)
+                    else:
+                        s[mine, j] = np.maximum(s[mine, j], cut)
+                sides.append((child, r, s, e, m))
+            (a, *x), (b, *y) = sides
+            node = np.concatenate([a, b])
+            ratio, start, end = (np.concatenate(z) for z in zip(x[:3], y[:3]))
+            masks = {j: np.concatenate([x[3][j], y[3][j]]) for j in masks}
+        return tuple(np.concatenate(z) for z in zip(*(d[:4] for d in done))) + ({j: np.concatenate([d[4][j] for d in done]) for j in masks},)
+
+    def tables(self, block: int) -> list[np.ndarray]:
+        """Per coalition: E[f | x_S], flat over the block's cells of the features of S.
+
+        To coalition S a leaf pays v * (product of its cover ratios outside S) on the box of
+        cells it accepts in S (a set: on every run of codes).  Boxes are added as
+        differences at their corners, which running sums along each axis then fill."""
+        if block in self._kept:
+            return self._kept[block]
+        M, low, rest = self.forest.n_features, [], block
+        for n, k in reversed(list(zip(self.sizes, self.side))):
+            rest, i = divmod(rest, -(-n // k))
+            low.insert(0, i * k)
+        side = [min(k, n - a) for n, k, a in zip(self.sizes, self.side, low)]
+        sums = [np.zeros(math.prod(side[j] + 1 for j in _members(s, M))) for s in range(1 << M)]
+        for roots in self.parts():
+            value, ratio, start, end, masks = self.leaves(roots)
+            runs = {}
+            for j, m in masks.items():
+                edge = np.diff(np.pad(m[:, low[j]:low[j] + side[j]].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                (leaf, first), (_, past) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                runs[j] = (np.searchsorted(leaf, np.arange(len(value) + 1)), first, past)
+            for s in range(1 << M):
+                inside, who, boxes = _members(s, M), np.arange(len(value)), []
+                for j in inside:
+                    if j in runs:
+                        bounds, first, past = runs[j]
+                        times = (bounds[1:] - bounds[:-1])[who]
+                        at = np.arange(times.sum()) + np.repeat(bounds[who] - (np.cumsum(times) - times), times)
+                        boxes = [(np.repeat(a, times), np.repeat(z, times)) for a, z in boxes] + [(first[at], past[at])]
+                        who = np.repeat(who, times)
+                    else:
+                        boxes.append(tuple(np.clip(x[who, j] - low[j], 0, side[j]) for x in (start, end)))
+                pay = value[who] * ratio[who][:, [j for j in range(M) if j not in inside]].prod(axis=1)
+                pay = np.where(np.logical_and.reduce([a < z for a, z in boxes] or [np.ones(len(pay), bool)]), pay, 0.0)
+                for corner in itertools.product((0, 1), repeat=len(inside)):
+                    at = np.zeros(len(pay), np.int64)
+                    for j, box, last in zip(inside, boxes, corner):
+                        at = at * (side[j] + 1) + box[last]
+                    sums[s] += np.bincount(at, weights=-pay if sum(corner) % 2 else pay, minlength=len(sums[s]))
+        out = []
+        for s in range(1 << M):
+            box = sums[s].reshape([side[j] + 1 for j in _members(s, M)])
+            for axis in range(box.ndim):
+                box = np.cumsum(box, axis=axis)
+            out.append(box[tuple(slice(0, -1) for _ in range(box.ndim))].ravel())
+        self._kept.clear()
+        self._kept[block] = out
+        return out
 
     def shapley(self, X: np.ndarray) -> np.ndarray:
-        n = len(self.thresholds)
-        cells = [np.searchsorted(t, X[:, j], side="left") for j, t in enumerate(self.thresholds)]
-        weight, _ = _weights(n)
-        out = np.zeros(X.shape)
-        for s, table in enumerate(self.tables):
-            at = np.zeros(len(X), np.int64)
-            for j in _members(s, n):
-                at = at * (len(self.thresholds[j]) + 1) + cells[j]
-            paid, size = table[at], s.bit_count()
-            for j in range(n):
-                out[:, j] += paid * (weight[size - 1] if s >> j & 1 else -weight[size])
+        """Shapley values, shape (rows, M)."""
+        M, out = self.forest.n_features, np.zeros(X.shape)
+        weight = [math.factorial(k) * math.factorial(M - k - 1) / math.factorial(M) for k in range(M)]
+        cell = self.cell_of(X)
+        block = self.block_of(cell)
+        for b in np.unique(block).tolist():
+            rows = np.flatnonzero(block == b)
+            local = cell[rows] % np.array(self.side)
+            side = [min(k, n - c // k * k) for n, k, c in zip(self.sizes, self.side, cell[rows[0]].tolist())]
+            for s, table in enumerate(self.tables(b)):
+                at = np.zeros(len(rows), np.int64)
+                for j in _members(s, M):
+                    at = at * side[j] + local[:, j]
+                paid, size = table[at], s.bit_count()
+                for j in range(M):
+                    out[rows, j] += paid * (weight[size - 1] if s >> j & 1 else -weight[size])
         return out
 
 
@@ -244,44 +278,6 @@ def _members(s: int, n: int) -> list[int]:
     return [j for j in range(n) if s >> j & 1]
 
 
-def coalition_tables(ff: FlatForest, trees: int = 8, cells: int = TABLE_CELLS) -> CoalitionTables | None:
-    """The tables of a forest, ``trees`` trees at a time, or None if they would have
-    more than ``cells`` cells.
-
-    To coalition S a leaf pays v * (product of its cover ratios outside S) on the box
-    of cells it accepts in S.  Boxes are added as differences at their corners, which
-    running sums along each axis then fill.
-    """
-    n = ff.n_features
-    thresholds = [np.unique(ff.threshold[ff.feature == j]) for j in range(n)]
-    sides = [len(t) + 2 for t in thresholds]  # one past the last cell, for the boxes' ends
-    if math.prod(k + 1 for k in sides) > cells:
-        return None
-    sums = [np.zeros(math.prod(sides[j] for j in _members(s, n))) for s in range(1 << n)]
-    for a in range(0, len(ff.roots), trees):
-        part = replace(ff, roots=ff.roots[a:a + trees])
-        lt = leaf_table(part)
-        value = lt.value * (len(part.roots) / len(ff.roots))
-        start = [np.searchsorted(t, lt.lo[:, j], side="right") for j, t in enumerate(thresholds)]
-        end = [np.maximum(start[j], np.searchsorted(t, lt.hi[:, j], side="left") + 1) for j, t in enumerate(thresholds)]
-        for s in range(1 << n):
-            inside = _members(s, n)
-            pay = value * lt.ratio[:, [j for j in range(n) if j not in inside]].prod(axis=1)
-            for corner in itertools.product((0, 1), repeat=len(inside)):
-                at = np.zeros(len(value), np.int64)
-                for j, last in zip(inside, corner):
-                    at = at * sides[j] + (end[j] if last else start[j])
-                np.add.at(sums[s], at, -pay if sum(corner) % 2 else pay)
-    tables = []
-    for s in range(1 << n):
-        inside = _members(s, n)
-        box = sums[s].reshape([sides[j] for j in inside])
-        for axis in range(len(inside)):
-            box = np.cumsum(box, axis=axis)
-        tables.append(box[tuple(slice(0, -1) for _ in inside)].ravel())
-    return CoalitionTables(thresholds, tables)
-
-
 def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
     """M7 core: forest mean and population std over the trees, per row."""
     ship_package(spark)
@@ -305,20 +301,29 @@ def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
     return spread(x).mapInPandas(run, schema)
 
 
-def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
+SALTS = 8
+
+
+def attributions(bundle, df: DataFrame, keys, spark, cells: int = TABLE_CELLS) -> DataFrame:
     """M8: per row and feature, the Shapley value toward the prediction, long
-    form (keys, feature, value, shap_value), plus the base value.  Rows look their
-    values up in the coalition tables; a forest whose grid is too large for them is
-    walked leaf by leaf, with the same results."""
+    form (keys, feature, value, shap_value), plus the base value.  The coalition tables
+    are built in the tasks; a grid of several blocks has its rows brought together by
+    block first (a block's rows in ``SALTS`` parts, so that a hot one is no single task)."""
     ship_package(spark)
-    ff = bundle.flat(spark)
-    game = spark.sparkContext.broadcast(coalition_tables(ff) or leaf_table(ff))
+    rules = Game(bundle.flat(spark), cells)
+    game = spark.sparkContext.broadcast(rules)
     cols = bundle.model_columns()
     keys = list(keys)
     feats = list(bundle.features)
     shown = [F.col(f"_own.{c}").cast("string").alias(f"_v_{c}") if "_own" in df.columns
              else F.col(c).cast("string").alias(f"_v_{c}") for c in feats]
     x = bundle.numeric_inputs(df).select(*keys, *shown, *[F.col(c).cast("double").alias(c) for c in cols])
+    if rules.blocks > 1:
+        block = F.pandas_udf(lambda *v: _block_of(game.value, v), "long")
+        x = x.withColumn("_block", block(*cols)).withColumn("_salt", F.pmod(F.xxhash64(*keys, *cols), F.lit(SALTS)))
+        x = x.repartition("_block", "_salt").sortWithinPartitions("_block").drop("_block", "_salt")
+    else:
+        x = spread(x)
     schema = T.StructType([x.schema[k] for k in keys] + [
         T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()),
         T.StructField("shap_value", T.DoubleType()),
@@ -329,7 +334,7 @@ def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
         t = game.value
         for pdf in batches:
             X = pdf[cols].to_numpy(dtype=float)
-            phi = t.shapley(X) if isinstance(t, CoalitionTables) else shapley(t, X)
+            phi = t.shapley(X)
             pred = t.base + phi.sum(axis=1)
             parts = []
             for j, name in enumerate(feats):
@@ -342,4 +347,9 @@ def attributions(bundle, df: DataFrame, keys, spark) -> DataFrame:
                 parts.append(o)
             yield pd.concat(parts, ignore_index=True) if parts else pdf[keys]
 
-    return spread(x).mapInPandas(run, schema)
+    return x.mapInPandas(run, schema)
+
+
+def _block_of(game: Game, columns):
+    import pandas as pd
+    return pd.Series(game.block_of(game.cell_of(np.stack([np.asarray(c, float) for c in columns], axis=1))))

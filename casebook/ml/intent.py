@@ -43,10 +43,9 @@ def hashed_ngrams(df: DataFrame, text: str = "text", out: str = "features", num_
     words = F.filter(F.split(clean, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
     def pieces(n: int) -> Column:
-        """The n-grams; a leading space tells them from words."""
-        starts = F.sequence(F.lit(1), F.length("_clean") - n + 1)
-        cut = F.transform(starts, lambda i: F.concat(F.lit(" "), F.substring("_clean", i, F.lit(n))))
-        return F.when(F.length("_clean") >= n, cut).otherwise(F.array().cast("array<string>"))
+        """The overlapping n-grams, in one pass; a leading space tells them from words."""
+        found = F.regexp_extract_all("_clean", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found, lambda g: F.concat(F.lit(" "), g))
 
     parts = [words, *map(pieces, grams)]
     return HashingTF(inputCol="_grams", outputCol=out, numFeatures=num_features).transform(

@@ -67,7 +67,21 @@ class ModelBundle:
 TRAIN_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
-def _pipeline(rows: DataFrame, train: DataFrame, features, trainer) -> PipelineModel:
+def _nominal(features, encoder, max_bins: int) -> dict:
+    """Column metadata of the feature vector: the categorical inputs with their labels, so
+    that trees split them by sets.  One with more than ``max_bins`` labels stays ordered."""
+    labels = dict(zip(CATEGORICAL, encoder.labelsArray))
+    numeric, nominal = [], []
+    for i, c in enumerate(features):
+        if c in CATEGORICAL and 0 < len(labels[c]) <= max_bins:
+            nominal.append({"idx": i, "name": code_col(c), "vals": list(labels[c])})
+        else:
+            numeric.append({"idx": i, "name": c})
+    attrs = {k: v for k, v in (("numeric", numeric), ("nominal", nominal)) if v}
+    return {"ml_attr": {"attrs": attrs, "num_attrs": len(features)}}
+
+
+def _pipeline(rows: DataFrame, train: DataFrame, features, trainer, nominal: bool) -> PipelineModel:
     # Codes come from every cleaned row (as the reference encodes before the
     # split); the forest sees only the training split.
     checkpoint_dir(rows.sparkSession)
@@ -76,6 +90,8 @@ def _pipeline(rows: DataFrame, train: DataFrame, features, trainer) -> PipelineM
     cols = [code_col(c) if c in CATEGORICAL else c for c in features]
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     prepared = asm.transform(fix.transform(enc.transform(train)))
+    if nominal:
+        prepared = prepared.withMetadata("features", _nominal(features, enc, trainer.getMaxBins()))
     model = trainer.fit(prepared)
     return PipelineModel(stages=[enc, fix, asm, model])
 
@@ -99,11 +115,12 @@ def _bounded_fit(train: DataFrame, max_rows: int | None, key: str) -> DataFrame:
 
 def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10,
                      seed: int = 42, key: str = KEY, max_bins: int = 256,
-                     max_rows: int | None = 50_000) -> ModelBundle:
+                     max_rows: int | None = 50_000, nominal: bool = True) -> ModelBundle:
     """M3: random forest for P(Readmission = Yes) on Age, Gender, Condition,
     Procedure, Length_of_Stay; rows with a NULL feature or label are dropped.
-    ``max_bins`` bounds the split candidates of a feature: label codes are kept
-    apart up to that many labels.  The fit uses at most about ``max_rows`` of the
+    ``max_bins`` bounds the split candidates of a feature.  Categories are split by sets
+    of labels; with ``nominal`` off, or above ``max_bins`` labels, by the order of their
+    codes.  The fit uses at most about ``max_rows`` of the
     training rows (None: all), those with the smallest key hash; encoding, scoring
     and every metric cover all rows."""
     feats = list(RISK_FEATURES)
@@ -113,14 +130,14 @@ def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
                                 seed=seed, maxBins=max_bins, **TRAIN_OPTS)
-    pipe = _pipeline(d, train, feats, rf)
+    pipe = _pipeline(d, train, feats, rf, nominal)
     return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": train.count(),
                                              "num_trees": num_trees, "max_depth": max_depth})
 
 
 def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
                     seed: int = 42, key: str = KEY, max_bins: int = 256,
-                    max_rows: int | None = None) -> ModelBundle:
+                    max_rows: int | None = None, nominal: bool = True) -> ModelBundle:
     """M6: random forest regressor for Length_of_Stay on Age, Gender, Condition,
     Procedure, Cost.
 
@@ -136,7 +153,7 @@ def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
                                seed=seed, maxBins=max_bins, **TRAIN_OPTS)
     train = _bounded_fit(d.where("_train"), max_rows, key)
-    pipe = _pipeline(d, train, feats, rf)
+    pipe = _pipeline(d, train, feats, rf, nominal)
     return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": train.count(),
                                             "num_trees": num_trees, "max_depth": max_depth})
 

@@ -155,6 +155,12 @@ LOS_FOREST = FixedForest("los", list(LOS_FEATURES), CODES, [
     (3, 2.5, (2, 1.5, (33, 30), (37, 20)), (2, 2.5, (39, 30), (44, 20)))],
     {"model_version": "fixed", "target_mean": 36.0, "target_std": 12.0, "trained_on_n": 100, "test_mae": 1.25})
 
+# The second tree splits the procedure and the condition by sets of codes.
+SET_FOREST = FixedForest("los", list(LOS_FEATURES), CODES, [
+    (4, 200000, (0, 25, (30, 40), (35, 20)), (0, 35, (40, 25), (45, 15))),
+    (3, frozenset({0, 3, 5}), (2, frozenset({1, 4}), (33, 30), (37, 20)), (2, frozenset({0, 2}), (39, 30), (44, 20)))],
+    {"model_version": "fixed", "target_mean": 36.0, "target_std": 12.0, "trained_on_n": 100, "test_mae": 1.25})
+
 _CODED = ", ".join(f"greatest(coalesce(list_position({CODES[c]!r}, {c}), 0) - 1, 0) AS {c[0].lower()}c" for c in CODES)
 _RISK_P = """((CASE WHEN Length_of_Stay <= 25 THEN CASE WHEN Age <= 30 THEN 0.125 ELSE 0.5 END
     ELSE CASE WHEN pc <= 2.5 THEN 0.625 ELSE 0.875 END END
@@ -182,9 +188,10 @@ _T1 = "CASE WHEN Cost <= 200000 THEN CASE WHEN Age <= 25 THEN 30.0 ELSE 35.0 END
 _T2 = "CASE WHEN pc <= 2.5 THEN CASE WHEN cc <= 1.5 THEN 33.0 ELSE 37.0 END ELSE CASE WHEN cc <= 2.5 THEN 39.0 ELSE 44.0 END END::DOUBLE"
 
 
-_LOS_SQL = f"""
+def _los_sql(t2: str) -> str:
+    return f"""
 WITH x AS (SELECT *, {_CODED} FROM cases WHERE {_complete(LOS_FEATURES)}),
-t AS (SELECT Patient_ID, {_T1} AS a, {_T2} AS b FROM x),
+t AS (SELECT Patient_ID, {_T1} AS a, {t2} AS b FROM x),
 s AS (SELECT Patient_ID, (a + b) / 2 AS p, sqrt(((a - (a + b) / 2) ^ 2 + (b - (a + b) / 2) ^ 2) / 2) AS s FROM t)
 SELECT Patient_ID, round_even(p, 1) AS predicted_length_of_stay_days, round_even(greatest(1.0, p - 1.645::DOUBLE * s), 1) AS lower_bound_days,
   round_even(p + 1.645::DOUBLE * s, 1) AS upper_bound_days, 36.0::DOUBLE AS population_mean_days, 12.0::DOUBLE AS population_std_days,
@@ -193,6 +200,16 @@ SELECT Patient_ID, round_even(p, 1) AS predicted_length_of_stay_days, round_even
 FROM s"""
 
 
+_LOS_SQL = _los_sql(_T2)
+_T2_SET = ("CASE WHEN pc IN (0, 3, 5) THEN CASE WHEN cc IN (1, 4) THEN 33.0 ELSE 37.0 END "
+           "ELSE CASE WHEN cc IN (0, 2) THEN 39.0 ELSE 44.0 END END::DOUBLE")
+
+
+@register("fixed_set_scores", with_cases(_los_sql(_T2_SET)))
+def fixed_set_scores(spark, sf_dir):
+    return scoring.los_scores(SET_FOREST, case_view(spark, sf_dir), ["Patient_ID"])
+
+
 @register("fixed_los_scores", with_cases(_LOS_SQL))
 def fixed_los_scores(spark, sf_dir):
     return scoring.los_scores(LOS_FOREST, case_view(spark, sf_dir), ["Patient_ID"])
@@ -218,9 +235,14 @@ _G2 = _game("proc", "cond", (50, 50), (30, 20, 30, 20), ("33.0::DOUBLE", "37.0::
 _BASE = "((30.0 * 40 + 35.0 * 20 + 40.0 * 25 + 45.0 * 15)::DOUBLE / 100 + (33.0 * 30 + 37.0 * 20 + 39.0 * 30 + 44.0 * 20)::DOUBLE / 100) / 2"
 
 
-_ATTRIBUTION_SQL = f"""
+_G2_SET = _game("proc", "cond", (50, 50), (30, 20, 30, 20), ("33.0::DOUBLE", "37.0::DOUBLE", "39.0::DOUBLE", "44.0::DOUBLE"),
+                "pc IN (0, 3, 5)", ("cc IN (1, 4)", "cc IN (0, 2)"))
+
+
+def _attribution_sql(g2: str) -> str:
+    return f"""
 WITH x AS (SELECT Patient_ID, Age AS v_age, Cost AS v_cost, Gender, Condition, Procedure, {_CODED} FROM cases WHERE {_complete(LOS_FEATURES)}),
-g AS (SELECT *, {_G1}, {_G2} FROM x),
+g AS (SELECT *, {_G1}, {g2} FROM x),
 f AS (SELECT Patient_ID, unnest(['Age', 'Gender', 'Condition', 'Procedure', 'Cost']) AS feature,
         unnest([age / 2, 0.0::DOUBLE, cond / 2, proc / 2, cost / 2]) AS phi FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY Patient_ID ORDER BY abs(round(phi, 9)) DESC, feature) AS rank FROM f)
@@ -230,6 +252,15 @@ SELECT Patient_ID, CAST(rank AS int) AS rank, feature, round_even(phi, 4) + 0.0
 FROM r"""
 
 
+_ATTRIBUTION_SQL = _attribution_sql(_G2)
+
+
+@register("fixed_set_attribution", with_cases(_attribution_sql(_G2_SET)))
+def fixed_set_attribution(spark, sf_dir):
+    a = scoring.attribution_report(SET_FOREST, case_view(spark, sf_dir), ["Patient_ID"]).drop("value")
+    return a.withColumn("shap_value", F.col("shap_value") + F.lit(0.0))
+
+
 @register("lookup_attribution", with_cases(f"SELECT * FROM ({_ATTRIBUTION_SQL}) WHERE Patient_ID IN (SELECT user_id FROM events)"))
 def lookup_attribution(spark, sf_dir):
     """Record ids -> their records -> what drives each predicted stay."""

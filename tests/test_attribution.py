@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from casebook.ml import forest, models, scoring
 from casebook.ml.features import LOS_FEATURES
@@ -15,12 +16,23 @@ def test_stay_attribution_explains_every_complete_case(spark, small_cases, monke
     assert got.select("Patient_ID").distinct().exceptAll(complete.select("Patient_ID")).count() == 0
 
 
-def test_coalition_tables_equal_the_leaf_walk(spark, small_cases):
+def test_blocks_give_the_same_values(spark, small_cases):
+    """One block of the grid, many blocks, and many blocks brought together by Spark."""
     b = models.train_los_model(small_cases, num_trees=9, max_depth=7)
     ff = b.flat(spark)
-    X = b.numeric_inputs(scoring._inputs(b, small_cases).where("_complete")).select(*b.model_columns()).toPandas().to_numpy(float)[:300]
-    lt = forest.leaf_table(ff)
-    for trees in (2, 8, 50):
-        game = forest.coalition_tables(ff, trees)
-        assert np.allclose(game.shapley(X), forest.shapley(lt, X), atol=1e-10) and np.isclose(game.base, lt.base)
-    assert forest.coalition_tables(ff, cells=100) is None
+    assert (ff.set_row >= 0).any()
+    asked = scoring._inputs(b, small_cases).where("_complete").select("*", F.col("_own.Patient_ID").alias("Patient_ID"))
+    X = b.numeric_inputs(asked).select(*b.model_columns()).toPandas().to_numpy(float)[:300]
+    whole, cut = forest.Game(ff), forest.Game(ff, 20_000)
+    assert whole.blocks == 1 < cut.blocks
+    want = whole.shapley(X)
+    assert np.allclose(cut.shapley(X), want, atol=1e-10) and np.isclose(whole.base, cut.base)
+    assert np.allclose(whole.base + want.sum(1), forest.tree_values(ff, X).mean(1), atol=1e-9)
+
+    def values(cells):
+        a = forest.attributions(b, asked, ["Patient_ID"], spark, cells)
+        return a.groupBy("Patient_ID", "feature").agg(F.round(F.first("shap_value"), 8).alias("v"), F.count(F.lit(1)).alias("n"))
+
+    one, many = values(forest.TABLE_CELLS), values(20_000)
+    assert one.join(many.withColumnsRenamed({"v": "w", "n": "m"}), ["Patient_ID", "feature"], "full").where(
+        "v IS NULL OR w IS NULL OR abs(v - w) > 1e-7 OR n <> 1 OR m <> 1").count() == 0

@@ -62,12 +62,12 @@ def test_shapley_additivity_and_symmetry(spark, risk, small_cases):
     x, cols = _inputs(risk, small_cases)
     X = x.select(*cols).limit(25).toPandas().to_numpy(float)
     ff = forest.flatten_forest(risk.forest, spark)
-    lt = forest.leaf_table(ff)
-    phi = forest.shapley(lt, X)
+    game = forest.Game(ff)
+    phi = game.shapley(X)
     pred = forest.tree_values(ff, X).mean(axis=1)
-    assert np.allclose(lt.base + phi.sum(axis=1), pred, atol=1e-9)
+    assert np.allclose(game.base + phi.sum(axis=1), pred, atol=1e-9)
     # base value = expected prediction under the training cover
-    assert 0.0 <= lt.base <= 1.0
+    assert 0.0 <= game.base <= 1.0
 
 
 def test_attribution_report(spark, risk, small_cases):
@@ -178,34 +178,65 @@ def test_stratified_split_keeps_every_label_at_80_percent(spark, small_cases):
     assert stratified_split(tiny, "label").count() == 3
 
 
-def test_shapley_equals_the_definition():
+TREES = [(0, 1.0, (1, 2.0, (1.0, 3), (5.0, 2)), (0, 3.0, (2.0, 4), (9.0, 1))), (2, 0.5, (4.0, 5), (1, 1.0, (7.0, 2), (3.0, 3)))]
+SETS = [(2, frozenset({0, 2, 5}), (0, 1.5, (1.0, 4), (3.0, 2)), (2, frozenset({1, 4, 0}), (8.0, 3), (6.0, 5))),
+        (1, 2.0, (2, frozenset({3}), (2.0, 1), (4.0, 6)), (2, frozenset({0, 1, 2, 3, 4, 5}), (5.0, 4), (7.0, 0)))]
+
+
+@pytest.mark.parametrize("trees", [TREES, SETS, TREES[:1] + SETS])
+def test_shapley_equals_the_definition(trees):
+    """Threshold and set splits, one block of the grid and many."""
     import itertools
     import math
 
     from casebook.ml.fixed import flat_forest
-    trees = [(0, 1.0, (1, 2.0, (1.0, 3), (5.0, 2)), (0, 3.0, (2.0, 4), (9.0, 1))), (2, 0.5, (4.0, 5), (1, 1.0, (7.0, 2), (3.0, 3)))]
-    ff = flat_forest(trees, 3)
-    X = np.random.default_rng(0).uniform(0, 4, (40, 3))
+    if trees is not TREES and trees is not SETS:
+        trees = [trees[0], (1, 0.5, (0, 2.0, (1.0, 1), (2.0, 2)), (2, frozenset({4, 1}), (3.0, 3), (9.0, 4)))]
+    ff = flat_forest(trees, 3, codes=6)
+    rng = np.random.default_rng(0)
+    X = rng.uniform(0, 4, (40, 3))
+    if trees is not TREES:
+        X[:, 2] = rng.integers(0, 6, 40)
+
+    def goes_left(x, t):
+        return x in t if isinstance(t, frozenset) else x <= t
 
     def expect(tree, x, known):
         if len(tree) == 2:
             return tree[0]
         f, t, a, b = tree
         if f in known:
-            return expect(a if x[f] <= t else b, x, known)
+            return expect(a if goes_left(x[f], t) else b, x, known)
         cover = lambda n: n[1] if len(n) == 2 else cover(n[2]) + cover(n[3])
         return (expect(a, x, known) * cover(a) + expect(b, x, known) * cover(b)) / (cover(a) + cover(b))
 
     want = np.zeros((40, 3))
     for i, x in enumerate(X):
-        value = {s: sum(expect(t, x, s) for t in trees) / 2 for r in range(4) for s in map(frozenset, itertools.combinations(range(3), r))}
+        value = {s: sum(expect(t, x, s) for t in trees) / len(trees) for r in range(4) for s in map(frozenset, itertools.combinations(range(3), r))}
         for j in range(3):
             for s, v in value.items():
                 if j not in s:
                     w = math.factorial(len(s)) * math.factorial(2 - len(s)) / 6
                     want[i, j] += w * (value[s | {j}] - v)
-    for leaves, rows in ((4096, 512), (2, 7)):
-        assert np.allclose(forest.shapley(forest.leaf_table(ff), X, leaves, rows), want)
+    for cells in (forest.TABLE_CELLS, 40, 1):
+        game = forest.Game(ff, cells)
+        assert np.allclose(game.shapley(X), want) and (game.blocks > 1) == (cells < 1000)
+    assert np.allclose(forest.tree_values(ff, X).mean(1), game.base + want.sum(1))
+
+
+def test_forests_split_categories_by_sets(spark, small_cases):
+    """A target that no order of the codes explains: one set split does."""
+    rows = [(i, 40, "F", c, "P", 10.0, 9 if c in ("a", "c", "e") else 2) for i in range(120) for c in ["abcde"[i % 5]]]
+    cases = spark.createDataFrame(rows, "Patient_ID long, Age int, Gender string, Condition string, Procedure string, Cost double, Length_of_Stay int")
+    b = models.train_los_model(cases, num_trees=5, max_depth=1)
+    ff = b.flat(spark)
+    assert (ff.set_row >= 0).any() and set(ff.feature[ff.set_row >= 0].tolist()) == {2}
+    scored = b.scored(models._cast_features(cases, b.features)).select("Length_of_Stay", "_prediction").toPandas()
+    assert np.allclose(scored.Length_of_Stay, scored._prediction)
+    ordered = models.train_los_model(cases, num_trees=5, max_depth=1, nominal=False)
+    assert (ordered.flat(spark).set_row < 0).all()
+    # Labels beyond the bins stay ordered instead of failing the fit.
+    assert (models.train_los_model(cases, num_trees=2, max_depth=1, max_bins=4).flat(spark).set_row < 0).all()
 
 
 def test_requests_keep_their_own_columns(spark, risk, tiny_cases):
@@ -231,3 +262,41 @@ def test_stay_forest_is_fitted_on_every_training_row(spark):
     ff = bounded.flat(spark)
     assert bounded.meta["fitted_on_n"] < 6_000 and abs(ff.cover[ff.roots[0]] / bounded.meta["fitted_on_n"] - 1) < 0.1
     assert models.fill_training_meta(bounded, cases).meta["trained_on_n"] == n
+
+
+def test_hashed_ngrams_are_words_and_grams(spark):
+    df = spark.createDataFrame([(1, "Ab ab"), (2, None), (3, ""), (4, "xy")], "id int, text string")
+    from pyspark.ml.functions import vector_to_array
+    got = {r["id"]: sum(r["v"]) for r in intent.hashed_ngrams(df, num_features=64).select("id", vector_to_array("features").alias("v")).collect()}
+    assert got == {1: 2 + 3, 2: 0, 3: 0, 4: 1}
+
+
+def test_text_model_on_held_out_documents(spark, tmp_path):
+    """JSON lines in, a model of hashed n-grams, the languages of texts it has not seen; the
+    saved model answers as the one in memory."""
+    from casebook.sources.records import read_intents, write_intents
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = str(tmp_path / "corpus")
+    write_intents(docs.select("text", F.col("lang").alias("intent")), path)
+    corpus = read_intents(spark, path)
+    assert corpus.count() == docs.count()
+    held = F.pmod(F.xxhash64("text"), F.lit(3)) == 0
+    m = intent.train_text_intents(corpus.where(~held), num_features=1 << 12, max_iter=25)
+    out = intent.classify_texts(m, corpus)
+    assert out.where(held).agg(F.avg((F.col("intent") == F.col("predicted_intent")).cast("double"))).first()[0] > 0.9
+    m.save(str(tmp_path / "model"), spark)
+    again = intent.classify_texts(intent.TextIntents.load(str(tmp_path / "model"), spark), corpus)
+    assert out.exceptAll(again).count() == 0 and again.count() == docs.count()
+    with pytest.raises(ValueError, match="no labelled text"):
+        intent.train_text_intents(corpus.where("intent IS NULL"))
+
+
+def test_a_saved_forest_scores_as_before(spark, risk, los, small_cases, tmp_path):
+    for b in (risk, los):
+        path = str(tmp_path / b.kind)
+        models.save_bundle(b, path, spark)
+        loaded = models.load_bundle(path, spark)
+        rows = models._cast_features(small_cases.na.drop(subset=b.features), b.features)
+        once, twice = (x.scored(rows).select("Patient_ID", "_prediction") for x in (b, loaded))
+        assert once.exceptAll(twice).count() == 0 and once.count() > 0
+        assert loaded.features == b.features and loaded.meta["num_trees"] == b.meta["num_trees"]
