@@ -35,6 +35,7 @@ from casebook.session import ship_package
 BLOCK = 4
 CHUNK = 1024
 PIECE = 512
+SALTS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 NODE = ["depth", "k1", "k2"]
 OUT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -126,8 +127,11 @@ def trie_nodes(blocks: DataFrame, convs: DataFrame, block: int) -> DataFrame:
     place = ["number", "p1", "p2"]
     distinct = stored(blocks.groupBy(*place, "size", *slots)
                       .agg(F.count(F.lit(1)).alias("members"), F.min("conv").alias("conv")), "trie-distinct")
-    forks = distinct.groupBy(*place).agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").drop("blocks").withColumn("fork", F.lit(True))
-    distinct = stored(distinct.join(forks, place, "left"), "trie-marked")
+    forks = distinct.groupBy(*place).agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select(
+        *place, F.lit(True).alias("fork"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # The root has as many distinct blocks as conversations begin differently: its rows are dealt over ``SALTS`` keys.
+    distinct = distinct.withColumn("salt", F.pmod(F.xxhash64("size", *slots), F.lit(SALTS)).cast("int"))
+    distinct = stored(distinct.join(forks, [*place, "salt"], "left").drop("salt"), "trie-marked")
 
     steps, p1, p2 = [], F.col("p1"), F.col("p2")
     for s in range(block):
