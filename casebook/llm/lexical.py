@@ -35,7 +35,7 @@ IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 
 ITEMS_AT_ONCE = 256
 DOCS_AT_ONCE = 1024
-SUMS_AT_ONCE = 8_000_000
+SUMS_AT_ONCE = 2_000_000
 B = 75
 
 
