@@ -10,9 +10,14 @@ The projected space is cut by a kd-tree, fitted on a bounded sample of rows; eve
 row is indexed, in the cell it falls in, and a cell's rows are dealt over blocks of
 bounded size, each with a kd-tree of its own.  A query first searches its home cell,
 then every cell that the bound found there cannot exclude.  In a block the projected
-neighbours are taken leaf by leaf, nearest leaf first, and verified on the original
-vectors, until the test holds: the next projected distance r and the distance d of
-the k-th neighbour so far satisfy P(chi2_m <= r^2 / d^2) >= ``confidence``.
+neighbours come in the order of their projected distance: leaves are opened nearest
+first, and a point is taken once no unopened leaf can hold a nearer one.  Each is
+verified on the original vectors, until the test holds: the next projected distance r
+and the distance d of the k-th neighbour so far satisfy P(chi2_m <= r^2 / d^2) >=
+``confidence``.
+
+On vectors without structure the leaves exclude nothing and the test alone saves work;
+on clustered ones leaves, blocks and cells are left out too.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from pyspark.sql import functions as F
 from casebook.llm.scratch import stored
 from casebook.session import ship_package
 
-LEAF = 256
-QUERIES_AT_ONCE = 1024
+LEAF = 32
+QUERIES_AT_ONCE = 256
+FIRST = 128  # projected neighbours verified before the first test
 SPARE = 4  # candidates kept beyond k, re-scored in a fixed order of summation
 
 
@@ -52,7 +58,7 @@ def chi2_quantile(p: float, m: int) -> float:
 
 @dataclass
 class Space:
-    """What every task needs; of fixed size but for the cells (at most ``max_cells``)."""
+    """What every task needs; of fixed size but for the cells (at most a quarter of the sample)."""
     dim: int
     norm: float           # largest norm M
     matrix: np.ndarray    # (dim + 1) x m
@@ -128,6 +134,13 @@ def box_distance(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
+def open_cells(space: Space, q: np.ndarray, bound: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(queries, cells): the cells that a query's k-th score so far cannot exclude."""
+    norms = np.sqrt((q * q).sum(1))
+    reach = space.squared_distance(bound, norms) * space.quantile
+    return box_distance(space.query_points(q), lo, hi) <= reach[:, None]
+
+
 class Block:
     """The rows of one block: equal vectors once, with their ids in order."""
 
@@ -137,57 +150,89 @@ class Block:
         ids, vectors = ids[order], vectors[order]
         _, first, which = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
         which = which.ravel()
-        self.vectors = vectors[first]
+        vectors = vectors[first]
+        points = space.lifted(vectors)
+        leaves = kd_leaves(points, LEAF)
+        # Leaf by leaf, so that an opened leaf is a slice.
+        place = np.concatenate(leaves)
+        self.ends = np.cumsum([0, *map(len, leaves)])
+        self.vectors = vectors[place]
+        self.points, self.rough = points[place].astype(np.float32), self.vectors.astype(np.float32)
         by = np.argsort(which, kind="stable")
         self.ids = ids[by]
-        self.bounds = np.searchsorted(which[by], np.arange(len(first) + 1))
-        points = space.lifted(self.vectors)
-        self.leaves = kd_leaves(points, LEAF)
-        self.lo = np.array([points[r].min(0) for r in self.leaves])
-        self.hi = np.array([points[r].max(0) for r in self.leaves])
+        bounds = np.searchsorted(which[by], np.arange(len(first) + 1))
+        self.bounds = np.stack([bounds[place], bounds[place + 1]])
+        self.lo = np.array([points[r].min(0) for r in leaves])
+        self.hi = np.array([points[r].max(0) for r in leaves])
+        self.verified = self.offered = 0
 
     def search(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray) -> list[tuple[int, int, float]]:
         """(query, vec_id, score) of the nearest found; ``bound``: for each query the
         k-th score known from elsewhere (-inf if none)."""
-        s, keep = self.space, min(self.space.k + 1 + SPARE, len(self.vectors))
-        norm = np.sqrt((q * q).sum(1))
-        away = box_distance(s.query_points(q), self.lo, self.hi)
-        order = np.argsort(away, axis=1)
-        best = np.full((len(q), keep), -np.inf)
-        rows = np.full((len(q), keep), -1)
-        active = np.arange(len(q))
-        for step in range(len(self.leaves)):
-            leaf = order[active, step]
-            kth = best[active, s.k] if keep > s.k else np.full(len(active), -np.inf)
-            reach = s.squared_distance(np.maximum(kth, bound[active]), norm[active]) * s.quantile
-            go = away[active, leaf] <= reach
-            active, leaf = active[go], leaf[go]
-            if not active.size:
-                break
-            by = np.argsort(leaf, kind="stable")
-            active, leaf = active[by], leaf[by]
-            starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-            for a, z in zip(starts, np.append(starts[1:], len(leaf))):
-                who, members = active[a:z], self.leaves[leaf[a]]
-                scores = np.concatenate([best[who], q[who] @ self.vectors[members].T], 1)
-                at = np.concatenate([rows[who], np.broadcast_to(members, (len(who), len(members)))], 1)
-                top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, 1), axis=1, kind="stable"), 1)
-                best[who], rows[who] = np.take_along_axis(scores, top, 1), np.take_along_axis(at, top, 1)
+        at = self.space.query_points(q)
+        away = box_distance(at, self.lo, self.hi)
         out = []
         for i in range(len(q)):
-            found = rows[i][rows[i] >= 0]
+            found = self.near(q[i], at[i].astype(np.float32), away[i], bound[i])
+            # Scores in a fixed order of summation, whatever the block.
             exact = (self.vectors[found] * q[i]).sum(1)
-            ids = [self.ids[self.bounds[r]:self.bounds[r + 1]] for r in found]
-            mine = []
-            for score, members in zip(exact.tolist(), ids):
-                for v in members[:s.k + 1].tolist():
-                    if v != qid[i]:
-                        mine.append((-score, v))
+            mine = [(-score, v) for score, r in zip(exact.tolist(), found.tolist())
+                    for v in self.ids[self.bounds[0, r]:self.bounds[1, r]][:self.space.k + 1].tolist() if v != qid[i]]
             mine.sort()
-            out += [(int(qid[i]), v, -score) for score, v in mine[:s.k]]
+            out += [(int(qid[i]), v, -score) for score, v in mine[:self.space.k]]
         return out
 
+    def near(self, q: np.ndarray, at: np.ndarray, away: np.ndarray, bound: float) -> np.ndarray:
+        """Rows of the candidates kept for one query."""
+        s, n = self.space, len(self.vectors)
+        keep = min(s.k + 1 + SPARE, n)
+        norm, q32 = math.sqrt(float((q * q).sum())), q.astype(np.float32)
+        self.offered += n
+        score, row = np.zeros(0, np.float32), np.zeros(0, np.int64)
+
+        def reach() -> float:
+            kth = float(np.partition(score, -(s.k + 1))[-(s.k + 1)]) if len(score) > s.k else -math.inf
+            kth = max(kth, bound)
+            return s.squared_distance(np.float64(kth), norm) * s.quantile if kth > -math.inf else math.inf
+
+        limit, opened, step, order = reach(), 0, 8, np.argsort(away, kind="stable")
+        dist, rows = np.zeros(0, np.float32), np.zeros(0, np.int64)
+        while opened < len(order) or len(rows):
+            more = order[opened:opened + step]
+            more = more[away[more] <= limit]
+            opened, step = opened + step, 4 * step
+            if len(more):
+                new = np.concatenate([np.arange(self.ends[x], self.ends[x + 1]) for x in more]) if len(more) < len(order) else np.arange(n)
+                gap = self.points[new] - at
+                dist, rows = np.concatenate([dist, np.einsum("ij,ij->i", gap, gap)]), np.concatenate([rows, new])
+            edge = away[order[opened]] if opened < len(order) else math.inf
+            ready = dist <= min(edge, limit)
+            if ready.any():
+                turn, wait = np.flatnonzero(ready), ~ready & (dist <= limit)
+                d, r = dist[turn], rows[turn]
+                dist, rows = dist[wait], rows[wait]
+                while len(d):
+                    size = FIRST if not len(score) else max(FIRST, len(d) // 8)
+                    if len(d) > size:
+                        part = np.argpartition(d, size)
+                        head, tail = part[:size], part[size:]
+                    else:
+                        head, tail = np.arange(len(d)), np.zeros(0, np.int64)
+                    self.verified += len(head)
+                    score = np.concatenate([score, self.rough[r[head]] @ q32])
+                    row = np.concatenate([row, r[head]])
+                    if len(score) > keep:
+                        best = np.argpartition(score, -keep)[-keep:]
+                        score, row = score[best], row[best]
+                    limit = reach()
+                    tail = tail[d[tail] <= limit]
+                    d, r = d[tail], r[tail]
+            some = dist <= limit
+            dist, rows = dist[some], rows[some]
+            if edge > limit:  # no unopened leaf can pass the test, and every opened point was ready
+                break
+        return row
+
 
 def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column as doubles."""
@@ -202,8 +247,8 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
         F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", projected: int = 8,
-            confidence: float = 0.97, cell_rows: int = 65_536, max_cells: int = 4096, block_rows: int = 16_384,
+def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", projected: int = 24,
+            confidence: float = 0.92, cell_rows: int = 65_536, block_rows: int = 16_384,
             sample_rows: int = 50_000, seed: int = 11) -> DataFrame:
     """For each row of ``rows`` for which ``is_query`` (a Column over ``vec_id``) holds:
     query_id, rank (from 1), vec_id, score of the ``k`` largest inner products found
@@ -215,7 +260,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     score count once.
     With fewer candidates than ``k`` all are returned; empty table: no rows.  Columns
     beside the two named are not read.  The kd-tree of the cells is fitted on at most
-    ``sample_rows`` rows (those with the smallest id hash); all rows are indexed.
+    ``sample_rows`` rows (those with the smallest id hash); all rows are indexed.  There is
+    a cell per ``cell_rows`` rows, as long as the sample has some rows for each: at most
+    ``sample_rows`` / 4, beyond which cells take more rows, in more blocks.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -230,7 +277,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     n = lengths[0]["n"]
     matrix = np.random.default_rng(seed).normal(size=(dim + 1, projected))
     space = Space(dim, float(norm), matrix, chi2_quantile(confidence, projected), k, 0)
-    cells = max(1, min(max_cells, -(-n // cell_rows)))
+    cells = max(1, min(sample_rows // 4, -(-n // cell_rows)))
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
     points = space.lifted(matrix_of(sample["v"].combine_chunks(), dim))
     space.splits = kd_splits(points, cells)
@@ -252,7 +299,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     lo = np.array([[r[f"lo{a}"] for a in axes] for r in boxes])
     hi = np.array([[r[f"hi{a}"] for a in axes] for r in boxes])
     blocks = np.array([-(-r["n"] // block_rows) for r in boxes])
-    # Blocks of a cell: a row's own by id hash; the counts are at most max_cells rows.
+    # Blocks of a cell: a row's own by id hash; the counts are one row per cell.
     sizes = F.broadcast(spark.createDataFrame([(int(c), int(b)) for c, b in zip(numbers, blocks)], "cell int, blocks long"))
     data = placed.select("vec_id", "v", "cell").join(sizes, "cell").select(
         "cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "v",
@@ -303,10 +350,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
             if not b.num_rows:
                 continue
             q, bound, own = matrix_of(b.column("v"), dim), b.column("bound").to_numpy(), b.column("cell").to_numpy()
-            norms = np.sqrt((q * q).sum(1))
-            reach = space.squared_distance(bound, norms) * space.quantile
-            open_cells = (box_distance(space.query_points(q), lo, hi) <= reach[:, None]) & (numbers[None, :] != own[:, None])
-            who, which = np.nonzero(open_cells)
+            who, which = np.nonzero(open_cells(space, q, bound, lo, hi) & (numbers[None, :] != own[:, None]))
             times = blocks[which]
             who, which = np.repeat(who, times), np.repeat(which, times)
             block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
