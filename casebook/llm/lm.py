@@ -1,16 +1,22 @@
 """Log-bilinear language model (operator 4), trained with noise-contrastive estimation.
 
-The model predicts a *symbol*: one of the ``shortlist`` most frequent words, the
-end of the text, or a class of the remaining words (their last two bytes; the
-commonest endings have a class each, the others share one).  A rarer word's
-probability is its class's times its smoothed share of the class,
-(c + 1) / (N_class + V_class + 1), where every class keeps one share for all words
-never seen.  So the probabilities of a token sum to one over an open vocabulary.
-
-The context is the last ``order`` symbols: h = sum_j C_j * R[w_-j], score = Q h + b.
-Word counts cover all training documents; every training token is used once for
-the noise-contrastive updates, task by task, and the tasks' parameters (a fixed
-size) are averaged by tokens.
+The model predicts a *symbol*: one of the most frequent words (as many as cover the
+share ``coverage`` of the training tokens, up to ``shortlist``), the end of the text, or
+a class of the remaining words (their last two bytes; the commonest endings have a class
+each, the others share one).  A rarer word's probability is its class's times its
+smoothed share of the class, (c + 1) / (N_class + V_class + 1), where every class keeps
+one share for all words never seen.  Symbols are predicted in two steps: first the
+*top*, which is a rare word's class or the group of a listed word (groups hold equal
+shares of the tokens, by falling frequency), then the word in its group.  Both steps are
+softmaxes of bounded width, so the probabilities of a token sum to one over an open
+vocabulary and cost little.
+
+The context is the last ``order`` symbols: h = sum_j C_j * R[w_-j], score = Q h + b for
+symbols and T h + t for tops; both output layers learn by noise contrast.  Word counts
+cover all training documents.  In a round every task passes once over all its training
+tokens; the tasks' parameters and AdaGrad sums (of a fixed size) are averaged by tokens,
+the rate falls from round to round, and the round that is best on a fold of the training
+rows is kept (that fold's rows are counted, but give no updates).
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ class Vocabulary:
     class_of: np.ndarray    # class number of each of the 65,536 endings
     class_tokens: np.ndarray
     class_types: np.ndarray
+    group_of: np.ndarray    # group of each listed word
     tokens: int             # N
     types: int              # V
 
@@ -47,6 +54,14 @@ class Vocabulary:
     def symbols(self) -> int:
         return len(self.words) + len(self.class_tokens)
 
+    @property
+    def top_of(self) -> np.ndarray:
+        """The top of every symbol: a listed word's group, or a class of its own."""
+        return np.concatenate([self.group_of, self.group_of.max() + 1 + np.arange(len(self.class_tokens))])
+
+    def top_noise(self) -> np.ndarray:
+        return np.bincount(self.top_of, weights=self.noise())
+
     def noise(self) -> np.ndarray:
         q = np.concatenate([self.counts, self.class_tokens]).astype(np.float64) + 1.0
         return q / q.sum()
@@ -77,87 +92,108 @@ def contexts(symbols: np.ndarray, starts: np.ndarray, order: int, pad: int) -> l
 
 
 class Model:
-    def __init__(self, r, c, q, b):
-        self.r, self.c, self.q, self.b = r, c, q, b
+    """r, c: context; q, b: symbols; t, u: tops."""
+
+    def __init__(self, r, c, q, b, t, u):
+        self.r, self.c, self.q, self.b, self.t, self.u = r, c, q, b, t, u
 
     @classmethod
-    def initial(cls, noise: np.ndarray, dim: int, order: int, seed: int = 7) -> Model:
+    def initial(cls, vocabulary: Vocabulary, dim: int, order: int, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
+        noise, tops = vocabulary.noise(), vocabulary.top_noise()
         m = len(noise)
         return cls(rng.normal(0, 0.3, (m + 1, dim)).astype(np.float32), np.ones((order, dim), np.float32) / order,
-                   rng.normal(0, 0.1, (m, dim)).astype(np.float32), np.log(noise).astype(np.float32))
+                   rng.normal(0, 0.1, (m, dim)).astype(np.float32), np.log(noise).astype(np.float32),
+                   rng.normal(0, 0.1, (len(tops), dim)).astype(np.float32), np.log(tops).astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.q, self.b]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in self.arrays()]).astype(np.float64)
-
-    def filled(self, flat: np.ndarray) -> Model:
-        out, at = [], 0
-        for a in self.arrays():
-            out.append(flat[at:at + a.size].reshape(a.shape).astype(np.float32))
-            at += a.size
-        return Model(*out)
+        return [self.r, self.c, self.q, self.b, self.t, self.u]
 
     def hidden(self, ctx: list[np.ndarray]) -> np.ndarray:
         return sum((self.r * self.c[j])[x] for j, x in enumerate(ctx))
 
-    def log_prob(self, symbols: np.ndarray, ctx: list[np.ndarray], chunk: int = 1 << 15) -> np.ndarray:
+    def log_prob(self, symbols: np.ndarray, ctx: list[np.ndarray], top_of: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
         """Normalised natural log probability of each symbol in its context."""
+        members = np.split(np.argsort(top_of, kind="stable"), np.cumsum(np.bincount(top_of))[:-1])
+        place = np.empty(len(top_of), np.int64)
+        for group in members:
+            place[group] = np.arange(len(group))
         out = np.empty(len(symbols))
         for i in range(0, len(symbols), chunk):
-            s = self.hidden([x[i:i + chunk] for x in ctx]) @ self.q.T + self.b
-            s -= s.max(axis=1, keepdims=True)
-            picked = s[np.arange(len(s)), symbols[i:i + chunk]].astype(np.float64)
-            out[i:i + chunk] = picked - np.log(np.exp(s).sum(axis=1, dtype=np.float64))
+            h, w = self.hidden([x[i:i + chunk] for x in ctx]), symbols[i:i + chunk]
+            top = top_of[w]
+            out[i:i + chunk] = picked_log_softmax(h @ self.t.T + self.u, top)
+            by = np.argsort(top, kind="stable")
+            for rows in np.split(by, np.flatnonzero(np.diff(top[by])) + 1):
+                group = members[top[rows[0]]] if len(rows) else ()
+                if len(group) > 1:
+                    out[i + rows] += picked_log_softmax(h[rows] @ self.q[group].T + self.b[group], place[w[rows]])
         return out
 
 
+def picked_log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    scores = scores - scores.max(axis=1, keepdims=True)
+    return scores[np.arange(len(scores)), at].astype(np.float64) - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
+
+
+def flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([a.ravel() for a in arrays]).astype(np.float64)
+
+
+def shaped(values: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([a.size for a in like])[:-1]
+    return [x.reshape(a.shape).astype(np.float32) for x, a in zip(np.split(values, cuts), like)]
+
+
 class Trainer:
     """Noise-contrastive AdaGrad over mini-batches; the noise of a batch is shared."""
 
-    def __init__(self, model: Model, noise: np.ndarray, seed: int, rate: float = 0.1, batch: int = 8192, samples: int = 32):
-        self.m = Model(*(a.copy() for a in model.arrays()))
-        self.rate, self.batch, self.samples = rate, batch, samples
-        self.noise_cdf = np.cumsum(noise)
-        self.log_noise = (np.log(noise) + np.log(samples)).astype(np.float32)
+    def __init__(self, arrays: list[np.ndarray], sums: list[np.ndarray], vocabulary: Vocabulary, seed: int, rate: float,
+                 batch: int = 4096, samples: int = 64):
+        self.m, self.sums = Model(*(a.copy() for a in arrays)), [s.copy() for s in sums]
+        self.rate, self.batch, self.samples, self.top_of = rate, batch, samples, vocabulary.top_of
         self.rng = np.random.default_rng(seed)
-        self.seen = [np.full(a.shape, 1e-6, np.float32) for a in self.m.arrays()]
+        self.noise = [(np.cumsum(q), (np.log(q) + np.log(samples)).astype(np.float32)) for q in (vocabulary.noise(), vocabulary.top_noise())]
 
     def _step(self, grads: list[np.ndarray]) -> None:
-        for a, g, s in zip(self.m.arrays(), grads, self.seen):
+        for a, g, s in zip(self.m.arrays(), grads, self.sums):
             s += g * g
             a += self.rate * g / np.sqrt(s)
 
     def _scatter(self, index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
         dim = rows.shape[1]
-        flat = (index[:, None] * dim + np.arange(dim)).ravel()
-        return np.bincount(flat, weights=rows.ravel(), minlength=size * dim).reshape(size, dim).astype(np.float32)
+        at = (index[:, None] * dim + np.arange(dim)).ravel()
+        return np.bincount(at, weights=rows.ravel(), minlength=size * dim).reshape(size, dim).astype(np.float32)
 
     def learn(self, symbols: np.ndarray, ctx: list[np.ndarray]) -> None:
         for i in range(0, len(symbols), self.batch):
             self._batch(symbols[i:i + self.batch], [x[i:i + self.batch] for x in ctx])
 
-    def _batch(self, w: np.ndarray, ctx: list[np.ndarray]) -> None:
-        m, n = self.m, np.float32(len(w))
-        size = len(m.b)
-        fake = np.minimum(np.searchsorted(self.noise_cdf, self.rng.random(self.samples)), size - 1)
-        h = m.hidden(ctx)
-        true_score = np.einsum("ij,ij->i", h, m.q[w]) + m.b[w] - self.log_noise[w]
-        fake_score = h @ m.q[fake].T + m.b[fake] - self.log_noise[fake]
-        up = 1 / (1 + np.exp(np.clip(true_score, -30, 30)))          # 1 - P(data)
-        down = -1 / (1 + np.exp(-np.clip(fake_score, -30, 30)))
-        up, down = up.astype(np.float32) / n, down.astype(np.float32) / n
-        dh = up[:, None] * m.q[w] + down @ m.q[fake]
+    def _contrast(self, h: np.ndarray, w: np.ndarray, q: np.ndarray, b: np.ndarray, noise) -> tuple:
+        """(gradients of h, q and b) of one output layer."""
+        cdf, log_noise = noise
+        n, size = np.float32(len(w)), len(b)
+        fake = np.minimum(np.searchsorted(cdf, self.rng.random(self.samples)), size - 1)
+        true_score = np.einsum("ij,ij->i", h, q[w]) + b[w] - log_noise[w]
+        fake_score = h @ q[fake].T + b[fake] - log_noise[fake]
+        up = (1 / (1 + np.exp(np.clip(true_score, -30, 30)))).astype(np.float32) / n    # 1 - P(data)
+        down = (-1 / (1 + np.exp(-np.clip(fake_score, -30, 30)))).astype(np.float32) / n
         dq = self._scatter(w, up[:, None] * h, size)
         np.add.at(dq, fake, down.T @ h)
         db = (np.bincount(w, weights=up, minlength=size) + np.bincount(fake, weights=down.sum(0), minlength=size)).astype(np.float32)
+        return up[:, None] * q[w] + down @ q[fake], dq, db
+
+    def _batch(self, w: np.ndarray, ctx: list[np.ndarray]) -> None:
+        m = self.m
+        h = m.hidden(ctx)
+        dh, dq, db = self._contrast(h, w, m.q, m.b, self.noise[0])
+        more, dt, du = self._contrast(h, self.top_of[w], m.t, m.u, self.noise[1])
+        dh = dh + more
         dc = np.stack([np.einsum("ij,ij->j", dh, m.r[x]) for x in ctx])
         dr = np.zeros_like(m.r)
         for j, x in enumerate(ctx):
-            dr += self._scatter(x, dh, size + 1) * m.c[j]
-        self._step([dr, dc, dq, db])
+            dr += self._scatter(x, dh, len(m.r)) * m.c[j]
+        self._step([dr, dc, dq, db, dt, du])
 
 
 def read_batch(texts: pa.Array, vocabulary: Vocabulary):
@@ -188,59 +224,94 @@ def count_words(docs: DataFrame) -> DataFrame:
             .groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("c").alias("c")))
 
 
-def fit_vocabulary(counts: DataFrame, shortlist: int, classes: int) -> Vocabulary:
-    top = counts.where(F.col("hash") != F.lit(int(END_HASH.view(np.int64)))).orderBy(F.desc("c"), "hash").limit(shortlist).collect()
+def fit_vocabulary(counts: DataFrame, coverage: float, shortlist: int, classes: int, groups: int) -> Vocabulary:
     per_ending = counts.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     tokens, types = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     for r in per_ending:
         tokens[r["ending"]], types[r["ending"]] = r["n"], r["v"]
     total, distinct, ends = int(tokens.sum()), int(types.sum()), int(tokens[END_ENDING])
     tokens[END_ENDING] = types[END_ENDING] = 0
+    # At most ``shortlist`` rows, the most frequent words; as many of them as the coverage asks for.
+    top = counts.where(F.col("hash") != F.lit(int(END_HASH.view(np.int64)))).orderBy(F.desc("c"), "hash").limit(shortlist).collect()
+    covered = np.cumsum([r["c"] for r in top])
+    top = top[:int(np.searchsorted(covered, coverage * total)) + 1]
     for r in top:
         tokens[r["ending"]] -= r["c"]
         types[r["ending"]] -= 1
     words = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
     words = np.append(words, END_HASH)
     c = np.array([r["c"] for r in top] + [ends], np.int64)
+    falling = np.lexsort((words, -c))
+    share = np.cumsum(c[falling]) - c[falling]
+    group_of = np.empty(len(c), np.int64)
+    group_of[falling] = np.unique(share * groups // max(int(c.sum()), 1), return_inverse=True)[1]
     order = np.argsort(words)
+    used = int((tokens > 0).sum())
+    classes = max(1, min(classes, used))
     class_of = np.full(1 << 16, classes - 1, np.int64)
     common = np.lexsort((np.arange(1 << 16), -tokens))[:classes - 1]
     class_of[common] = np.arange(len(common))
     return Vocabulary(words[order], c[order], class_of,
                       np.bincount(class_of, weights=tokens, minlength=classes).astype(np.int64),
-                      np.bincount(class_of, weights=types, minlength=classes).astype(np.int64), total, distinct)
+                      np.bincount(class_of, weights=types, minlength=classes).astype(np.int64), group_of[order], total, distinct)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, dim: int, order: int, rounds: int) -> Model:
+def train(docs: DataFrame, vocabulary: Vocabulary, dim: int, order: int, rounds: int, rate: float = 0.1) -> Model:
     """Parameter averaging: in each round every task starts from the shared model,
-    passes once over all its training tokens and returns its parameters."""
+    passes once over its training tokens and returns its parameters.  The model kept is
+    the best of the rounds on the rows of the fold."""
     spark = docs.sparkSession
-    noise = vocabulary.noise()
-    model = Model.initial(noise, dim, order)
     known = spark.sparkContext.broadcast(vocabulary)
+    model = Model.initial(vocabulary, dim, order)
+    sums = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()]
+    fold = F.pmod(F.xxhash64("text"), F.lit(50)) == 0
+    texts = docs.where("NOT held_out").select("text")
+    best, best_score = model, -np.inf
     for turn in range(rounds):
-        start = spark.sparkContext.broadcast(model.arrays())
+        start = spark.sparkContext.broadcast((model.arrays(), sums))
 
         def learn(batches, turn=turn, start=start):
-            trainer = Trainer(Model(*start.value), noise, seed=1000 * turn + TaskContext.get().partitionId())
+            trainer = Trainer(*start.value, known.value, seed=1000 * turn + TaskContext.get().partitionId(), rate=rate / (1 + turn))
             seen = 0
             for b in slices(batches, "text", SLICE_BYTES):
                 _, _, symbols, _, starts = read_batch(b.column("text"), known.value)
                 trainer.learn(symbols, contexts(symbols, starts, order, known.value.symbols))
                 seen += len(symbols)
             if seen:
-                flat = trainer.m.flat() * seen
+                x = flat(trainer.m.arrays() + trainer.sums) * seen
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(flat.size), pa.int32()), pa.array(flat), pa.array(np.full(flat.size, seen), pa.int64())],
+                    [pa.array(np.arange(x.size), pa.int32()), pa.array(x), pa.array(np.full(x.size, seen), pa.int64())],
                     names=["i", "x", "n"])
 
-        rows = (docs.where("NOT held_out").select("text").mapInArrow(learn, "i int, x double, n long")
+        rows = (texts.where(~fold).mapInArrow(learn, "i int, x double, n long")
                 .groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow())
-        if rows.num_rows:
-            flat = np.empty(rows.num_rows)
-            flat[rows["i"].to_numpy()] = rows["x"].to_numpy()
-            model = model.filled(flat)
-    return model
+        if not rows.num_rows:
+            break
+        x = np.empty(rows.num_rows)
+        x[rows["i"].to_numpy()] = rows["x"].to_numpy()
+        arrays = shaped(x, model.arrays() + sums)
+        model, sums = Model(*arrays[:len(arrays) // 2]), arrays[len(arrays) // 2:]
+        if rounds == 1:
+            return model
+        found = fold_score(texts.where(fold), known, model)
+        if found is None or found > best_score:
+            best, best_score = model, found if found is not None else best_score
+    return best
+
+
+def fold_score(texts: DataFrame, known, model: Model) -> float | None:
+    """The model's log probability of the symbols of ``texts``; None without any."""
+    shared = texts.sparkSession.sparkContext.broadcast(model.arrays())
+    order = len(model.c)
+
+    def run(batches):
+        m, v, total = Model(*shared.value), known.value, 0.0
+        for b in slices(batches, "text", SLICE_BYTES):
+            _, _, symbols, _, starts = read_batch(b.column("text"), v)
+            total += float(m.log_prob(symbols, contexts(symbols, starts, order, v.symbols), v.top_of).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["x"])
+
+    return texts.mapInArrow(run, "x double").agg(F.sum("x")).first()[0]
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model, key: str) -> DataFrame:
@@ -259,13 +330,14 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
     def local(batches):
         v, arrays = shared.value
         m = Model(*arrays)
+        top_of = v.top_of
         class_share = np.log10(v.class_tokens + v.class_types + 1.0)
         listed_log = np.log10(v.counts + 1.0)
         row = TaskContext.get().partitionId() << 33
         for b in slices(batches, "text", SLICE_BYTES):
             w, hashes, symbols, listed, starts = read_batch(b.column("text"), v)
             text = np.repeat(np.arange(len(w.counts)), w.counts + 1)
-            lm = m.log_prob(symbols, contexts(symbols, starts, order, v.symbols)) / np.log(10)
+            lm = m.log_prob(symbols, contexts(symbols, starts, order, v.symbols), top_of) / np.log(10)
             lm[~listed] -= class_share[symbols[~listed] - len(v.words)]
             base = np.zeros(len(symbols))
             base[listed] = listed_log[symbols[listed]]
@@ -317,7 +389,8 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
 
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2,
-              shortlist: int = 63, classes: int = 32, dim: int = 10, order: int = 3, rounds: int = 1) -> DataFrame:
+              coverage: float = 0.5, shortlist: int = 2047, classes: int = 128, groups: int = 32, dim: int = 10, order: int = 3,
+              rounds: int = 2) -> DataFrame:
     """Score every whole text with a model trained on the rows whose
     crc32(key as text) mod ``folds`` is not ``held``.
 
@@ -335,7 +408,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     docs = docs.select(own.alias(key), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
                        held_out.alias("held_out"))
     counts = stored(count_words(docs), "lm-counts")
-    vocabulary = fit_vocabulary(counts, shortlist, classes)
+    vocabulary = fit_vocabulary(counts, coverage, shortlist, classes, groups)
     model = train(docs, vocabulary, dim, order, rounds)
     return (score(docs, counts, vocabulary, model, key)
             .withColumn("train_tokens", F.lit(vocabulary.tokens).cast("long")))
