@@ -107,6 +107,10 @@ def attribution_report(bundle, requests: DataFrame, keys, top: int = 5) -> DataF
                     F.bround("base_value", 4).alias("base_value")))
 
 
+# The reason added to a flagged row, around the percentage.
+HIGH_RISK = ("High readmission risk (", "%)")
+
+
 def triage_with_risk(bundle, flagged: DataFrame, limit: int = 20, key: str = KEY) -> DataFrame:
     """Score every flagged row once; a probability above 0.5 adds 2.0 and a
     reason; then the top ``limit`` by score (ties by key).  A row the model cannot
@@ -115,8 +119,7 @@ def triage_with_risk(bundle, flagged: DataFrame, limit: int = 20, key: str = KEY
     prob = F.when(F.col("_complete"), F.bround("_p", 4))
     s = p.select(*_own(p), prob.alias("readmission_probability"))
     high = F.coalesce(F.col("readmission_probability") > 0.5, F.lit(False))
-    reason = F.concat(F.lit("High readmission risk ("),
-                      F.bround(F.col("readmission_probability") * 100, 0).cast("int").cast("string"), F.lit("%)"))
+    reason = F.concat(F.lit(HIGH_RISK[0]), F.bround(F.col("readmission_probability") * 100, 0).cast("int").cast("string"), F.lit(HIGH_RISK[1]))
     return (s.withColumn("score", F.when(high, F.col("score") + 2.0).otherwise(F.col("score")))
             .withColumn("reasons", F.when(high, F.concat("reasons", F.array(reason))).otherwise(F.col("reasons")))
             .orderBy(F.desc("score"), F.asc(key)).limit(limit))

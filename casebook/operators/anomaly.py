@@ -12,6 +12,10 @@ from casebook.schema import KEY, is_numeric
 NUMERIC_DEFAULT = ("Age", "Cost", "Length_of_Stay", "Satisfaction")
 RARE_THRESHOLD = 0.005
 
+# The reasons given, with the threshold in place.
+OUTLIER_REASON = "Outlier (Z-score > {})"
+RARE_REASON = "Very low frequency combination (< {:.2f}%)"
+
 
 def zscore_outliers(df: DataFrame, columns=NUMERIC_DEFAULT, threshold: float = 3.0,
                     key: str = KEY) -> DataFrame:
@@ -22,7 +26,7 @@ def zscore_outliers(df: DataFrame, columns=NUMERIC_DEFAULT, threshold: float = 3
     Means and deviations are one aggregate row, broadcast to every row.
     """
     cols = [c for c in columns if c in df.columns and is_numeric(df, c)]
-    reason = f"Outlier (Z-score > {threshold})"
+    reason = OUTLIER_REASON.format(threshold)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], f"`{key}` long, `column` string, value double, reason string")
@@ -56,7 +60,7 @@ def rare_combinations(df: DataFrame, columns=COMBINATION, threshold: float = RAR
     if len(cols) < 2:
         raise ValueError("Need at least two categorical columns for combinations.")
     freq = combination_frequency(df, cols).where(F.col("frequency") < threshold)
-    reason = f"Very low frequency combination (< {threshold * 100:.2f}%)"
+    reason = RARE_REASON.format(threshold * 100)
     rows = df.na.drop(subset=cols).select(key, *cols)
     return rows.join(freq.select(*cols, "frequency"), cols).select(
         key, *cols, F.bround("frequency", 4).alias("frequency"), F.lit(reason).alias("reason"))

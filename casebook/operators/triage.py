@@ -47,7 +47,7 @@ def score_rules(df: DataFrame, rules: list | None = None) -> DataFrame:
     """Adds ``score`` (sum of matched rule scores) and ``reasons`` (in rule order)."""
     rules = DEFAULT_RULES if rules is None else rules
     if not isinstance(rules, list):
-        raise ValueError("Rules must be a list of rule dictionaries.")
+        raise ValueError("give the rules as a list, one dictionary each")
     score = F.lit(0.0)
     parts = []
     for rule in rules:

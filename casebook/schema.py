@@ -49,11 +49,11 @@ def check_groupable(cols, allowed=GROUPABLE) -> list[str]:
     cols = [cols] if isinstance(cols, str) else list(cols)
     bad = [c for c in cols if c not in allowed]
     if bad:
-        raise ValueError(f"Invalid group_by column(s) {bad}. Valid options: {list(allowed)}")
+        raise ValueError(f"cannot group by {', '.join(map(str, bad))}; groups may be {', '.join(allowed)}")
     return cols
 
 
 def check_present(df: DataFrame, cols) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Column(s) {missing} not found. Available: {df.columns}")
+        raise ValueError(f"the table has no {', '.join(missing)}, only {', '.join(df.columns)}")
