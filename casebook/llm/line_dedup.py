@@ -12,9 +12,13 @@ segment make no pair.  Pairs are verified by a banded bit-parallel edit distance
 
 A line occurrence goes if an equal line, or a line within the threshold, stands
 earlier in (doc_id, line) order.  The first of each kind stays.  Lines shorter than
-``min_chars`` characters are left alone; those shorter than ``near_chars`` are compared
-for equality only, if they are not blank: two edits make one short line of many
-unrelated ones.
+``min_chars`` characters are left alone.
+
+Two edits make one short line of many unrelated ones, so the threshold may follow the
+length: with ``chars_per_edit`` two lines may differ by one edit for each so many
+characters of the shorter one, ``threshold`` at most.  Lines are then joined in a band of
+lengths for each number of edits, with that many segments and one more.  Lines too short
+for any edit are compared for equality only, if they are not blank.
 """
 
 from __future__ import annotations
@@ -172,27 +176,28 @@ def _bounded(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key: str = "doc_id",
-                  text: str = "text", near_chars: int | None = None) -> DataFrame:
-    """(_row, removed): for each row identity the numbers (from 0) of its lines that go.
-
-    ``_row`` is the hash of id and text: rows equal in both lose the same lines.
-    """
-    body = F.col(f"`{text}`").cast("string")
-    base = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("_row"),
-                       F.posexplode(F.split(body, "\n")).alias("_no", "_line"))
-    # The length is counted once, as a column: the signatures refer to it many times.
-    near_from = max(min_chars if near_chars is None else near_chars, threshold + 1)
-    counted = (F.col("_n") >= near_from) | ((F.col("_n") >= min_chars) & F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = base.withColumn("_n", F.length("_line")).where(counted).select(
-        "_id", "_row", "_no", "_line", "_n", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(7), F.col("_line")).alias("_g"))
-
-    # Every distinct line with its first place and its number of places.
-    known = stored(lines.groupBy("_h", "_g").agg(F.min(F.struct("_id", "_row", "_no")).alias("first"),
-                                                 F.count(F.lit(1)).alias("n")), "lines")
+def length_bands(threshold: int, near_from: int, chars_per_edit: int | None) -> list[tuple[int, int, int | None]]:
+    """(edits, least, most length) of the joins: two lines that may differ by ``edits``
+    meet in that band.  The shorter of them has at least ``least`` characters and, unless
+    it is the last band, too few for one edit more."""
+    if chars_per_edit is None:
+        return [(threshold, near_from, None)]
+    out = [(threshold, max(near_from, threshold * chars_per_edit, threshold + 1), None)]
+    for e in range(threshold - 1, 0, -1):
+        least = max(near_from, e * chars_per_edit, e + 1)
+        if least < (e + 1) * chars_per_edit:
+            out.append((e, least, (e + 1) * chars_per_edit - 1 + e))
+    return out
+
+
+def near_lines(lines: DataFrame, edits: int, least: int, most: int | None, below: int | None) -> DataFrame:
+    """(a, b): distinct lines of ``least`` to ``most`` characters within ``edits`` edits; with
+    ``below`` only pairs whose shorter line has fewer characters than that."""
+    long = lines.where(F.col("_n") >= least)
+    if most is not None:
+        long = long.where(F.col("_n") <= most)
+    signed = signatures(long, edits)
     # Signature keys that at least two different lines hold.
-    long = lines.where(F.col("_n") >= near_from)
-    signed = signatures(long, threshold)
     shared = stored(signed.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"), F.min("probe").alias("probes_only"))
                     .where("lo < hi AND NOT probes_only").select("key"), "line-keys")
     held = stored(signed.join(_bounded(shared), "key", "left_semi").groupBy("key", "probe", "_h").agg(F.lit(1).alias("x"))
@@ -205,13 +210,41 @@ def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key:
     probes = held.select(F.col("key").alias("k"), F.col("_h").alias("j"), F.col("m").alias("mj"))
     flips = lambda f: F.bit_count(F.col(f"mi.{f}").bitwiseXOR(F.col(f"mj.{f}")))
     meet = ((F.col("key") == F.col("k")) & (F.col("i") != F.col("j"))
-            & (flips("one") <= 2 * threshold) & (flips("two") <= 4 * threshold))
+            & (flips("one") <= 2 * edits) & (flips("two") <= 4 * edits))
     pairs = stored(index.join(probes, meet)
                    .groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.lit(1).alias("x")).drop("x"),
                    "line-pairs")
     candidates = (pairs.join(texts.select(F.col("_h").alias("a"), F.col("line").alias("x")), "a")
                   .join(texts.select(F.col("_h").alias("b"), F.col("line").alias("y")), "b"))
-    near = stored(candidates.where(lines_within(F.col("x"), F.col("y"), threshold)).select("a", "b"), "line-near")
+    if below is not None:
+        candidates = candidates.where(F.least(F.length("x"), F.length("y")) < below)
+    return stored(candidates.where(lines_within(F.col("x"), F.col("y"), edits)).select("a", "b"), "line-near")
+
+
+def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key: str = "doc_id",
+                  text: str = "text", near_chars: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
+    """(_row, removed): for each row identity the numbers (from 0) of its lines that go.
+
+    ``_row`` is the hash of id and text: rows equal in both lose the same lines.
+    """
+    body = F.col(f"`{text}`").cast("string")
+    base = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("_row"),
+                       F.posexplode(F.split(body, "\n")).alias("_no", "_line"))
+    # The length is counted once, as a column: the signatures refer to it many times.
+    near_from = max(min_chars if near_chars is None else near_chars, 2 if chars_per_edit else threshold + 1)
+    bands = length_bands(threshold, near_from, chars_per_edit)
+    equal_only = min(least for _, least, _ in bands)
+    counted = (F.col("_n") >= equal_only) | ((F.col("_n") >= min_chars) & F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = base.withColumn("_n", F.length("_line")).where(counted).select(
+        "_id", "_row", "_no", "_line", "_n", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(7), F.col("_line")).alias("_g"))
+
+    # Every distinct line with its first place and its number of places.
+    known = stored(lines.groupBy("_h", "_g").agg(F.min(F.struct("_id", "_row", "_no")).alias("first"),
+                                                 F.count(F.lit(1)).alias("n")), "lines")
+    near = None
+    for edits, least, most in bands:
+        found = near_lines(lines, edits, least, most, None if most is None else (edits + 1) * chars_per_edit)
+        near = found if near is None else near.unionByName(found)
     # Of two near lines the one whose first place is later goes everywhere.
     first = known.select("_h", "first")
     places = (_bounded(near).join(first.select(F.col("_h").alias("a"), F.col("first").alias("fa")), "a")
@@ -227,18 +260,19 @@ def removed_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key:
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, key: str = "doc_id",
-                text: str = "text", near_chars: int | None = None) -> DataFrame:
+                text: str = "text", near_chars: int | None = None, chars_per_edit: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, plus n_lines and
     removed_lines (their numbers from 0).
 
     ``near_chars`` (``min_chars`` if None) is the length from which lines are also
-    compared by edit distance.  Whole texts are read; a text without removed lines is returned as it was, and a
+    compared by edit distance; ``chars_per_edit`` lets the threshold follow the length of
+    the shorter line (None: ``threshold`` edits at any length).  Whole texts are read; a text without removed lines is returned as it was, and a
     text whose lines all go becomes empty.  Null text: null, 0 lines.  Rows are kept
     one to one; rows equal in id and text lose the same lines; null ids sort first.
     Columns named n_lines or removed_lines are replaced.  An empty table stays empty.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    gone = removed_lines(docs, threshold, min_chars, key, text, near_chars)
+    gone = removed_lines(docs, threshold, min_chars, key, text, near_chars, chars_per_edit)
     body = F.col(f"`{text}`").cast("string")
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{key}`"), body).alias("_row")) \
               .join(gone, "_row", "left")

@@ -49,7 +49,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs, threshold=2, min_chars=1, near_chars=20)
+    out = line_dedup.dedup_lines(docs, threshold=2, min_chars=1, chars_per_edit=10)
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines")
 
 
