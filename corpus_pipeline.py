@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave the texts (n_chars follows); a text that loses all its
     words goes.  Texts without repeated lines stay as they are."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS), threshold=2, min_chars=1, near_chars=20)
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), threshold=2, min_chars=1, chars_per_edit=10)
     changed = F.size("removed_lines") > 0
     out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select("doc_id", "text", "lang", "source",
