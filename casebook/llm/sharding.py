@@ -5,8 +5,9 @@ to each other.  The boundaries between shards are found by probing: each round
 counts, in one pass over a small key table, the exact bytes below evenly spaced
 candidate boundaries inside the open interval of every splitter, and narrows the
 interval, until a candidate is within tolerance of the wanted share.  An interval
-that has shrunk to one text (a group of copies larger than a shard) is refined by
-the id hash, so such a group is cut in pieces.  Then the rows move once.
+that has shrunk to one text is refined by the id hash: a group of copies on which a
+boundary falls is cut there and lies in two shards, however small it is, and one larger
+than a shard in several.  All other groups stay whole.  Then the rows move once.
 """
 
 from __future__ import annotations

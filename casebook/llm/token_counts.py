@@ -136,8 +136,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text: str = "text") -> D
     leading space, which marks the beginning of a word in the vocabulary.  Whole
     texts are read.  Null or blank text: zeros.  One row out per row in; columns
     of ``docs`` named like an added one are replaced.  The vocabulary (a fixed
-    file of some 50,000 tokens) is broadcast, and each Python worker builds the
-    automaton once.
+    file of some 50,000 tokens) is broadcast, and each task builds the
+    automaton.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -9,9 +9,11 @@ is confirmed against the stored rule string, so a hash collision never decides.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
 import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -122,6 +124,27 @@ def judge(hosts: list[str], paths: list[str], rules: Digest) -> tuple[list, list
     return names, block
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def send_rules(spark, arrays: dict[str, np.ndarray]) -> str:
+    """Send the arrays to the executors as files, equal ones once per application; returns
+    the name they go by.  The driver's own files, which it serves from, go when it ends."""
+    sums = hashlib.sha256()
+    for part in sorted(arrays):
+        sums.update(part.encode() + str(arrays[part].dtype).encode() + np.ascontiguousarray(arrays[part]).tobytes())
+    name = f"urlrules-{sums.hexdigest()[:20]}"
+    if (spark.sparkContext.applicationId, name) not in _sent:
+        folder = tempfile.mkdtemp(prefix="urlrules-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        for part, values in arrays.items():
+            path = os.path.join(folder, f"{name}-{part}.npy")
+            np.save(path, values)
+            spark.sparkContext.addFile(path)
+        _sent.add((spark.sparkContext.applicationId, name))
+    return name
+
+
 def url_filter(pages: DataFrame, rules: Iterable[Rule], url: str = "url",
                otherwise: str = "allow") -> DataFrame:
     """Every row of ``pages`` with host, path, rule and verdict.
@@ -135,12 +158,7 @@ def url_filter(pages: DataFrame, rules: Iterable[Rule], url: str = "url",
     """
     spark = pages.sparkSession
     ship_package(spark)
-    name = f"urlrules-{uuid.uuid4().hex[:10]}"
-    folder = tempfile.mkdtemp(prefix="urlrules-")
-    for part, values in digest(rules).items():
-        path = os.path.join(folder, f"{name}-{part}.npy")
-        np.save(path, values)
-        spark.sparkContext.addFile(path)
+    name = send_rules(spark, digest(rules))
 
     out = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in out]

@@ -13,6 +13,5 @@ def test_the_ratio_finds_low_quality_but_not_toxic_texts(spark):
     low, toxic = F.col("quality") == 0, (F.col("quality") == 1) & (F.col("toxic") == 1)
     r = judged.agg(*[F.count_if(c & k).alias(n) for c, a in ((low, "low"), (toxic, "toxic"))
                      for k, n in ((F.lit(True), a), (~F.col("kept"), f"{a}_gone"))]).first()
-    print("FIGURES", r)
     assert r.low and r.low_gone >= 0.9 * r.low
     assert r.toxic and r.toxic_gone <= 0.2 * r.toxic  # a known limit, stated in the README
