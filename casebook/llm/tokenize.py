@@ -94,6 +94,7 @@ class Encoder:
         self._tokenizer = None
 
     def _forget(self) -> None:
+        self._unusual = False
         self.keys = np.zeros(0, np.uint64)
         self.bytes = np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)
@@ -127,7 +128,7 @@ class Encoder:
 
     def pieces(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``self.ids``, number of ids) of each distinct piece."""
-        if 24 * (len(self.keys) + len(values)) + 4 * len(self.ids) > CACHE_BYTES:
+        if self._unusual or 24 * (len(self.keys) + len(values)) + 4 * len(self.ids) > CACHE_BYTES:
             self._forget()
         keys = hash_bytes(values)
         lengths = pc.binary_length(values).to_numpy().astype(np.int32)
@@ -136,8 +137,14 @@ class Encoder:
         if new.size:
             self._learn(values.take(pa.array(new)).to_pylist(), keys[new], lengths[new])
         at, known = self._find(keys, lengths)
-        if not known.all():
-            raise ValueError("two pieces share a 64-bit hash")
+        named = np.lexsort((lengths, keys))
+        twice = (np.diff(keys[named].astype(np.int64)) == 0) & (np.diff(lengths[named]) == 0)
+        if not known.all() or twice.any():
+            # Two pieces share a hash: these go by their numbers, and nothing of them is kept.
+            self._forget()
+            self._learn(values.to_pylist(), np.arange(len(values), dtype=np.uint64), lengths)
+            self._unusual = True
+            return self.first, self.size.astype(np.int64)
         return self.first[at], self.size[at].astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
