@@ -326,6 +326,15 @@ def counterfactual_summary(spark, sf_dir):
     return scoring.counterfactual_summary(RISK_FOREST, case_view(spark, sf_dir), _requests(spark, sf_dir), 0.20)
 
 
+@register("counterfactual_texts", with_cases(f"""
+SELECT request_id, scored, target_achievable, printf('%.1f%%', round_even(current_probability * 100, 1)) AS current_probability_pct,
+  '20.0%' AS target_probability_pct FROM ({_SUMMARY_SQL})"""))
+def counterfactual_texts(spark, sf_dir):
+    """The summary's probabilities as they are shown."""
+    s = scoring.counterfactual_summary(RISK_FOREST, case_view(spark, sf_dir), _requests(spark, sf_dir), 0.20, texts=True)
+    return s.select("request_id", "scored", "target_achievable", "current_probability_pct", "target_probability_pct")
+
+
 @register("lookup_models", with_cases(f"""
 SELECT c.Patient_ID, r.probability_of_readmission, l.predicted_length_of_stay_days, s.total_options_explored, s.target_achievable
 FROM cases c LEFT JOIN ({_RISK_SQL}) r USING (Patient_ID) LEFT JOIN ({_LOS_SQL}) l USING (Patient_ID)
