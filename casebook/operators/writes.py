@@ -89,13 +89,21 @@ def rejected_updates(updates: DataFrame, fields=VALUE_COLUMNS, key: str = KEY, s
     return updates.where(F.size(unknown) > 0).select(key, seq, unknown.alias("unknown"))
 
 
+def named_fields(updates: DataFrame, fields=VALUE_COLUMNS, set_col: str = "set_fields") -> list[str]:
+    """Those of ``fields`` that some update of the batch sets (field names are few)."""
+    named = {r[0] for r in updates.select(F.explode(set_col)).distinct().collect()}
+    return [f for f in fields if f in named]
+
+
 def apply_updates(base: DataFrame, updates: DataFrame, fields=VALUE_COLUMNS, key: str = KEY,
                   seq: str = "seq", set_col: str = "set_fields") -> tuple[DataFrame, DataFrame]:
-    """(updated table, unmatched update keys).
+    """(updated table, unmatched update keys).  Only fields that occur in the batch are
+    folded.
 
     The folded updates are left-joined on the key (AQE broadcasts them when the
     batch is small); unmatched keys come from an anti join.
     """
+    fields = named_fields(updates, fields, set_col)
     folded = fold_updates(updates, fields, key, seq, set_col)
     unmatched = folded.join(base.select(key), key, "left_anti").select(
         key, F.col("_n_updates").alias("n_updates"))
@@ -116,5 +124,5 @@ def apply_folded(base: DataFrame, folded: DataFrame, fields, key: str = KEY) ->
 
 
 __all__ = ["validate_inserts", "assign_ids", "assign_ids_from", "insert_records", "fold_updates",
-           "apply_updates", "apply_folded", "rejected_updates",
+           "apply_updates", "apply_folded", "named_fields", "rejected_updates",
            "CASE_COLUMNS"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.functions.quantiles import kept
-from casebook.operators.writes import assign_ids_from, apply_folded, fold_updates, validate_inserts
+from casebook.operators.writes import apply_folded, assign_ids_from, fold_updates, named_fields, validate_inserts
 from casebook.schema import CASE_SCHEMA, KEY, VALUE_COLUMNS
 
 FILES = "file string, rows long, low long, high long"
@@ -135,8 +135,7 @@ class RecordStore:
         record has, with their number of updates.  A batch that touches nothing publishes
         nothing."""
         version = self.versions()[-1]
-        known = {r[0] for r in updates.select(F.explode(set_col)).distinct().collect()}  # field names
-        fields = [c for c in VALUE_COLUMNS if c in known]
+        fields = named_fields(updates, VALUE_COLUMNS, set_col)
         folded = kept(fold_updates(updates.where(F.col(self.key).isNotNull()), fields, self.key, seq, set_col))
         files = kept(self.manifest(version))
         low, high = folded.agg(F.min(self.key), F.max(self.key)).first()
