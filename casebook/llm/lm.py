@@ -15,8 +15,8 @@ The context is the last ``order`` symbols: h = sum_j C_j * R[w_-j], score = Q h
 symbols and T h + t for tops; both output layers learn by noise contrast.  Word counts
 cover all training documents.  In a round every task passes once over all its training
 tokens; the tasks' parameters and AdaGrad sums (of a fixed size) are averaged by tokens,
-the rate falls from round to round, and the round that is best on a fold of the training
-rows is kept (that fold's rows are counted, but give no updates).
+the rate falls from round to round, and of several rounds the one that is best on a fold
+of the training rows is kept (that fold's rows are counted, but give no updates).
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ class Model:
     def hidden(self, ctx: list[np.ndarray]) -> np.ndarray:
         return sum((self.r * self.c[j])[x] for j, x in enumerate(ctx))
 
-    def log_prob(self, symbols: np.ndarray, ctx: list[np.ndarray], top_of: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    def log_prob(self, symbols: np.ndarray, ctx: list[np.ndarray], top_of: np.ndarray, chunk: int = 1 << 13) -> np.ndarray:
         """Normalised natural log probability of each symbol in its context."""
         members = np.split(np.argsort(top_of, kind="stable"), np.cumsum(np.bincount(top_of))[:-1])
         place = np.empty(len(top_of), np.int64)
@@ -132,8 +132,11 @@ class Model:
 
 
 def picked_log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(axis=1, keepdims=True)
-    return scores[np.arange(len(scores)), at].astype(np.float64) - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
+    """Overwrites ``scores``."""
+    scores -= scores.max(axis=1, keepdims=True)
+    picked = scores[np.arange(len(scores)), at].astype(np.float64)
+    np.exp(scores, out=scores)
+    return picked - np.log((scores @ np.ones(scores.shape[1], np.float32)).astype(np.float64))
 
 
 def flat(arrays: list[np.ndarray]) -> np.ndarray:
@@ -176,8 +179,10 @@ class Trainer:
         fake = np.minimum(np.searchsorted(cdf, self.rng.random(self.samples)), size - 1)
         true_score = np.einsum("ij,ij->i", h, q[w]) + b[w] - log_noise[w]
         fake_score = h @ q[fake].T + b[fake] - log_noise[fake]
-        up = (1 / (1 + np.exp(np.clip(true_score, -30, 30)))).astype(np.float32) / n    # 1 - P(data)
-        down = (-1 / (1 + np.exp(-np.clip(fake_score, -30, 30)))).astype(np.float32) / n
+        np.exp(np.minimum(true_score, 30, out=true_score), out=true_score)
+        up = 1 / ((true_score + 1) * n)                                     # (1 - P(data)) / n
+        np.exp(np.minimum(-fake_score, 30), out=fake_score)
+        down = -1 / ((fake_score + 1) * n)
         dq = self._scatter(w, up[:, None] * h, size)
         np.add.at(dq, fake, down.T @ h)
         db = (np.bincount(w, weights=up, minlength=size) + np.bincount(fake, weights=down.sum(0), minlength=size)).astype(np.float32)
@@ -264,7 +269,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, dim: int, order: int, rounds:
     known = spark.sparkContext.broadcast(vocabulary)
     model = Model.initial(vocabulary, dim, order)
     sums = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()]
-    fold = F.pmod(F.xxhash64("text"), F.lit(50)) == 0
+    fold = (F.pmod(F.xxhash64("text"), F.lit(50)) == 0) if rounds > 1 else F.lit(False)
     texts = docs.where("NOT held_out").select("text")
     best, best_score = model, -np.inf
     for turn in range(rounds):
@@ -390,7 +395,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2,
               coverage: float = 0.5, shortlist: int = 2047, classes: int = 128, groups: int = 32, dim: int = 10, order: int = 3,
-              rounds: int = 2) -> DataFrame:
+              rounds: int = 1) -> DataFrame:
     """Score every whole text with a model trained on the rows whose
     crc32(key as text) mod ``folds`` is not ``held``.
 
