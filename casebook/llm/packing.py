@@ -109,8 +109,8 @@ class Packer:
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 #: Texts tokenized at once, and ids sent on at once.
-TEXT_BYTES = 2 << 20
-IDS_AT_ONCE = 1 << 19
+TEXT_BYTES = 1 << 20
+IDS_AT_ONCE = 1 << 18
 
 
 class Rows:

@@ -32,7 +32,7 @@ VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = True
 
 #: Bytes of pieces and ids that a worker keeps; beyond that it begins anew.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 24 << 20
 ENCODED_AT_ONCE = 5_000
 
 
