@@ -6,7 +6,9 @@ from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.functions.quantiles import kept
 from casebook.schema import KEY
+from casebook.session import stored
 
 # Categorical model inputs.
 CATEGORICAL = ("Gender", "Condition", "Procedure")
@@ -63,8 +65,10 @@ def stratified_split(df: DataFrame, label: str, key: str = KEY, train_pct: int =
 
     Each label's threshold is the hash at that rank, found from counts in two steps
     of 16 bits; a window holds at most 65,536 counts.  Rows with equal hashes fall on
-    the same side.
+    the same side.  ``df`` is computed once, into the shared folder: it is read for the
+    counts and by every reader of the result.
     """
+    df = stored(df, "split")
     h = df.select(F.col(label).alias("_label"), key_hash(key).alias("_hash"))
     upper, lower = F.shiftright("_hash", 16), F.col("_hash").bitwiseAND(F.lit(0xFFFF))
     counts = h.groupBy("_label", upper.alias("_u")).agg(F.count(F.lit(1)).alias("c"))
@@ -76,8 +80,8 @@ def stratified_split(df: DataFrame, label: str, key: str = KEY, train_pct: int =
     inner = (h.join(F.broadcast(edge), "_label").where(upper == F.col("_u"))
              .groupBy("_label", "_u", "_left", lower.alias("_l")).agg(F.count(F.lit(1)).alias("c")))
     reached = Window.partitionBy("_label").orderBy("_l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = (inner.withColumn("_upto", F.sum("c").over(reached)).where(F.col("_upto") >= F.col("_left"))
-            .groupBy("_label").agg(F.min(F.col("_u") * 65536 + F.col("_l")).alias("_last")))
+    last = kept(inner.withColumn("_upto", F.sum("c").over(reached)).where(F.col("_upto") >= F.col("_left"))
+                .groupBy("_label").agg(F.min(F.col("_u") * 65536 + F.col("_l")).alias("_last")))
     # One row a label: class labels are few by nature.
     out = df.join(F.broadcast(last), df[label] == F.col("_label"), "left")
     return out.withColumn("_train", key_hash(key) <= F.col("_last")).drop("_label", "_last")

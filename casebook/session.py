@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every casebook job relies on.  AQE re-plans joins/aggregates at
 # runtime (coalescing small shuffle partitions, splitting skewed ones); the UI
@@ -66,6 +67,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written now, once, as Parquet into the shared folder and read back: a table
+    that later jobs scan by columns instead of computing it anew."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/casebook-{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
