@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.quantiles import kept
 from casebook.ml.features import split_flag
+from casebook.session import stored
 
 
 def train_vector_classifier(df: DataFrame, vec: str = "embedding", label: str = "label",
@@ -82,13 +83,15 @@ def train_text_intents(corpus: DataFrame, text: str = "text", label: str = "inte
                        max_iter: int = 100, max_rows: int | None = 20_000) -> TextIntents:
     """Labels in alphabetical order.  The fit uses at most about ``max_rows`` of the labelled
     rows (None: all); classification covers every row."""
-    d = bounded(corpus, text, label, max_rows)
+    d = stored(bounded(corpus, text, label, max_rows).select(text, label), "intents")
     labels = [r[0] for r in d.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]
     if not labels:
         raise ValueError("the corpus has no labelled text")
     code = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")) - 1
     rows = kept(hashed_ngrams(d.select(F.col(text).alias("text"), code.cast("double").alias("label")), "text", num_features=num_features)
                 .select("features", "label"))
+    # The fit makes a gradient per partition in every round: no more partitions than cores.
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
     return TextIntents(LogisticRegression(maxIter=max_iter, family="multinomial", regParam=1e-4).fit(rows), labels, num_features)
 
 
