@@ -56,3 +56,21 @@ def test_a_split_reads_its_input_once(spark):
 def test_statistics_of_a_pass_fit_beside_each_other():
     # four running tasks of an executor, twice each (kept and sent), within a third of 3 GB
     assert models.TRAIN_OPTS["maxMemoryInMB"] * 4 * 2 <= 1024
+
+
+def test_a_report_scores_each_distinct_row_once(spark, monkeypatch):
+    cases = some_cases(spark, 600, 3)
+    few = cases.withColumns({c: F.lit(1) for c in ("Age", "Length_of_Stay")})
+    bundle = models.train_risk_model(few, num_trees=2, max_depth=2)
+    scored, sizes = models.ModelBundle.scored, []
+
+    def watched(self, df):
+        sizes.append(df.count())
+        return scored(self, df)
+    monkeypatch.setattr(models.ModelBundle, "scored", watched)
+    report = models.classifier_report(bundle, few).collect()
+    assert sum(r["support"] for r in report) == 600 and sizes[0] <= 2 * 3 * 4 * 2 * 2
+    rows = scored(bundle, models.labelled(bundle, few)).collect()
+    for r in report:
+        mine = [x for x in rows if x["_train"] == (r["split"] == "train")]
+        assert r["accuracy"] == sum(x["_prediction"] == x["label"] for x in mine) / len(mine)
