@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casebook.functions.filters import lookup
 from casebook.operators import anomaly, charts, cohort, similar, triage
 from casebook.plans.catalog import register, with_cases
+from casebook.session import stored
 from casebook.sources.tables import case_view, read_table
 
 # Doubles from order-dependent arithmetic (sums, means, interpolation) are
@@ -267,7 +268,7 @@ SELECT 'numerical' AS kind, Patient_ID, "column" AS what, value, reason FROM ({_
 UNION ALL
 SELECT 'combination', Patient_ID, concat_ws(' / ', Condition, Procedure, Outcome), frequency, reason FROM ({_RARE_SQL})"""))
 def anomaly_report(spark, sf_dir):
-    parts = anomaly.anomaly_report(case_view(spark, sf_dir))
+    parts = anomaly.anomaly_report(stored(case_view(spark, sf_dir), "cases"))
     single = parts["numerical_outliers"].select(F.lit("numerical").alias("kind"), "Patient_ID", F.col("column").alias("what"), "value", "reason")
     rare = parts["low_frequency_combinations"].select(
         F.lit("combination").alias("kind"), "Patient_ID", F.concat_ws(" / ", *cohort.COMBINATION).alias("what"),
@@ -310,7 +311,7 @@ def similar_cases(spark, sf_dir):
 @register("lookup_similar", _similar_sql("Cost", " WHERE Patient_ID IN (SELECT user_id FROM events)"))
 def lookup_similar(spark, sf_dir):
     """Record ids -> their records -> the nearest cases, by cost (a continuous feature)."""
-    cases = case_view(spark, sf_dir)
+    cases = stored(case_view(spark, sf_dir), "cases")
     ids = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("Patient_ID"))
     asked = lookup(cases, patient_id=ids).select(F.col("Patient_ID").alias("target_id"), "Cost", "Gender", "Condition", "Procedure")
     return similar.similar_cases(cases, asked, n=5, numeric="Cost")
