@@ -9,7 +9,9 @@
    least the smaller ``least`` of their prefix shingles, whatever the order is.
    Prefix shingles that only one class holds are dropped.
 3. Similar classes are put into one group: a class joins the leader with which it
-   shares the most prefix shingles.  Large groups are dealt over several, so that
+   shares the most prefix shingles, if they are half of ``least`` or more (with all of
+   it, near copies that each share a few stay alone, and every pair of them meets on a
+   common shingle).  Groups bound links from above, so any grouping is exact.  Large groups are dealt over several, so that
    no group is larger than ``group_size``.
 4. The token-group matrix holds, per shingle, the groups whose prefix union has it.
    Joined with itself it bounds the prefix overlap of two groups from above; only
@@ -213,7 +215,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 def grouped(shared: DataFrame, percent: int, group_size: int) -> DataFrame:
     """(cid, n, gid): the group of every class that shares a prefix token."""
     ties = (shared.where("cid <> leader").groupBy("cid", "leader", "n").agg(F.count(F.lit(1)).alias("c"))
-            .where(F.col("c") >= least_column(F.col("n"), percent))
+            .where(F.col("c") * 2 >= least_column(F.col("n"), percent))
             .groupBy("cid").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("label")))
     classes = shared.groupBy("cid").agg(F.first("n").alias("n")).join(ties, "cid", "left")
     classes = stored(classes.select("cid", "n", F.coalesce("label", "cid").alias("label")), "jac-labels")
