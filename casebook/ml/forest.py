@@ -14,7 +14,7 @@ from __future__ import annotations
 import itertools
 import math
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +27,9 @@ from casebook.session import checkpoint_dir, ship_package
 
 @dataclass
 class FlatForest:
-    feature: np.ndarray    # int32, -1 for a leaf
+    feature: np.ndarray    # integer, -1 for a leaf
     threshold: np.ndarray  # float64, go left when x <= threshold (no set given)
-    left: np.ndarray       # int64 global node index
+    left: np.ndarray       # integer, global node index
     right: np.ndarray
     value: np.ndarray      # leaf value (P(class 1) or mean), per node
     cover: np.ndarray      # weighted training count at the node
@@ -43,6 +43,10 @@ class FlatForest:
         if self.set_row is None:
             self.set_row, self.sets = np.full(len(self.feature), -1, np.int32), np.zeros((0, 1), bool)
 
+    def walked(self) -> FlatForest:
+        """Without the covers, which predictions do not need: what every worker holds to score."""
+        return replace(self, cover=self.cover[:0])
+
     def goes_left(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
         left = x <= self.threshold[node]
         row = self.set_row[node]
@@ -56,7 +60,11 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     """Read the persisted trees back as flat arrays (driver side, model-sized)."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-forest/{uuid.uuid4().hex}"
     forest_model.write().overwrite().save(path)
-    is_clf = hasattr(forest_model, "numClasses")
+    return read_forest(path, spark, int(forest_model.numFeatures), hasattr(forest_model, "numClasses"), positive_class)
+
+
+def read_forest(path: str, spark, n_features: int, is_clf: bool, positive_class: int = 1) -> FlatForest:
+    """The flat arrays of a forest saved at ``path``."""
     stats = F.col("nodeData.impurityStats")
     if is_clf:
         cover = F.aggregate(stats, F.lit(0.0), lambda acc, x: acc + x)
@@ -64,13 +72,15 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     else:
         cover = F.get(stats, 0)
         value = F.col("nodeData.prediction")
+    inner = F.col("nodeData.leftChild") >= 0
+    arity, split = F.col("nodeData.split.numCategories"), F.col("nodeData.split.leftCategoriesOrThreshold")
     nodes = (spark.read.parquet(f"{path}/data")
              .select("treeID", F.col("nodeData.id").alias("id"), value.alias("value"), cover.alias("cover"),
-                     F.col("nodeData.leftChild").alias("leftChild"),
-                     F.col("nodeData.rightChild").alias("rightChild"),
-                     F.col("nodeData.split.featureIndex").alias("featureIndex"),
-                     F.col("nodeData.split.leftCategoriesOrThreshold").alias("goes_left"),
-                     F.col("nodeData.split.numCategories").alias("numCategories"))
+                     F.col("nodeData.leftChild").alias("leftChild"), F.col("nodeData.rightChild").alias("rightChild"),
+                     F.when(inner, F.col("nodeData.split.featureIndex")).otherwise(-1).alias("feature"),
+                     F.coalesce(F.when(inner & (arity < 0), F.get(split, 0)), F.lit(0.0)).alias("threshold"),
+                     F.coalesce(F.when(inner, arity), F.lit(-1)).alias("arity"),
+                     F.when(inner & (arity >= 0), split).alias("goes_left"))
              .orderBy("treeID", "id").toPandas())
     # Node ids are dense preorder indexes within each tree, so a node's global
     # index is its tree's offset plus its id.
@@ -83,7 +93,7 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     if not np.array_equal(ids, np.arange(n) - offset[tree]):
         raise ValueError("unexpected node numbering in the persisted forest")
     internal = nodes.leftChild.to_numpy() >= 0
-    arity = np.where(internal, nodes.numCategories.fillna(-1).to_numpy(), -1).astype(np.int64)
+    arity = nodes.arity.to_numpy().astype(np.int64)
     by_set = np.flatnonzero(arity >= 0)
     set_row = np.full(n, -1, np.int32)
     set_row[by_set] = np.arange(len(by_set))
@@ -91,10 +101,10 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     for row, at in enumerate(by_set):
         sets[row, np.asarray(nodes.goes_left.iat[at], np.int64)] = True
     base = offset[tree]
-    feature = np.where(internal, nodes.featureIndex.fillna(-1).to_numpy(), -1).astype(np.int32)
-    thr = np.array([g[0] if i and a < 0 else 0.0 for g, i, a in zip(nodes.goes_left, internal, arity)])
-    left = np.where(internal, base + nodes.leftChild.to_numpy(), np.arange(n)).astype(np.int64)
-    right = np.where(internal, base + nodes.rightChild.to_numpy(), np.arange(n)).astype(np.int64)
+    feature = nodes.feature.to_numpy().astype(np.int32)
+    thr = nodes.threshold.to_numpy(float)
+    left = np.where(internal, base + nodes.leftChild.to_numpy(), np.arange(n)).astype(np.int32)
+    right = np.where(internal, base + nodes.rightChild.to_numpy(), np.arange(n)).astype(np.int32)
     value = nodes.value.to_numpy(float)
     cover = nodes.cover.fillna(0.0).to_numpy(float)
     roots = first.astype(np.int64)
@@ -103,8 +113,21 @@ def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
         inner = frontier[feature[frontier] >= 0]
         frontier = np.concatenate([left[inner], right[inner]])
         depth += 1 if len(frontier) else 0
-    return FlatForest(feature, thr, left, right, value, cover, roots, depth,
-                      int(forest_model.numFeatures), set_row, sets)
+    return FlatForest(feature, thr, left, right, value, cover, roots, depth, n_features, set_row, sets)
+
+
+def joined(parts: list[FlatForest]) -> FlatForest:
+    """One forest of the trees of all ``parts``, in their order."""
+    at = np.cumsum([0, *(len(p.feature) for p in parts)])
+    rows = np.cumsum([0, *(len(p.sets) for p in parts)])
+    codes = max(p.sets.shape[1] for p in parts)
+    return FlatForest(
+        *(np.concatenate([getattr(p, c) for p in parts]) for c in ("feature", "threshold")),
+        *(np.concatenate([getattr(p, c) + np.int32(a) for p, a in zip(parts, at)]) for c in ("left", "right")),
+        *(np.concatenate([getattr(p, c) for p in parts]) for c in ("value", "cover")),
+        np.concatenate([p.roots + a for p, a in zip(parts, at)]), max(p.depth for p in parts), parts[0].n_features,
+        np.concatenate([np.where(p.set_row >= 0, p.set_row + np.int32(r), np.int32(-1)) for p, r in zip(parts, rows)]),
+        np.concatenate([np.pad(p.sets, ((0, 0), (0, codes - p.sets.shape[1]))) for p in parts]))
 
 
 def tree_values(ff: FlatForest, X: np.ndarray) -> np.ndarray:
@@ -281,8 +304,7 @@ def _members(s: int, n: int) -> list[int]:
 def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
     """M7 core: forest mean and population std over the trees, per row."""
     ship_package(spark)
-    ff = bundle.flat(spark)
-    b = spark.sparkContext.broadcast(ff)
+    b = spark.sparkContext.broadcast(bundle.flat(spark).walked())
     cols = bundle.model_columns()
     keys = list(keys)
     x = bundle.numeric_inputs(df).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
@@ -301,6 +323,18 @@ def per_tree_stats(bundle, df: DataFrame, keys, spark) -> DataFrame:
     return spread(x).mapInPandas(run, schema)
 
 
+def mean_values(ff: FlatForest, inputs: list, spark):
+    """The forest's mean prediction as a column over its ``inputs``."""
+    ship_package(spark)
+    b = spark.sparkContext.broadcast(ff.walked())
+    return F.pandas_udf(lambda *x: _mean_of(b.value, x), "double")(*[c.cast("double") for c in inputs])
+
+
+def _mean_of(ff: FlatForest, columns):
+    import pandas as pd
+    return pd.Series(tree_values(ff, np.stack([np.asarray(c, float) for c in columns], axis=1)).mean(axis=1))
+
+
 SALTS = 8
 
 

@@ -1,20 +1,23 @@
 """Readmission classifier and length-of-stay regressor.
 
 A trained model is a ``ModelBundle``: a Spark ``PipelineModel`` (encoders ->
-code fix-up -> assembler -> forest) plus a one-row metadata table.  Training
-data stays distributed; only model-sized objects reach the driver.
+code fix-up -> assembler -> forest) plus a one-row metadata table.  A forest that may
+have more than ``PART_NODES`` nodes is fitted and saved in parts of some trees each; it is
+applied as flat arrays, so neither the driver nor an executor holds all its trees as
+objects.  Training data stays distributed; only model-sized objects reach the driver.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +36,12 @@ class ModelBundle:
     features: list                 # raw feature names, in model order
     meta: dict = field(default_factory=dict)
     _flat: forest.FlatForest | None = None
+    parts: list = field(default_factory=list)  # folders of the parts of a forest that is no stage of the pipeline
 
     @property
     def forest(self):
+        if self.parts:
+            raise ValueError("the forest is in parts: see ``parts`` and ``flat``")
         return self.pipeline.stages[-1]
 
     @property
@@ -51,12 +57,20 @@ class ModelBundle:
 
     def scored(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_prediction`` and, for a classifier, ``_p`` = P(Yes)."""
+        if self.parts:
+            x, spark = self.numeric_inputs(df), df.sparkSession
+            mean = forest.mean_values(self.flat(spark), [F.col(c) for c in self.model_columns()], spark)
+            if self.kind == "risk":
+                return forest.spread(x).withColumn("_p", mean).withColumn("_prediction", F.when(F.col("_p") > 0.5, 1.0).otherwise(0.0))
+            return forest.spread(x).withColumn("_prediction", mean)
         out = self.pipeline.transform(df).withColumnRenamed("prediction", "_prediction")
         return out.withColumn("_p", vector_to_array("probability")[1]) if self.kind == "risk" else out
 
     def flat(self, spark: SparkSession) -> forest.FlatForest:
         """The trees as flat arrays, read back from the model once."""
-        if self._flat is None:
+        if self._flat is None and self.parts:
+            self._flat = forest.joined([forest.read_forest(p, spark, len(self.features), self.kind == "risk") for p in self.parts])
+        elif self._flat is None:
             self._flat = forest.flatten_forest(self.forest, spark)
         return self._flat
 
@@ -67,6 +81,7 @@ class ModelBundle:
 # running task holds that much, so several to an executor must fit beside each other.
 TRAIN_OPTS = {"maxMemoryInMB": 128, "cacheNodeIds": True, "checkpointInterval": 10}
 FIT_ROWS = 16_000  # about the rows of a partition of the fit, at least; fewer are one partition
+PART_NODES = 1 << 20  # nodes that the trees fitted together may have at most, if more than one tree
 
 
 def _nominal(features, encoder, max_bins: int) -> dict:
@@ -83,10 +98,22 @@ def _nominal(features, encoder, max_bins: int) -> dict:
     return {"ml_attr": {"attrs": attrs, "num_attrs": len(features)}}
 
 
-def _pipeline(rows: DataFrame, train: DataFrame, features, trainer, nominal: bool) -> PipelineModel:
+def _part_sizes(trainer, fitted: int) -> list[int]:
+    """The numbers of trees that are fitted together: all of them, unless trees of that depth
+    may have more than ``PART_NODES`` nodes and more than ``FIT_ROWS`` rows are fitted."""
+    trees = trainer.getNumTrees()
+    most = max(1, PART_NODES >> (trainer.getMaxDepth() + 1))
+    if fitted <= FIT_ROWS or trees <= most:
+        return [trees]
+    parts = -(-trees // most)
+    return [trees * (i + 1) // parts - trees * i // parts for i in range(parts)]
+
+
+def _pipeline(rows: DataFrame, train: DataFrame, features, trainer, nominal: bool, fitted: int) -> tuple[PipelineModel, list]:
+    """The pipeline and the folders of the forest's parts (none: it is the last stage)."""
     # Codes come from every cleaned row (as the reference encodes before the
     # split); the forest sees only the training split.
-    checkpoint_dir(rows.sparkSession)
+    folder = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/casebook-forest/{uuid.uuid4().hex}"
     enc = fit_label_encoder(rows)
     fix = unseen_to_zero(enc)
     cols = [code_col(c) if c in CATEGORICAL else c for c in features]
@@ -94,8 +121,15 @@ def _pipeline(rows: DataFrame, train: DataFrame, features, trainer, nominal: boo
     prepared = asm.transform(fix.transform(enc.transform(train)))
     if nominal:
         prepared = prepared.withMetadata("features", _nominal(features, enc, trainer.getMaxBins()))
-    model = trainer.fit(prepared)
-    return PipelineModel(stages=[enc, fix, asm, model])
+    sizes = _part_sizes(trainer, fitted)
+    if len(sizes) == 1:
+        return PipelineModel(stages=[enc, fix, asm, trainer.fit(prepared)]), []
+    prepared = stored(prepared.select("label", "features"), "prepared")
+    for i, trees in enumerate(sizes):
+        # Seeds far apart: those of a fit's partitions are next to its own.
+        some = trainer.copy({trainer.numTrees: trees, trainer.seed: trainer.getSeed() + 1_000_003 * i})
+        some.fit(prepared).write().save(f"{folder}/{i}")
+    return PipelineModel(stages=[enc, fix, asm]), [f"{folder}/{i}" for i in range(len(sizes))]
 
 
 def _cast_features(df: DataFrame, features) -> DataFrame:
@@ -145,9 +179,9 @@ def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
                                 seed=seed, maxBins=max_bins, **TRAIN_OPTS)
-    pipe = _pipeline(d, train, feats, rf, nominal)
+    pipe, parts = _pipeline(d, train, feats, rf, nominal, fitted)
     return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": fitted,
-                                             "num_trees": num_trees, "max_depth": max_depth})
+                                             "num_trees": num_trees, "max_depth": max_depth}, parts=parts)
 
 
 def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
@@ -168,9 +202,9 @@ def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
                                seed=seed, maxBins=max_bins, **TRAIN_OPTS)
     train, fitted = _fit_rows(_bounded_fit(d.where("_train"), max_rows, key), feats, key)
-    pipe = _pipeline(d, train, feats, rf, nominal)
+    pipe, parts = _pipeline(d, train, feats, rf, nominal, fitted)
     return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": fitted,
-                                            "num_trees": num_trees, "max_depth": max_depth})
+                                            "num_trees": num_trees, "max_depth": max_depth}, parts=parts)
 
 
 def labelled(bundle: ModelBundle, cases: DataFrame, key: str = KEY) -> DataFrame:
@@ -230,21 +264,30 @@ def _regression_report(bundle: ModelBundle, rows: DataFrame) -> DataFrame:
 
 def feature_importances(bundle: ModelBundle, spark: SparkSession) -> DataFrame:
     """Importances zipped with feature names (model-sized)."""
-    imp = bundle.forest.featureImportances.toArray().tolist()
+    models = [_part_model(bundle.kind, p) for p in bundle.parts] or [bundle.forest]
+    trees = sum(m.getNumTrees for m in models)
+    imp = sum(m.featureImportances.toArray() * (m.getNumTrees / trees) for m in models).tolist()
     return spark.createDataFrame(list(zip(bundle.features, [float(x) for x in imp])),
                                  "feature string, importance double")
 
 
+def _part_model(kind: str, path: str):
+    return (RandomForestClassificationModel if kind == "risk" else RandomForestRegressionModel).load(path)
+
+
 def save_bundle(bundle: ModelBundle, path: str, spark: SparkSession, extra_meta: dict | None = None) -> None:
     """Pipeline via Spark ML persistence; metadata as a one-row parquet."""
     bundle.pipeline.write().overwrite().save(f"{path}/pipeline")
-    meta = dict(bundle.meta, **(extra_meta or {}), kind=bundle.kind, features=bundle.features)
+    for i, part in enumerate(bundle.parts):
+        _part_model(bundle.kind, part).write().overwrite().save(f"{path}/forest/{i}")
+    meta = dict(bundle.meta, **(extra_meta or {}), kind=bundle.kind, features=bundle.features, parts=len(bundle.parts))
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_bundle(path: str, spark: SparkSession) -> ModelBundle:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-    return ModelBundle(meta["kind"], PipelineModel.load(f"{path}/pipeline"), meta["features"], meta)
+    parts = [f"{path}/forest/{i}" for i in range(meta.get("parts", 0))]
+    return ModelBundle(meta["kind"], PipelineModel.load(f"{path}/pipeline"), meta["features"], meta, parts=parts)
 
 
 def model_info(path: str, spark: SparkSession) -> DataFrame:
