@@ -17,7 +17,7 @@ import uuid
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -338,11 +338,13 @@ def _mean_of(ff: FlatForest, columns):
 SALTS = 8
 
 
-def attributions(bundle, df: DataFrame, keys, spark, cells: int = TABLE_CELLS) -> DataFrame:
-    """M8: per row and feature, the Shapley value toward the prediction, long
-    form (keys, feature, value, shap_value), plus the base value.  The coalition tables
-    are built in the tasks; a grid of several blocks has its rows brought together by
-    block first (a block's rows in ``SALTS`` parts, so that a hot one is no single task)."""
+def shapley_rows(bundle, df: DataFrame, keys, spark, cells: int = TABLE_CELLS, even: bool = False) -> tuple[DataFrame, float]:
+    """M8 core: one row per row of ``df``: its keys, ``_v_<feature>`` (the input as text) and
+    ``_phi``, the Shapley values toward the prediction in the order of the features, then
+    the prediction; and the base value.  The coalition tables are built in the tasks; a
+    grid of several blocks has its rows brought together by block first (a block's rows in
+    ``SALTS`` parts, so that a hot one is no single task).  ``even``: the rows are dealt
+    evenly already."""
     ship_package(spark)
     rules = Game(bundle.flat(spark), cells)
     game = spark.sparkContext.broadcast(rules)
@@ -351,37 +353,36 @@ def attributions(bundle, df: DataFrame, keys, spark, cells: int = TABLE_CELLS) -
     feats = list(bundle.features)
     shown = [F.col(f"_own.{c}").cast("string").alias(f"_v_{c}") if "_own" in df.columns
              else F.col(c).cast("string").alias(f"_v_{c}") for c in feats]
-    x = bundle.numeric_inputs(df).select(*keys, *shown, *[F.col(c).cast("double").alias(c) for c in cols])
+    inputs = [f"_x_{c}" for c in cols]
+    x = bundle.numeric_inputs(df).select(*keys, *shown, *[F.col(c).cast("double").alias(i) for c, i in zip(cols, inputs)])
     if rules.blocks > 1:
         block = F.pandas_udf(lambda *v: _block_of(game.value, v), "long")
-        x = x.withColumn("_block", block(*cols)).withColumn("_salt", F.pmod(F.xxhash64(*keys, *cols), F.lit(SALTS)))
+        x = x.withColumn("_block", block(*inputs)).withColumn("_salt", F.pmod(F.xxhash64(*keys, *inputs), F.lit(SALTS)))
         x = x.repartition("_block", "_salt").sortWithinPartitions("_block").drop("_block", "_salt")
-    else:
+    elif not even:
         x = spread(x)
-    schema = T.StructType([x.schema[k] for k in keys] + [
-        T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()),
-        T.StructField("shap_value", T.DoubleType()),
-        T.StructField("base_value", T.DoubleType()), T.StructField("prediction", T.DoubleType())])
+    phi = F.pandas_udf(lambda *v: _shapley_of(game.value, v), "array<double>")
+    return x.withColumn("_phi", phi(*inputs)).drop(*inputs), rules.base
 
-    def run(batches):
-        import pandas as pd
-        t = game.value
-        for pdf in batches:
-            X = pdf[cols].to_numpy(dtype=float)
-            phi = t.shapley(X)
-            pred = t.base + phi.sum(axis=1)
-            parts = []
-            for j, name in enumerate(feats):
-                o = pdf[keys].copy()
-                o["feature"] = name
-                o["value"] = pdf[f"_v_{name}"]
-                o["shap_value"] = phi[:, j]
-                o["base_value"] = t.base
-                o["prediction"] = pred
-                parts.append(o)
-            yield pd.concat(parts, ignore_index=True) if parts else pdf[keys]
-
-    return x.mapInPandas(run, schema)
+
+def paid(features) -> Column:
+    """Of a row of ``shapley_rows``: an array of (feature, value, shap_value)."""
+    return F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_v_{c}").alias("value"), F.get("_phi", j).alias("shap_value"))
+                     for j, c in enumerate(features)])
+
+
+def attributions(bundle, df: DataFrame, keys, spark, cells: int = TABLE_CELLS) -> DataFrame:
+    """M8: per row and feature, the Shapley value toward the prediction, long
+    form (keys, feature, value, shap_value), plus the base value."""
+    rows, base = shapley_rows(bundle, df, keys, spark, cells)
+    a = rows.select(*keys, F.get("_phi", len(bundle.features)).alias("prediction"), F.explode(paid(bundle.features)).alias("_a"))
+    return a.select(*keys, "_a.feature", "_a.value", "_a.shap_value", F.lit(base).alias("base_value"), "prediction")
+
+
+def _shapley_of(game: Game, columns):
+    import pandas as pd
+    phi = game.shapley(np.stack([np.asarray(c, float) for c in columns], axis=1))
+    return pd.Series(list(np.column_stack([phi, game.base + phi.sum(axis=1)])))
 
 
 def _block_of(game: Game, columns):

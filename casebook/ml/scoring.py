@@ -91,20 +91,41 @@ def los_scores(bundle, requests: DataFrame, keys, population_mean: float | None
 
 def attribution_report(bundle, requests: DataFrame, keys, top: int = 5) -> DataFrame:
     """M8 report: per complete request the ``top`` features by |Shapley value|, with
-    the input value, direction, rounded to 4, and the base value."""
+    the input value, direction, rounded to 4, and the base value.  Requests that share
+    their keys are ranked together.
+
+    The requests are brought together by key before they become a row per feature: one
+    whose key is its own is ranked within its row, only the others are shuffled again."""
+    spark = requests.sparkSession
     keys = [keys] if isinstance(keys, str) else list(keys)
-    r = _inputs(bundle, requests).where("_complete")
-    r = r.select("*", *[F.col(f"_own.`{k}`").alias(k) for k in keys if k not in bundle.features])
-    a = forest.attributions(bundle, r, keys, requests.sparkSession)
+    _check_columns(bundle, requests)
+    asked = requests.where(F.size(_missing(bundle, requests)) == 0).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *bundle.features])])
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.repartition(parts, *keys).withColumn("_alike", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+    def explained(some: DataFrame, even: bool) -> tuple[DataFrame, float]:
+        r = _inputs(bundle, some)
+        r = r.select("*", *[F.col(f"_own.`{k}`").alias(k) for k in keys if k not in bundle.features])
+        return forest.shapley_rows(bundle, r, keys, spark, even=even)
+
     up, down = (("increases_risk", "decreases_risk") if bundle.kind == "risk"
                 else ("increases_los", "decreases_los"))
     # Rounded before ranking and before the final rounding of halves: the last digits depend on the order of summation.
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.bround("shap_value", 9))), "feature")
-    return (a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-            .select(*keys, "rank", "feature", "value", F.bround(F.bround("shap_value", 9), 4).alias("shap_value"),
-                    F.when(F.bround("shap_value", 9) > 0, up).otherwise(down).alias("direction"),
-                    F.bround(F.abs(F.bround("shap_value", 9)), 4).alias("abs_importance"),
-                    F.bround("base_value", 4).alias("base_value")))
+    rounded = F.transform(forest.paid(bundle.features), lambda a: F.struct(
+        (-F.abs(F.bround(a["shap_value"], 9))).alias("order"), a["feature"].alias("feature"), a["value"].alias("value"),
+        F.bround(a["shap_value"], 9).alias("shap_value")))
+    rows, base = explained(asked.where(F.col("_alike") == 1), True)
+    alone = rows.select(*keys, F.posexplode(F.slice(F.array_sort(rounded), 1, top)).alias("_at", "_a")).select(
+        *keys, (F.col("_at") + 1).alias("rank"), "_a.*")
+    rows, _ = explained(asked.where(F.col("_alike") > 1), False)
+    w = Window.partitionBy(*keys).orderBy("order", "feature")
+    shared = (rows.select(*keys, F.explode(rounded).alias("_a")).select(*keys, "_a.*")
+              .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top))
+    return alone.unionByName(shared).select(
+        *keys, "rank", "feature", "value", F.bround("shap_value", 4).alias("shap_value"),
+        F.when(F.col("shap_value") > 0, up).otherwise(down).alias("direction"),
+        F.bround(F.abs("shap_value"), 4).alias("abs_importance"),
+        F.bround(F.lit(base), 4).alias("base_value"))
 
 
 # The reason added to a flagged row, around the percentage.

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casebook.ml import forest, models, scoring
@@ -36,3 +37,38 @@ def test_blocks_give_the_same_values(spark, small_cases):
     one, many = values(forest.TABLE_CELLS), values(20_000)
     assert one.join(many.withColumnsRenamed({"v": "w", "n": "m"}), ["Patient_ID", "feature"], "full").where(
         "v IS NULL OR w IS NULL OR abs(v - w) > 1e-7 OR n <> 1 OR m <> 1").count() == 0
+
+
+def shuffled(node) -> int:
+    """The rows that the exchanges of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    inner = "executedPlan" if name == "AdaptiveSparkPlanExec" else "plan" if name.endswith("QueryStageExec") else None
+    if inner:
+        return shuffled(getattr(node, inner)())
+    if name == "ReusedExchangeExec":
+        return 0
+    mine = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return mine + sum(shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_requests_are_ranked_before_they_become_a_row_per_feature(spark, small_cases):
+    """The same rows as ranking the long form, keys repeated or null, and no shuffle of a row per feature."""
+    b = models.train_risk_model(small_cases, num_trees=4, max_depth=4)
+    some = small_cases.where("Patient_ID <= 40")
+    asked = (some.unionByName(some.where("Patient_ID % 4 = 0")).unionByName(some.where("Patient_ID % 4 = 1").withColumn("Age", F.col("Age") + 7))
+             .withColumn("Patient_ID", F.when(F.col("Patient_ID") % 10 != 7, F.col("Patient_ID")))).localCheckpoint()
+    r = scoring._inputs(b, asked).where("_complete").select("*", F.col("_own.Patient_ID").alias("Patient_ID"))
+    w = Window.partitionBy("Patient_ID").orderBy(F.desc(F.abs(F.bround("shap_value", 9))), "feature")
+    ranked = forest.attributions(b, r, ["Patient_ID"], spark).withColumn("rank", F.row_number().over(w))
+    for top in (2, 5):
+        got = scoring.attribution_report(b, asked, ["Patient_ID"], top)
+        want = ranked.where(F.col("rank") <= top)
+        shown = ["Patient_ID", "rank", "feature", F.bround(F.bround("shap_value", 9), 4).alias("shap_value")]
+        a, z = got.select(*shown), want.select(*shown)
+        assert a.exceptAll(z).count() == z.exceptAll(a).count() == 0 < got.count()
+        assert got.where("Patient_ID IS NULL").count() == top
+
+    once = some.na.drop(subset=list(b.features)).localCheckpoint()
+    plan = scoring.attribution_report(b, once, ["Patient_ID"])
+    plan.collect()
+    assert shuffled(plan._jdf.queryExecution().executedPlan()) == once.count() > 0
