@@ -47,14 +47,6 @@ class FlatForest:
         """Without the covers, which predictions do not need: what every worker holds to score."""
         return replace(self, cover=self.cover[:0])
 
-    def goes_left(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
-        left = x <= self.threshold[node]
-        row = self.set_row[node]
-        if not len(self.sets):
-            return left
-        code = np.clip(x, 0, self.sets.shape[1] - 1).astype(np.int64)
-        return np.where(row >= 0, self.sets[np.maximum(row, 0), code], left)
-
 
 def flatten_forest(forest_model, spark, positive_class: int = 1) -> FlatForest:
     """Read the persisted trees back as flat arrays (driver side, model-sized)."""
@@ -75,38 +67,38 @@ def read_forest(path: str, spark, n_features: int, is_clf: bool, positive_class:
     inner = F.col("nodeData.leftChild") >= 0
     arity, split = F.col("nodeData.split.numCategories"), F.col("nodeData.split.leftCategoriesOrThreshold")
     nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", F.col("nodeData.id").alias("id"), value.alias("value"), cover.alias("cover"),
+             .select("treeID", F.col("nodeData.id").alias("id"), value.alias("value"), F.coalesce(cover, F.lit(0.0)).alias("cover"),
                      F.col("nodeData.leftChild").alias("leftChild"), F.col("nodeData.rightChild").alias("rightChild"),
                      F.when(inner, F.col("nodeData.split.featureIndex")).otherwise(-1).alias("feature"),
                      F.coalesce(F.when(inner & (arity < 0), F.get(split, 0)), F.lit(0.0)).alias("threshold"),
                      F.coalesce(F.when(inner, arity), F.lit(-1)).alias("arity"),
-                     F.when(inner & (arity >= 0), split).alias("goes_left"))
-             .orderBy("treeID", "id").toPandas())
+                     F.coalesce(F.when(inner & (arity >= 0), split), F.array().cast("array<double>")).alias("goes_left"))
+             .orderBy("treeID", "id").toArrow())
+    column = {c: nodes[c].to_numpy() for c in nodes.column_names if c != "goes_left"}
+    goes_left = nodes["goes_left"].combine_chunks()
     # Node ids are dense preorder indexes within each tree, so a node's global
     # index is its tree's offset plus its id.
-    tree = nodes.treeID.to_numpy()
-    ids = nodes.id.to_numpy().astype(np.int64)
-    n = len(nodes)
+    tree = column["treeID"]
+    ids = column["id"].astype(np.int64)
+    n = len(ids)
     trees, first = np.unique(tree, return_index=True)
     offset = np.zeros(int(trees.max()) + 1, dtype=np.int64)
     offset[trees] = first
     if not np.array_equal(ids, np.arange(n) - offset[tree]):
         raise ValueError("unexpected node numbering in the persisted forest")
-    internal = nodes.leftChild.to_numpy() >= 0
-    arity = nodes.arity.to_numpy().astype(np.int64)
+    internal = column["leftChild"] >= 0
+    arity = column["arity"].astype(np.int64)
     by_set = np.flatnonzero(arity >= 0)
     set_row = np.full(n, -1, np.int32)
     set_row[by_set] = np.arange(len(by_set))
     sets = np.zeros((len(by_set), max(1, arity.max(initial=1))), bool)
-    for row, at in enumerate(by_set):
-        sets[row, np.asarray(nodes.goes_left.iat[at], np.int64)] = True
+    sets[np.repeat(set_row, goes_left.value_lengths().to_numpy()), goes_left.flatten().to_numpy().astype(np.int64)] = True
     base = offset[tree]
-    feature = nodes.feature.to_numpy().astype(np.int32)
-    thr = nodes.threshold.to_numpy(float)
-    left = np.where(internal, base + nodes.leftChild.to_numpy(), np.arange(n)).astype(np.int32)
-    right = np.where(internal, base + nodes.rightChild.to_numpy(), np.arange(n)).astype(np.int32)
-    value = nodes.value.to_numpy(float)
-    cover = nodes.cover.fillna(0.0).to_numpy(float)
+    feature = column["feature"].astype(np.int32)
+    thr = column["threshold"].astype(float)
+    left = np.where(internal, base + column["leftChild"], np.arange(n)).astype(np.int32)
+    right = np.where(internal, base + column["rightChild"], np.arange(n)).astype(np.int32)
+    value, cover = column["value"].astype(float), column["cover"].astype(float)
     roots = first.astype(np.int64)
     depth, frontier = 0, roots
     while len(frontier):
@@ -131,16 +123,26 @@ def joined(parts: list[FlatForest]) -> FlatForest:
 
 
 def tree_values(ff: FlatForest, X: np.ndarray) -> np.ndarray:
-    """Per-tree predictions, shape (rows, trees): all trees walked at once."""
-    node = np.broadcast_to(ff.roots, (X.shape[0], len(ff.roots))).copy()
-    rows = np.arange(X.shape[0])[:, None]
-    for _ in range(ff.depth):
-        f = ff.feature[node]
-        leaf = f < 0
-        xf = X[rows, np.where(leaf, 0, f)]
-        nxt = np.where(ff.goes_left(node, xf), ff.left[node], ff.right[node])
-        node = np.where(leaf, node, nxt)
-    return ff.value[node]
+    """Per-tree predictions, shape (rows, trees): tree by tree, so that a tree's nodes stay in a
+    core's cache while all rows walk it.  A leaf is its own child."""
+    n, m = X.shape
+    out, codes = np.empty((n, len(ff.roots))), ff.sets.shape[1]
+    flat, at, sets = np.ascontiguousarray(X).ravel(), np.arange(n) * m, ff.sets.ravel()
+    for t, (first, end) in enumerate(zip(ff.roots.tolist(), [*ff.roots[1:].tolist(), len(ff.feature)])):
+        mine = slice(first, end)
+        feature, threshold, set_row = np.maximum(ff.feature[mine], 0).astype(np.int64), ff.threshold[mine], ff.set_row[mine].astype(np.int64)
+        by_set, kids = set_row >= 0, np.stack([ff.right[mine], ff.left[mine]], axis=1).ravel().astype(np.int64) - first
+        node = np.zeros(n, np.int64)
+        for _ in range(ff.depth):
+            x = flat.take(at + feature.take(node))
+            left = x <= threshold.take(node)
+            some = np.flatnonzero(by_set.take(node))
+            if len(some):
+                code = np.clip(x.take(some), 0, codes - 1).astype(np.int64)
+                left[some] = sets.take(set_row.take(node.take(some)) * codes + code)
+            node = kids.take(2 * node + left)
+        out[:, t] = ff.value[mine].take(node)
+    return out
 
 
 #: Cells of all coalition tables of one block together (8 bytes each).

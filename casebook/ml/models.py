@@ -1,8 +1,9 @@
 """Readmission classifier and length-of-stay regressor.
 
 A trained model is a ``ModelBundle``: a Spark ``PipelineModel`` (encoders ->
-code fix-up -> assembler -> forest) plus a one-row metadata table.  A forest that may
-have more than ``PART_NODES`` nodes is fitted and saved in parts of some trees each; it is
+code fix-up -> assembler -> forest) plus a one-row metadata table.  Fits of more than
+``PART_ROWS`` rows are made by ``grow``, smaller ones by Spark ML's trainers.  A forest that
+may have more than ``PART_NODES`` nodes is saved in parts of some trees each; it is
 applied as flat arrays, so neither the driver nor an executor holds all its trees as
 objects.  Training data stays distributed; only model-sized objects reach the driver.
 """
@@ -10,6 +11,7 @@ objects.  Training data stays distributed; only model-sized objects reach the dr
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -17,11 +19,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.ml import forest
+from casebook.ml import forest, grow
 from casebook.ml.features import (CATEGORICAL, LOS_FEATURES, RISK_FEATURES, code_col,
                                   HASH_RANGE, fit_label_encoder, key_hash, split_flag,
                                   stratified_split, unseen_to_zero)
@@ -110,27 +113,53 @@ def _part_sizes(trainer, fitted: int) -> list[int]:
     return [trees * (i + 1) // parts - trees * i // parts for i in range(parts)]
 
 
-def _pipeline(rows: DataFrame, train: DataFrame, features, trainer, nominal: bool, fitted: int) -> tuple[PipelineModel, list]:
-    """The pipeline and the folders of the forest's parts (none: it is the last stage)."""
+def _pipeline(rows: DataFrame, train: DataFrame, features, trainer, nominal: bool, key: str) -> tuple[PipelineModel, list, int]:
+    """The pipeline, the folders of the forest's parts (none: it is the last stage) and the
+    number of rows of the fit."""
     # Codes come from every cleaned row (as the reference encodes before the
     # split); the forest sees only the training split.
-    folder = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/casebook-forest/{uuid.uuid4().hex}"
     enc = fit_label_encoder(rows)
     fix = unseen_to_zero(enc)
     cols = [code_col(c) if c in CATEGORICAL else c for c in features]
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
-    prepared = asm.transform(fix.transform(enc.transform(train)))
-    if nominal:
-        prepared = prepared.withMetadata("features", _nominal(features, enc, trainer.getMaxBins()))
-    sizes = _part_sizes(trainer, fitted)
-    if len(sizes) == 1:
-        return PipelineModel(stages=[enc, fix, asm, trainer.fit(prepared)]), []
-    prepared = stored(prepared.select("label", "features"), "prepared")
-    for i, trees in enumerate(sizes):
-        # Seeds far apart: those of a fit's partitions are next to its own.
-        some = trainer.copy({trainer.numTrees: trees, trainer.seed: trainer.getSeed() + 1_000_003 * i})
-        some.fit(prepared).write().save(f"{folder}/{i}")
-    return PipelineModel(stages=[enc, fix, asm]), [f"{folder}/{i}" for i in range(len(sizes))]
+    train, fitted = _fit_rows(train, features, key)
+    coded = fix.transform(enc.transform(train))
+    sets = _nominal(features, enc, trainer.getMaxBins() if nominal else 0)
+    if fitted <= PART_ROWS:
+        prepared = asm.transform(coded)
+        if nominal:
+            prepared = prepared.withMetadata("features", sets)
+        return PipelineModel(stages=[enc, fix, asm, trainer.fit(prepared)]), [], fitted
+    parts = _grown(coded, cols, sets, trainer, fitted)
+    if len(parts) > 1:
+        return PipelineModel(stages=[enc, fix, asm]), parts, fitted
+    model = _part_model("risk" if isinstance(trainer, RandomForestClassifier) else "los", parts[0])
+    return PipelineModel(stages=[enc, fix, asm, model]), [], fitted
+
+
+def _grown(coded: DataFrame, cols: list, sets: dict, trainer, fitted: int) -> list[str]:
+    """The folders of the parts of a forest that ``grow`` makes with the trainer's parameters,
+    saved as Spark ML saves its models."""
+    spark, m = coded.sparkSession, len(cols)
+    arity = {a["idx"]: len(a["vals"]) for a in sets["ml_attr"]["attrs"].get("nominal", [])}
+    classes = isinstance(trainer, RandomForestClassifier)
+    tried = {"all": m, "sqrt": math.ceil(math.sqrt(m))}[trainer.getFeatureSubsetStrategy()]
+    rules = grow.Rules([[] if j in arity else grow.thresholds(coded, c, trainer.getMaxBins()) for j, c in enumerate(cols)],
+                       [arity.get(j, -1) for j in range(m)], tried, trainer.getMaxDepth(), trainer.getMinInstancesPerNode(), trainer.getSeed(), classes)
+    dealt = min(-(-fitted // FIT_ROWS), max(spark.sparkContext.defaultParallelism, -(-fitted // grow.FILE_ROWS)))
+    nodes = stored(grow.grow(grow.binned(coded, cols, rules, dealt), trainer.getNumTrees(), rules), "trees")
+    split = F.struct("featureIndex", F.col("split").alias("leftCategoriesOrThreshold"), "numCategories").alias("split")
+    saved = F.struct("id", "prediction", "impurity", "impurityStats", "rawCount", "gain", "leftChild", "rightChild", split).alias("nodeData")
+    # Everything but the nodes is that of a model of as many trees on two rows.
+    two = spark.createDataFrame([(Vectors.dense([float(i)] * m), float(i)) for i in range(2)], ["features", "label"])
+    folder, at, parts = f"{checkpoint_dir(spark).rstrip('/')}/casebook-forest/{uuid.uuid4().hex}", 0, []
+    for i, trees in enumerate(_part_sizes(trainer, fitted)):
+        parts.append(f"{folder}/{i}")
+        trainer.copy({trainer.numTrees: trees}).fit(two).write().save(parts[-1])
+        mine = nodes.where(F.col("treeID").between(at, at + trees - 1)).withColumn("treeID", F.col("treeID") - at)
+        mine.select("treeID", saved).write.mode("overwrite").parquet(f"{parts[-1]}/data")
+        at += trees
+    return parts
 
 
 def _cast_features(df: DataFrame, features) -> DataFrame:
@@ -151,14 +180,14 @@ def _bounded_fit(train: DataFrame, max_rows: int | None, key: str) -> DataFrame:
 
 
 def _fit_rows(train: DataFrame, features, key: str) -> tuple[DataFrame, int]:
-    """The rows of the fit, computed once, and their number.  Every pass makes the statistics
-    of its nodes once per partition, however few rows that has: so there are at most as many
-    partitions as cores, and none for fewer than ``FIT_ROWS`` rows."""
+    """The rows of the fit, computed once, and their number.  Every pass of Spark ML's trainers
+    makes the statistics of its nodes once per partition, however few rows that has: so there
+    are at most as many partitions as cores, and none for fewer than ``FIT_ROWS`` rows."""
     rows = stored(train.select(key, *features, "label"), "fit")
     n = rows.count()
     parts = min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // FIT_ROWS))
-    if parts <= 1:
-        return rows.coalesce(1), n
+    if parts <= 1 or n > PART_ROWS:
+        return rows.coalesce(max(1, parts)), n
     return rows.repartition(parts, key, *features).sortWithinPartitions(key, *features), n
 
 
@@ -176,11 +205,10 @@ def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10
     d = _cast_features(cases.na.drop(subset=feats + [READMISSION]), feats).withColumn(
         "label", F.when(F.col(READMISSION) == "Yes", 1.0).otherwise(0.0))
     d = stratified_split(d.select(key, *feats, "label"), "label", key)
-    train, fitted = _fit_rows(_bounded_fit(d.where("_train"), max_rows, key), feats, key)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
                                 seed=seed, maxBins=max_bins, **TRAIN_OPTS)
-    pipe, parts = _pipeline(d, train, feats, rf, nominal, fitted)
+    pipe, parts, fitted = _pipeline(d, _bounded_fit(d.where("_train"), max_rows, key), feats, rf, nominal, key)
     return ModelBundle("risk", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": fitted,
                                              "num_trees": num_trees, "max_depth": max_depth}, parts=parts)
 
@@ -202,8 +230,7 @@ def train_los_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 15,
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
                                maxDepth=max_depth, minInstancesPerNode=2, featureSubsetStrategy="all",
                                seed=seed, maxBins=max_bins, **TRAIN_OPTS)
-    train, fitted = _fit_rows(_bounded_fit(d.where("_train"), max_rows, key), feats, key)
-    pipe, parts = _pipeline(d, train, feats, rf, nominal, fitted)
+    pipe, parts, fitted = _pipeline(d, _bounded_fit(d.where("_train"), max_rows, key), feats, rf, nominal, key)
     return ModelBundle("los", pipe, feats, {"model_version": "spark-rf-1", "seed": seed, "fitted_on_n": fitted,
                                             "num_trees": num_trees, "max_depth": max_depth}, parts=parts)
 
@@ -280,7 +307,9 @@ def save_bundle(bundle: ModelBundle, path: str, spark: SparkSession, extra_meta:
     """Pipeline via Spark ML persistence; metadata as a one-row parquet."""
     bundle.pipeline.write().overwrite().save(f"{path}/pipeline")
     for i, part in enumerate(bundle.parts):
-        _part_model(bundle.kind, part).write().overwrite().save(f"{path}/forest/{i}")
+        for table in ("data", "treesMetadata"):
+            spark.read.parquet(f"{part}/{table}").write.mode("overwrite").parquet(f"{path}/forest/{i}/{table}")
+        spark.read.text(f"{part}/metadata").coalesce(1).write.mode("overwrite").text(f"{path}/forest/{i}/metadata")
     meta = dict(bundle.meta, **(extra_meta or {}), kind=bundle.kind, features=bundle.features, parts=len(bundle.parts))
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
