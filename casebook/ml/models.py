@@ -193,14 +193,14 @@ def _fit_rows(train: DataFrame, features, key: str) -> tuple[DataFrame, int]:
 
 def train_risk_model(cases: DataFrame, num_trees: int = 100, max_depth: int = 10,
                      seed: int = 42, key: str = KEY, max_bins: int = 256,
-                     max_rows: int | None = 50_000, nominal: bool = True) -> ModelBundle:
+                     max_rows: int | None = None, nominal: bool = True) -> ModelBundle:
     """M3: random forest for P(Readmission = Yes) on Age, Gender, Condition,
     Procedure, Length_of_Stay; rows with a NULL feature or label are dropped.
     ``max_bins`` bounds the split candidates of a feature.  Categories are split by sets
     of labels; with ``nominal`` off, or above ``max_bins`` labels, by the order of their
-    codes.  The fit uses at most about ``max_rows`` of the
-    training rows (None: all), those with the smallest key hash; encoding, scoring
-    and every metric cover all rows."""
+    codes.  The fit uses every training row.  A caller may bound it to about ``max_rows`` of
+    them, those with the smallest key hash; encoding, scoring and every metric cover all
+    rows in any case."""
     feats = list(RISK_FEATURES)
     d = _cast_features(cases.na.drop(subset=feats + [READMISSION]), feats).withColumn(
         "label", F.when(F.col(READMISSION) == "Yes", 1.0).otherwise(0.0))

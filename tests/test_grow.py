@@ -102,3 +102,12 @@ def test_a_grown_forest_predicts_as_well_as_spark_ml_s(spark, monkeypatch, kind)
     p = large.pipeline.transform(x).select("Patient_ID", F.col("prediction").alias("p"))
     q = large.scored(x).select("Patient_ID", F.col("_prediction").alias("q"))
     assert p.join(q, "Patient_ID").where(F.abs(F.col("p") - F.col("q")) > 1e-9).isEmpty()
+
+
+def test_the_risk_model_is_fitted_on_every_training_row(spark, monkeypatch):
+    cases = some_cases(spark, 70_000)
+    b = models.train_risk_model(cases, num_trees=2, max_depth=2)
+    want = models.labelled(b, cases).where("_train").count()
+    ff = b.flat(spark)
+    assert want > 50_000 and b.meta["fitted_on_n"] == want
+    assert all(abs(ff.cover[root] / want - 1) < 0.05 for root in ff.roots)
