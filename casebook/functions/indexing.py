@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.session import checkpoint_dir
+from casebook.session import checkpoint_dir, stored
 
 
 def dense_index(df: DataFrame, order_cols, name: str = "_idx", start: int = 0) -> DataFrame:
@@ -38,12 +38,10 @@ def running_count(df: DataFrame, order_cols, counted, name: str = "_upto") -> Da
     """Rows of ``df`` with ``name``: how many rows up to and including this one, in the
     order of ``order_cols`` (a unique key), satisfy the Column ``counted``.
 
-    As in ``dense_index``, the frame is range-partitioned and checkpointed, and one count
-    per partition is added up; a window covers one partition."""
-    checkpoint_dir(df.sparkSession)
+    As in ``dense_index``, the frame is range-partitioned and written once (as Parquet), and one
+    count per partition is added up; a window covers one partition."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    s = (df.withColumn("_hit", counted.cast("long")).repartitionByRange(*order_cols)
-         .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    s = stored(df.withColumn("_hit", counted.cast("long")).repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()), "running")
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = s.groupBy("_pid").agg(F.sum("_hit").alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     here = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
