@@ -80,9 +80,9 @@ class TextIntents:
 
 
 def train_text_intents(corpus: DataFrame, text: str = "text", label: str = "intent", num_features: int = 1 << 14,
-                       max_iter: int = 100, max_rows: int | None = 20_000) -> TextIntents:
-    """Labels in alphabetical order.  The fit uses at most about ``max_rows`` of the labelled
-    rows (None: all); classification covers every row."""
+                       max_iter: int = 100, max_rows: int | None = None) -> TextIntents:
+    """Labels in alphabetical order.  The fit uses every labelled row.  A caller may bound it to
+    about ``max_rows`` of them; classification covers every row in any case."""
     d = stored(bounded(corpus, text, label, max_rows).select(text, label), "intents")
     labels = [r[0] for r in d.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]
     if not labels:
