@@ -98,16 +98,21 @@ def similar_cases(pop: DataFrame, targets: DataFrame, n: int = 5,
     profiles = stored(t.select(*ask).distinct().crossJoin(stats).select(
         *ask, ta.alias("_x"), F.when(F.sqrt(var_t) > 0, F.sqrt(var_t)).otherwise(F.lit(1.0)).alias("_sigma")), "profiles")
     best = Window.partitionBy(*ask).orderBy("_d2", key)
+
+    def nearest(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
     answers, asking, full = None, profiles, len(CATEGORICAL_FEATURES)
     for missed in range(full + 1):
         # The places of the full set are the profiles themselves.
         found = _near(few if missed else small, asking, ask, [s for s in range(1 << full) if s.bit_count() == full - missed], n, key)
-        found = found if answers is None else found.unionByName(answers.drop("rank")).distinct()
-        answers = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n), "nearest")
-        done = answers.where((F.col("rank") == n) & (F.col("_d2") < 2.0 * (missed + 1))).select(*ask)
+        found = found if answers is None else found.unionByName(answers).distinct()
+        answers = stored(nearest(found).drop("rank"), "nearest")
+        done = answers.groupBy(*ask).agg(F.count(F.lit(1)).alias("_m"), F.max("_d2").alias("_far")).where(
+            (F.col("_m") == n) & (F.col("_far") < 2.0 * (missed + 1)))
         asking = profiles.join(done, ask, "left_anti")
         if asking.isEmpty():
             break
-    answers = answers.join(complete, key)
+    answers = nearest(answers).join(complete, key)
     return t.join(answers, ask).select(target_key, "rank", F.bround(F.sqrt("_d2"), 6).alias("distance"),
                                        *[F.col(c) for c in pop.columns])
